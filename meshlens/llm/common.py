@@ -77,3 +77,11 @@ def resolve(path: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
