@@ -33,6 +33,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import conversation_digests, examples, format_turns
 
@@ -42,6 +54,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(examples(format_turns(turns.unionByName(probe))))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
