@@ -24,9 +24,12 @@ from .common import arrow_map, arrow_schema, cut, resolve
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most.
-CACHE = 300_000
-#: A space, tab or line feed after a character that is no white space always starts a new pre-token of the byte-level pattern.
-UNIT = re.compile(r"(?<=\S)(?=[ \n\t\r])")
+CACHE = 500_000
+#: Parts of a text that end where the byte-level pattern always ends a pre-token: a Latin word before a plain mark or white
+#: space, plain marks before a Latin letter or white space, a line feed before anything else, or whatever comes before the
+#: next white space.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r",.;:!?%$#&*|()\""
+UNIT = re.compile(rf" ?[{_LETTERS}]+(?=[ \n\t\r{_MARKS}])| ?[{_MARKS}]+(?=[ \n\t\r{_LETTERS}])|\n(?=\S)|.+?(?:(?<=\S)(?=[ \n\t\r])|\Z)", re.S)
 _RANK_BITS = 44
 
 
@@ -270,11 +273,11 @@ class Ids:
         self.known: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        units = [UNIT.split(t) for t in texts]
-        new = list({u for x in units for u in x} - self.known.keys())
+        units = [UNIT.findall(t) for t in texts]
+        new = list(set().union(*units).difference(self.known))
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
-            new = list({u for x in units for u in x})
+            new = list(set().union(*units))
         for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[u] = np.array(e.ids, "<u4").tobytes()
         get = self.known.__getitem__
