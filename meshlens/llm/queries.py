@@ -60,6 +60,12 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(examples(format_turns(turns.unionByName(probe))))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
