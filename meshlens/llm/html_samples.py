@@ -147,6 +147,9 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     """(html, a mark for each leaf block in page order): 1 for main text."""
     w = Writer(seed)
     rng = w.rng
+    if rng.random() < 0.12:  # an article and nothing else
+        w.article()
+        return "".join(w.out), w.marks
     w.out.append(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{w.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
     w.marks.append(0)
     before = [k for k in ("notice", "head", "menu", "ad", "form", "share", "side") if rng.random() < {"menu": 0.75, "ad": 0.45}.get(k, 0.25)]
