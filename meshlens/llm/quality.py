@@ -88,18 +88,27 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def train(rows: list[tuple[int, str, int]]) -> QualityModel:
-    """A model of (doc_id, text, quality) rows.  Dictionaries come from one half of the rows, the calibration from the other."""
+    """A model of (doc_id, text, quality) rows.
+
+    The calibration learns from texts that the dictionaries haven't seen: each fifth of the rows is
+    measured with dictionaries of the other four.  The model's own dictionaries are of all rows.
+    """
     order = sorted(rows, key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0]))
-    first = [r for k, r in enumerate(order) if k % 2 == 0]
-    second = [r for k, r in enumerate(order) if k % 2] or first
-    good, bad = (dictionary([t for _, t, q in first if q == want]) for want in (1, 0))
-    sizer = Sizer(good, bad)
-    x = np.array([sizer(t) for _, t, _ in second]).reshape(-1, 4)
-    y = np.array([float(q) for _, _, q in second])
-    if not len(y):
-        return QualityModel(good, bad, np.zeros(4), np.ones(4), np.zeros(5))
+
+    def dictionaries(of: list) -> list[bytes]:
+        return [dictionary([t for _, t, q in of if q == want]) for want in (1, 0)]
+
+    features, labels = [], []
+    for part in range(FOLDS):
+        seen, unseen = ([r for k, r in enumerate(order) if (k % FOLDS == part) == out] for out in (False, True))
+        sizer = Sizer(*dictionaries(seen))
+        features += [sizer(t) for _, t, _ in unseen]
+        labels += [float(q) for *_, q in unseen]
+    if not labels:
+        return QualityModel(*dictionaries([]), np.zeros(4), np.ones(4), np.zeros(5))
+    x = np.array(features)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return QualityModel(good, bad, mean, scale, fit_logistic((x - mean) / scale, y))
+    return QualityModel(*dictionaries(order), mean, scale, fit_logistic((x - mean) / scale, np.array(labels)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[int, str, int]]:
