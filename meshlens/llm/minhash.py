@@ -30,8 +30,9 @@ BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 #: Candidates whose signatures agree in less than this part aren't verified: 3.6 standard errors below 0.8.
 LEAST_AGREEMENT = 0.674
-#: Texts of a bucket that are compared as one block.
+#: Members of a bucket whose signatures are compared as one block, and of a cluster whose texts are.
 BLOCK = 1024
+TEXT_BLOCK = 256
 #: Bits of the filter that keeps texts nobody asked for from being shuffled; its size is fixed (512 KB).
 FILTER_BITS = 1 << 22
 
@@ -224,74 +225,159 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
     return arrow_map(both, make, "a bigint, b bigint", text_col=3).distinct()
 
 
-def _between_components(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a block, likely by their signatures; from rows in the order of their block.
+def _groups(batches, keys: tuple[str, ...]):
+    """Tables of whole groups from rows in the order of their keys; the last group of a batch waits for its end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        columns = [table.column(k).to_numpy() for k in keys]
+        open_rows = np.logical_and.reduce([c == c[-1] for c in columns])
+        done = int(np.argmax(open_rows))
+        if done:
+            yield table.slice(0, done).combine_chunks()
+        held = table.slice(done).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
-    A pair is given in the first band that its texts share, not in each.
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where groups of equal keys begin, and, last, where the rows end."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _signature_rows(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, REGISTERS)
+
+
+def _roots(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least row that each of n rows reaches by the links (low, high)."""
+    root = np.arange(n)
+    while len(low):
+        before = root.copy()
+        np.minimum.at(root, high, root[low])
+        np.minimum.at(root, low, root[high])
+        root = root[root]
+        if np.array_equal(root, before):
+            break
+    return root
+
+
+_EDGE = "a bigint, b bigint"
+
+
+def _suspected(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join what a block's likely pairs of different components join; at most one a member.
+
+    members are in the order of their block (key, i, j) and have rep, component, part, n, signature.
     """
-    ddl = "a bigint, b bigint"
-    schema = arrow_schema(members.sparkSession, ddl)
-    columns = ("key", "i", "j", "rep", "component", "n", "band", "part")
+    schema = arrow_schema(members.sparkSession, _EDGE)
+    keys = ("key", "i", "j")
 
-    def pairs_of(x: dict, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = (x["component"][low] != x["component"][high]) & (np.minimum(x["n"][low], x["n"][high]) >= SIMILARITY * np.maximum(x["n"][low], x["n"][high]))
+    def likely(x: dict, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = (x["component"][low] != x["component"][high]) & (np.minimum(x["n"][low], x["n"][high]) >= similarity * np.maximum(x["n"][low], x["n"][high]))
         ok &= (x["i"][low] == x["j"][low]) | (x["part"][low] != x["part"][high])
         low, high = low[ok], high[ok]
-        equal = x["signature"][low] == x["signature"][high]
-        ok = (equal.mean(axis=1) - 1 / 256) / (255 / 256) >= LEAST_AGREEMENT
-        shared = equal.reshape(len(equal), BANDS, ROWS).all(axis=2)
-        ok &= shared.argmax(axis=1) == x["band"][low]
+        ok = _agreement(x["signature"][low], x["signature"][high]) >= LEAST_AGREEMENT
         return low[ok], high[ok]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def emit(table: pa.Table):
-            x = {n: table.column(n).to_numpy() for n in columns}
-            x["signature"] = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, REGISTERS)
-            new = np.ones(table.num_rows, bool)
-            new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], table.num_rows)
-            end_of = np.repeat(ends, ends - starts)
-            at = np.arange(table.num_rows)
-            for shift in range(1, int((ends - starts).max(initial=1))):
-                low = at[at + shift < end_of]
-                low, high = pairs_of(x, low, low + shift)
-                if len(low):
-                    a, b = x["rep"][low], x["rep"][high]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            last = [table.column(n)[-1].as_py() for n in ("key", "i", "j")]
-            open_rows = (table.column("key").to_numpy() == last[0]) & (table.column("i").to_numpy() == last[1]) & (table.column("j").to_numpy() == last[2])
-            done = int(np.argmax(open_rows))  # rows are in order, so the last block's are at the end
-            if done:
-                yield from emit(table.slice(0, done).combine_chunks())
-            held = table.slice(done).combine_chunks().to_batches()
-        if held:
-            yield from emit(pa.Table.from_batches(held))
-
-    return members.mapInArrow(run, ddl)
-
-
-def _missed(texts: DataFrame, found: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs within buckets that span components, but for those tried."""
-    banded = texts.select("rep", "n", "signature", F.posexplode("bands").alias("band", "key"))
+        for table in _groups(batches, keys):
+            x = {n: table.column(n).to_numpy() for n in (*keys, "rep", "component", "n", "part")} | {"signature": _signature_rows(table)}
+            starts = _starts([x[k] for k in keys])
+            end_of = np.repeat(starts[1:], np.diff(starts))
+            spot, found = np.arange(table.num_rows), []
+            for shift in range(1, int(np.diff(starts).max())):
+                low = spot[spot + shift < end_of]
+                found.append(likely(x, low, low + shift))
+            if found:
+                root = _roots(table.num_rows, *(np.concatenate(z) for z in zip(*found, strict=True)))
+                moved = root != spot
+                yield pa.RecordBatch.from_arrays([pa.array(x["rep"][root[moved]]), pa.array(x["rep"][moved])], schema=schema)
+
+    return members.mapInArrow(run, _EDGE)
+
+
+def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different components within a block, verified on the texts; at most one a member.
+
+    members are in the order of their block (cluster, i, j) and have rep, component, part, n,
+    signature, text.  Pairs that earlier links of the block have joined aren't compared.
+    """
+    schema = arrow_schema(members.sparkSession, _EDGE)
+    keys = ("cluster", "i", "j")
+
+    def run(batches):
+        shingler = Shingler()
+        for table in _groups(batches, keys):
+            x = {n: table.column(n).to_numpy() for n in (*keys, "component", "n", "part")}
+            signature, texts, rep = _signature_rows(table), table.column("text"), table.column("rep").to_pylist()
+            starts = _starts([x[k] for k in keys])
+            out: list[tuple[int, int]] = []
+            for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                with np.errstate(over="ignore"):
+                    sets = [frozenset(shingler(t.as_py() or "")[0].tolist()) for t in texts[begin:end]]
+                up = {c: c for c in x["component"][begin:end].tolist()}
+
+                def top(c: int, up: dict = up) -> int:
+                    while up[c] != c:
+                        up[c] = up[up[c]]
+                        c = up[c]
+                    return c
+
+                within = x["i"][begin] == x["j"][begin]
+                n, part, component = x["n"][begin:end], x["part"][begin:end], x["component"][begin:end]
+                for k in range(end - begin):
+                    ok = np.minimum(n[k], n[:k]) >= similarity * np.maximum(n[k], n[:k])
+                    if not within:
+                        ok &= part[:k] != part[k]
+                    near = np.flatnonzero(ok)
+                    agree = _agreement(signature[begin + near], signature[begin + k])
+                    for other in near[np.argsort(-agree)][: int((agree >= LEAST_AGREEMENT).sum())].tolist():
+                        c, d = top(int(component[k])), top(int(component[other]))
+                        if c != d:
+                            both = len(sets[k] & sets[other])
+                            if both >= similarity * (len(sets[k]) + len(sets[other]) - both) - 1e-9:
+                                up[max(c, d)] = min(c, d)
+                                out.append((rep[begin + k], rep[begin + other]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], schema=schema)
+
+    return members.mapInArrow(run, _EDGE)
+
+
+def _in_blocks(members: DataFrame, key: str, size: DataFrame, block: int) -> DataFrame:
+    """members (key, rep, ...) with their part of the key's rows, once for each pair of parts (i, j) that it is in."""
+    parts = members.join(size.select(key, F.ceil(F.col("m") / block).cast("int").alias("parts")), key)
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
+    return parts.withColumn("pair", F.explode(pairs)).select(*members.columns, "part", "pair.i", "pair.j")
+
+
+def _missed(texts: DataFrame, found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
+    """Verified links between components that share buckets, or None where no bucket may hold any.
+
+    First the signatures of such buckets' texts are compared in blocks.  What they suspect falls
+    into clusters, and a cluster's texts are verified in blocks, so that a text is shuffled once a
+    block and not once a pair, and no table has a row for each pair.
+    """
     labelled = texts.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    slim = banded.select("rep", "band", "key").join(labelled, "rep")
-    mixed = slim.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("m"), F.max("rep").alias("last"), F.min("rep").alias("first"))
-    # of two texts the pivot was one, so they have been compared
-    mixed = mixed.filter((F.col("least") < F.col("most")) & (F.col("m") > 2)).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = slim.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    paired = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
-    members = members.withColumn("block", F.explode(paired)).select("key", "block.i", "block.j", "rep", "component", "band", "part")
-    members = members.join(texts.select("rep", "n", "signature"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return _between_components(members).distinct().join(tried, ["a", "b"], "left_anti")
+    slim = texts.select("rep", F.explode("bands").alias("key")).join(labelled, "rep")
+    mixed = slim.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("m"))
+    mixed = mixed.filter((F.col("least") < F.col("most")) & (F.col("m") > 2))  # of two texts the pivot was one, so they have been compared
+    signed = texts.select("rep", "n", "signature")
+    members = _in_blocks(slim, "key", mixed, BLOCK).join(signed, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    suspected = cut(_suspected(members, similarity).distinct())
+    if suspected.isEmpty():
+        return None
+    clusters = cut(components(suspected).select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(labelled, "rep"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
+    texts_of = _texts_of(docs, clusters.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep").dropDuplicates(["rep"])
+    blocks = _in_blocks(clusters, "cluster", sizes, TEXT_BLOCK).join(signed, "rep").join(texts_of, "rep")
+    return cut(_linked_in_blocks(blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), similarity))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -310,10 +396,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     stars = cut(banded.join(pivots, "key").filter("a < rep").select("a", F.col("rep").alias("b")).distinct())
     links = cut(verified(cut(_likely(stars, texts, similarity)), docs, similarity))
     found = components(links)
-    more = cut(_missed(texts, found, stars))
-    if not more.isEmpty():
-        links = links.union(cut(verified(more, docs, similarity)))
-        found = components(links)
+    more = _missed(texts, found, docs, similarity)
+    if more is not None and not more.isEmpty():
+        found = components(links.union(more))
     classes = texts.select("fingerprint", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
     joined = rows.select("doc_id", "fingerprint").join(classes, "fingerprint", "left")
