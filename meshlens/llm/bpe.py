@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, resolve
 
 #: Words that a worker remembers, and bytes of words in one recursion (bounds its memory).
-CACHE = 400_000
+CACHE = 800_000
 ROUND_BYTES = 300_000
-#: Bytes from which a word goes through the same rounds one query at a time, so that rounds don't pile up.
+#: Bytes from which a word goes through the same rounds one query at a time, so that rounds don't pile up; under 1 << 11.
 LONG = 1024
 
 
@@ -68,7 +68,8 @@ class Merges:
         starts = np.concatenate([[0], np.cumsum(sizes)])
         word = np.repeat(np.arange(len(raw)), sizes)
         ids = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
-        self._table("start", word=pa.array(word), pos=pa.array(np.arange(len(ids)) - starts[word]), id=pa.array(ids))
+        self._table("start", spot=pa.array(word << 11 | np.arange(len(ids)) - starts[word]), id=pa.array(ids))
+        self.db.execute(_RANKED_START)
         got = self.db.execute(_RECURSION).fetchnumpy()
         ends = np.cumsum(np.bincount(got["word"], minlength=len(raw)))
         flat = np.asarray(got["id"]).astype("<u4").tobytes()
@@ -126,33 +127,44 @@ class Merges:
         return out
 
 
-#: The recursion.  `step` has the rows of one round; pairs are looked up by (left id, right id).  The best pair of a word is the
-#: least (rank, position), held in one number.  A word without a pair leaves the recursion with its last rows.
+#: The recursion.  A row's spot is its word << 11 and its place in the word, so one order has every word's tokens together.
+#: `step` has the rows of one round, each with its word's best pair: the least (rank, spot), held in one number.  A round
+#: contracts it: its row takes the new id, the row after goes, and the row before sees the new id.  New pairs, (left id << 32 |
+#: right id), are looked up in the merge table.  A word without a pair leaves the recursion with its last rows.
 _RECURSION = """
-WITH RECURSIVE step(word, pos, id, best) AS (
-    SELECT word, pos, id, min(rank << 32 | pos) OVER (PARTITION BY word)
-    FROM (
-        SELECT p.word, p.pos, p.id, m.new_id AS rank
-        FROM (SELECT word, pos, id, id << 32 | lead(id) OVER (PARTITION BY word ORDER BY pos) AS pair FROM start) p
-        LEFT JOIN merges m ON m.pair = p.pair
-    )
+WITH RECURSIVE step(spot, id, best) AS (
+    SELECT r.spot, r.id, b.best
+    FROM ranked_start r JOIN (SELECT spot >> 11 AS word, min(best) AS best FROM ranked_start GROUP BY 1) b ON b.word = r.spot >> 11
     UNION ALL
-    SELECT word, pos, id, min(rank << 32 | pos) OVER (PARTITION BY word)
-    FROM (
-        SELECT p.word, p.pos, p.id, m.new_id AS rank
+    (WITH moved AS (
+        SELECT spot, CASE WHEN spot = best & 4294967295 THEN best >> 32 ELSE id END AS id,
+            CASE WHEN spot = best & 4294967295 THEN CASE WHEN after_next >> 11 = spot >> 11 THEN (best >> 32 << 32) | second_id END
+                 WHEN after >> 11 <> spot >> 11 THEN NULL
+                 WHEN after = best & 4294967295 THEN (id << 32) | (best >> 32)
+                 ELSE (id << 32) | next_id END AS pair
         FROM (
-            SELECT word, pos, id, id << 32 | lead(id) OVER (PARTITION BY word ORDER BY pos) AS pair
-            FROM (
-                SELECT word, pos, best, CASE WHEN pos = best & 4294967295 THEN best >> 32 ELSE id END AS id,
-                       lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before
-                FROM step WHERE best IS NOT NULL
-            )
-            WHERE before IS NULL OR before <> best & 4294967295
-        ) p
-        LEFT JOIN merges m ON m.pair = p.pair
+            SELECT spot, id, best, lag(spot) OVER w AS before, lead(spot) OVER w AS after, lead(spot, 2) OVER w AS after_next,
+                   lead(id) OVER w AS next_id, lead(id, 2) OVER w AS second_id
+            FROM step WHERE best IS NOT NULL
+            WINDOW w AS (ORDER BY spot)
+        )
+        WHERE before IS NULL OR before <> best & 4294967295
+    ), ranked AS MATERIALIZED (
+        SELECT p.spot, p.id, m.new_id << 32 | p.spot AS best FROM moved p LEFT JOIN merges m ON m.pair = p.pair
+    ), least AS (
+        SELECT spot >> 11 AS word, min(best) AS best FROM ranked GROUP BY 1
     )
+    SELECT r.spot, r.id, b.best FROM ranked r JOIN least b ON b.word = r.spot >> 11)
 )
-SELECT word, id FROM step WHERE best IS NULL ORDER BY word, pos
+SELECT spot >> 11 AS word, id FROM step WHERE best IS NULL ORDER BY spot
+"""
+
+_RANKED_START = """
+CREATE OR REPLACE TABLE ranked_start AS
+SELECT p.spot, p.id, m.new_id << 32 | p.spot AS best
+FROM (
+    SELECT spot, id, CASE WHEN lead(spot) OVER w >> 11 = spot >> 11 THEN (id << 32) | lead(id) OVER w END AS pair FROM start WINDOW w AS (ORDER BY spot)
+) p LEFT JOIN merges m ON m.pair = p.pair
 """
 
 _LONG_ROUND = """
