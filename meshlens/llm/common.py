@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and text bytes that one call of a batch function gets at most (one row may exceed the bytes).
 SLICE_ROWS = 512
 SLICE_BYTES = 8 << 20
+#: Rows of an Arrow batch between the JVM and Python, where the session leaves Spark's default of 10 000: whole texts travel in them.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, text_col: int | None = None) -> Iterator[pa.RecordBatch]:
+def bound_batches(spark: SparkSession) -> None:
+    """Small Arrow batches from here on, unless the session asks for a size of its own."""
+    if spark.conf.get(_BATCH_CONF) == "10000":
+        spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+
+
+def slices(batch: pa.RecordBatch, text_col: int | None = None, slice_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part stays small in memory."""
     if text_col is None or not batch.num_rows:
         for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -41,24 +50,25 @@ def slices(batch: pa.RecordBatch, text_col: int | None = None) -> Iterator[pa.Re
     at, held = 0, 0
     for i in range(batch.num_rows):
         size = len(column[i].as_buffer() or b"") if column[i].is_valid else 0
-        if i > at and (held + size > SLICE_BYTES or i - at >= SLICE_ROWS):
+        if i > at and (held + size > slice_bytes or i - at >= SLICE_ROWS):
             yield batch.slice(at, i - at)
             at, held = i, 0
         held += size
     yield batch.slice(at)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, text_col: int | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, text_col: int | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over small slices. make() runs once a task; the function it returns turns a RecordBatch into a dict of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, slice_bytes):
                 if part.num_rows:
                     out = f(part)
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out, schema=target)
 
+    bound_batches(df.sparkSession)
     target = arrow_schema(df.sparkSession, schema)
     return df.mapInArrow(run, schema)
 
@@ -85,3 +95,11 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def keep_first(known: dict, n: int) -> None:
+    """Drops all but the n entries that came first; of words, the frequent ones come early."""
+    if len(known) > n:
+        first = dict(list(zip(known, known.values(), strict=True))[:n]) if n else {}
+        known.clear()
+        known.update(first)

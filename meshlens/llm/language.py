@@ -102,15 +102,15 @@ def train(rows: list[tuple[int, str, str]]) -> LanguageModel:
     languages = tuple(sorted({r[2] for r in rows}))
     if not rows:
         return LanguageModel((), np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
-    counted = [counts_of(t) for _, t, _ in rows]
     df = np.zeros(BUCKETS)
-    for found, _ in counted:
-        df[found] += 1
+    for _, text, _ in rows:
+        df[counts_of(text)[0]] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
     blank = LanguageModel(languages, idf, np.zeros((BUCKETS, len(languages))), 1.0)
     made = []
-    for (_, text, lang), _ in zip(rows, counted, strict=True):
-        made.append((*blank.features(text), languages.index(lang)))
+    for _, text, lang in rows:
+        found, x = blank.features(text)
+        made.append((found.astype(np.int32), x.astype(np.float32), languages.index(lang)))
     learn = [r for k, r in enumerate(made) if k % 5] or made
     check = made[::5]
     weights = ftrl(learn, len(languages))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, cut
+from .common import arrow_map, arrow_schema, bound_batches, cut, keep_first
 from .components import components
 
 WORDS = 5
@@ -33,6 +33,9 @@ LEAST_AGREEMENT = 0.674
 #: Members of a bucket whose signatures are compared as one block, and of a cluster whose texts are.
 BLOCK = 1024
 TEXT_BLOCK = 256
+#: Words whose hashes a task remembers, and bytes of text whose signatures are made at once.
+CACHE = 150_000
+SIGNATURE_BYTES = 2 << 20
 #: Bits of the filter that keeps texts nobody asked for from being shuffled; its size is fixed (512 KB).
 FILTER_BITS = 1 << 22
 
@@ -63,8 +66,8 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         known = self.known
-        if len(known) > 400_000:
-            known.clear()
+        if len(known) > CACHE:
+            keep_first(known, CACHE // 3)
         for w in set(words).difference(known):
             known[w] = self.hash(w)
         codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
@@ -147,7 +150,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         return f
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), make, schema, text_col=1)
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), make, schema, text_col=1, slice_bytes=SIGNATURE_BYTES)
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -319,7 +322,7 @@ def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
             out: list[tuple[int, int]] = []
             for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 with np.errstate(over="ignore"):
-                    sets = [frozenset(shingler(t.as_py() or "")[0].tolist()) for t in texts[begin:end]]
+                    sets = [shingler(t.as_py() or "")[0] for t in texts[begin:end]]
                 up = {c: c for c in x["component"][begin:end].tolist()}
 
                 def top(c: int, up: dict = up) -> int:
@@ -339,7 +342,7 @@ def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
                     for other in near[np.argsort(-agree)][: int((agree >= LEAST_AGREEMENT).sum())].tolist():
                         c, d = top(int(component[k])), top(int(component[other]))
                         if c != d:
-                            both = len(sets[k] & sets[other])
+                            both = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
                             if both >= similarity * (len(sets[k]) + len(sets[other]) - both) - 1e-9:
                                 up[max(c, d)] = min(c, d)
                                 out.append((rep[begin + k], rep[begin + other]))
@@ -364,6 +367,7 @@ def _missed(texts: DataFrame, found: DataFrame, docs: DataFrame, similarity: flo
     into clusters, and a cluster's texts are verified in blocks, so that a text is shuffled once a
     block and not once a pair, and no table has a row for each pair.
     """
+    bound_batches(docs.sparkSession)
     labelled = texts.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
     slim = texts.select("rep", F.explode("bands").alias("key")).join(labelled, "rep")
     mixed = slim.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("m"))

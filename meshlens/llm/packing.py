@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, cut, resolve
+from .common import arrow_map, arrow_schema, cut, keep_first, resolve
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most.
-CACHE = 500_000
+CACHE = 300_000
 #: Parts of a text that end where the byte-level pattern always ends a pre-token: a Latin word before a plain mark or white
 #: space, plain marks before a Latin letter or white space, a line feed before anything else, or whatever comes before the
 #: next white space.
@@ -276,8 +276,8 @@ class Ids:
         units = [UNIT.findall(t) for t in texts]
         new = list(set().union(*units).difference(self.known))
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set().union(*units))
+            keep_first(self.known, CACHE // 3)
+            new = list(set().union(*units).difference(self.known))
         for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self.known[u] = np.array(e.ids, "<u4").tobytes()
         get = self.known.__getitem__
