@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import repo_of
+from ..plans.fixpoint import cut
 
 
 def repo_edges(members: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def find_cycles(members: DataFrame, longest: int = 20) -> DataFrame:
     Each is found from its least repository.  Their number is exponential in the number of
     repositories, which is small by nature; `longest` bounds their length.
     """
-    edges = repo_edges(members).select("src", "dst", "channel").distinct()
+    edges = cut(repo_edges(members).select("src", "dst", "channel").distinct())  # every level of the recursion reads them
     pairs = edges.select("src", "dst").distinct()
     found = members.sparkSession.sql(_CYCLES % longest, pairs=pairs)
     steps = found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("len")))).select("path", "len", F.element_at("path", F.col("_k")).alias("src"), F.element_at("path", F.col("_k") + 1).alias("dst"))

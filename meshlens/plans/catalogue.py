@@ -780,3 +780,83 @@ def update_check(spark, d):
 @query("SELECT p_partkey, p_brand || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS unique_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)")
 def unique_name(spark, d):
     return store.unique_names(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord"))).select("p_partkey", "unique_name")
+
+
+# ---------------------------------------------------------------- extraction from Java sources (no SQL: a parser)
+
+
+def _shop(spark):
+    from ..functions.scalars import is_test_path
+    from ..sources import samples
+    from ..sources.files import load_config
+
+    return samples.files(spark).filter(~is_test_path(F.concat(F.lit("/"), "path"))), load_config(samples.config_files(spark))
+
+
+def _shop_index(spark):
+    from ..sources.extract import index, java_types
+
+    files, config = _shop(spark)
+    return index(java_types(files)), config
+
+
+@query()
+def java_types(spark, d):
+    return _shop_index(spark)[0].types.select("repo", "file", "fqn", "kind", "line", F.array_join("supertypes", ",").alias("supertypes"), F.size("methods").alias("n_methods"))
+
+
+@query()
+def java_methods(spark, d):
+    return _shop_index(spark)[0].methods.select("repo", "method_key", "n_params", "has_body")
+
+
+@query()
+def java_calls(spark, d):
+    from ..operators.resolve import call_edges
+
+    return call_edges(_shop_index(spark)[0])
+
+
+@query()
+def java_entry_points(spark, d):
+    from ..operators.detect import detect_entry_points
+
+    return detect_entry_points(*_shop_index(spark)).select("id", "type", "channel", "line", "message_type", "method_type")
+
+
+@query()
+def java_producers(spark, d):
+    from ..operators.detect import detect_producers
+
+    return detect_producers(*_shop_index(spark)).select("id", "type", "channel", "line", "message_type", "response_type")
+
+
+@query()
+def java_graph_unreachable(spark, d):
+    from .analysis import analyze_files
+
+    return analyze_files(*_shop(spark)).unreachable
+
+
+_CONFIG_SQL = "config AS (SELECT 'k' || (event_id % 50) || '.' || event_type AS key, CAST(max(user_id) AS VARCHAR) AS value, min(event_id) AS first FROM events GROUP BY 1)"
+
+
+@query(
+    f"""WITH {_CONFIG_SQL}, consts AS (SELECT p_brand AS class, p_type AS name, max(p_name) AS value, min(p_name) AS low FROM part GROUP BY 1, 2), flat AS (SELECT name, min(value) AS value FROM (SELECT name, first_value(value) OVER (PARTITION BY name ORDER BY class, value) AS value FROM (SELECT p_brand AS class, p_type AS name, p_name AS value FROM part)) GROUP BY name),
+    tokens AS (SELECT '${{k' || (event_id % 60) || '.' || event_type || ':none}}' AS token, 'k' || (event_id % 60) || '.' || event_type AS n FROM events GROUP BY ALL),
+    t2 AS (SELECT DISTINCT '${{' || event_type || '}}' AS token, event_type AS n FROM events)
+    SELECT token, coalesce(value, 'none') AS channel FROM tokens LEFT JOIN config ON key = n
+    UNION ALL SELECT token, (SELECT arg_min(value, first) FROM config WHERE ends_with(key, '.' || n)) FROM t2
+    UNION ALL SELECT class || '.' || name, value FROM consts UNION ALL SELECT name, value FROM flat UNION ALL SELECT '/x', '/x' UNION ALL SELECT '', 'unknown' UNION ALL SELECT '#{{a}}', '#{{a}}'"""
+)
+def resolve_channel(spark, d):
+    from ..operators.resolve import resolve_channel as resolve
+
+    events, part = table(spark, d, "events"), table(spark, d, "part")
+    key = F.concat(F.lit("k"), (F.col("event_id") % 50).cast("string"), F.lit("."), "event_type")
+    config = events.groupBy(key.alias("key")).agg(F.max("user_id").cast("string").alias("value"), F.min("event_id").alias("first"))
+    constants = part.select(F.col("p_brand").alias("class"), F.col("p_type").alias("name"), F.col("p_name").alias("value"), F.concat_ws("|", "p_brand", "p_name").alias("ord"))
+    asked = events.select(F.concat(F.lit("${k"), (F.col("event_id") % 60).cast("string"), F.lit("."), "event_type", F.lit(":none}")).alias("token"))
+    asked = asked.union(events.select(F.concat(F.lit("${"), "event_type", F.lit("}")))).union(part.select(F.concat_ws(".", "p_brand", "p_type"))).union(part.select("p_type"))
+    asked = asked.union(spark.createDataFrame([("/x",), ("",), ("#{a}",)], "token string"))
+    return resolve(asked, constants, config)

@@ -19,8 +19,9 @@ def _repo_files(spark: SparkSession, roots: dict[str, str], pattern: str) -> Dat
     out = None
     for repo, root in roots.items():
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
-        below = F.expr(f"substring(path, locate('{root.rstrip('/').split('://')[-1]}', path) + {len(root.rstrip('/').split('://')[-1])})")
-        rows = files.select(F.lit(repo).alias("repo"), below.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+        top = root.rstrip("/").split("://")[-1]
+        below = F.col("path").substr(F.locate(top, F.col("path")) + len(top), F.length("path"))
+        rows = files.select(F.lit(repo).alias("repo"), below.alias("path"), F.decode("content", "UTF-8").alias("content"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
