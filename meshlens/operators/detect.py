@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_urlish, join_rest_path, last_seg, sqs_queue_name, strip_http_origin
+from ..plans.fixpoint import cut
 from ..sources.extract import JavaIndex
 from .resolve import calls_of, field_types, param_type, resolve_channel, resolve_fqn, resolve_reactive_channel
 
@@ -239,7 +240,7 @@ def producer_rules(idx: JavaIndex) -> DataFrame:
     """Rows (PRODUCER) of all producer rules, with channel tokens not yet resolved."""
     scanned = idx.scanned.select("key", F.col("annotations").alias("c_ann"), "supertypes")
     calls = calls_of(idx).join(scanned, "key").filter(~has("c_ann", *FEIGN) | (F.col("m_name") == "<init>"))
-    kinds = field_types(idx)
+    kinds = cut(field_types(idx))
     calls = calls.join(kinds.select("key", F.col("name").alias("receiver"), F.col("type").alias("field")), ["key", "receiver"], "left")
     calls = calls.join(kinds.select("key", F.col("name").alias("root"), F.col("type").alias("root_field")), ["key", "root"], "left")
     calls = calls.join(kinds.select("key", F.col("name").alias("first_name"), F.col("type").alias("first_field")), ["key", "first_name"], "left")
@@ -247,6 +248,7 @@ def producer_rules(idx: JavaIndex) -> DataFrame:
     local = F.try_element_at("locals", F.col("receiver"))
     declared = F.when(F.coalesce("field", F.lit("")) != "", F.col("field")).otherwise(F.coalesce(local, F.lit("")))
     calls = calls.withColumns({"ord": place, "declared": declared, "field": F.coalesce("field", F.lit("")), "arg": F.coalesce(F.get("args", F.lit(0)), F.lit(""))})
+    calls = cut(calls.drop("c_ann"))  # every rule below reads them
     sends = calls.filter("receiver <> ''")
     out = []
     created = F.nullif(F.col("first_new"), F.lit(""))
@@ -316,6 +318,7 @@ def _payload_name(declared: Column) -> Column:
 
 def resolve_tokens(rows: DataFrame, idx: JavaIndex, config: DataFrame) -> DataFrame:
     """rows with channel, and message_type resolved where it is a type's name."""
+    rows = cut(rows)
     channels = resolve_channel(rows.filter("mode = 'channel'").select("token"), idx.constants, config).withColumn("mode", F.lit("channel"))
     reactive = resolve_reactive_channel(rows.filter("mode = 'reactive'").select("token"), config).withColumn("mode", F.lit("reactive"))
     names = resolve_fqn(idx, rows.filter("mode = 'fqn'").select("key", F.col("token").alias("simple"))).select("key", F.col("simple").alias("token"), F.col("fqn").alias("_fqn"))

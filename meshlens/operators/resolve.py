@@ -135,10 +135,10 @@ def resolve_calls(idx: JavaIndex, calls: DataFrame | None = None) -> DataFrame:
     return kept.withColumn("pos", pos).select(*question, "callee", "callee_class", "callee_file", "callee_line", "pos")
 
 
-def call_edges(idx: JavaIndex) -> DataFrame:
-    """One row for each call with its shown target, as call_tree() wants them: the first candidate, ambiguous if there are several classes."""
+def call_edges(idx: JavaIndex, cands: DataFrame | None = None) -> DataFrame:
+    """One row for each call with its shown target, as call_tree() wants them: the first candidate (of resolve_calls()), ambiguous if there are several classes."""
     calls = calls_of(idx).filter("m_name <> '<init>' and method <> ''")
-    cands = resolve_calls(idx, calls)
+    cands = cands if cands is not None else cut(resolve_calls(idx, calls))
     first = cands.groupBy("method_key", "ord").agg(F.min_by(F.struct("callee", "callee_class", "callee_file", "callee_line"), "pos").alias("f"), (F.size(F.collect_set("callee_class")) > 1).alias("ambiguous"))
     display = F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "method")).otherwise(F.col("method"))
     rows = calls.select("method_key", F.col("ord").cast("int").alias("ord"), display.alias("display"), "arity").dropDuplicates(["method_key", "ord"])

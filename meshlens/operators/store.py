@@ -5,7 +5,7 @@ from __future__ import annotations
 from html import unescape
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -230,3 +230,14 @@ def mutate_diagrams(diagrams: list[dict], action: str = "add", diagram_id: str =
                 mine["kind"] = kind
         mine["updated_at"] = now
     return out
+
+
+def truncate_json(value: Column, most: int = 900) -> Column:
+    """A value as JSON text, cut and marked by an ellipsis beyond `most` characters."""
+    text = F.to_json(value)
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+
+
+def strip_reasoning(messages: DataFrame, dropped: tuple[str, ...] = ("reasoning", "reasoning_content")) -> DataFrame:
+    """Messages without the columns of a model's private notes."""
+    return messages.drop(*dropped)

@@ -238,3 +238,33 @@ def outbound_channels(graph: GraphRelations) -> DataFrame:
     first = graph.members.groupBy("channel").agg(F.min(F.struct("ord", "kind", "verb")).alias("f")).select("channel", "f.kind", "f.verb")
     heard = graph.members.filter("side = 'consumer'").join(first, ["channel", "kind", "verb"]).groupBy("channel").agg(F.countDistinct(F.substring_index("id", ":", 1)).alias("n"))
     return met.select("id", "channel").distinct().join(heard, "channel", "left").select("id", "channel", F.coalesce("n", F.lit(0)).alias("n_consumer_repos"))
+
+
+# ---------------------------------------------------------------- context of nodes and entries
+
+
+#: Parts of a call's name that count as sending.
+SENDING = ("convertAndSend", "send", "publishEvent")
+
+
+def producing_nodes(graph: GraphRelations) -> DataFrame:
+    """ep_id, path, name of tree nodes that send: their name is a producer's method, or they call something that sends."""
+    from .tree import display_name
+
+    named = graph.nodes.select("ep_id", "path", "method", display_name().alias("name"))
+    known = graph.producers.select(F.col("method").alias("name")).distinct().withColumn("_known", F.lit(True))
+    sends = F.lit(False)
+    for text in SENDING:
+        sends = sends | F.contains("method", F.lit(text))
+    return named.join(known, "name", "left").filter(F.col("_known").isNotNull() | sends).select("ep_id", "path", "name")
+
+
+def entry_connections(graph: GraphRelations) -> DataFrame:
+    """id, direction, channel, repos: where an entry's repository sends, and what a consuming entry hears, by linked repositories."""
+    sides = graph.members.select("channel", "kind", "verb", "side", F.substring_index("id", ":", 1).alias("peer")).distinct()
+    peers = lambda side: sides.filter(F.col("side") == side).groupBy("channel", "kind", "verb").agg(sorted_set(F.col("peer")).alias("repos"))
+    sent = graph.producers.select("repo", "channel").distinct()
+    out = graph.entry_points.select("id", "repo").distinct().join(sent, "repo").join(peers("consumer"), "channel").select("id", F.lit("out").alias("direction"), "channel", "kind", "repos")
+    hears = graph.entry_points.filter(F.col("type").isin(*(t for t in LINKED_CONSUMERS if t not in ("message-handler", "websocket"))))
+    heard = hears.select("id", "channel").distinct().join(peers("producer"), "channel").select("id", F.lit("in").alias("direction"), "channel", "kind", "repos")
+    return out.unionByName(heard)

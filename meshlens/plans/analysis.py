@@ -26,7 +26,8 @@ def analyze_files(files: DataFrame, config: DataFrame | None = None) -> GraphRel
     entries = cut(detect_entry_points(idx, config))
     producers = cut(detect_producers(idx, config))
     calls = calls_of(idx)
-    edges = cut(call_edges(idx))
+    every = cut(resolve_calls(idx, calls))
+    edges = cut(call_edges(idx, every))
     # an entry's method is the indexed one of its class and name in its file
     own = idx.methods.groupBy("repo", "file", F.col("class_simple").alias("class_name"), F.col("name").alias("method")).agg(F.min_by(F.struct("method_key", "line", "has_body"), "ord").alias("d"))
     known = entries.join(own, ["repo", "file", "class_name", "method"], "left").withColumn("root", F.coalesce("d.method_key", F.concat(F.concat_ws(".", "class_name", "method"), F.lit("@"), "file", F.lit(":"), F.col("line").cast("string"))))
@@ -39,7 +40,6 @@ def analyze_files(files: DataFrame, config: DataFrame | None = None) -> GraphRel
     final = known.join(metrics, "ep", "left").join(busy, "root", "left").withColumn("thin", thin)
     entry_points = cut(final.select("ord", "id", "repo", "type", "channel", "class_name", "method", "file", "line", "message_type", "method_type", *[F.col(c).cast("int").alias(c) for c in ("depth", "total_nodes", "unique_files", "branch_count")], "thin"))
     named = nodes.join(known.select(F.col("ep").alias("ep_id"), "id").distinct(), "ep_id").drop("ep_id").withColumnRenamed("id", "ep_id")
-    every = resolve_calls(idx, calls)
     display = F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "method")).otherwise(F.col("method"))
     spoken = calls.select("method_key", F.col("ord").cast("int").alias("ord"), display.alias("display"), "arity")
     reached = reachable_methods(known.select(F.col("root").alias("node")), every.join(spoken, ["method_key", "ord"]).select(F.col("method_key").alias("caller"), "callee", "display", "arity"))

@@ -855,8 +855,122 @@ def resolve_channel(spark, d):
     events, part = table(spark, d, "events"), table(spark, d, "part")
     key = F.concat(F.lit("k"), (F.col("event_id") % 50).cast("string"), F.lit("."), "event_type")
     config = events.groupBy(key.alias("key")).agg(F.max("user_id").cast("string").alias("value"), F.min("event_id").alias("first"))
-    constants = part.select(F.col("p_brand").alias("class"), F.col("p_type").alias("name"), F.col("p_name").alias("value"), F.concat_ws("|", "p_brand", "p_name").alias("ord"))
+    constants = part.select(F.col("p_brand").alias("class"), F.col("p_type").alias("name"), F.col("p_name").alias("value"), F.concat(F.rpad("p_brand", 12, " "), "p_name").alias("ord"))
     asked = events.select(F.concat(F.lit("${k"), (F.col("event_id") % 60).cast("string"), F.lit("."), "event_type", F.lit(":none}")).alias("token"))
     asked = asked.union(events.select(F.concat(F.lit("${"), "event_type", F.lit("}")))).union(part.select(F.concat_ws(".", "p_brand", "p_type"))).union(part.select("p_type"))
     asked = asked.union(spark.createDataFrame([("/x",), ("",), ("#{a}",)], "token string"))
     return resolve(asked, constants, config)
+
+
+# ---------------------------------------------------------------- symbol resolution on types made of parts
+
+
+_TYPES_SQL = """WITH RECURSIVE types AS (
+    SELECT p_partkey, 'T' || (p_partkey % 400) AS simple, 'p' || (p_size % 7) AS package, 'p' || (p_size % 7) || '.T' || (p_partkey % 400) AS fqn, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS ord,
+        'p' || ((p_size + 1) % 7) || '.T' || ((p_partkey * 3) % 400) AS import, 'p' || ((p_size + 2) % 7) AS wild, 'T' || ((p_partkey * 7) % 450) AS super, 'f' || (p_partkey % 10) AS field, 'T' || ((p_partkey * 5) % 400) AS field_type,
+        CASE WHEN p_partkey % 4 = 0 THEN 'interface' ELSE 'class' END AS kind FROM part
+), last AS (SELECT fqn, arg_max(p_partkey, ord) AS p_partkey FROM types GROUP BY fqn), scanned AS (SELECT t.* FROM types t JOIN last USING (fqn, p_partkey)),
+asked AS (SELECT p_partkey, super AS simple FROM types UNION SELECT p_partkey, string_split(import, '.')[2] FROM types),
+c AS (
+    SELECT a.p_partkey, a.simple, s.p_partkey AS target, 1 AS rank FROM asked a JOIN types t USING (p_partkey) JOIN scanned s ON s.fqn = t.import WHERE string_split(t.import, '.')[2] = a.simple
+    UNION ALL SELECT a.p_partkey, a.simple, min(s.p_partkey), 2 FROM asked a JOIN types t USING (p_partkey) JOIN types s ON s.simple = a.simple AND s.package = t.wild GROUP BY a.p_partkey, a.simple HAVING count(*) = 1
+    UNION ALL SELECT a.p_partkey, a.simple, s.p_partkey, 3 FROM asked a JOIN types t USING (p_partkey) JOIN scanned s ON s.fqn = t.package || '.' || a.simple
+    UNION ALL SELECT a.p_partkey, a.simple, min(s.p_partkey), 4 FROM asked a JOIN types s ON s.simple = a.simple GROUP BY a.p_partkey, a.simple HAVING count(*) = 1
+), found AS (SELECT p_partkey, simple, arg_min(target, rank) AS target FROM c GROUP BY p_partkey, simple),
+supers AS (SELECT t.p_partkey, f.target, x.simple FROM types t JOIN found f ON f.p_partkey = t.p_partkey AND f.simple = t.super JOIN types x ON x.p_partkey = f.target)"""
+
+
+def _part_index(spark, d):
+    from ..sources.extract import TYPE_DDL, index
+
+    k = F.col("p_partkey")
+    name = lambda x, n: F.concat(F.lit("T"), (x % n).cast("string"))
+    package = lambda x: F.concat(F.lit("p"), ((F.col("p_size") + x) % 7).cast("string"))
+    rows = table(spark, d, "part").select(
+        F.lit("R").alias("repo"), F.lpad(k.cast("string"), 9, "0").alias("file"), F.lit(0).alias("place"), name(k, 400).alias("simple_name"), F.when(k % 4 == 0, "interface").otherwise("class").alias("kind"),
+        F.concat_ws(".", package(0), name(k, 400)).alias("fqn"), package(0).alias("package"), F.lit(1).alias("line"), F.array(F.concat_ws(".", package(1), name(k * 3, 400))).alias("explicit"), F.array(package(2)).alias("wildcard"),
+        F.array(name(k * 7, 450)).alias("supertypes"), F.from_json(F.lit("[]"), TYPE_DDL.split("annotations ")[1].split(", fields")[0]).alias("annotations"),
+        F.array(F.struct(F.concat(F.lit("f"), (k % 10).cast("string")).alias("name"), name(k * 5, 400).alias("type"), F.lit(None).cast("string").alias("constant"), F.lit("").alias("channel"))).alias("fields"),
+        F.from_json(F.lit("[]"), TYPE_DDL.split("methods ")[1]).alias("methods"),
+    )
+    return index(rows)
+
+
+def _part_of(column: str) -> F.Column:
+    """The part that a type's key names."""
+    return F.element_at(F.split(F.col(column), "\\|"), 2).cast("bigint")
+
+
+def _part_asked(idx):
+    own = idx.types.select("key", F.explode("supertypes").alias("simple"))
+    return own.union(idx.types.select("key", F.substring_index(F.get("explicit", F.lit(0)), ".", -1))).distinct()
+
+
+@query(_TYPES_SQL + " SELECT p_partkey, simple, target FROM found")
+def find_class(spark, d):
+    from ..operators.resolve import find_class as find
+
+    idx = _part_index(spark, d)
+    return find(idx, _part_asked(idx)).select(_part_of("key").alias("p_partkey"), "simple", _part_of("target").alias("target"))
+
+
+@query(
+    _TYPES_SQL
+    + """, q AS (SELECT a.p_partkey, a.simple, t.import AS fqn, 1 AS rank FROM asked a JOIN types t USING (p_partkey) WHERE string_split(t.import, '.')[2] = a.simple
+    UNION ALL SELECT a.p_partkey, a.simple, min(s.fqn), 2 FROM asked a JOIN types t USING (p_partkey) JOIN types s ON s.simple = a.simple AND s.package = t.wild GROUP BY a.p_partkey, a.simple HAVING count(*) = 1
+    UNION ALL SELECT a.p_partkey, a.simple, t.package || '.' || a.simple, 3 FROM asked a JOIN types t USING (p_partkey)) SELECT p_partkey, simple, arg_min(fqn, rank) AS fqn FROM q GROUP BY p_partkey, simple"""
+)
+def resolve_fqn(spark, d):
+    from ..operators.resolve import resolve_fqn as resolve
+
+    idx = _part_index(spark, d)
+    return resolve(idx, _part_asked(idx)).select(_part_of("key").alias("p_partkey"), "simple", "fqn")
+
+
+@query(_TYPES_SQL + " SELECT super AS simple, p_partkey AS impl FROM scanned")
+def impls_of(spark, d):
+    from ..operators.resolve import impls_of as impls
+
+    return impls(_part_index(spark, d)).select("simple", _part_of("impl").alias("impl"))
+
+
+@query(_TYPES_SQL + " SELECT p_partkey, field AS name, field_type AS type FROM types UNION ALL SELECT t.p_partkey, x.field, x.field_type FROM types t JOIN supers s USING (p_partkey) JOIN types x ON x.p_partkey = s.target WHERE x.field <> t.field")
+def field_type(spark, d):
+    from ..operators.resolve import field_types
+
+    return field_types(_part_index(spark, d)).select(_part_of("key").alias("p_partkey"), "name", "type")
+
+
+@query(
+    _TYPES_SQL
+    + """, up AS (SELECT p_partkey, p_partkey AS at, [simple] AS names FROM types UNION ALL SELECT u.p_partkey, s.target, list_append(u.names, s.simple) FROM up u JOIN supers s ON s.p_partkey = u.at WHERE NOT list_contains(u.names, s.simple) AND len(u.names) <= 20)
+    SELECT p_partkey, names[-1] AS ancestor, len(names) - 1 AS distance FROM up"""
+)
+def hierarchy(spark, d):
+    from ..operators.resolve import ancestors
+
+    return ancestors(_part_index(spark, d)).select(_part_of("key").alias("p_partkey"), F.col("target_simple").alias("ancestor"), F.size("walk").alias("distance"))
+
+
+@query(GRAPH + " SELECT ep_id, path, CASE WHEN contains(method, '.') THEN method ELSE class_name || '.' || method END AS name FROM nodes WHERE CASE WHEN contains(method, '.') THEN method ELSE class_name || '.' || method END IN (SELECT method FROM producers) OR contains(method, 'send')")
+def producing_nodes(spark, d):
+    return views.producing_nodes(graph(spark, d)).withColumn("path", path_text())
+
+
+@query(
+    GRAPH
+    + """, cons AS (SELECT channel, kind, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM members WHERE side = 'consumer' GROUP BY channel, kind), prod AS (SELECT channel, kind, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM members WHERE side = 'producer' GROUP BY channel, kind)
+    SELECT e.id, 'out' AS direction, p.channel, c.kind, c.repos FROM entry_points e JOIN (SELECT DISTINCT repo, channel FROM producers) p ON p.repo = e.repo JOIN cons c ON c.channel = p.channel
+    UNION ALL SELECT e.id, 'in', e.channel, p.kind, p.repos FROM entry_points e JOIN prod p ON p.channel = e.channel WHERE e.type IN ('kafka-consumer', 'event-listener')"""
+)
+def entry_connections(spark, d):
+    return views.entry_connections(graph(spark, d))
+
+
+@query(GRAPH + _FLOWS + """, pick AS (SELECT repo, channel, method FROM entry_points WHERE id = (SELECT min(id) FROM entry_points WHERE channel IN (SELECT channel FROM members)))
+    SELECT DISTINCT s.flow_id FROM steps s JOIN pick ON s.repo = pick.repo JOIN entry_points e ON e.id = s.entry_id AND e.channel = pick.channel AND e.method = pick.method""")
+def flows_for_unit(spark, d):
+    g = graph(spark, d)
+    linked = g.entry_points.join(g.members.select("channel").distinct(), "channel", "left_semi").agg(F.min_by(F.struct("repo", "channel", "method"), "id")).first()[0]
+    repo, channel, method = linked or ("", "", "")
+    return views.flows_for_unit(_steps(spark, d), g.entry_points, views.publishes(g), views.reached_methods(g), repo, channel, method, "in")

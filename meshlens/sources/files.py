@@ -113,3 +113,19 @@ def resolve_source_path(files: DataFrame, wanted: str) -> DataFrame:
         return files.limit(0)
     rank = F.when(path == target, 0).when(F.lit(target).endswith(F.concat(F.lit("/"), path)), 1).when(F.element_at(F.split(path, "/"), -1) == (parts[-1] if parts else ""), 2)
     return files.withColumn("_rank", rank).filter("_rank is not null").orderBy("_rank", "repo", "path").limit(1).drop("_rank")
+
+
+def discover_local_repos(folder: str, below: tuple[str, ...] = ("src", "services", "apps", "packages")) -> list[dict]:
+    """Sub-folders of a folder with whether they look like git and Java projects; if none does, those of the usual containers."""
+    import os
+
+    def listed(top: str) -> list[dict]:
+        names = sorted(n for n in os.listdir(top) if not n.startswith(".") and os.path.isdir(os.path.join(top, n))) if os.path.isdir(top) else []
+        marks = ("pom.xml", "build.gradle", "build.gradle.kts", "settings.gradle", os.path.join("src", "main", "java"))
+        return [{"name": n, "path": os.path.join(top, n), "is_git": os.path.exists(os.path.join(top, n, ".git")), "has_java": any(os.path.exists(os.path.join(top, n, m)) for m in marks)} for n in names]
+
+    found = listed(folder)
+    if any(x["is_git"] or x["has_java"] for x in found):
+        return found
+    deeper = [x for name in below for x in listed(os.path.join(folder, name))]
+    return deeper if any(x["is_git"] or x["has_java"] for x in deeper) else found

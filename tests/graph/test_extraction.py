@@ -84,7 +84,7 @@ def test_links_trees_and_dead_code(graph):
     assert ([0, 0, 0], "d.check", "INFERRED") in tree and any(m == "audit" and c == "EXTRACTED" for _, m, c in tree), "inherited methods are found up the hierarchy"
     dead = {r.id for r in graph.unreachable.collect()}
     assert dead == {"order:OrderServiceImpl.dead", "order:Boot.main", "stock:Quarkus.go"} | ({"order:Tool.work"} & dead)
-    assert graph.methods_total == 20
+    assert graph.methods_total == 21
 
 
 def test_scan_of_folders(spark, tmp_path):
