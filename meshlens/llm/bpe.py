@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, resolve
+from .common import arrow_map, held, resolve
 
 #: Words that a worker remembers, and bytes of words in one recursion (bounds its memory).
 CACHE = 800_000
@@ -184,14 +184,12 @@ SELECT c.doc, string_agg(hex(v.token), '' ORDER BY c.pos) FROM coded c JOIN voca
 """
 
 
-_WORKER: dict[str, Merges] = {}
-
-
 def merges_of(path: str) -> Merges:
     """The worker's own database for a rank file."""
-    if path not in _WORKER:
-        _WORKER[path] = Merges(path)
-    return _WORKER[path]
+    mine = held("bpe")
+    if path not in mine:
+        mine[path] = Merges(path)
+    return mine[path]
 
 
 def encode_texts(docs: DataFrame, ranks: str = "byte_bpe_50k.tiktoken", pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

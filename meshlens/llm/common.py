@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -103,3 +106,16 @@ def keep_first(known: dict, n: int) -> None:
         first = dict(list(zip(known, known.values(), strict=True))[:n]) if n else {}
         known.clear()
         known.update(first)
+
+
+_HELD: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """What this worker process keeps for an operator over tasks.  It keeps it for one operator at a time: others' goes, to bound its memory."""
+    if _HELD.keys() - {name}:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc can give freed memory back on request
+            ctypes.CDLL(None).malloc_trim(0)
+    return _HELD.setdefault(name, {})

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, unused
+from .common import arrow_map, held, unused
 from .quality import fold
 
 #: At most so many labelled rows are sampled, by the hash of their id; longer texts than MAX_CHARS aren't sampled.
@@ -146,6 +146,7 @@ def with_language(docs: DataFrame, model: LanguageModel, lang_name: str, score_n
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times languages weights
 
     def make():
+        held("language")
         predict = shared.value.predict
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, bound_batches, cut, keep_first
+from .common import arrow_map, arrow_schema, bound_batches, cut, held, keep_first
 from .components import components
 
 WORDS = 5
@@ -132,6 +132,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     schema = "doc_id bigint, fingerprint binary, n int, bands array<bigint>, signature binary"
 
     def make():
+        held("minhash")
         shingler = Shingler()
 
         def f(batch: pa.RecordBatch) -> dict:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, unused
+from .common import arrow_map, held, unused
 
 #: At most so many labelled rows are sampled, by the hash of their id; longer texts than MAX_CHARS aren't sampled.
 SAMPLE_ROWS = 6000
@@ -137,6 +137,7 @@ def with_score(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
 
     def make():
+        held("quality")
         sizer = Sizer(model.good, model.bad)
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
