@@ -20,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, cut, keep_first, resolve
+from .common import arrow_map, arrow_schema, cut, held, keep_first, resolve
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most.
-CACHE = 300_000
+CACHE = 500_000
 #: Parts of a text that end where the byte-level pattern always ends a pre-token: a Latin word before a plain mark or white
 #: space, plain marks before a Latin letter or white space, a line feed before anything else, or whatever comes before the
 #: next white space.
@@ -207,40 +207,58 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) ->
     are equal in all columns are packed one by one like any others.
     """
     df = df.drop("sequence_id", "offset")
-    fields = df.schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def ranked():
-        seen: dict[int, int] = {}
-        part = TaskContext.get().partitionId()
+        rank = Ranks()
 
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ranks = []
-            for n in batch.column(batch.schema.get_field_index(length_col)).to_pylist():
-                ranks.append(seen.get(n, 0))
-                seen[n] = ranks[-1] + 1
-            extra = [pa.array([part] * batch.num_rows, pa.int32()), pa.array(ranks, pa.int64())]
-            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "_part", "_rank"])
+            part, ranks = rank(batch.column(batch.schema.get_field_index(length_col)).to_pylist())
+            extra = [pa.array(part, pa.int32()), pa.array(ranks, pa.int64())]
+            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "__part", "__rank"])
 
         return f
 
-    rows = cut(arrow_map(df, ranked, f"{ddl}, _part int, _rank bigint"))
-    counts = rows.filter(F.col(length_col) >= 1).groupBy("_part", F.col(length_col).alias("_length")).agg(F.count("*").alias("_n"))
+    return _placed(arrow_map(df, ranked, f"{ddl}, __part int, __rank bigint"), length_col, capacity)
+
+
+class Ranks:
+    """Numbers the rows of each length within a task."""
+
+    def __init__(self) -> None:
+        self.seen: dict[int, int] = {}
+        self.part = TaskContext.get().partitionId()
+
+    def __call__(self, lengths: list[int]) -> tuple[list[int], list[int]]:
+        """(the task's number, the rank) of each row."""
+        ranks = []
+        for n in lengths:
+            ranks.append(self.seen.get(n, 0))
+            self.seen[n] = ranks[-1] + 1
+        return [self.part] * len(lengths), ranks
+
+
+def _placed(rows: DataFrame, length_col: str, capacity: int) -> DataFrame:
+    """Rows with __part and __rank, which Ranks gave, by their slots."""
+    fields = [f for f in rows.schema if f.name not in ("__part", "__rank")]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    df = rows = cut(rows)
+    counts = rows.filter(F.col(length_col) >= 1).groupBy("__part", F.col(length_col).alias("__length")).agg(F.count("*").alias("__n"))
     counts = cut(counts)
-    histogram = {r[0]: r[1] for r in counts.groupBy("_length").agg(F.sum("_n")).collect()}  # capacity rows at most
+    histogram = {r[0]: r[1] for r in counts.groupBy("__length").agg(F.sum("__n")).collect()}  # capacity rows at most
     slots = slot_table(plan_packing(histogram, capacity))
-    before = Window.partitionBy("_length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_part", "_length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    joined = rows.join(starts.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & (F.col(length_col) == F.col("_length")), "left")
-    joined = joined.select(*[F.col(f"`{f.name}`") for f in fields], (F.col("_rank") + F.col("_before")).alias("_at"))
+    before = Window.partitionBy("__length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__part", "__length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    joined = rows.join(starts.withColumnRenamed("__part", "__p"), (F.col("__part") == F.col("__p")) & (F.col(length_col) == F.col("__length")), "left")
+    joined = joined.select(*[F.col(f"`{f.name}`") for f in fields], (F.col("__rank") + F.col("__before")).alias("__at"))
     target = arrow_schema(df.sparkSession, f"{ddl}, sequence_id bigint, offset bigint")
 
     def placed():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             length = batch.column(batch.schema.get_field_index(length_col))
-            known = np.asarray(batch.column("_at").is_valid())
+            known = np.asarray(batch.column("__at").is_valid())
             n = np.asarray(length.fill_null(0)).astype(np.int64)
-            at = np.asarray(batch.column("_at").fill_null(0))
+            at = np.asarray(batch.column("__at").fill_null(0))
             if not len(slots["key"]):
                 known = np.zeros(len(n), bool)
                 where = np.zeros(len(n), np.int64)
@@ -250,7 +268,7 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) ->
                 i = np.maximum(np.searchsorted(slots["key"], key, side="right") - 1, 0)
                 bin_no, inside = np.divmod(key - slots["key"][i], slots["each"][i])
                 sequence, place = slots["base"][i] + bin_no, slots["place"][i] + inside * n
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "_at"]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "__at"]
             return pa.RecordBatch.from_arrays([*columns, pa.array(sequence, mask=~known), pa.array(place, mask=~known)], schema=target)
 
         return f
@@ -284,25 +302,24 @@ class Ids:
         return [b"".join(map(get, x)) for x in units]
 
 
-_WORKER: dict[str, Ids] = {}
-
-
 def ids_of_worker(path: str) -> Ids:
     """The worker's own encoder for a tokenizer file; its memory of words lasts over tasks."""
-    if path not in _WORKER:
-        _WORKER[path] = Ids(path)
-    return _WORKER[path]
+    mine = held("packing")
+    if path not in mine:
+        mine[path] = Ids(path)
+    return mine[path]
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False
+    docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, ranked: bool = False
 ) -> DataFrame:
     """Documents as pieces of at most capacity tokens: doc_id, piece, start, length, ids_crc32 and, with keep_ids, ids.
 
     A document is its ids and then end_id.  Null text is an empty text, so each row gives a piece.
-    Only documents over capacity are cut; their first piece takes the remainder.  Other columns are dropped.
+    Only documents over capacity are cut; their first piece takes the remainder.  Other columns are
+    dropped.  With ranked, __part and __rank are added as pack() does, without another pass through Python.
     """
-    schema = f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
+    schema = f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids + ", __part int, __rank bigint" * ranked
     tail = np.array([end_id], "<u4").tobytes()
 
     def make():
@@ -310,6 +327,7 @@ def token_pieces(
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids_of = ids_of_worker(tokenizer)
+        rank = Ranks() if ranked else None
 
         def f(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in (id_col, "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids)}
@@ -323,6 +341,8 @@ def token_pieces(
                     row = [key, k, a, b - a, zlib.crc32(part)]
                     for name, v in zip(out, [*row, np.frombuffer(part, "<u4").astype(np.int32)] if keep_ids else row, strict=True):
                         out[name].append(v)
+            if rank:
+                out["__part"], out["__rank"] = rank(out["length"])
             return out
 
         return f
@@ -332,4 +352,4 @@ def token_pieces(
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     """token_pieces() put into as few sequences of at most capacity tokens as best fit finds: plus sequence_id and offset."""
-    return pack(token_pieces(docs, capacity=capacity, **options), "length", capacity)
+    return _placed(token_pieces(docs, capacity=capacity, ranked=True, **options), "length", capacity)
