@@ -50,7 +50,8 @@ def ingest_progress(fractions: DataFrame, repos: DataFrame | None = None) -> Dat
         weight = F.when(F.col("phase") == name, w).otherwise(weight)
     rows = known.withColumns({"_share": share, "_base": base, "_weight": weight, "_done": F.col("phase") == "done"})
     last = rows.groupBy("run_id").agg(F.max("_done").alias("_done"), F.max(F.when(F.col("_base").isNotNull(), F.struct("last_ord", "phase", "_share", "_base", "_weight"))).alias("p"))
-    pct = F.least(F.lit(100), F.floor(F.col("p._base") + F.col("p._weight") * F.col("p._share") + 0.5)).cast("int")
+    share = F.col("p._share")
+    pct = F.when(share.isNotNull(), F.least(F.lit(100), F.floor(F.col("p._base") + F.col("p._weight") * share + 0.5)).cast("int"))
     return last.select(
         "run_id", F.when(F.col("_done"), "done").otherwise(F.coalesce("p.phase", F.lit("info"))).alias("phase"),
         (F.col("_done") | F.col("p._share").isNotNull()).alias("determinate"), F.when(F.col("_done"), 100).otherwise(pct).alias("pct"),
