@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MESSAGE_CONSUMERS, has_channel, repo_of
+from ..plans.fixpoint import cut
 from ..plans.relations import GraphRelations
 
 _PLACE = ("id", "repo", "type", "channel", "method", "file", "line")
@@ -76,6 +77,7 @@ def channel_flow_summary(graph: GraphRelations, channel: str) -> DataFrame:
 
 def list_channels(members: DataFrame) -> DataFrame:
     """One row for each channel name: its first link's kind, verb, repositories, counts and whether it crosses repositories."""
+    members = cut(members)  # read twice below, and dear to make
     first = members.groupBy("channel").agg(F.min(F.struct("ord", "kind", "verb")).alias("f")).select("channel", F.col("f.kind").alias("kind"), F.col("f.verb").alias("verb"))
     repo = lambda side: F.when((F.col("side") == side) & F.col("id").contains(":"), F.substring_index("id", ":", 1))
     return members.join(first, ["channel", "kind", "verb"], "left_semi").groupBy("channel", "kind", "verb").agg(

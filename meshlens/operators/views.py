@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import LINKED_CONSUMERS, title_case
+from ..plans.fixpoint import cut
 from ..plans.relations import GraphRelations
 from .cycles import repo_edges
 from .tools import find_orphans, sorted_set
@@ -101,8 +102,6 @@ def detect_flows(origins: DataFrame, hops: DataFrame, max_hops: int | None = Non
     A step's path has the entry ids from the origin on; no entry comes twice on a branch, which ends
     the recursion.  The number of steps is the number of such branches; max_hops bounds their length.
     """
-    from ..plans.fixpoint import cut
-
     hops = cut(hops)  # every round reads them
     level = cut(origins.select("flow_id", F.array("id").alias("path"), F.lit(0).alias("depth"), F.col("id").alias("entry_id"), "repo", F.lit("").alias("via_channel"), F.lit("").alias("kind"), F.lit("").alias("verb"), F.lit("").alias("response_type")))
     out, k = level, 0
@@ -170,6 +169,7 @@ def flows_for_unit(steps: DataFrame, entry_points: DataFrame, sent: DataFrame, r
 
 def edge_items(members: DataFrame) -> DataFrame:
     """src, dst, channel, kind, verb: one row for each channel between two repositories, of its first link."""
+    members = cut(members)
     order = members.groupBy("channel", "kind", "verb").agg(F.min("ord").alias("ord"))
     rows = repo_edges(members).join(order, ["channel", "kind", "verb"])
     return rows.groupBy("src", "dst", "channel").agg(F.min(F.struct("ord", "kind", "verb")).alias("f")).select("src", "dst", "channel", "f.kind", "f.verb")
