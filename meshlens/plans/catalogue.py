@@ -140,7 +140,7 @@ def search_code(spark, d):
     return tools.search_code(graph(spark, d), "C12")
 
 
-@query(GRAPH + "SELECT rank, method, file, line, 'EXTRACTED' AS confidence, depth FROM (SELECT *, row_number() OVER (ORDER BY path) AS rank FROM nodes WHERE ep_id = (SELECT min(id) FROM entry_points))")
+@query(GRAPH + "SELECT CAST(rank AS INTEGER) AS rank, method, file, line, 'EXTRACTED' AS confidence, depth FROM (SELECT *, row_number() OVER (ORDER BY path) AS rank FROM nodes WHERE ep_id = (SELECT min(id) FROM entry_points))")
 def get_node(spark, d):
     g = graph(spark, d)
     first = g.entry_points.agg(F.min("id")).first()[0] or ""
@@ -238,7 +238,7 @@ _CYCLES = (
 )
 
 
-@query(GRAPH + _CYCLES + " SELECT array_to_string(path, '>') AS repos, length, md5(string_agg(DISTINCT channel, ',' ORDER BY channel)) AS channels, count(DISTINCT channel) AS n_channels FROM found JOIN edges ON src = path[k] AND dst = path[k + 1] GROUP BY path, length")
+@query(GRAPH + _CYCLES + " SELECT array_to_string(path, '>') AS repos, CAST(length AS INTEGER) AS length, md5(string_agg(DISTINCT channel, ',' ORDER BY channel)) AS channels, CAST(count(DISTINCT channel) AS INTEGER) AS n_channels FROM found JOIN edges ON src = path[k] AND dst = path[k + 1] GROUP BY path, length")
 def find_cycles(spark, d):
     found = cycles.find_cycles(graph(spark, d).members)
     return found.select("repos", "length", F.md5(F.array_join("channels", ",")).alias("channels"), F.size("channels").alias("n_channels"))
@@ -322,7 +322,7 @@ def _week_roots(spark, d):
     return week.select(F.concat(F.lit("O"), "o_orderkey").alias("ep_id")).distinct().withColumn("node", F.col("ep_id"))
 
 
-@query(_CALLS_SQL + " SELECT ep_id, node, path, depth, rank FROM tree")
+@query(_CALLS_SQL + " SELECT ep_id, node, path, depth, CAST(rank AS INTEGER) AS rank FROM tree")
 def call_tree(spark, d):
     return tree.layered_tree(_week_roots(spark, d), _call_edges(spark, d)).withColumn("path", path_text())
 
@@ -944,7 +944,7 @@ def field_type(spark, d):
 @query(
     _TYPES_SQL
     + """, up AS (SELECT p_partkey, p_partkey AS at, [simple] AS names FROM types UNION ALL SELECT u.p_partkey, s.target, list_append(u.names, s.simple) FROM up u JOIN supers s ON s.p_partkey = u.at WHERE NOT list_contains(u.names, s.simple) AND len(u.names) <= 20)
-    SELECT p_partkey, names[-1] AS ancestor, len(names) - 1 AS distance FROM up"""
+    SELECT p_partkey, names[-1] AS ancestor, CAST(len(names) - 1 AS INTEGER) AS distance FROM up"""
 )
 def hierarchy(spark, d):
     from ..operators.resolve import ancestors
