@@ -119,3 +119,39 @@ def write_graph(graph: GraphRelations, path: str, snapshot_ts: int) -> None:
         value = getattr(graph, f.name)
         if isinstance(value, DataFrame):
             value.write.mode("overwrite").parquet(f"{path}/{f.name}/snapshot_ts={snapshot_ts}")
+
+
+def nested_trees(nodes: DataFrame, levels: int = 5) -> DataFrame:
+    """ep_id, call_tree: node tables as nested trees, from the leaves up; a tree has 50 nodes at most by its cap."""
+    parent = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))
+    below = None
+    for depth in reversed(range(levels)):
+        here = nodes.filter(F.col("depth") == depth)
+        if below is None:
+            fields = here.withColumn("children", F.lit("").cast("string"))
+        else:
+            empty = F.array().cast(below.schema["children"].dataType)
+            fields = here.join(below, ["ep_id", "path"], "left").withColumn("children", F.coalesce("children", empty))
+        node = F.struct("method", "file", "line", "class_name", "confidence", "children")
+        if depth == 0:
+            return fields.select("ep_id", node.alias("call_tree"))
+        grouped = fields.groupBy("ep_id", parent.alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("k"), node.alias("n")))).alias("c"))
+        below = grouped.select("ep_id", "path", F.transform("c", lambda x: x["n"]).alias("children"))
+    raise ValueError("a tree has a level at least")
+
+
+def graph_document(graph: GraphRelations, generated_at: str = "", engine_version: str = "") -> DataFrame:
+    """The graph as one row of DOCUMENT_DDL's shape, without repo_roots: an exchange format, which holds the whole graph in a row."""
+
+    def gathered(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*columns).alias("x")))), lambda r: r["x"]).alias(name))
+
+    metrics = F.struct("depth", "total_nodes", "unique_files", "branch_count", "thin").alias("metrics")
+    entries = graph.entry_points.join(nested_trees(graph.nodes).withColumnRenamed("ep_id", "id"), "id", "left").withColumn("metrics", metrics)
+    links = links_document(graph.members).withColumn("ord", F.concat_ws("|", "kind", "channel", "verb"))
+    out = gathered(entries, "entry_points", "id", "repo", "type", "channel", "class_name", "method", "file", "line", "message_type", "method_type", "call_tree", "metrics")
+    out = out.join(gathered(graph.producers, "producers", *[p.split(" ")[0] for p in PRODUCER_DDL.split(", ")[1:]])).join(gathered(links, "cross_repo_links", "channel", "producers", "consumers", "kind", "verb"))
+    out = out.join(graph.repos.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "repo"))), lambda r: r["repo"]).alias("repos")))  # one row each
+    if graph.unreachable is not None:
+        out = out.join(graph.unreachable.agg(F.array_sort(F.collect_list(F.struct(*[p.split(" ")[0] for p in UNREACHABLE_DDL.split(", ")]))).alias("unreachable_methods")))
+    return out.withColumns({"methods_total": F.lit(graph.methods_total), "generated_at": F.lit(generated_at), "engine_version": F.lit(engine_version)})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import scalars as S
 from meshlens.operators import cycles, diff, links, reach, store, tools, tree, views
 from meshlens.plans.fixpoint import reachable
-from meshlens.plans.relations import ENTRY_DDL, MEMBER_DDL, NODE_DDL, PRODUCER_DDL, GraphRelations, links_document, read_graph, write_graph
+from meshlens.plans.relations import DOCUMENT_DDL, ENTRY_DDL, MEMBER_DDL, NODE_DDL, PRODUCER_DDL, GraphRelations, from_documents, graph_document, links_document, read_graph, write_graph
 from meshlens.streaming import progress
 
 
@@ -251,6 +251,12 @@ def test_graph_document_round_trip(spark, tmp_path):
             arguments = {"query": "a", "entry_point_id": "a:A.on:t", "method_name": "x", "from_method": "on", "to_method": "x", "channel": "t"}
             tools.run_tool(g, name, arguments).count()
     assert tools.run_tool(g, "diff_graphs", {"old_graph": g}).collect()[0].entry_points_changed == 0
+    text = graph_document(g).select(F.to_json(F.struct("*")).alias("j"))
+    again = from_documents(text.select(F.from_json("j", DOCUMENT_DDL).alias("d")).select("d.*"))
+    for relation in ("entry_points", "producers", "nodes", "repos"):
+        drop = ["ord"] if "ord" in getattr(g, relation).columns else []
+        assert sorted(map(str, getattr(again, relation).drop(*drop).collect())) == sorted(map(str, getattr(g, relation).drop(*drop).collect())), relation
+    assert {(r.channel, r.side, r.id) for r in again.members.collect()} == {(r.channel, r.side, r.id) for r in g.members.collect()}
     g.register("g1")
     assert spark.table("g1_entry_points").count() == 1
     write_graph(g, str(tmp_path / "out"), 5)
