@@ -413,8 +413,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, with its columns; rows without a doc_id stay."""
-    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("_kept"))
-    out = docs.join(kept.distinct(), docs["doc_id"] == F.col("_kept"), "left_semi")
+    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("__kept"))
+    out = docs.join(kept.distinct(), docs["doc_id"] == F.col("__kept"), "left_semi")
     if not out.select("doc_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
         out = out.dropDuplicates(["doc_id"])
     return out.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -13,7 +13,7 @@ def awkward_docs(spark):
     """Null and repeated ids, null and odd texts, and extra columns whose names operators use themselves."""
     rows = [(k, t, "en" if k % 2 else None, "src", 1) for k, t in enumerate(TEXTS)] + [(None, "no id", None, None, None), (6, "Hello, world!", "en", "src", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for name in ("score", "_score", "piece", "length", "offset", "sequence_id", "held_out", "_part", "id", "key", "rep"):
+    for name in ("score", "_score", "piece", "length", "offset", "sequence_id", "held_out", "_part", "_kept", "id", "key", "rep"):
         docs = docs.withColumn(name, F.lit(7))
     return docs
 
