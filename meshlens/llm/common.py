@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and text bytes that one call of a batch function gets at most (one row may exceed the bytes).
-SLICE_ROWS = 512
+SLICE_ROWS = 1024
 SLICE_BYTES = 8 << 20
 #: Rows of an Arrow batch between the JVM and Python, where the session leaves Spark's default of 10 000: whole texts travel in them.
 BATCH_ROWS = 1000
