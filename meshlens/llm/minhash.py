@@ -1,4 +1,4 @@
-"""MinHash near-duplicates by ProbMinHash: probability Jaccard of weighted shingles, banding, exact verification.
+"""MinHash near-duplicates by ProbMinHash on sets of shingles: banding, exact verification.
 
 1. Every document gets its shingles' fingerprint and a ProbMinHash signature.  Documents of the same
    shingles are one text from here on, however many copies there are.
@@ -28,8 +28,8 @@ SIMILARITY = 0.8
 #: BANDS bands of ROWS registers: texts of similarity 0.8 share one with probability 0.99997.
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-#: Candidates whose signatures agree in less than this part aren't verified: 3.6 standard errors below 0.8.
-LEAST_AGREEMENT = 0.674
+#: Candidates whose signatures agree in less than this part aren't verified: texts of similarity 0.8 do so with probability 0.00003 (binomial).
+LEAST_AGREEMENT = 0.65
 #: Members of a bucket whose signatures are compared as one block, and of a cluster whose texts are.
 BLOCK = 1024
 TEXT_BLOCK = 256
@@ -127,7 +127,8 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, n (shingles), bands, signature (a byte a register); all but doc_id null where a text has no word.
 
-    Weights are 1 + ln(occurrences): a line that repeats counts for more, but not as often as it repeats.
+    Shingles weigh the same however often they occur, so that registers agree with the probability of the Jaccard
+    similarity of the sets, by which links are defined.  With other weights a passage that one copy repeats would hide it.
     """
     schema = "doc_id bigint, fingerprint binary, n int, bands array<bigint>, signature binary"
 
@@ -138,7 +139,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         def f(batch: pa.RecordBatch) -> dict:
             with np.errstate(over="ignore"):
                 made = [shingler(t or "") for t in batch.column(1).to_pylist()]
-                got = probminhash([h for h, _ in made], [1 + np.log(c) for _, c in made])
+                got = probminhash([h for h, _ in made], [np.ones(len(h)) for h, _ in made])
                 keys, small = band_keys(got), (_mixed(got) & _U(255)).astype(np.uint8)
             some = [len(h) > 0 for h, _ in made]
             return {
@@ -155,7 +156,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated probability Jaccard of signatures of bytes (rows of a and b), corrected for bytes that agree by chance."""
+    """Estimated Jaccard similarity by signatures of bytes (rows of a and b), corrected for bytes that agree by chance."""
     return ((a == b).mean(axis=-1) - 1 / 256) / (255 / 256)
 
 

@@ -94,6 +94,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in rows)
 
 
+def test_near_duplicates_that_repeat_a_passage_equal_brute_force(spark):
+    """A passage that one copy repeats changes its shingle set little, however often it stands there."""
+    rng = random.Random(6)
+    docs = []
+    for k in range(16):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+        copy = edited(base, rng, k % 5)
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy + copy[100 : 160 + 2 * k] * (20 + 20 * k)))]
+    want = brute_classes(docs)
+    assert all(want[2 * k + 1] == 2 * k for k in range(16))
+    assert {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()} == want
+
+
 def test_near_duplicates_of_the_test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
