@@ -464,7 +464,7 @@ def publishes(spark, d):
 def _steps(spark, d):
     g = graph(spark, d)
     hops = views.flow_hops(views.publishes(g), g.entry_points)
-    return views.detect_flows(views.flow_origins(g.entry_points, g.members), hops, max_hops=3)
+    return views.detect_flows(views.flow_origins(g.entry_points, g.members), hops)
 
 
 @query(GRAPH + _FLOWS + " SELECT flow_id, array_to_string(path, ' > ') AS path, depth, entry_id, repo, via_channel, kind, verb, response_type FROM steps")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meshlens.functions import scalars as S
 from meshlens.operators import cycles, diff, links, reach, store, tools, tree, views
+from meshlens.plans import catalogue
 from meshlens.plans.fixpoint import reachable
 from meshlens.plans.relations import DOCUMENT_DDL, ENTRY_DDL, MEMBER_DDL, NODE_DDL, PRODUCER_DDL, GraphRelations, from_documents, graph_document, links_document, read_graph, write_graph
 from meshlens.streaming import progress
@@ -179,6 +180,18 @@ def test_diff(spark):
     assert diff.diff_repo_counts(old, new).collect()[0] == ("a", 1, 1, 1)
 
 
+def test_registered_flows_have_no_hop_limit(spark, monkeypatch):
+    """A chain of six hops that ends where it began: only the visited entry ends it."""
+    hops = spark.createDataFrame([(f"e{k}", f"e{(k + 1) % 7}", f"r{(k + 1) % 7}", f"c{k}", "message", "", "") for k in range(7)], "src string, dst string, dst_repo string, channel string, kind string, verb string, response_type string")
+    origins = spark.createDataFrame([("flow:e0", "e0", "r0")], "flow_id string, id string, repo string")
+    monkeypatch.setattr(views, "publishes", lambda g: None)
+    monkeypatch.setattr(views, "flow_hops", lambda sent, entries: hops)
+    monkeypatch.setattr(views, "flow_origins", lambda entries, members: origins)
+    rows = catalogue.QUERIES["detect_flows"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.depth, r.entry_id) for r in rows) == [(k, f"e{k}") for k in range(7)]
+    assert catalogue.QUERIES["flow_metrics"](spark, "/root/testdata/sf0.001").collect()[0].hop_count == 6
+
+
 def test_flows(spark):
     hops = spark.createDataFrame([("o", "b1", "a", "b", "t", "message", "", ""), ("b1", "c1", "b", "c", "/x", "http", "GET", "Out"), ("c1", "o", "c", "a", "u", "message", "", "")], "src string, dst string, src_repo string, dst_repo string, channel string, kind string, verb string, response_type string")
     origins = spark.createDataFrame([("flow:o", "o", "a")], "flow_id string, id string, repo string")
