@@ -279,19 +279,29 @@ def _placed(rows: DataFrame, length_col: str, capacity: int) -> DataFrame:
 class Ids:
     """Ids of texts by a byte-level tokenizer file, as bytes; equal words are encoded once.
 
-    A text is split only where the tokenizer's own pre-tokenizer always splits, so the ids are those
-    of the whole text.
+    A text is split only where the tokenizer's own pre-tokenizer always splits, and around its added
+    tokens, so the ids are those of the whole text.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(resolve(path))
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(self.tokenizer.get_added_tokens_decoder().values(), key=lambda t: -len(t.content))
+        self.added = re.compile("(" + "|".join(re.escape(t.content) for t in added) + ")") if added else None
+        #: Whether added tokens are found whatever is next to them and take nothing of it.
+        self.apart = not any(t.lstrip or t.rstrip or t.single_word for t in added)
         self.known: dict[str, bytes] = {}
 
+    def units(self, text: str) -> list[str]:
+        if self.added is None or not self.added.search(text):
+            return UNIT.findall(text)
+        if not self.apart:
+            return [text]
+        return [u for k, part in enumerate(self.added.split(text)) for u in ([part] if k % 2 else UNIT.findall(part))]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        units = [UNIT.findall(t) for t in texts]
+        units = [self.units(t) for t in texts]
         new = list(set().union(*units).difference(self.known))
         if len(self.known) + len(new) > CACHE:
             keep_first(self.known, CACHE // 3)

@@ -85,6 +85,17 @@ def test_units_give_the_ids_of_whole_texts():
         assert ids([text])[0] == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_ids_of_texts_with_added_tokens_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids, rng = Ids("byte_bpe_50k.json"), random.Random(4)
+    assert np.frombuffer(ids(["a <|endoftext|>b"])[0], "<u4").tolist().count(50256) == 1
+    for _ in range(3000):
+        text = "".join(rng.choice([*ODD, "<|endoftext|>", "<|endoftext|>", "<|", "<|endof", "|>"]) for _ in range(rng.randint(0, 24)))
+        assert ids([text])[0] == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
 def check_packing(rows, capacity=2048):
     places = {}
     for r in rows:
