@@ -9,7 +9,9 @@ from html import unescape
 #: Fixed values from the HTML standard: elements without content, elements whose content isn't markup, inline elements,
 #: and what a start tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas")
+RAW = ("script", "style", "template")
+#: Elements of other vocabularies, which stand in a line of text with all that they hold.
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
@@ -49,12 +51,12 @@ def blocks(html: str) -> list[Block]:
 
     Broken markup never fails: an end tag without a start is skipped, elements left open end with
     their parent, a comment or script left open takes the rest.  The contents of scripts, styles and
-    the like are no text.
+    templates are no text; formulas, drawings and fallbacks for what isn't shown are.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, drawn = 0, 0, 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -89,7 +91,9 @@ def blocks(html: str) -> list[Block]:
         if not name:
             continue
         name = name.lower()
-        if name not in INLINE:
+        drawn = drawn or name in FOREIGN
+        inline = name in INLINE or drawn and (name in FOREIGN or any(x[0] in FOREIGN for x in stack))
+        if not inline:
             flush()
         if name == "br":
             parts.append(" ")

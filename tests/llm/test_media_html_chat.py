@@ -69,6 +69,14 @@ def test_blocks_of_broken_markup():
     assert blocks("</p></div>x")[0].path == ()
 
 
+def test_blocks_of_formulas_drawings_and_fallbacks():
+    page = "<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <svg class=a viewBox='0 0 1 1'/> here</p><p>after <math/> it</p>"
+    assert [b.text for b in blocks(page)] == ["where x=2 holds here", "after it"]
+    page = "<noscript><p>plain</p></noscript><iframe>frame</iframe><object>thing</object><canvas>chart</canvas><svg><text>label</text></svg><template>no</template>"
+    assert [b.text for b in blocks(page)] == ["plain", "frame", "thing", "chart", "label"]
+    assert [b.text for b in blocks("<p>a<svg><path d='M0'>b</p><p>c")] == ["ab", "c"]
+
+
 def test_field_on_unseen_pages():
     model, wrong, total = trained(), 0, 0
     for seed in range(5000, 5200):
