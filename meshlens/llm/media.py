@@ -17,9 +17,12 @@ from .common import arrow_map
 
 #: Samples in a row of the images that hold payloads; a payload is padded to a multiple of it.
 ROW = 64
-#: Rows that area_resize() reads at once.
+#: Rows that area_resize() reads at once, and samples where rows are long.
 STRIP = 4096
+STRIP_SAMPLES = 1 << 21
 _SPACE = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])+")
+_DIGITS = re.compile(rb"\d+")
+_NUMBER = re.compile(rb"\d{1,23}")
 
 
 def encode_pgm(image: np.ndarray) -> bytes:
@@ -52,7 +55,9 @@ def decode(data: bytes) -> np.ndarray:
     """Netpbm P1 to P6 or uncompressed BMP (1, 4, 8, 24, 32 bits) to an array (height, width[, 3]); ValueError otherwise.
 
     Samples keep their values: uint8, or uint16 where a Netpbm maximum is over 255; bitmaps give 0
-    for black and 1 for white; a BMP whose palette is the grey ramp gives the grey samples.
+    for black and 1 for white; a BMP whose palette is the grey ramp gives the grey samples.  Samples
+    over the stated maximum, below 0 or outside the palette are errors, as are sizes that the data
+    can't fill; nothing is allocated by what a header says alone.
     """
     if data[:2] == b"BM":
         return _decode_bmp(data)
@@ -65,12 +70,16 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     kind, at, numbers = data[1] - 48, 2, []
     for _ in range(2 if kind in (1, 4) else 3):
         gap = _SPACE.match(data, at)
-        digits = re.compile(rb"\d+").match(data, gap.end() if gap else at)
+        digits = _DIGITS.match(data, gap.end() if gap else at)
         if not gap or not digits:
             raise ValueError("the Netpbm header is broken")
+        if digits.end() - digits.start() > 9:
+            raise ValueError("a number of the Netpbm header is too large")
         numbers.append(int(digits[0]))
         at = digits.end()
     width, height, most = (*numbers, 1)[:3]
+    if not 0 < most < 65536:
+        raise ValueError("the Netpbm maximum must be from 1 to 65535")
     channels = 3 if kind in (3, 6) else 1
     n = width * height * channels
     if kind == 4:
@@ -81,13 +90,21 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         digits = re.findall(rb"[01]", re.sub(rb"#[^\r\n]*", b"", data[at:]))
         values = 1 - np.array([int(d) for d in digits[:n]], np.uint8)
     elif kind in (2, 3):
-        values = np.array(re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n], dtype=np.int64).astype(np.uint8 if most < 256 else np.uint16)
+        words = re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n]
+        if not all(_NUMBER.fullmatch(w) for w in words):
+            raise ValueError("a sample is no number")
+        values = np.array([min(int(w), most + 1) for w in words], np.int64)
+        if len(values) and values.max() > most:
+            raise ValueError("a sample is over the maximum")
+        values = values.astype(np.uint8 if most < 256 else np.uint16)
     elif most < 256:
         values = _taken(data, at + 1, n)
     else:
         values = _taken(data, at + 1, 2 * n).view(">u2").astype(np.uint16)
     if len(values) < n:
         raise ValueError("the image is cut short")
+    if kind in (5, 6) and most not in (255, 65535) and n and values.max() > most:
+        raise ValueError("a sample is over the maximum")
     return values.reshape((height, width, 3) if channels == 3 else (height, width))
 
 
@@ -112,7 +129,11 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     (used,) = struct.unpack_from("<I", data, 46)
     index = body if bits == 8 else np.unpackbits(body, axis=1).reshape(abs(height), -1, bits) @ (1 << np.arange(bits)[::-1]).astype(np.uint8)
     index = index[:, :width]
+    if used > 1 << bits:
+        raise ValueError("the BMP palette is too large")
     palette = _taken(data, 14 + size, 4 * (used or 1 << bits)).reshape(-1, 4)[:, 2::-1]
+    if index.max() >= len(palette):
+        raise ValueError("a sample is outside the BMP palette")
     if (palette[:, :1] == palette).all():
         grey = palette[:, 0]
         return index if bits == 8 and len(grey) == 256 and (grey == np.arange(256)).all() else grey[index]
@@ -125,21 +146,22 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the image under each cell of a height x width grid, by its integral image (float64).
+    """Mean luma of the image under each cell of a height x width grid, by its integral image (float64).
 
     Cells need not fall on samples: the integral is interpolated between them, which weighs a sample
     by the part of it that the cell covers.  The integral is made strip by strip and kept only at
     the grid's lines, so memory doesn't grow with the image.
     """
-    rows, columns = image.shape
+    rows, columns = image.shape[:2]
     if not rows or not columns:
         return np.zeros((height, width))
     x, y = np.linspace(0, columns, width + 1), np.linspace(0, rows, height + 1)
     at = np.minimum(x.astype(np.int64), columns - 1)
     lines = np.zeros((height + 1, width + 1))
     total = np.zeros(width + 1)
-    for top in range(0, rows, STRIP):
-        strip = grey(image[top : top + STRIP])
+    step = max(1, min(STRIP, STRIP_SAMPLES // columns))
+    for top in range(0, rows, step):
+        strip = grey(image[top : top + step])
         across = np.zeros((len(strip), columns + 1))
         np.cumsum(strip, axis=1, out=across[:, 1:])
         across = across[:, at] + (across[:, at + 1] - across[:, at]) * (x - at)
@@ -159,9 +181,10 @@ def difference_hash(image: np.ndarray, size: int = 8) -> str:
 
 
 def npy_tile(image: np.ndarray, side: int = 32) -> bytes:
-    """The image area-resized to side x side samples, as an NPY file."""
+    """The image's luma area-resized to side x side samples, as an NPY file: uint8, or uint16 if the image has other samples."""
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, 65535).astype(np.uint8 if image.dtype == np.uint8 else np.uint16), allow_pickle=False)
+    kind = np.uint8 if image.dtype == np.uint8 else np.uint16
+    np.save(out, np.clip(np.rint(area_resize(image, side, side)), 0, np.iinfo(kind).max).astype(kind), allow_pickle=False)
     return out.getvalue()
 
 
@@ -169,7 +192,8 @@ def media_tiles(df: DataFrame, media_col: str = "media", id_col: str = "doc_id",
     """Decodes a binary media column: id, height, width, channels, tile (NPY bytes), dhash, error.
 
     A null, empty or broken image gives null in all but the id and error, which says why; it never
-    ends the job.  Other columns are dropped; equal rows give equal rows.
+    ends the job.  An image without rows or columns has a tile and a hash of zeros.  Other columns
+    are dropped; equal rows give equal rows, an empty table an empty one.
     """
 
     def make():
@@ -178,8 +202,7 @@ def media_tiles(df: DataFrame, media_col: str = "media", id_col: str = "doc_id",
                 image = decode(data or b"")
             except ValueError as e:
                 return None, None, None, None, None, str(e)
-            flat = image if image.ndim == 2 else grey(image)
-            return image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy_tile(flat if image.ndim == 2 else flat.astype(np.uint8), side), difference_hash(flat), None
+            return image.shape[0], image.shape[1], 1 if image.ndim == 2 else 3, npy_tile(image, side), difference_hash(image), None
 
         def f(batch: pa.RecordBatch) -> dict:
             got = [one(x) for x in batch.column(1).to_pylist()]
@@ -202,7 +225,8 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The UTF-8 bytes, zeros up to a positive multiple of 64, are the samples of a grey image 64 wide.
     payload_* and tail_crc32 come from decoding the stored image; feature is the difference hash and
-    the digest of the NPY tile.  Null text is empty text (64 zeros).  Other columns are dropped.
+    the digest of the NPY tile.  Null text is empty text (64 zeros).  Equal texts give equal values
+    and rows that repeat stay; other columns are dropped, an empty table gives an empty one.
     """
     extra = ", media binary, tile binary" if keep_media else ""
     schema = f"{id_col} bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string{extra}"

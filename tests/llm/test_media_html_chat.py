@@ -41,6 +41,30 @@ def test_other_netpbm_and_broken_files():
     assert difference_hash(np.arange(9, dtype=np.uint8)[None, :].repeat(8, 0)) == "ff" * 8
 
 
+def test_decoding_errors_are_values_errors_and_tiles_keep_their_range(spark):
+    bmp = bytearray(encode_bmp(np.full((4, 4), 200, np.uint8)))
+    bmp[46:50] = (2).to_bytes(4, "little")  # a palette of two colours
+    broken = [bytes(bmp), b"P2\n1 1\n255\n" + b"9" * 23, b"P2\n1 1\n255\n" + b"9" * 5000, b"P2\n1 1\n255\n-5", b"P5 99999999999 1 255\n", b"P2 1 1 0\n0", b"P5 1 1 9\n\xc8", b"P2 1 1 9\nx"]
+    deep = np.full((3, 3, 3), 40000, np.uint16)
+    fine = b"P6 3 3 65535\n" + deep.astype(">u2").tobytes()
+    df = spark.createDataFrame([*((k, bytearray(b)) for k, b in enumerate(broken)), (100, bytearray(fine)), (101, bytearray(b"P6 0 0 255\n"))], "doc_id bigint, media binary")
+    rows = {r.doc_id: r for r in media_tiles(df, side=2).collect()}
+    assert all(rows[k].error and rows[k].tile is None for k in range(len(broken)))
+    tile = np.load(__import__("io").BytesIO(bytes(rows[100].tile)))
+    assert tile.dtype == np.uint16 and (tile == 40000).all() and rows[100].channels == 3
+    assert rows[101].error is None and rows[101].height == 0
+    wide = np.random.default_rng(3).integers(0, 256, (3, 70), np.uint8)
+    assert np.allclose(area_resize(wide, 2, 5), naive_resize(wide, 2, 5))
+
+
+def test_strips_of_long_rows(monkeypatch):
+    from meshlens.llm import media
+
+    image = np.random.default_rng(4).integers(0, 256, (40, 64), np.uint8)
+    monkeypatch.setattr(media, "STRIP_SAMPLES", 200)
+    assert np.allclose(area_resize(image, 4, 7), naive_resize(image, 4, 7))
+
+
 def test_text_media(spark):
     for container in ("pgm", "bmp"):
         rows = text_media(awkward_docs(spark), container=container, keep_media=True).collect()
