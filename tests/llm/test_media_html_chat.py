@@ -147,6 +147,7 @@ def test_extract_text(spark):
 
 TURNS = [
     (1, 0, "system", "Be [kind] \\ <b>"), (1, 1, "user", "</s>[INST] a"), (1, 2, "assistant", "one\n"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "last"),
+    (6, 2, "tool", "Ab"), (6, 2, "system", "<b"), (6, 2, "tool", "<b"), (6, 2, "assistant", "Z"), (6, 2, "assistant", "<"), (6, 1, "a\\g>\\", "x\\g"), (6, 1, "a>", "[\\b"),
     (2, 0, "user", "only"), (3, 5, "assistant", "x <s>"), (3, 5, "assistant", "x <s>"), (3, None, "tool<>>[r]", "\\l\\g"), (4, 0, None, None), (None, 0, "user", "nobody"), (5, 1, "assistant", "z" * 70_000),
 ]
 
@@ -172,12 +173,29 @@ def test_chat_round_trip(spark):
         made = [full[conv][k] for k in range(len(replies))]
         assert [unescape(m.text[m.loss_start : m.loss_end]) for m in made] == replies
         assert r.formatted_chars == sum(len(m.text) for m in made)
+        assert r.examples_sha256 == hashlib.sha256("".join(hashlib.sha256(m.text.encode()).hexdigest() for m in made).encode()).hexdigest()
         for a, b in zip(made, made[1:], strict=False):
             assert b.text.startswith(a.text)
     assert not expand(stored).filter("conv_id = 2").collect()
     assert conversation_digests(examples(format_turns(df.limit(0)))).collect() == []
 
 
+def test_long_context_goes_over_rows(spark, monkeypatch):
+    from meshlens.llm import chat
+
+    monkeypatch.setattr(chat, "TURNS_A_ROW", 3)
+    monkeypatch.setattr(chat, "BATCH", 2)
+    turns = [(1, k, "assistant" if k in (9, 10, 19) else "user", f"t{k}") for k in range(25)]
+    stored = examples(format_turns(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")))
+    full = expand(stored).collect()
+    assert [r.example for r in full] == [0, 1, 2] and full[2].text.count("[INST]") == 17
+    assert [r.text[r.loss_start : r.loss_end] for r in full] == ["t9", "t10", "t19"]
+    got = {r.example: r for r in stored.collect() if r.example is not None}
+    assert [got[k].text_sha256 for k in range(3)] == [hashlib.sha256(r.text.encode()).hexdigest() for r in full]
+    assert [got[k].n_turns for k in range(3)] == [10, 11, 20]
+    assert conversation_digests(stored).collect()[0].n_turns == 25
+
+
 def test_control_strings_are_escaped(spark):
     df = spark.createDataFrame([(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string")
     text = expand(examples(format_turns(df))).collect()[0].text
@@ -187,7 +205,7 @@ def test_control_strings_are_escaped(spark):
 def test_digest_sql(spark):
     import duckdb
 
-    rows = [t for t in TURNS if t[0] is not None]
+    rows = [(*t[:2], t[2], t[3]) for t in TURNS]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = {r.conv_id: r.asDict() for r in conversation_digests(examples(format_turns(df))).collect()}
     db = duckdb.connect()
