@@ -23,8 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         parents = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
         while True:  # pointers lead to ever lesser nodes, so they end
             upper = parents.select(F.col("a").alias("_a"), F.col("up").alias("_up"))
-            jumped = cut(parents.join(upper, F.col("up") == F.col("_a")).select("a", F.col("_up").alias("next"), (F.col("_up") != F.col("up")).alias("moved")))
-            parents = jumped.select("a", F.col("next").alias("up"))
+            jumped = cut(parents.join(upper, F.col("up") == F.col("_a")).select("a", F.col("_up").alias("up"), (F.col("_up") != F.col("up")).alias("moved")))
+            parents = jumped.drop("moved")
             if jumped.filter("moved").isEmpty():
                 break
         root = parents.select(F.col("a").alias("_a"), F.col("up").alias("_up"))

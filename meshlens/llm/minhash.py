@@ -7,7 +7,10 @@
 3. Links (Jaccard similarity of the shingle sets, computed from the texts, at least the threshold)
    join texts to components.  Buckets that are not within one component are looked through again for
    links between different components, in blocks; so no link between different texts is lost to the
-   star.
+   star.  Signatures are compared there, a block at a time: their number grows with the square of
+   the texts of such a bucket, that is of unlike texts that share BANDS-wise equal registers.
+
+A text is known by a number of its own (node), not by the id of its document: ids may repeat.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, bound_batches, cut, held, keep_first
+from .common import arrow_map, arrow_schema, bound_batches, cut, held, keep_first, unused
 from .components import components
 
 WORDS = 5
@@ -125,12 +128,12 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, n (shingles), bands, signature (a byte a register); all but doc_id null where a text has no word.
+    """doc_id, h (of the text as it is), fingerprint, n (shingles), bands, signature (a byte a register); from fingerprint on null where a text has no word.
 
     Shingles weigh the same however often they occur, so that registers agree with the probability of the Jaccard
     similarity of the sets, by which links are defined.  With other weights a passage that one copy repeats would hide it.
     """
-    schema = "doc_id bigint, fingerprint binary, n int, bands array<bigint>, signature binary"
+    schema = "doc_id bigint, h bigint, fingerprint binary, n int, bands array<bigint>, signature binary"
 
     def make():
         held("minhash")
@@ -144,6 +147,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             some = [len(h) > 0 for h, _ in made]
             return {
                 "doc_id": batch.column(0),
+                "h": batch.column(2),
                 "fingerprint": [hashlib.blake2b(h.tobytes(), digest_size=16).digest() if ok else None for (h, _), ok in zip(made, some, strict=True)],
                 "n": [len(h) if ok else None for (h, _), ok in zip(made, some, strict=True)],
                 "bands": [k if ok else None for k, ok in zip(keys, some, strict=True)],
@@ -152,7 +156,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         return f
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), make, schema, text_col=1, slice_bytes=SIGNATURE_BYTES)
+    plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return arrow_map(plain.select("*", text_hash("text").alias("h")), make, schema, text_col=1, slice_bytes=SIGNATURE_BYTES)
+
+
+def text_hash(column: str) -> F.Column:
+    """With an id, this tells a row's text from another's of the same id."""
+    return F.xxhash64(F.col(column).cast("string"))
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,8 +172,8 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of pairs (a, b) those whose sizes and signatures allow the similarity."""
-    left = texts.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+    left = texts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
     sized = pairs.join(left, "a").join(right, "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("a", "b", "s_a", "s_b")
 
     def make():
@@ -177,10 +187,10 @@ def _likely(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return arrow_map(sized, make, "a bigint, b bigint")
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ids.  A filter of fixed size keeps most others from being shuffled."""
-    position = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    held = ids.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of wanted (node, id, h), once each.  A filter of fixed size keeps most other documents from being shuffled."""
+    position = F.pmod(F.xxhash64("id", "h"), F.lit(FILTER_BITS))
+    held = wanted.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros((FILTER_BITS // 32768 + 2, 4096), np.uint8)
     for k, part in held.collect():  # FILTER_BITS bits at most
         bits[k - 1, : len(part)] = np.frombuffer(part, np.uint8)
@@ -191,23 +201,29 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         flat = shared.value
 
         def f(batch: pa.RecordBatch) -> dict:
-            k, bit = np.asarray(batch.column(2)) - 1, np.asarray(batch.column(3))
+            k, bit = np.asarray(batch.column(3)) - 1, np.asarray(batch.column(4))
             keep = pa.array(((flat[k, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool))
-            return {"id": batch.column(0).filter(keep), "text": batch.column(1).filter(keep)}
+            return {n: batch.column(i).filter(keep) for i, n in enumerate(("id", "text", "h"))}
 
         return f
 
-    keyed = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
-    keyed = keyed.select("id", "text", F.bitmap_bucket_number(position).alias("k"), F.bitmap_bit_position(position).alias("bit"))
-    return arrow_map(keyed, make, "id bigint, text string", text_col=1).join(ids, "id", "left_semi")
+    keyed = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"), text_hash("text").alias("h"))
+    keyed = keyed.select("id", "text", "h", F.bitmap_bucket_number(position).alias("k"), F.bitmap_bit_position(position).alias("bit"))
+    found = arrow_map(keyed, make, "id bigint, text string, h bigint", text_col=1).join(wanted.select("node", "id", "h"), ["id", "h"])
+    return found.select("node", "text").dropDuplicates(["node"])
+
 
+def _places(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, id, h): the documents that have the texts of nodes (node)."""
+    return nodes.join(texts.select("node", "id", "h"), "node")
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Of pairs (a, b) of document ids those whose shingle sets have at least the Jaccard similarity."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = _texts_of(docs, ids)
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Of pairs (a, b) of nodes those whose shingle sets have at least the Jaccard similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    found = _texts_of(docs, cut(_places(wanted, texts)))
+    left = found.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def make():
         shingler = Shingler()
@@ -227,7 +243,7 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY)
         return f
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return arrow_map(both, make, "a bigint, b bigint", text_col=3).distinct()
+    return arrow_map(both, make, "a bigint, b bigint", text_col=3)
 
 
 def _groups(batches, keys: tuple[str, ...]):
@@ -277,7 +293,7 @@ _EDGE = "a bigint, b bigint"
 def _suspected(members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that join what a block's likely pairs of different components join; at most one a member.
 
-    members are in the order of their block (key, i, j) and have rep, component, part, n, signature.
+    members are in the order of their block (key, i, j) and have node, component, part, n, signature.
     """
     schema = arrow_schema(members.sparkSession, _EDGE)
     keys = ("key", "i", "j")
@@ -291,7 +307,7 @@ def _suspected(members: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         for table in _groups(batches, keys):
-            x = {n: table.column(n).to_numpy() for n in (*keys, "rep", "component", "n", "part")} | {"signature": _signature_rows(table)}
+            x = {n: table.column(n).to_numpy() for n in (*keys, "node", "component", "n", "part")} | {"signature": _signature_rows(table)}
             starts = _starts([x[k] for k in keys])
             end_of = np.repeat(starts[1:], np.diff(starts))
             spot, found = np.arange(table.num_rows), []
@@ -301,15 +317,15 @@ def _suspected(members: DataFrame, similarity: float) -> DataFrame:
             if found:
                 root = _roots(table.num_rows, *(np.concatenate(z) for z in zip(*found, strict=True)))
                 moved = root != spot
-                yield pa.RecordBatch.from_arrays([pa.array(x["rep"][root[moved]]), pa.array(x["rep"][moved])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x["node"][root[moved]]), pa.array(x["node"][moved])], schema=schema)
 
     return members.mapInArrow(run, _EDGE)
 
 
 def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between different components within a block, verified on the texts; at most one a member.
+    """Links (a, b) between components within a block, verified on the texts; at most one a member.
 
-    members are in the order of their block (cluster, i, j) and have rep, component, part, n,
+    members are in the order of their block (cluster, i, j) and have node, component, part, n,
     signature, text.  Pairs that earlier links of the block have joined aren't compared.
     """
     schema = arrow_schema(members.sparkSession, _EDGE)
@@ -319,7 +335,7 @@ def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
         shingler = Shingler()
         for table in _groups(batches, keys):
             x = {n: table.column(n).to_numpy() for n in (*keys, "component", "n", "part")}
-            signature, texts, rep = _signature_rows(table), table.column("text"), table.column("rep").to_pylist()
+            signature, texts = _signature_rows(table), table.column("text")
             starts = _starts([x[k] for k in keys])
             out: list[tuple[int, int]] = []
             for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -347,7 +363,7 @@ def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
                             both = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
                             if both >= similarity * (len(sets[k]) + len(sets[other]) - both) - 1e-9:
                                 up[max(c, d)] = min(c, d)
-                                out.append((rep[begin + k], rep[begin + other]))
+                                out.append((c, d))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in zip(*out, strict=True)], schema=schema)
 
@@ -355,67 +371,90 @@ def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
 
 
 def _in_blocks(members: DataFrame, key: str, size: DataFrame, block: int) -> DataFrame:
-    """members (key, rep, ...) with their part of the key's rows, once for each pair of parts (i, j) that it is in."""
+    """members (key, node, ...) with their part of the key's rows, once for each pair of parts (i, j) that it is in."""
     parts = members.join(size.select(key, F.ceil(F.col("m") / block).cast("int").alias("parts")), key)
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
     return parts.withColumn("pair", F.explode(pairs)).select(*members.columns, "part", "pair.i", "pair.j")
 
 
-def _missed(texts: DataFrame, found: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
-    """Verified links between components that share buckets, or None where no bucket may hold any.
+def _missed(texts: DataFrame, labelled: DataFrame, docs: DataFrame, similarity: float) -> DataFrame | None:
+    """Verified links (a, b) between components of labelled (node, component) that share buckets, or None where no bucket may hold any.
 
     First the signatures of such buckets' texts are compared in blocks.  What they suspect falls
     into clusters, and a cluster's texts are verified in blocks, so that a text is shuffled once a
     block and not once a pair, and no table has a row for each pair.
     """
     bound_batches(docs.sparkSession)
-    labelled = texts.select("rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    slim = texts.select("rep", F.explode("bands").alias("key")).join(labelled, "rep")
+    slim = texts.select("node", F.explode("bands").alias("key")).join(labelled, "node")
     mixed = slim.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("m"))
     mixed = mixed.filter((F.col("least") < F.col("most")) & (F.col("m") > 2))  # of two texts the pivot was one, so they have been compared
-    signed = texts.select("rep", "n", "signature")
-    members = _in_blocks(slim, "key", mixed, BLOCK).join(signed, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    signed = texts.select("node", "n", "signature")
+    members = _in_blocks(slim, "key", mixed, BLOCK).join(signed, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     suspected = cut(_suspected(members, similarity).distinct())
     if suspected.isEmpty():
         return None
-    clusters = cut(components(suspected).select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(labelled, "rep"))
+    clusters = cut(components(suspected).select("node", F.col("component").alias("cluster")).join(labelled, "node"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    texts_of = _texts_of(docs, clusters.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep").dropDuplicates(["rep"])
-    blocks = _in_blocks(clusters, "cluster", sizes, TEXT_BLOCK).join(signed, "rep").join(texts_of, "rep")
+    blocks = _in_blocks(clusters, "cluster", sizes, TEXT_BLOCK).join(signed, "node").join(_texts_of(docs, cut(_places(clusters.select("node"), texts))), "node")
     return cut(_linked_in_blocks(blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), similarity))
 
 
+def _classed(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, h, worded (has a word), class_id, kept of every row; kept is on one text of each class, and on every row that has it."""
+    rows = cut(signatures(docs.select("doc_id", "text")))
+    known = rows.filter(F.col("fingerprint").isNotNull() & F.col("doc_id").isNotNull())
+    texts = known.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    texts = cut(texts.select(F.monotonically_increasing_id().alias("node"), "fingerprint", F.col("r.doc_id").alias("id"), F.col("r.h").alias("h"), "n", "bands", "signature"))
+    banded = texts.select("node", F.explode("bands").alias("key"))
+    pivots = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_most")).filter("a < _most").select("key", "a")
+    stars = cut(banded.join(pivots, "key").filter("a < node").select("a", F.col("node").alias("b")).distinct())
+    links = cut(verified(cut(_likely(stars, texts, similarity)), texts, docs, similarity))
+    labelled = texts.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    labelled = cut(labelled)
+    more = _missed(texts, labelled, docs, similarity)
+    if more is not None and not more.isEmpty():  # these join whole components, so the first labels stay what they are joined from
+        merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+        labelled = labelled.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    placed = texts.select("node", "fingerprint", "id", "h").join(labelled, "node")
+    least = placed.groupBy("component").agg(F.min(F.struct("id", "h")).alias("r")).select("component", F.col("r.id").alias("class_id"), F.col("r.h").alias("_h"))
+    classes = placed.select("fingerprint", "component").join(least, "component").drop("component")
+    joined = rows.select("doc_id", "h", "fingerprint").join(classes, "fingerprint", "left")
+    worded = F.col("fingerprint").isNotNull()
+    kept = F.when(worded, (F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("_h"))).otherwise(F.col("doc_id").isNotNull())
+    return joined.select("doc_id", "h", worded.alias("worded"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, kept for every row of docs (doc_id, text).
 
     A class is a connected component of the links between documents whose shingle sets have a
-    Jaccard similarity of at least `similarity`; class_id is its least doc_id, and kept says that
-    the row is that document.  A text without a word (null, empty, marks only) links with nothing
-    and is a class of its own.  Rows that repeat a doc_id are each classed by their own text.
+    Jaccard similarity of at least `similarity` (ties with it included); class_id is its least
+    doc_id, and kept says that the row has that id and, of several texts with it, the one that
+    represents the class.  A text without a word (null, empty, marks only) links with nothing and is
+    a class of its own.  Rows that repeat a doc_id are each classed by their own text, so unlike
+    texts of one id are classes that share their class_id; rows that repeat whole are all kept or
+    none.  Rows without a doc_id have the class of their text if it has one, and aren't kept.  Other
+    columns are dropped; an empty table gives an empty one.
     """
-    rows = cut(signatures(docs.select("doc_id", "text")))
-    known = rows.filter(F.col("fingerprint").isNotNull() & F.col("doc_id").isNotNull())
-    texts = cut(known.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")))
-    banded = texts.select("rep", F.explode("bands").alias("key"))
-    pivots = banded.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("_most")).filter("a < _most").select("key", "a")
-    stars = cut(banded.join(pivots, "key").filter("a < rep").select("a", F.col("rep").alias("b")).distinct())
-    links = cut(verified(cut(_likely(stars, texts, similarity)), docs, similarity))
-    found = components(links)
-    more = _missed(texts, found, docs, similarity)
-    if more is not None and not more.isEmpty():
-        found = components(links.union(more))
-    classes = texts.select("fingerprint", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
-    joined = rows.select("doc_id", "fingerprint").join(classes, "fingerprint", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    return joined.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.lit(False)).alias("kept"))
+    return _classed(docs, similarity).select("doc_id", "class_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with its columns; rows without a doc_id stay."""
-    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("__kept"))
-    out = docs.join(kept.distinct(), docs["doc_id"] == F.col("__kept"), "left_semi")
-    if not out.select("doc_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each class of near_duplicates(), with its columns as they are.
+
+    It is the one of least doc_id; where unlike texts share that id, one of them, told by its text
+    and not by the id alone; of rows that repeat id and text, one.  Texts without a word and rows
+    without a doc_id all stay.  An empty table gives an empty one.
+    """
+    key = unused(docs, "_h")
+    kept = _classed(docs, similarity).filter("kept").groupBy("doc_id", "h").agg(F.max("worded").alias("worded"), F.count("*").alias("rows"))
+    kept = cut(kept.select(F.col("doc_id").alias("id"), "h", (F.col("worded") & (F.col("rows") > 1)).alias("again")))
+    rows = docs.withColumn(key, text_hash("text"))
+    chosen = rows.join(kept.select("id", "h"), (rows["doc_id"] == kept["id"]) & (rows[key] == kept["h"]), "left_semi")
+    if not kept.filter("again").isEmpty():
+        again = kept.filter("again").select("id", "h")
+        condition = (rows["doc_id"] == again["id"]) & (rows[key] == again["h"])
+        once = rows.join(again, condition, "left_semi").dropDuplicates(["doc_id", key])
+        chosen = chosen.join(again, condition, "left_anti").unionByName(once)
+    return chosen.drop(key).unionByName(docs.filter(F.col("doc_id").isNull()))

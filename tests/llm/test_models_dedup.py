@@ -138,6 +138,54 @@ def test_near_duplicates_of_awkward_documents(spark):
     assert near_duplicates(empty_docs(spark)).collect() == [] and minhash.drop_near_duplicates(empty_docs(spark)).collect() == []
 
 
+def test_rows_that_share_an_id_are_known_by_their_text(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (5, b), (5, c), (5, c), (7, c), (8, d), (8, a), (9, None), (9, None), (9, "..."), (None, a), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for name in ("h", "_h", "__kept", "_kept", "node", "id", "again", "worded", "class_id", "component", "fingerprint"):
+        df = df.withColumn(name, F.lit(name))
+    got = sorted((r.doc_id, r.class_id) for r in near_duplicates(df).collect() if r.doc_id is not None)
+    assert got == [(1, 1), (5, 5), (5, 5), (5, 5), (7, 5), (8, 1), (8, 8), (9, 9), (9, 9), (9, 9)]
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    left = sorted(((r.doc_id or -1, r.text or "") for r in kept.collect()))
+    assert left == sorted([(1, a), (5, b), (5, c), (8, d), (9, ""), (9, ""), (9, "..."), (-1, a), (-1, "")])
+
+
+def test_recall_against_an_exact_join_by_similarity(spark):
+    """Of the pairs of a real table and of edited ones, some with a passage many times over, at least 0.99 of each tenth share a class."""
+    rng = random.Random(8)
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    at = 10**6
+    for _ in range(150):
+        base = [f"u{rng.randrange(10**6)}" for _ in range(rng.randint(60, 150))]
+        copy = edited(base, rng, rng.randint(0, len(base) // 40))
+        docs += [(at, " ".join(base)), (at + 1, " ".join(copy + copy[10:30] * rng.choice((0, 0, 3, 300))))]
+        at += 2
+    shingler = Shingler()
+    with np.errstate(over="ignore"):
+        sets = {i: frozenset(shingler(t)[0].tolist()) for i, t in docs}
+    holders = {}
+    for i, x in sets.items():
+        for e in x:
+            holders.setdefault(e, []).append(i)
+    shared = {}
+    for ids in holders.values():
+        if len(ids) < 60:
+            for k, i in enumerate(ids):
+                for j in ids[:k]:
+                    shared[i, j] = shared.get((i, j), 0) + 1
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    buckets = {}
+    for (i, j), both in shared.items():
+        s = both / (len(sets[i]) + len(sets[j]) - both)
+        if s >= 0.8:
+            buckets.setdefault(min(int(s * 20), 19), []).append(got[i] == got[j])
+    assert len(buckets) == 4 and all(np.mean(x) >= 0.99 for x in buckets.values()), {k: (len(x), np.mean(x)) for k, x in buckets.items()}
+
+
 def held_out(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
