@@ -164,11 +164,48 @@ def test_bpe_equals_the_library(spark, tiktoken_encoding):
     assert encode_texts(empty_docs(spark)).collect() == []
 
 
-def test_long_words_equal_short_ones():
+def test_spliced_words_equal_whole_ones(monkeypatch):
+    """Chunks so small that splices fail at first, too: then one begins anew, or goes on."""
+    from meshlens.llm import bpe
+
     merges, rng = Merges("byte_bpe_50k.tiktoken"), random.Random(5)
-    for _ in range(100):
-        word = "".join(rng.choice("abcéß!?") for _ in range(rng.randint(2, 200)))
-        assert merges.encode_long(word) == merges.encode_words([word])[0]
+    for chunk, step in ((256, 128), (12, 6), (5, 3), (2, 1)):
+        monkeypatch.setattr(bpe, "CHUNK", chunk)
+        monkeypatch.setattr(bpe, "STEP", step)
+        monkeypatch.setattr(bpe, "SECTION", 7)
+        for _ in range(60):
+            word = "".join(rng.choice(rng.choice(["abcéß!?", "a", "ab", "-= ", "etaoin", "日本"])) for _ in range(rng.randint(1, 120)))
+            assert merges.encode_long(word.encode()) == merges.encode_words([word])[0], (chunk, word)
+
+
+def test_a_long_word_and_a_huge_text(tiktoken_encoding, monkeypatch):
+    import regex
+
+    from meshlens.llm import bpe
+
+    merges, rng = Merges("byte_bpe_50k.tiktoken"), random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "x" * 200_000]
+    merges.learn(set(words))
+    for w in words:
+        assert merges.ids[w] == np.array(tiktoken_encoding.encode_ordinary(w), "<u4").tobytes()
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 20_000)
+    text = " ".join(rng.choice(["alpha", "beta", "1999", "déjà", "\n\n", "x" * 700]) for _ in range(20_000))
+    words_of = regex.compile(public_tokenizers.PATTERN).findall
+    found = words_of(text)
+    merges.learn(set(found))
+    ids = b"".join(merges.ids[w] for w in found)
+    assert len(ids) // 4 > 3 * bpe.DECODE_TOKENS, "several runs"
+    assert merges.decode([ids[:8], ids, b"", ids[:4]]) == [*(merges.decode([ids[:8]])), text.encode(), b"", *merges.decode([ids[:4]])]
+
+
+def test_texts_in_runs_equal_whole_ones(spark, monkeypatch):
+    from meshlens.llm import bpe
+
+    want = sorted(map(str, encode_texts(awkward_docs(spark), keep_ids=True).collect()))
+    monkeypatch.setattr(bpe, "RUN_CHARS", 10)
+    monkeypatch.setattr(bpe, "RUN_WORDS", 3)
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 4)
+    assert sorted(map(str, encode_texts(awkward_docs(spark).filter("length(text) < 100 or text is null"), keep_ids=True).collect())) == [r for r in want if len(r) < 3000]
 
 
 def test_splicing_equals_whole_encoding():
