@@ -13,11 +13,13 @@ def components(links: DataFrame) -> DataFrame:
 
     A round hooks every node of the contracted graph to its least neighbour, follows these pointers
     to their roots and replaces the ends of links by them; links within a root go.  The graph at
-    least halves each round.  Each round's tables go to the shared checkpoint folder.
+    least halves each round, and a star takes one.  Links of a node with itself, repeated links and
+    an empty table are fine: nodes without another have no row.  Each round's tables go to the shared
+    checkpoint folder; what the nodes of one round become in the next is composed at the end.
     """
     edges = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
-    found = cut(nodes.withColumn("component", F.col("node")))
+    found = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    first = True
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")))
@@ -28,7 +30,10 @@ def components(links: DataFrame) -> DataFrame:
             if jumped.filter("moved").isEmpty():
                 break
         root = parents.select(F.col("a").alias("_a"), F.col("up").alias("_up"))
-        found = cut(found.join(root, F.col("component") == F.col("_a"), "left").select("node", F.coalesce("_up", "component").alias("component")))
+        if first:
+            found, first = root.toDF("node", "component"), False
+        else:
+            found = found.join(root, F.col("component") == F.col("_a"), "left").select("node", F.coalesce("_up", "component").alias("component"))
         half = edges.join(root, F.col("a") == F.col("_a")).select(F.col("_up").alias("a"), "b")
         whole = half.join(root, F.col("b") == F.col("_a")).select("a", F.col("_up").alias("b"))
         edges = cut(whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
