@@ -17,16 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Node, blocks, path
 from .html_samples import labelled_page
 
 #: Pages to learn from, passes over them, learning rate and ridge penalty.
 PAGES, EPOCHS, RATE, RIDGE = 500, 8, 0.3, 1e-4
+#: Places whose scores a model remembers.
+STATES = 20_000
 
 
-def path_features(path: tuple[str, ...]) -> list[str]:
-    tags = [x for x in path if x[0] != "."]
-    out = {f"in {x}" for x in path if x not in ("html", "body")}
+def path_features(place: Node | None) -> list[str]:
+    """What a block's ancestors say: all their names and hints, the last and the last two names."""
+    above = path(place)
+    tags = [x for x in above if x[0] != "."]
+    out = {f"in {x}" for x in above if x not in ("html", "body")}
     last = tags[-1] if tags else ""
     out.add(f"tag {last}")
     out.add(f"parent {tags[-2] if len(tags) > 1 else ''} {last}")
@@ -45,27 +49,55 @@ def text_features(block: Block) -> list[str]:
     return out
 
 
+class _State:
+    """The score of a place in the page: the known features of its ancestors, their weights' sum, its tag and that of its parent."""
+
+    __slots__ = ("weights", "seen", "total", "tag", "score")
+
+    def __init__(self, weights: dict[str, float], seen: frozenset, total: float, tag: str, parent: str) -> None:
+        self.weights, self.seen, self.total, self.tag = weights, seen, total, tag
+        self.score = total + weights.get(f"tag {tag}", 0.0) + weights.get(f"parent {parent} {tag}", 0.0)
+
+
 class Crf:
     """Two labels; weights are for label 1 (label 0 has none), transitions for each pair of labels, and for the ends."""
 
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
         self.steps = {(a, b): 0.0 for a in (0, 1, 2) for b in (0, 1, 2)}  # 2: before the first and after the last block
-        self.of_path = lru_cache(100_000)(self._of_path)
+        self.states: dict = {}
 
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "steps": self.steps}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.of_path = lru_cache(100_000)(self._of_path)
-
-    def _of_path(self, path: tuple[str, ...]) -> float:
-        return sum(self.weights.get(f, 0.0) for f in path_features(path))
+        self.states = {}
+
+    def state(self, place: Node | None) -> _State:
+        """From the parent's state by one step, so that a page costs as many steps as it has elements."""
+        top = self.states.get(None) or self.states.setdefault(None, _State(self.weights, frozenset(), 0.0, "", ""))
+        below = []
+        while place is not None and (place.state is None or place.state.weights is not self.weights):
+            below.append(place)
+            place = place.up
+        here = top if place is None else place.state
+        for node in reversed(below):
+            key = (here, node.name, node.hints)
+            state = self.states.get(key)
+            if state is None:
+                if len(self.states) > STATES:
+                    self.states = {None: top}
+                new = {f"in {x}" for x in (node.name, *node.hints) if x not in ("html", "body")}
+                new = {f for f in new if f in self.weights} - here.seen
+                total = here.total + sum(self.weights[f] for f in sorted(new))
+                state = self.states[key] = _State(self.weights, here.seen | new if new else here.seen, total, node.name, here.tag)
+            here = node.state = state
+        return here
 
     def scores(self, page: list[Block]) -> list[float]:
         get = self.weights.get
-        return [self.of_path(b.path) + sum(get(f, 0.0) for f in text_features(b)) for b in page]
+        return [self.state(b.place).score + sum(get(f, 0.0) for f in text_features(b)) for b in page]
 
     def decode(self, page: list[Block]) -> list[int]:
         """Labels of the likeliest labelling; ties go to label 0."""
@@ -88,7 +120,7 @@ class Crf:
 
     def learn(self, pages: Iterable[tuple[list[Block], list[int]]], epochs: int = EPOCHS, rate: float = RATE, ridge: float = RIDGE) -> Crf:
         """Adagrad on the log likelihood, a page at a time."""
-        made = [([path_features(b.path) + text_features(b) for b in page], labels) for page, labels in pages if page]
+        made = [([path_features(b.place) + text_features(b) for b in page], labels) for page, labels in pages if page]
         squares: dict = {}
         weights, steps = self.weights, self.steps
 
@@ -125,7 +157,7 @@ class Crf:
                 for fs, label, p in zip(features, labels, chance, strict=True):
                     for f in fs:
                         move(weights, f, label - p)
-        self.of_path.cache_clear()
+        self.weights, self.states = dict(weights), {}  # what others remember of these weights isn't theirs any more
         return self
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from meshlens.llm.chat import DIGEST_SQL, conversation_digests, examples, expand, format_turns, unescape
-from meshlens.llm.html_blocks import blocks
+from meshlens.llm.html_blocks import blocks, path
 from meshlens.llm.html_samples import labelled_page
 from meshlens.llm.html_text import Crf, extract_text, main_text, trained
 from meshlens.llm.media import area_resize, decode, difference_hash, encode_bmp, encode_pgm, encode_ppm, media_tiles, npy_tile, text_media
@@ -90,7 +90,7 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks("a<p>b<b>c<p>d</b> e<br>f<!-- x --><script>no</script>&amp;&lt;&nbsp;g")] == ["a", "bc", "d e f&< g"]
     assert [b.text for b in blocks("<ul><li>one<li>two</ul>3 < 4 <script>var open")] == ["one", "two", "3 < 4"]
     assert blocks("") == [] and blocks("<div></div>   ") == []
-    assert blocks("</p></div>x")[0].path == ()
+    assert path(blocks("</p></div>x")[0].place) == ()
 
 
 def test_blocks_of_formulas_drawings_and_fallbacks():
@@ -101,6 +101,47 @@ def test_blocks_of_formulas_drawings_and_fallbacks():
     assert [b.text for b in blocks("<p>a<svg><path d='M0'>b</p><p>c")] == ["ab", "c"]
 
 
+HOSTILE = {
+    "unended start": "<script ", "unended declaration": "<!", "odd quotes": '<a "', "mixed quotes": "<a '\"", "deep": "<div>x", "brackets": "<", "comment": "<!--", "unended end": "<script></script ",
+    "ends below": "<div>" * 5 + "</p>" * 15, "inline below items": "<span><li>x</li>", "long class": "<p class='" + "ab cd " * 1000 + "'>x", "references": "&#" + "9" * 5000 + ";", "names": "<abc",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_markup_takes_linear_time(name):
+    import time
+
+    page = HOSTILE[name] * (1_000_000 // len(HOSTILE[name]))
+    start = time.process_time()
+    model = trained()
+    start = time.process_time()
+    main_text(page, model)
+    assert time.process_time() - start < 6
+
+
+def test_deep_nesting_shares_its_ancestors():
+    page = blocks("".join(f"<x{k} class=c{chr(97 + k % 26)}>y" for k in range(30_000)))
+    assert len(page) == 30_000 and page[5].place.up is page[4].place
+    assert len(trained().decode(page)) == 30_000
+
+
+def test_scores_by_steps_equal_scores_by_features():
+    from meshlens.llm.html_text import path_features, text_features
+
+    model = trained()
+    for seed in range(900, 930):
+        page = blocks(labelled_page(seed)[0])
+        plain = [sum(model.weights.get(f, 0.0) for f in path_features(b.place) + text_features(b)) for b in page]
+        assert model.scores(page) == pytest.approx(plain)
+
+
+def test_odd_markup():
+    assert [b.text for b in blocks("a <!--> b --> c <!DOCTYPE x> d <? e ?> f <!-- g")] == ["a b --> c d f"]
+    assert [b.text for b in blocks("1 < 2 </ 3 <4 <a title='>'>x</a> <b")] == ["1 < 2 </ 3 <4 x <b"]
+    assert [b.text for b in blocks("&#99999999999999999999;&#xFFFFFFFFFFFF;&#65;&amp")] == ["\ufffd\ufffdA&"]
+    assert [b.text for b in blocks("<script-x>a</script-x><title>b</TITLE >c<textarea><p>d")] == ["a", "b", "c", "<p>d"]
+
+
 def test_field_on_unseen_pages():
     model, wrong, total = trained(), 0, 0
     for seed in range(5000, 5200):

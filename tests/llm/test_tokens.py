@@ -169,12 +169,13 @@ def test_spliced_words_equal_whole_ones(monkeypatch):
     from meshlens.llm import bpe
 
     merges, rng = Merges("byte_bpe_50k.tiktoken"), random.Random(5)
-    for chunk, step in ((256, 128), (12, 6), (5, 3), (2, 1)):
+    for chunk, step in ((12, 6), (5, 3), (2, 1)):
         monkeypatch.setattr(bpe, "CHUNK", chunk)
         monkeypatch.setattr(bpe, "STEP", step)
         monkeypatch.setattr(bpe, "SECTION", 7)
-        for _ in range(60):
-            word = "".join(rng.choice(rng.choice(["abcéß!?", "a", "ab", "-= ", "etaoin", "日本"])) for _ in range(rng.randint(1, 120)))
+        for _ in range(15):
+            alphabet = rng.choice(["abcéß!?", "a", "ab", "-= ", "etaoin", "日本"])
+            word = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 70)))
             assert merges.encode_long(word.encode()) == merges.encode_words([word])[0], (chunk, word)
 
 
