@@ -6,9 +6,14 @@ pre-order.
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import is_trivial_call
 
@@ -62,42 +67,55 @@ def call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH,
     roots = entries.select("ep_id", F.lit(None).cast("string").alias("caller"), F.lit(-1).cast("bigint").alias("ord"), F.col("method").alias("display"), F.lit(0).alias("arity"), F.col("key").alias("callee"), F.col("class_name").alias("callee_class"), F.col("file").alias("callee_file"), F.col("line").alias("callee_line"), F.lit(False).alias("ambiguous"))
     both = rows.select(*roots.columns).unionByName(roots)
 
-    def expand(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord", kind="stable")
-        start = group[group["ord"] < 0].iloc[0]
-        by_caller = {k: list(g.itertuples(index=False)) for k, g in group[group["ord"] >= 0].groupby("caller")}
-        nodes = [[[], start.display, start.callee_class, start.callee_file, int(start.callee_line), "EXTRACTED"]]
-        visited = {start.callee}
-
-        def visit(key: str, node: list, depth: int) -> None:
-            if depth >= max_depth:
-                node[5] = "EXTRACTED"
-                return
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        held: list[tuple] = []
+        for _, group in groupby(rows, key=itemgetter(0)):
+            held += _expanded(list(group), max_depth, max_nodes)
+            if len(held) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    schema = to_arrow_schema(StructType.fromDDL(NODES))
+    return both.repartition("ep_id").sortWithinPartitions("ep_id", "ord").mapInArrow(run, NODES)
+
+
+def _expanded(group: list[tuple], max_depth: int, max_nodes: int) -> list[tuple]:
+    """The nodes of one tree, from its root's row and the calls near it in their order: MAX_TARGETS a method at most."""
+    ep_id, _, _, method, _, key, owner, file, line, _ = group[0]
+    by_caller: dict[str, list[tuple]] = {}
+    for row in group[1:]:
+        by_caller.setdefault(row[1], []).append(row)
+    nodes: list[list] = [[ep_id, [], 0, method, owner, file, line, "EXTRACTED"]]
+    visited = {key}
+
+    def visit(caller: str, node: list) -> None:
+        if node[2] >= max_depth:
+            node[7] = "EXTRACTED"
+            return
+        if len(nodes) >= max_nodes:
+            node[7] = "TRUNCATED"
+            return
+        children = 0
+        for _, _, _, display, _, callee, its_class, its_file, its_line, ambiguous in by_caller.get(caller, ()):
             if len(nodes) >= max_nodes:
-                node[5] = "TRUNCATED"
-                return
-            children = 0
-            for call in by_caller.get(key, ()):
-                if len(nodes) >= max_nodes:
-                    break
-                known = isinstance(call.callee, str)
-                mark = call.callee if known else call.display
-                if mark in visited:
-                    continue
-                visited.add(mark)
-                path = [*node[0], children]
-                children += 1
-                if known:
-                    child = [path, call.display, call.callee_class, call.callee_file, int(call.callee_line), "AMBIGUOUS" if call.ambiguous else "EXTRACTED"]
-                    nodes.append(child)
-                    visit(call.callee, child, depth + 1)
-                else:
-                    nodes.append([path, call.display, "", "", 0, "INFERRED"])
-
-        visit(start.callee, nodes[0], 0)
-        return pd.DataFrame([(start.ep_id, n[0], len(n[0]), n[1], n[2], n[3], n[4], n[5]) for n in nodes], columns=["ep_id", "path", "depth", "method", "class_name", "file", "line", "confidence"])
-
-    return both.groupBy("ep_id").applyInPandas(expand, NODES)
+                break
+            known = callee is not None
+            mark = callee if known else display
+            if mark in visited:
+                continue
+            visited.add(mark)
+            place = [ep_id, [*node[1], children], node[2] + 1, display]
+            children += 1
+            child = [*place, its_class, its_file, its_line, "AMBIGUOUS" if ambiguous else "EXTRACTED"] if known else [*place, "", "", 0, "INFERRED"]
+            nodes.append(child)
+            if known:
+                visit(callee, child)
+
+    visit(key, nodes[0])
+    return [tuple(n) for n in nodes]
 
 
 def tree_metrics(nodes: DataFrame) -> DataFrame:

@@ -228,13 +228,15 @@ def channel_cards(graph: GraphRelations) -> DataFrame:
 def outbound_channels(graph: GraphRelations) -> DataFrame:
     """id, channel, n_consumer_repos: channels of the same repository's producers in a method of the entry's name.
 
-    A producer's method equals the entry's, is Class.method, or ends with .method: an equi-join on the last segment.
+    A producer's method equals the entry's, is Class.method, or ends with .method: an equi-join on
+    every tail of the producer's method that begins at a segment, so that a common last segment joins nothing.
     """
-    last = F.substring_index("method", ".", -1)
     name = F.when(F.col("method") != "", F.col("method")).otherwise(F.substring_index("id", ":", -1))
-    mine = graph.entry_points.select("id", "repo", name.alias("_m"), F.substring_index(name, ".", -1).alias("_last")).distinct()
-    made = graph.producers.select("repo", F.col("method").alias("_pm"), last.alias("_last"), "channel").distinct()
-    met = mine.join(made, ["repo", "_last"]).filter((F.col("_pm") == F.col("_m")) | F.col("_pm").endswith(F.concat(F.lit("."), F.col("_m"))))
+    mine = graph.entry_points.select("id", "repo", name.alias("_tail")).distinct()
+    parts = F.split("method", "\\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    made = graph.producers.select("repo", "channel", F.explode(tails).alias("_tail")).distinct()
+    met = mine.join(made, ["repo", "_tail"])
     first = graph.members.groupBy("channel").agg(F.min(F.struct("ord", "kind", "verb")).alias("f")).select("channel", "f.kind", "f.verb")
     heard = graph.members.filter("side = 'consumer'").join(first, ["channel", "kind", "verb"]).groupBy("channel").agg(F.countDistinct(F.substring_index("id", ":", 1)).alias("n"))
     return met.select("id", "channel").distinct().join(heard, "channel", "left").select("id", "channel", F.coalesce("n", F.lit(0)).alias("n_consumer_repos"))
@@ -259,12 +261,20 @@ def producing_nodes(graph: GraphRelations) -> DataFrame:
     return named.join(known, "name", "left").filter(F.col("_known").isNotNull() | sends).select("ep_id", "path", "name")
 
 
-def entry_connections(graph: GraphRelations) -> DataFrame:
-    """id, direction, channel, repos: where an entry's repository sends, and what a consuming entry hears, by linked repositories."""
+def connections(graph: GraphRelations) -> DataFrame:
+    """owner, direction, channel, kind, repos: where repositories send (owner: the repository) and what consuming entries hear (owner: their id), by the repositories on the other side."""
     sides = graph.members.select("channel", "kind", "verb", "side", F.substring_index("id", ":", 1).alias("peer")).distinct()
     peers = lambda side: sides.filter(F.col("side") == side).groupBy("channel", "kind", "verb").agg(sorted_set(F.col("peer")).alias("repos"))
-    sent = graph.producers.select("repo", "channel").distinct()
-    out = graph.entry_points.select("id", "repo").distinct().join(sent, "repo").join(peers("consumer"), "channel").select("id", F.lit("out").alias("direction"), "channel", "kind", "repos")
+    sent = graph.producers.select(F.col("repo").alias("owner"), "channel").distinct()
+    out = sent.join(peers("consumer"), "channel").select("owner", F.lit("out").alias("direction"), "channel", "kind", "repos")
     hears = graph.entry_points.filter(F.col("type").isin(*(t for t in LINKED_CONSUMERS if t not in ("message-handler", "websocket"))))
-    heard = hears.select("id", "channel").distinct().join(peers("producer"), "channel").select("id", F.lit("in").alias("direction"), "channel", "kind", "repos")
+    heard = hears.select(F.col("id").alias("owner"), "channel").distinct().join(peers("producer"), "channel").select("owner", F.lit("in").alias("direction"), "channel", "kind", "repos")
     return out.unionByName(heard)
+
+
+def entry_connections(graph: GraphRelations, entry_id: str) -> DataFrame:
+    """direction, channel, kind, repos of one entry point: what it hears, and where its repository sends."""
+    mine = graph.entry_points.filter(F.col("id") == entry_id)
+    repo = mine.select(F.col("repo").alias("owner")).distinct()
+    near = graph.with_(entry_points=mine, producers=graph.producers.join(repo.withColumnRenamed("owner", "repo"), "repo", "left_semi"))
+    return connections(near).select("direction", "channel", "kind", "repos")

@@ -1,8 +1,12 @@
-"""The bundled star-schema tables read as a service graph.
+"""The bundled star-schema tables read as service graphs, whole tables each.
 
-Regions are repositories, parts are channels.  Customers whose urgent orders include a part listen
-on it; suppliers who got one back send on it.  A listener's call tree has its orders and, below
-each, the suppliers of its lines.
+The order graph: regions are repositories, a part at a place of an order (its line number) is a
+channel.  Every line takes part: the customer of a line that stays listens on its channel, the
+supplier of a returned one sends on it.  A listener's call tree has its orders and, below each, the
+suppliers of that order's lines.  A snapshot of it leaves out some lines by their quantity.
+
+The supply graph: every supplier listens on a channel of its own and sends on those of the four
+suppliers that it stands above, so that flows run from supplier to supplier down to the last.
 """
 
 from __future__ import annotations
@@ -11,14 +15,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.links import all_links
+from .fixpoint import cut
 from .relations import GraphRelations
 
 #: Kinds of listeners by market segment, and of senders by supplier number.
 ENTRY_TYPES = {"BUILDING": "kafka-consumer", "AUTOMOBILE": "rest-endpoint", "MACHINERY": "websocket", "HOUSEHOLD": "grpc-service"}
 OTHER_ENTRY_TYPE = "event-listener"
 PRODUCER_TYPES = ("kafka-producer", "http-call", "rabbitmq-producer", "grpc-call")
-QUARTER = ("1995-01-01", "1995-04-01")
-LATER = ("1995-02-01", "1995-05-01")
+#: Kinds of listeners and of those who send to them in the supply graph, by supplier number.
+SUPPLY_TYPES = (("kafka-consumer", "kafka-producer"), ("rest-endpoint", "http-call"), ("rabbitmq-consumer", "rabbitmq-producer"), ("grpc-service", "grpc-call"), ("event-listener", "event-publisher"))
+FAN_OUT = 4
+#: Which lines a graph has, as a condition that both engines read: all, and those of an older and a newer snapshot.
+ALL, OLD, NEW = "true", "l_quantity <= 46", "l_quantity >= 5"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,24 +37,34 @@ def _text(prefix: str, column: str) -> F.Column:
     return F.concat(F.lit(prefix), F.col(column).cast("string"))
 
 
-def _listening(spark: SparkSession, sf_dir: str, window: tuple[str, str]) -> DataFrame:
-    """One row for each urgent line shipped in the window, with the listener that it makes."""
-    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_shipdate") >= window[0]) & (F.col("l_shipdate") < window[1])).select("l_orderkey", "l_partkey", "l_suppkey")
-    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+def _lines(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").filter(which).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+
+
+def _channel() -> F.Column:
+    return F.concat(_text("part-", "l_partkey"), _text(".", "l_linenumber"))
+
+
+def _listening(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """One row for each line that stayed and each supplier of its order, with the listener that the line makes."""
+    lines = _lines(spark, sf_dir, which)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    joined = lines.join(urgent, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    stayed = lines.filter("l_returnflag <> 'R'").select("l_orderkey", _channel().alias("channel")).distinct()
+    suppliers = lines.select("l_orderkey", "l_suppkey").distinct()
+    joined = stayed.join(suppliers, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
     repo = _text("R", "n_regionkey")
-    return joined.select(
-        F.concat(repo, _text(":C", "c_custkey"), _text(".on:part-", "l_partkey")).alias("id"), repo.alias("repo"), _text("part-", "l_partkey").alias("channel"),
-        "c_custkey", "c_mktsegment", "o_orderkey", "l_suppkey",
-    )
+    return joined.select(F.concat(repo, _text(":C", "c_custkey"), F.lit(".on:"), "channel").alias("id"), repo.alias("repo"), "channel", "c_custkey", "c_mktsegment", "o_orderkey", "l_suppkey")
 
 
-def entry_points(spark: SparkSession, sf_dir: str, window: tuple[str, str] = QUARTER) -> DataFrame:
+def entry_points(spark: SparkSession, sf_dir: str, which: str = ALL) -> DataFrame:
     kind = F.lit(OTHER_ENTRY_TYPE)
     for segment, name in ENTRY_TYPES.items():
         kind = F.when(F.col("c_mktsegment") == segment, F.lit(name)).otherwise(kind)
-    rows = _listening(spark, sf_dir, window).groupBy("id", "repo", "channel", "c_custkey", "c_mktsegment").agg(F.countDistinct("o_orderkey").alias("n_orders"), F.countDistinct("o_orderkey", "l_suppkey").alias("n_pairs"), F.countDistinct("l_suppkey").alias("n_suppliers"))
+    keys = ("id", "repo", "channel", "c_custkey", "c_mktsegment")
+    # sets of the few orders of one entry, and of their lines' suppliers; pairs of both are distinct already
+    size = lambda column, name: F.size(F.collect_set(column)).alias(name)
+    rows = _listening(spark, sf_dir, which).groupBy(*keys).agg(size("o_orderkey", "n_orders"), F.count("*").alias("n_pairs"), size("l_suppkey", "n_suppliers"))
     nodes = F.col("n_orders") + F.col("n_pairs") + 1
     return rows.select(
         F.col("id").alias("ord"), "id", "repo", kind.alias("type"), "channel", _text("C", "c_custkey").alias("class_name"), F.lit("on").alias("method"),
@@ -57,53 +75,85 @@ def entry_points(spark: SparkSession, sf_dir: str, window: tuple[str, str] = QUA
     )
 
 
-def producers(spark: SparkSession, sf_dir: str, window: tuple[str, str] = QUARTER) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= window[0]) & (F.col("l_shipdate") < window[1]))
+def producers(spark: SparkSession, sf_dir: str, which: str = ALL) -> DataFrame:
+    lines = _lines(spark, sf_dir, which).filter("l_returnflag = 'R'")
     suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
-    rows = lines.select("l_partkey", "l_suppkey").distinct().join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = lines.select(_channel().alias("channel"), "l_suppkey").distinct().join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     kind = F.get(F.array(*[F.lit(t) for t in PRODUCER_TYPES]), (F.col("s_suppkey") % 4).cast("int"))
     repo, method = _text("R", "n_regionkey"), F.concat(_text("S", "s_suppkey"), F.lit(".ship"))
-    made = F.concat(repo, F.lit(":"), method, _text(":send:part-", "l_partkey"))
+    made = F.concat(repo, F.lit(":"), method, F.lit(":send:"), "channel")
     return rows.select(
-        made.alias("ord"), made.alias("id"), repo.alias("repo"), kind.alias("type"), _text("part-", "l_partkey").alias("channel"), method.alias("method"),
+        made.alias("ord"), made.alias("id"), repo.alias("repo"), kind.alias("type"), "channel", method.alias("method"),
         F.concat(_text("supplier/S", "s_suppkey"), F.lit(".java")).alias("file"), (F.col("s_suppkey") % 1000 + 1).cast("int").alias("line"),
         F.when(F.col("s_suppkey") % 8 == 1, "get").otherwise("").alias("message_type"), F.when(F.col("s_suppkey") % 2 == 1, "Shipment").otherwise("").alias("response_type"),
     )
 
 
-def tree_nodes(spark: SparkSession, sf_dir: str, window: tuple[str, str] = QUARTER) -> DataFrame:
-    items = _listening(spark, sf_dir, window).select(F.col("id").alias("ep_id"), "c_custkey", "o_orderkey", "l_suppkey").distinct()
+def tree_nodes(spark: SparkSession, sf_dir: str, which: str = ALL) -> DataFrame:
+    items = _listening(spark, sf_dir, which).select(F.col("id").alias("ep_id"), "c_custkey", "o_orderkey", "l_suppkey")
     items = items.withColumn("k", F.dense_rank().over(Window.partitionBy("ep_id").orderBy("o_orderkey")) - 1).withColumn("j", F.row_number().over(Window.partitionBy("ep_id", "o_orderkey").orderBy("l_suppkey")) - 1)
-    place = lambda name, folder, column: F.concat(_text(f"{folder}/{name}", column), F.lit(".java")).alias("file")
-    line = lambda column: (F.col(column) % 1000 + 1).cast("int").alias("line")
-    root = items.select("ep_id", F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.concat(_text("C", "c_custkey"), F.lit(".on")).alias("method"), _text("C", "c_custkey").alias("class_name"), place("C", "customer", "c_custkey"), line("c_custkey"))
-    order = items.select("ep_id", F.array("k").alias("path"), F.lit(1).alias("depth"), F.concat(_text("orders.place", "o_orderkey")).alias("method"), F.lit("Orders").alias("class_name"), place("O", "orders", "o_orderkey"), line("o_orderkey"))
-    ship = items.select("ep_id", F.array("k", "j").alias("path"), F.lit(2).alias("depth"), F.lit("ship").alias("method"), _text("S", "l_suppkey").alias("class_name"), place("S", "supplier", "l_suppkey"), line("l_suppkey"))
-    return root.distinct().unionByName(order.distinct()).unionByName(ship).withColumn("confidence", F.lit("EXTRACTED"))
+    place = lambda name, folder, column: F.concat(_text(f"{folder}/{name}", column), F.lit(".java"))
+    line = lambda column: (F.col(column) % 1000 + 1).cast("int")
+    node = lambda path, depth, method, owner, file, at: F.struct(path.cast("array<int>").alias("path"), F.lit(depth).alias("depth"), method.alias("method"), owner.alias("class_name"), file.alias("file"), at.alias("line"))
+    root = node(F.array(), 0, F.concat(_text("C", "c_custkey"), F.lit(".on")), _text("C", "c_custkey"), place("C", "customer", "c_custkey"), line("c_custkey"))
+    order = node(F.array("k"), 1, _text("orders.place", "o_orderkey"), F.lit("Orders"), place("O", "orders", "o_orderkey"), line("o_orderkey"))
+    ship = node(F.array("k", "j"), 2, F.lit("ship"), _text("S", "l_suppkey"), place("S", "supplier", "l_suppkey"), line("l_suppkey"))
+    # an order's first supplier brings the order's node along, and the first order's the root: one pass, nothing made distinct again
+    rows = items.select("ep_id", F.explode(F.when((F.col("k") == 0) & (F.col("j") == 0), F.array(root, order, ship)).when(F.col("j") == 0, F.array(order, ship)).otherwise(F.array(ship))).alias("n"))
+    return rows.select("ep_id", "n.*", F.lit("EXTRACTED").alias("confidence"))
+
+
+def graph(spark: SparkSession, sf_dir: str, which: str = ALL, keep: str = "") -> GraphRelations:
+    """The order graph; unreachable are customers without an open order.
+
+    keep names relations that are written to the shared folder first, for questions that read them more than once.
+    """
+    kept = lambda name, df: cut(df) if name in keep.split() else df
+    entries, sends = kept("entry_points", entry_points(spark, sf_dir, which)), kept("producers", producers(spark, sf_dir, which))
+    repos = table(spark, sf_dir, "region").select(_text("R", "r_regionkey").alias("ord"), _text("R", "r_regionkey").alias("repo")).unionByName(spark.createDataFrame([("X", "X-none")], "ord string, repo string"))
+    customers = table(spark, sf_dir, "customer")
+    idle = customers.join(table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    unreachable = idle.select(_text("P:", "c_custkey").alias("id"), F.lit("P").alias("repo"), F.col("c_mktsegment").alias("class_name"), F.col("c_name").alias("method"), F.lit("customer.java").alias("file"), (F.col("c_nationkey") + 1).cast("int").alias("line"))
+    return GraphRelations(entries, sends, kept("members", all_links(entries, sends)), kept("nodes", tree_nodes(spark, sf_dir, which)), unreachable, repos)
 
 
-def graph(spark: SparkSession, sf_dir: str, window: tuple[str, str] = QUARTER) -> GraphRelations:
-    entries, sends = entry_points(spark, sf_dir, window), producers(spark, sf_dir, window)
-    repos = table(spark, sf_dir, "region").select(_text("R", "r_regionkey").alias("ord"), _text("R", "r_regionkey").alias("repo")).unionByName(spark.createDataFrame([("X", "X-none")], "ord string, repo string"))
-    part = table(spark, sf_dir, "part")
-    unreachable = part.filter("p_size = 1").select(_text("P:", "p_partkey").alias("id"), F.lit("P").alias("repo"), F.col("p_brand").alias("class_name"), F.col("p_name").alias("method"), F.lit("part.java").alias("file"), F.col("p_size").cast("int").alias("line"))
-    return GraphRelations(entries, sends, all_links(entries, sends), tree_nodes(spark, sf_dir, window), unreachable, repos, 0)
+def supply_graph(spark: SparkSession, sf_dir: str) -> GraphRelations:
+    """Suppliers as services; a supplier stands above those whose number less one, by FAN_OUT, gives its own."""
+    suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = suppliers.select("s_suppkey", _text("R", "n_regionkey").alias("repo"), _text("S", "s_suppkey").alias("name"), _text("lot-", "s_suppkey").alias("channel"))
+    kind = lambda part: F.get(F.array(*[F.lit(t[part]) for t in SUPPLY_TYPES]), (F.col("s_suppkey") % len(SUPPLY_TYPES)).cast("int"))
+    own = F.concat("repo", F.lit(":"), "name", F.lit(".on:"), "channel")
+    entries = rows.select(
+        own.alias("ord"), own.alias("id"), "repo", kind(0).alias("type"), "channel", F.col("name").alias("class_name"), F.lit("on").alias("method"), F.concat("name", F.lit(".java")).alias("file"), F.lit(1).alias("line"),
+        F.lit("").alias("message_type"), F.when(F.col("s_suppkey") % 2 == 0, "GET").otherwise("").alias("method_type"), F.lit(0).alias("depth"), F.lit(1).alias("total_nodes"), F.lit(1).alias("unique_files"), F.lit(0).alias("branch_count"), F.lit(False).alias("thin"),
+    )
+    above = rows.select(F.col("s_suppkey").alias("_key"), F.col("repo").alias("_repo"), F.col("name").alias("_name"))
+    pairs = rows.filter("s_suppkey > 0").withColumn("_key", F.expr(f"(s_suppkey - 1) div {FAN_OUT}")).join(above, "_key")
+    made = F.concat("_repo", F.lit(":"), "_name", F.lit(".on:send:"), "channel")
+    sends = pairs.select(
+        made.alias("ord"), made.alias("id"), F.col("_repo").alias("repo"), kind(1).alias("type"), "channel", F.concat("_name", F.lit(".on")).alias("method"), F.concat("_name", F.lit(".java")).alias("file"), F.lit(1).alias("line"),
+        F.when(F.col("s_suppkey") % 2 == 1, "get").otherwise("").alias("message_type"), F.when(F.col("s_suppkey") % 3 == 1, "Lot").otherwise("").alias("response_type"),
+    )
+    nodes = rows.select(own.alias("ep_id"), F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.concat("name", F.lit(".on")).alias("method"), F.col("name").alias("class_name"), F.concat("name", F.lit(".java")).alias("file"), F.lit(1).alias("line"), F.lit("EXTRACTED").alias("confidence"))
+    entries, sends = cut(entries), cut(sends)
+    return GraphRelations(entries, sends, cut(all_links(entries, sends)), nodes, None, rows.select(F.col("repo").alias("ord"), "repo").distinct())
 
 
 # ---------------------------------------------------------------- the same relations as DuckDB SQL
 
 
-def relations_sql(window: tuple[str, str] = QUARTER, suffix: str = "") -> str:
-    """CTEs entry_points, producers, nodes and members (with the suffix), for use after WITH."""
-    start, end = window
+def relations_sql(which: str = ALL, suffix: str = "") -> str:
+    """CTEs entry_points, producers, nodes and members (with the suffix) of the order graph, for use after WITH."""
     kinds = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENTRY_TYPES.items())
     types = ", ".join(f"'{t}'" for t in PRODUCER_TYPES)
     s = suffix
     return f"""
-listening{s} AS (
-    SELECT 'R' || n_regionkey || ':C' || c_custkey || '.on:part-' || l_partkey AS id, 'R' || n_regionkey AS repo, 'part-' || l_partkey AS channel, c_custkey, c_mktsegment, o_orderkey, l_suppkey
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-    WHERE o_orderpriority = '1-URGENT' AND l_shipdate >= '{start}' AND l_shipdate < '{end}'
+lines{s} AS (
+    SELECT l_orderkey, l_suppkey, 'part-' || l_partkey || '.' || l_linenumber AS channel, l_returnflag FROM lineitem WHERE {which}
+), listening{s} AS (
+    SELECT DISTINCT 'R' || n_regionkey || ':C' || c_custkey || '.on:' || l.channel AS id, 'R' || n_regionkey AS repo, l.channel, c_custkey, c_mktsegment, o_orderkey, x.l_suppkey
+    FROM lines{s} l JOIN lines{s} x ON x.l_orderkey = l.l_orderkey JOIN orders ON l.l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE l.l_returnflag <> 'R'
 ), entry_points{s} AS (
     SELECT id, repo, CASE c_mktsegment {kinds} ELSE '{OTHER_ENTRY_TYPE}' END AS type, channel, 'C' || c_custkey AS class_name, 'on' AS method, 'customer/C' || c_custkey || '.java' AS file,
         CAST(c_custkey % 1000 + 1 AS INTEGER) AS line, c_mktsegment AS message_type, CASE WHEN c_custkey % 2 = 0 THEN 'GET' ELSE '' END AS method_type, 2 AS depth,
@@ -112,11 +162,11 @@ listening{s} AS (
         CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 5 = 1 END AS thin
     FROM listening{s} GROUP BY id, repo, channel, c_custkey, c_mktsegment
 ), producers{s} AS (
-    SELECT DISTINCT 'R' || n_regionkey || ':S' || s_suppkey || '.ship:send:part-' || l_partkey AS id, 'R' || n_regionkey AS repo, [{types}][s_suppkey % 4 + 1] AS type,
-        'part-' || l_partkey AS channel, 'S' || s_suppkey || '.ship' AS method, 'supplier/S' || s_suppkey || '.java' AS file, CAST(s_suppkey % 1000 + 1 AS INTEGER) AS line,
+    SELECT DISTINCT 'R' || n_regionkey || ':S' || s_suppkey || '.ship:send:' || channel AS id, 'R' || n_regionkey AS repo, [{types}][s_suppkey % 4 + 1] AS type,
+        channel, 'S' || s_suppkey || '.ship' AS method, 'supplier/S' || s_suppkey || '.java' AS file, CAST(s_suppkey % 1000 + 1 AS INTEGER) AS line,
         CASE WHEN s_suppkey % 8 = 1 THEN 'get' ELSE '' END AS message_type, CASE WHEN s_suppkey % 2 = 1 THEN 'Shipment' ELSE '' END AS response_type
-    FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-    WHERE l_returnflag = 'R' AND l_shipdate >= '{start}' AND l_shipdate < '{end}'
+    FROM lines{s} JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+    WHERE l_returnflag = 'R'
 ), items{s} AS (
     SELECT *, dense_rank() OVER (PARTITION BY ep_id ORDER BY o_orderkey) - 1 AS k, row_number() OVER (PARTITION BY ep_id, o_orderkey ORDER BY l_suppkey) - 1 AS j
     FROM (SELECT DISTINCT id AS ep_id, c_custkey, o_orderkey, l_suppkey FROM listening{s})
@@ -124,8 +174,31 @@ listening{s} AS (
     SELECT DISTINCT ep_id, '' AS path, '' AS up, 0 AS depth, 'C' || c_custkey || '.on' AS method, 'C' || c_custkey AS class_name, 'customer/C' || c_custkey || '.java' AS file, CAST(c_custkey % 1000 + 1 AS INTEGER) AS line FROM items{s}
     UNION ALL SELECT DISTINCT ep_id, lpad(CAST(k AS VARCHAR), 4, '0'), '', 1, 'orders.place' || o_orderkey, 'Orders', 'orders/O' || o_orderkey || '.java', CAST(o_orderkey % 1000 + 1 AS INTEGER) FROM items{s}
     UNION ALL SELECT ep_id, lpad(CAST(k AS VARCHAR), 4, '0') || '.' || lpad(CAST(j AS VARCHAR), 4, '0'), lpad(CAST(k AS VARCHAR), 4, '0'), 2, 'ship', 'S' || l_suppkey, 'supplier/S' || l_suppkey || '.java', CAST(l_suppkey % 1000 + 1 AS INTEGER) FROM items{s}
-), m_cons{s} AS (
-    SELECT channel, id, repo FROM entry_points{s} WHERE type IN ('kafka-consumer', 'event-listener', 'websocket')
+), {links_sql(s)}"""
+
+
+def supply_sql() -> str:
+    """The same CTEs of the supply graph."""
+    n = len(SUPPLY_TYPES)
+    heard, made = (", ".join(f"'{t[part]}'" for t in SUPPLY_TYPES) for part in (0, 1))
+    return f"""
+services AS (
+    SELECT s_suppkey, 'R' || n_regionkey AS repo, 'S' || s_suppkey AS name, 'lot-' || s_suppkey AS channel FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), entry_points AS (
+    SELECT repo || ':' || name || '.on:' || channel AS id, repo, [{heard}][s_suppkey % {n} + 1] AS type, channel, name AS class_name, 'on' AS method, CASE WHEN s_suppkey % 2 = 0 THEN 'GET' ELSE '' END AS method_type FROM services
+), producers AS (
+    SELECT p.repo || ':' || p.name || '.on:send:' || c.channel AS id, p.repo, [{made}][c.s_suppkey % {n} + 1] AS type, c.channel, p.name || '.on' AS method,
+        CASE WHEN c.s_suppkey % 2 = 1 THEN 'get' ELSE '' END AS message_type, CASE WHEN c.s_suppkey % 3 = 1 THEN 'Lot' ELSE '' END AS response_type
+    FROM services c JOIN services p ON c.s_suppkey > 0 AND p.s_suppkey = (c.s_suppkey - 1) // {FAN_OUT}
+), nodes AS (
+    SELECT id AS ep_id, class_name || '.on' AS method, class_name FROM entry_points
+), {links_sql()}"""
+
+
+def links_sql(s: str = "") -> str:
+    """CTE members of CTEs entry_points and producers; channels here are as their paths are normalised, but for the slash."""
+    return f"""m_cons{s} AS (
+    SELECT channel, id, repo FROM entry_points{s} WHERE type IN ('kafka-consumer', 'rabbitmq-consumer', 'event-listener', 'websocket')
 ), m_prod{s} AS (
     SELECT channel, id, repo FROM producers{s} WHERE type <> 'http-call'
 ), m_open{s} AS (

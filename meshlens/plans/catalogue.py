@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,15 +12,18 @@ from ..functions import scalars as S
 from ..operators import cycles, diff, links, reach, store, tools, tree, views
 from ..streaming import progress
 from . import adapter
-from .adapter import LATER, QUARTER, graph, relations_sql, table
-from .fixpoint import reachable
+from .adapter import NEW, OLD, graph, relations_sql, supply_graph, supply_sql, table
+from .fixpoint import cut, reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 GRAPH = "WITH RECURSIVE " + relations_sql()
-TWO = "WITH RECURSIVE " + relations_sql(QUARTER, "_old") + ", " + relations_sql(LATER, "_new")
+SUPPLY = "WITH RECURSIVE " + supply_sql()
+TWO = "WITH RECURSIVE " + relations_sql(OLD, "_old") + ", " + relations_sql(NEW, "_new")
+#: What questions about links read more than once.
+ENDS = "entry_points producers"
 SENTINEL_LIST = "('', 'unknown', 'unknown-event')"
 CONSUMER_LIST = "(" + ", ".join(f"'{t}'" for t in S.MESSAGE_CONSUMERS) + ")"
 
@@ -45,12 +49,14 @@ def path_text(column: str = "path") -> F.Column:
 
 @query(GRAPH + " SELECT channel, kind, verb, side, id, repo FROM members WHERE kind = 'message'")
 def link_message(spark, d):
-    return links.link_message(adapter.entry_points(spark, d), adapter.producers(spark, d)).drop("ord")
+    g = graph(spark, d, keep=ENDS)
+    return links.link_message(g.entry_points, g.producers).drop("ord")
 
 
 @query(GRAPH + " SELECT channel, kind, verb, side, id, repo FROM members WHERE kind = 'grpc'")
 def link_grpc(spark, d):
-    return links.link_grpc(adapter.entry_points(spark, d), adapter.producers(spark, d)).drop("ord")
+    g = graph(spark, d, keep=ENDS)
+    return links.link_grpc(g.entry_points, g.producers).drop("ord")
 
 
 _PATH_SQL = r"""'/' || array_to_string(list_transform(list_filter(string_split({0}, '/'), lambda s: s <> ''), lambda s:
@@ -83,7 +89,7 @@ def link_http(spark, d):
 
 @query(GRAPH + " SELECT DISTINCT repo FROM members")
 def repos_involved(spark, d):
-    g = graph(spark, d)
+    g = graph(spark, d, keep=ENDS)
     return links.repos_involved(g.members, g.entry_points, g.producers)
 
 
@@ -98,22 +104,22 @@ def repos_involved(spark, d):
     WHERE type IN {CONSUMER_LIST} AND trim(channel) NOT IN {SENTINEL_LIST} AND NOT EXISTS (SELECT 1 FROM producers p WHERE p.channel = e.channel AND p.type <> 'http-call')"""
 )
 def find_orphans(spark, d):
-    return tools.find_orphans(graph(spark, d))
+    return tools.find_orphans(graph(spark, d, keep=ENDS))
 
 
 @query(ORACLES["find_orphans"].replace("SELECT 'producer' AS side", "SELECT DISTINCT channel FROM (SELECT 'producer' AS side", 1) + ")")
 def orphan_channels(spark, d):
-    return tools.orphan_channels(graph(spark, d))
+    return tools.orphan_channels(graph(spark, d, keep=ENDS))
 
 
 @query(ORACLES["orphan_channels"].replace("SELECT DISTINCT channel FROM", "SELECT repo, side, count(DISTINCT channel) AS channels FROM") + " GROUP BY repo, side")
 def orphans_by_repo(spark, d):
-    return views.orphans_by_repo(graph(spark, d))
+    return views.orphans_by_repo(graph(spark, d, keep=ENDS))
 
 
 @query(ORACLES["orphan_channels"].replace("SELECT DISTINCT channel FROM", "SELECT count(DISTINCT repo) AS gap_count FROM"))
 def gap_count(spark, d):
-    return views.gap_count(graph(spark, d))
+    return views.gap_count(graph(spark, d, keep=ENDS))
 
 
 @query(GRAPH + "SELECT id, repo, type, channel, method, class_name, file, line FROM entry_points WHERE contains(lower(concat_ws(' ', method, class_name, channel, id, message_type)), 'part-12')")
@@ -175,7 +181,7 @@ _FIRST_KIND = "first_kind AS (SELECT channel, arg_min(kind, k) AS kind FROM (SEL
     FROM members JOIN first_kind USING (channel, kind) GROUP BY channel, kind, verb"""
 )
 def list_channels(spark, d):
-    return tools.list_channels(graph(spark, d).members)
+    return tools.list_channels(graph(spark, d, keep=ENDS).members)
 
 
 @query(GRAPH + "SELECT id, repo, type, channel, method, file, line FROM entry_points WHERE coalesce(thin, total_nodes <= 1)")
@@ -185,16 +191,17 @@ def thin_handlers(spark, d):
 
 @query(GRAPH + "SELECT repo FROM (SELECT 'R' || r_regionkey AS repo FROM region UNION ALL SELECT 'X-none') WHERE repo NOT IN (SELECT repo FROM members)")
 def isolated_repos(spark, d):
-    return tools.isolated_repos(graph(spark, d))
+    return tools.isolated_repos(graph(spark, d, keep=ENDS))
 
 
 @query(
     GRAPH
-    + """SELECT (SELECT count(*) FROM part WHERE p_size = 1) AS unreachable_methods, (SELECT count(*) FROM entry_points WHERE coalesce(thin, total_nodes <= 1)) AS thin_handlers,
-    (SELECT count(*) FROM (SELECT 'R' || r_regionkey AS repo FROM region UNION ALL SELECT 'X-none') WHERE repo NOT IN (SELECT repo FROM members)) AS isolated_repos, 0 AS methods_total, true AS method_index_available"""
+    + """SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS unreachable_methods, (SELECT count(*) FROM entry_points WHERE coalesce(thin, total_nodes <= 1)) AS thin_handlers,
+    (SELECT count(*) FROM (SELECT 'R' || r_regionkey AS repo FROM region UNION ALL SELECT 'X-none') WHERE repo NOT IN (SELECT repo FROM members)) AS isolated_repos, (SELECT count(*) FROM customer) AS methods_total, true AS method_index_available"""
 )
 def find_dead_code(spark, d):
-    return tools.dead_code_summary(graph(spark, d))
+    g = graph(spark, d, keep=ENDS).with_(methods_total=table(spark, d, "customer").count())
+    return tools.dead_code_summary(g)
 
 
 @query(GRAPH + "SELECT type, count(*) AS n FROM entry_points GROUP BY type")
@@ -216,12 +223,12 @@ def overview_repos(spark, d):
     (SELECT count(*) FROM producers) AS total_producers, (SELECT count(*) + 1 FROM region) AS total_repos, (SELECT count(*) FROM (SELECT DISTINCT channel, kind, verb FROM members)) AS total_channels"""
 )
 def overview_totals(spark, d):
-    return tools.overview_totals(graph(spark, d))
+    return tools.overview_totals(graph(spark, d, keep=ENDS))
 
 
 @query(GRAPH + "SELECT channel, kind, verb, count(*) FILTER (WHERE side = 'producer') AS producers, count(*) FILTER (WHERE side = 'consumer') AS consumers FROM members GROUP BY channel, kind, verb")
 def overview_channels(spark, d):
-    return tools.overview_channels(graph(spark, d))
+    return tools.overview_channels(graph(spark, d, keep=ENDS))
 
 
 # ---------------------------------------------------------------- cycles and edges
@@ -240,18 +247,18 @@ _CYCLES = (
 
 @query(GRAPH + _CYCLES + " SELECT array_to_string(path, '>') AS repos, CAST(length AS INTEGER) AS length, md5(string_agg(DISTINCT channel, ',' ORDER BY channel)) AS channels, CAST(count(DISTINCT channel) AS INTEGER) AS n_channels FROM found JOIN edges ON src = path[k] AND dst = path[k + 1] GROUP BY path, length")
 def find_cycles(spark, d):
-    found = cycles.find_cycles(graph(spark, d).members)
+    found = cycles.find_cycles(graph(spark, d, keep=ENDS).members)
     return found.select("repos", "length", F.md5(F.array_join("channels", ",")).alias("channels"), F.size("channels").alias("n_channels"))
 
 
 @query(GRAPH + _CYCLES + " SELECT (SELECT count(*) FROM walk WHERE cur = start) AS cycle_count, coalesce((SELECT string_agg(DISTINCT r, ',' ORDER BY r) FROM (SELECT unnest(path) AS r FROM walk WHERE cur = start)), '') AS repos_in_cycles")
 def cycle_summary(spark, d):
-    return cycles.cycle_summary(graph(spark, d).members)
+    return cycles.cycle_summary(graph(spark, d, keep=ENDS).members)
 
 
 @query(GRAPH + f", {_FIRST_KIND}" + _EDGES + " SELECT src, dst, channel, kind, verb FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.src = e.src AND x.dst = e.dst AND x.channel = e.channel AND x.kind < e.kind AND x.kind = 'http' AND e.kind = 'message' AND false) QUALIFY row_number() OVER (PARTITION BY src, dst, channel ORDER BY CASE kind WHEN 'message' THEN 0 WHEN 'http' THEN 1 ELSE 2 END) = 1")
 def repo_edges(spark, d):
-    return views.edge_items(graph(spark, d).members)
+    return views.edge_items(graph(spark, d, keep=ENDS).members)
 
 
 @query(
@@ -263,7 +270,7 @@ def repo_edges(spark, d):
     ELSE concat_ws(' · ', CASE WHEN m > 1 THEN m || ' msgs' WHEN m = 1 THEN '1 msg' END, CASE WHEN h > 0 THEN h || ' HTTP' END, CASE WHEN g > 0 THEN g || ' gRPC' END) END AS label FROM n"""
 )
 def edge_label(spark, d):
-    return views.edge_labels(graph(spark, d).members)
+    return views.edge_labels(graph(spark, d, keep=ENDS).members)
 
 
 @query(
@@ -279,7 +286,7 @@ def edge_label(spark, d):
     FROM cards LEFT JOIN peers USING (repo, channel)"""
 )
 def repo_channel_cards(spark, d):
-    return views.channel_cards(graph(spark, d))
+    return views.channel_cards(graph(spark, d, keep=ENDS))
 
 
 @query(GRAPH + "SELECT repo, count(*) AS n, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM entry_points GROUP BY repo")
@@ -290,9 +297,8 @@ def types_by_repo(spark, d):
 # ---------------------------------------------------------------- call trees
 
 
-_WEEK = ("1995-01-01", "1995-01-08")
-_CALLS_SQL = f"""
-WITH roots AS (SELECT DISTINCT 'O' || o_orderkey AS ep_id FROM orders WHERE o_orderdate >= '{_WEEK[0]}' AND o_orderdate < '{_WEEK[1]}'),
+_CALLS_SQL = """
+WITH roots AS (SELECT DISTINCT 'O' || o_orderkey AS ep_id FROM orders),
 o AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey, l_partkey),
 e1 AS (SELECT 'O' || l_orderkey AS caller, 'P' || l_partkey AS callee, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, l_partkey) AS pos FROM o),
 e2 AS (SELECT 'P' || l_partkey AS caller, 'S' || l_suppkey AS callee, row_number() OVER (PARTITION BY l_partkey ORDER BY l_suppkey) AS pos FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)),
@@ -317,31 +323,22 @@ def _call_edges(spark, d):
     return e1.unionByName(e2).unionByName(e3).unionByName(e4)
 
 
-def _week_roots(spark, d):
-    week = table(spark, d, "orders").filter((F.col("o_orderdate") >= _WEEK[0]) & (F.col("o_orderdate") < _WEEK[1]))
-    return week.select(F.concat(F.lit("O"), "o_orderkey").alias("ep_id")).distinct().withColumn("node", F.col("ep_id"))
+def _order_roots(spark, d):
+    return table(spark, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("ep_id")).distinct().withColumn("node", F.col("ep_id"))
 
 
 @query(_CALLS_SQL + " SELECT ep_id, node, path, depth, CAST(rank AS INTEGER) AS rank FROM tree")
 def call_tree(spark, d):
-    return tree.layered_tree(_week_roots(spark, d), _call_edges(spark, d)).withColumn("path", path_text())
+    return tree.layered_tree(_order_roots(spark, d), _call_edges(spark, d)).withColumn("path", path_text())
 
 
-@query(_CALLS_SQL + " SELECT ep_id, node, path, depth FROM tree")
+@query(_CALLS_SQL + " SELECT ep_id, node, depth, CAST(rank AS INTEGER) AS rank FROM tree")
 def call_tree_general(spark, d):
-    """The same trees by the depth-first form for any call graph."""
-    edges = _call_edges(spark, d)
-    entries = _week_roots(spark, d).select("ep_id", F.col("node").alias("key"), F.col("node").alias("method"), F.lit("").alias("class_name"), F.lit("").alias("file"), F.lit(0).alias("line"))
-    calls = edges.select("caller", F.col("pos").cast("bigint").alias("ord"), F.concat("callee", F.lit("#")).alias("display"), F.lit(1).alias("arity"), "callee", F.lit("").alias("callee_class"), F.lit("").alias("callee_file"), F.lit(0).alias("callee_line"), F.lit(False).alias("ambiguous"))
-    found = tree.call_tree(entries, calls).withColumn("node", F.regexp_replace("method", "#$", ""))
-    # positions count kept children there; the call's own place is the oracle's
-    own = edges.select(F.col("caller").alias("_up"), F.col("callee").alias("node"), "pos")
-    up = found.select("ep_id", F.col("path").alias("_p"), F.col("node").alias("_up"))
-    steps = found.withColumn("_p", F.when(F.col("depth") > 0, F.slice("path", 1, F.size("path") - 1))).join(up, ["ep_id", "_p"], "left").join(own, ["_up", "node"], "left")
-    chain = steps.select("ep_id", "path", "node", "depth", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("k")).withColumn("_a", F.slice("path", 1, F.col("k")))
-    named = chain.join(steps.select("ep_id", F.col("path").alias("_a"), "pos"), ["ep_id", "_a"]).filter("k > 0 or depth = 0")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "pos"))), lambda s: F.lpad(s["pos"].cast("string"), 4, "0")), ".")
-    return named.groupBy("ep_id", "path", "node", "depth").agg(text.alias("p")).select("ep_id", "node", F.col("p").alias("path"), "depth")
+    """The same trees by the depth-first form for any call graph: equal nodes at equal places in pre-order."""
+    entries = _order_roots(spark, d).select("ep_id", F.col("node").alias("key"), F.col("node").alias("method"), F.lit("").alias("class_name"), F.lit("").alias("file"), F.lit(0).alias("line"))
+    calls = cut(_call_edges(spark, d)).select("caller", F.col("pos").cast("bigint").alias("ord"), F.concat("callee", F.lit("#")).alias("display"), F.lit(1).alias("arity"), "callee", F.lit("").alias("callee_class"), F.lit("").alias("callee_file"), F.lit(0).alias("callee_line"), F.lit(False).alias("ambiguous"))
+    rank = F.row_number().over(Window.partitionBy("ep_id").orderBy("path"))
+    return tree.call_tree(entries, calls).select("ep_id", F.regexp_replace("method", "#$", "").alias("node"), "depth", rank.alias("rank"))
 
 
 @query(
@@ -394,24 +391,33 @@ def node_relations(spark, d):
 
 _REACH_SQL = """
 WITH RECURSIVE edges AS (
-    SELECT DISTINCT 'C' || o_custkey AS src, 'P' || l_partkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-    UNION ALL SELECT DISTINCT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45
-    UNION ALL SELECT DISTINCT 'S' || l_suppkey, 'P' || l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 2
-), roots AS (SELECT DISTINCT 'C' || o_custkey AS node FROM orders WHERE o_orderdate < '1995-01-04'),
+    SELECT DISTINCT 'O' || o_orderkey AS src, 'C' || o_custkey AS dst FROM orders
+    UNION ALL SELECT DISTINCT 'O' || l_orderkey, 'P' || l_partkey FROM lineitem
+    UNION ALL SELECT DISTINCT 'P' || l_partkey, 'S' || l_suppkey FROM lineitem
+    UNION ALL SELECT 'S' || s_suppkey, 'N' || s_nationkey FROM supplier
+    UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey FROM supplier
+    UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer
+    UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation
+), roots AS (SELECT DISTINCT 'O' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'O'),
 reached AS (SELECT node FROM roots UNION SELECT dst FROM reached JOIN edges ON src = node)"""
 
 
 def _reach_edges(spark, d):
-    lines = table(spark, d, "lineitem")
-    part, supp = F.concat(F.lit("P"), "l_partkey"), F.concat(F.lit("S"), "l_suppkey")
-    bought = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("C"), "o_custkey").alias("src"), part.alias("dst"))
-    down = lines.filter("l_returnflag = 'A' and l_quantity > 45").select(part.alias("src"), supp.alias("dst"))
-    up = lines.filter("l_returnflag = 'A' and l_quantity < 2").select(supp.alias("src"), part.alias("dst"))
-    return bought.distinct().union(down.distinct()).union(up.distinct())
+    """Orders call their customer and parts, parts their suppliers, those and customers their nation, nations their suppliers and region."""
+    orders, lines, suppliers = (table(spark, d, t) for t in ("orders", "lineitem", "supplier"))
+    key = lambda letter, column: F.concat(F.lit(letter), column)
+    edge = lambda df, src, dst: df.select(src.alias("src"), dst.alias("dst"))
+    nation = key("N", "s_nationkey"), key("S", "s_suppkey")
+    parts = [
+        edge(orders, key("O", "o_orderkey"), key("C", "o_custkey")), edge(lines, key("O", "l_orderkey"), key("P", "l_partkey")).distinct(), edge(lines, key("P", "l_partkey"), key("S", "l_suppkey")).distinct(),
+        edge(suppliers, nation[1], nation[0]), edge(suppliers, *nation), edge(table(spark, d, "customer"), key("C", "c_custkey"), key("N", "c_nationkey")), edge(table(spark, d, "nation"), key("N", "n_nationkey"), key("R", "n_regionkey")),
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def _reached(spark, d):
-    roots = table(spark, d, "orders").filter("o_orderdate < '1995-01-04'").select(F.concat(F.lit("C"), "o_custkey").alias("node"))
+    """What open orders reach."""
+    roots = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.concat(F.lit("O"), "o_orderkey").alias("node"))
     return reachable(roots, _reach_edges(spark, d))
 
 
@@ -420,10 +426,16 @@ def reachable_methods(spark, d):
     return _reached(spark, d).select("node")
 
 
-@query(_REACH_SQL + " SELECT 'P' || p_partkey AS key, p_name AS name FROM part WHERE p_size > 10 AND NOT regexp_matches(p_name, '^(get|set).+|^is.+') AND 'P' || p_partkey NOT IN (SELECT node FROM reached)")
+@query(
+    _REACH_SQL
+    + """ SELECT key, name FROM (SELECT 'C' || c_custkey AS key, c_name AS name, c_acctbal > 0 AS has_body FROM customer UNION ALL SELECT 'P' || p_partkey, p_name, p_size > 10 FROM part)
+    WHERE has_body AND NOT regexp_matches(name, '^(get|set).+|^is.+') AND key NOT IN (SELECT node FROM reached)"""
+)
 def unreachable_methods(spark, d):
-    methods = table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("key"), F.col("p_name").alias("name"), (F.col("p_size") > 10).alias("has_body"))
-    return reach.unreachable_methods(methods, _reached(spark, d)).select("key", "name")
+    method = lambda t, key, name, body: table(spark, d, t).select(key.alias("key"), F.col(name).alias("name"), body.alias("has_body"))
+    customers = method("customer", F.concat(F.lit("C"), "c_custkey"), "c_name", F.col("c_acctbal") > 0)
+    parts = method("part", F.concat(F.lit("P"), "p_partkey"), "p_name", F.col("p_size") > 10)
+    return reach.unreachable_methods(customers.union(parts), _reached(spark, d)).select("key", "name")
 
 
 @query("SELECT count(*) AS methods_total FROM part WHERE p_size > 10")
@@ -452,27 +464,27 @@ origins AS (SELECT * FROM entry_points WHERE type = 'rest-endpoint' OR channel N
 steps AS (
     SELECT 'flow:' || id AS flow_id, [id] AS path, 0 AS depth, id AS entry_id, repo, '' AS via_channel, '' AS kind, '' AS verb, '' AS response_type FROM origins
     UNION ALL SELECT s.flow_id, list_append(s.path, h.dst), s.depth + 1, h.dst, h.dst_repo, h.channel, h.kind, h.verb, h.response_type
-    FROM steps s JOIN hops h ON h.src = s.entry_id WHERE s.depth < 3 AND NOT list_contains(s.path, h.dst))"""
+    FROM steps s JOIN hops h ON h.src = s.entry_id WHERE NOT list_contains(s.path, h.dst))"""
 )
 
 
-@query(GRAPH + _FLOWS + " SELECT id, repo, channel, sync, verb, response_type FROM publishes")
+@query(SUPPLY + _FLOWS + " SELECT id, repo, channel, sync, verb, response_type FROM publishes")
 def publishes(spark, d):
-    return views.publishes(graph(spark, d))
+    return views.publishes(supply_graph(spark, d))
 
 
 def _steps(spark, d):
-    g = graph(spark, d)
+    g = supply_graph(spark, d)
     hops = views.flow_hops(views.publishes(g), g.entry_points)
     return views.detect_flows(views.flow_origins(g.entry_points, g.members), hops)
 
 
-@query(GRAPH + _FLOWS + " SELECT flow_id, array_to_string(path, ' > ') AS path, depth, entry_id, repo, via_channel, kind, verb, response_type FROM steps")
+@query(SUPPLY + _FLOWS + " SELECT flow_id, array_to_string(path, ' > ') AS path, depth, entry_id, repo, via_channel, kind, verb, response_type FROM steps")
 def detect_flows(spark, d):
     return _steps(spark, d).withColumn("path", F.array_join("path", " > "))
 
 
-@query(GRAPH + _FLOWS + " SELECT flow_id, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos, count(DISTINCT repo) AS repo_count, max(depth) AS hop_count, count(DISTINCT repo) > 1 AS has_cross_repo, bool_or(kind IN ('http', 'grpc')) AS has_sync FROM steps GROUP BY flow_id")
+@query(SUPPLY + _FLOWS + " SELECT flow_id, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos, count(DISTINCT repo) AS repo_count, max(depth) AS hop_count, count(DISTINCT repo) > 1 AS has_cross_repo, bool_or(kind IN ('http', 'grpc')) AS has_sync FROM steps GROUP BY flow_id")
 def flow_metrics(spark, d):
     return views.flow_metrics(_steps(spark, d))
 
@@ -481,24 +493,24 @@ _ORIGIN_CASE = lambda part: "CASE type " + " ".join(f"WHEN '{k}' THEN '{v[part]}
 
 
 @query(
-    GRAPH
+    SUPPLY
     + _FLOWS
     + f""" SELECT 'flow:' || id AS flow_id, id, repo, CASE WHEN type = 'rest-endpoint' THEN 'rest' ELSE 'external' END AS origin_type, CASE WHEN type = 'rest-endpoint' THEN 'REST' ELSE {_ORIGIN_CASE(0)} ELSE 'EXTERNAL' END END AS tag,
     CASE WHEN type = 'rest-endpoint' THEN 'REST endpoint' ELSE {_ORIGIN_CASE(1)} ELSE 'external event' END END AS noun, CASE WHEN type = 'rest-endpoint' THEN 'On' ELSE channel END AS name,
     CASE WHEN type = 'rest-endpoint' THEN CASE WHEN method_type <> '' THEN method_type ELSE 'POST' END || ' ' || channel ELSE channel END AS label FROM origins"""
 )
 def flow_origin(spark, d):
-    g = graph(spark, d)
+    g = supply_graph(spark, d)
     return views.flow_origins(g.entry_points, g.members)
 
 
 @query(ORACLES["flow_origin"].replace("SELECT 'flow:' || id AS flow_id, id,", "SELECT flow_id FROM (SELECT 'flow:' || id AS flow_id, id,") + ") o JOIN (SELECT flow_id, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM steps GROUP BY flow_id) m USING (flow_id) WHERE tag <> 'KAFKA' AND contains(lower(concat_ws(' ', name, label, tag, repos)), 'r1')")
 def flow_search(spark, d):
-    g = graph(spark, d)
+    g = supply_graph(spark, d)
     return views.flow_search(views.flow_origins(g.entry_points, g.members), views.flow_metrics(_steps(spark, d)), "R1", hidden=("KAFKA",)).select("flow_id")
 
 
-@query(GRAPH + _FLOWS + " SELECT flow_id, repo, min(depth) AS depth, count(*) AS n_steps FROM steps GROUP BY flow_id, repo")
+@query(SUPPLY + _FLOWS + " SELECT flow_id, repo, min(depth) AS depth, count(*) AS n_steps FROM steps GROUP BY flow_id, repo")
 def flow_repo_nodes(spark, d):
     return views.flow_repo_nodes(_steps(spark, d))
 
@@ -506,17 +518,17 @@ def flow_repo_nodes(spark, d):
 _FLOW_EDGES = """, met AS (SELECT c.flow_id, p.repo AS src, c.repo AS dst, c.via_channel AS channel, c.kind, c.response_type FROM steps c JOIN steps p ON p.flow_id = c.flow_id AND p.path = c.path[:len(c.path) - 1] WHERE c.depth > 0)"""
 
 
-@query(GRAPH + _FLOWS + _FLOW_EDGES + " SELECT DISTINCT flow_id, src, dst, channel, kind FROM met UNION SELECT flow_id, dst, src, channel, 'http-response' FROM met WHERE kind = 'http' AND response_type <> ''")
+@query(SUPPLY + _FLOWS + _FLOW_EDGES + " SELECT DISTINCT flow_id, src, dst, channel, kind FROM met UNION SELECT flow_id, dst, src, channel, 'http-response' FROM met WHERE kind = 'http' AND response_type <> ''")
 def flow_repo_edges(spark, d):
     return views.flow_repo_edges(_steps(spark, d))
 
 
-@query(GRAPH + _FLOWS + _FLOW_EDGES + " SELECT DISTINCT flow_id, channel, kind, dst AS target_repo FROM met WHERE src = 'R1'")
+@query(SUPPLY + _FLOWS + _FLOW_EDGES + " SELECT DISTINCT flow_id, channel, kind, dst AS target_repo FROM met WHERE src = 'R1'")
 def flow_downstream(spark, d):
     return views.flow_downstream(_steps(spark, d), "R1")
 
 
-@query(GRAPH + _FLOWS + " SELECT c.flow_id, c.entry_id, c.depth, CASE WHEN c.kind = 'http' AND c.verb <> '' THEN c.verb || ' ' || c.via_channel ELSE c.via_channel END AS via, p.repo AS from_repo FROM steps c LEFT JOIN steps p ON c.depth > 0 AND p.flow_id = c.flow_id AND p.path = c.path[:len(c.path) - 1] WHERE c.repo = 'R1'")
+@query(SUPPLY + _FLOWS + " SELECT c.flow_id, c.entry_id, c.depth, CASE WHEN c.kind = 'http' AND c.verb <> '' THEN c.verb || ' ' || c.via_channel ELSE c.via_channel END AS via, p.repo AS from_repo FROM steps c LEFT JOIN steps p ON c.depth > 0 AND p.flow_id = c.flow_id AND p.path = c.path[:len(c.path) - 1] WHERE c.repo = 'R1'")
 def flow_trace_repo(spark, d):
     return views.flow_trace_repo(_steps(spark, d), "R1")
 
@@ -535,8 +547,9 @@ def outbound_channels(spark, d):
 # ---------------------------------------------------------------- snapshots and changes
 
 
-def _two(spark, d):
-    return graph(spark, d, QUARTER), graph(spark, d, LATER)
+def _two(spark, d, keep=""):
+    """An older and a newer snapshot of the whole order graph: each leaves out some lines by their quantity."""
+    return graph(spark, d, OLD, keep), graph(spark, d, NEW, keep)
 
 
 _SIGNED = lambda s: f"(SELECT e.id, any_value(e.repo) AS repo, any_value(concat_ws('|', depth, total_nodes, unique_files)) || '|' || any_value(t.tree) AS sig FROM entry_points{s} e LEFT JOIN (SELECT ep_id, md5(string_agg(DISTINCT concat_ws('|', method, file, line), ',' ORDER BY concat_ws('|', method, file, line))) AS tree FROM nodes{s} GROUP BY ep_id) t ON t.ep_id = e.id GROUP BY e.id)"
@@ -557,7 +570,7 @@ def diff_producers(spark, d):
 
 @query(TWO + " " + _STATUS("channel", _LSIG("_old"), _LSIG("_new")))
 def diff_links(spark, d):
-    return diff.diff_links(*_two(spark, d))
+    return diff.diff_links(*_two(spark, d, ENDS))
 
 
 _SUMMARY = f"""{TWO}, e AS ({_STATUS("id", _SIGNED("_old"), _SIGNED("_new"))}), p AS ({_STATUS("id", _PSIG("_old"), _PSIG("_new"))}), l AS ({_STATUS("channel", _LSIG("_old"), _LSIG("_new"))}),
@@ -568,7 +581,7 @@ counts AS (SELECT (SELECT count(*) FROM e WHERE status = 'added') AS entry_point
 
 @query(_SUMMARY + " SELECT * FROM counts")
 def diff_summary(spark, d):
-    return diff.diff_summary(*_two(spark, d))
+    return diff.diff_summary(*_two(spark, d, ENDS))
 
 
 @query(
@@ -579,7 +592,7 @@ def diff_summary(spark, d):
     greatest(entry_points_added, entry_points_removed, entry_points_changed, producers_added, producers_removed, producers_changed, links_added, links_removed) > 0 AS has_changes FROM counts"""
 )
 def diff_summary_text(spark, d):
-    return diff.diff_summary_text(diff.diff_summary(*_two(spark, d)))
+    return diff.diff_summary_text(diff.diff_summary(*_two(spark, d, ENDS)))
 
 
 @query(
@@ -592,7 +605,7 @@ def diff_status(spark, d):
 
 @query(TWO + " SELECT n.ep_id, n.path, n.method, n.file, n.line, NOT EXISTS (SELECT 1 FROM nodes_old o WHERE o.ep_id = n.ep_id AND o.method = n.method AND o.file = n.file AND o.line = n.line) AS is_new FROM nodes_new n")
 def node_diff(spark, d):
-    return diff.node_diff(adapter.tree_nodes(spark, d, QUARTER), adapter.tree_nodes(spark, d, LATER)).withColumn("path", path_text())
+    return diff.node_diff(adapter.tree_nodes(spark, d, OLD), adapter.tree_nodes(spark, d, NEW)).withColumn("path", path_text())
 
 
 @query("SELECT project_id, snapshot_ts FROM (SELECT DISTINCT o_orderpriority AS project_id, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS snapshot_ts FROM orders) QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY snapshot_ts DESC) <= 10")
@@ -960,17 +973,17 @@ def producing_nodes(spark, d):
 @query(
     GRAPH
     + """, cons AS (SELECT channel, kind, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM members WHERE side = 'consumer' GROUP BY channel, kind), prod AS (SELECT channel, kind, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM members WHERE side = 'producer' GROUP BY channel, kind)
-    SELECT e.id, 'out' AS direction, p.channel, c.kind, c.repos FROM entry_points e JOIN (SELECT DISTINCT repo, channel FROM producers) p ON p.repo = e.repo JOIN cons c ON c.channel = p.channel
+    SELECT p.repo AS owner, 'out' AS direction, p.channel, c.kind, c.repos FROM (SELECT DISTINCT repo, channel FROM producers) p JOIN cons c ON c.channel = p.channel
     UNION ALL SELECT e.id, 'in', e.channel, p.kind, p.repos FROM entry_points e JOIN prod p ON p.channel = e.channel WHERE e.type IN ('kafka-consumer', 'event-listener')"""
 )
 def entry_connections(spark, d):
-    return views.entry_connections(graph(spark, d))
+    return views.connections(graph(spark, d, keep=f"{ENDS} members"))
 
 
-@query(GRAPH + _FLOWS + """, pick AS (SELECT repo, channel, method FROM entry_points WHERE id = (SELECT min(id) FROM entry_points WHERE channel IN (SELECT channel FROM members)))
+@query(SUPPLY + _FLOWS + """, pick AS (SELECT repo, channel, method FROM entry_points WHERE id = (SELECT min(id) FROM entry_points WHERE channel IN (SELECT channel FROM members)))
     SELECT DISTINCT s.flow_id FROM steps s JOIN pick ON s.repo = pick.repo JOIN entry_points e ON e.id = s.entry_id AND e.channel = pick.channel AND e.method = pick.method""")
 def flows_for_unit(spark, d):
-    g = graph(spark, d)
+    g = supply_graph(spark, d)
     linked = g.entry_points.join(g.members.select("channel").distinct(), "channel", "left_semi").agg(F.min_by(F.struct("repo", "channel", "method"), "id")).first()[0]
     repo, channel, method = linked or ("", "", "")
     return views.flows_for_unit(_steps(spark, d), g.entry_points, views.publishes(g), views.reached_methods(g), repo, channel, method, "in")

@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds whose tables reachable() keeps apart before it writes them as one.
+COMPACT = 8
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or of the context's own checkpoint folder; without either a cluster has none to share."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    if not (spark.sparkContext.master or "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    import tempfile  # one machine and one process: its folder is shared
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshlens-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder of spark.checkpoint.dir (one of our own only where that is unset) and reads it back."""
-    spark: SparkSession = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshlens-checkpoint-"))
+    """Writes df to the shared checkpoint folder and reads it back: lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, round) of all nodes that edges (src, dst) reach from roots (node); round 0 are the roots.
 
-    Semi-naive: each round joins only the nodes that the last one found, so every edge is followed once.
+    Semi-naive: each round joins only the nodes that the last one found, so every edge is followed
+    once.  Edges are made once, dealt by their source.  Rounds are written apart, so a round costs
+    what it finds and not what has been found; now and then they are written as one.
     """
-    front = cut(roots.select("node").distinct())
-    seen = front.withColumn("round", F.lit(0))
-    k = 0
+    edges = cut(edges.select("src", "dst").repartition("src"))
+    front = cut(roots.select("node").distinct().withColumn("round", F.lit(0)))
+    seen, k = [front], 0
     while not front.isEmpty() and (max_rounds is None or k < max_rounds):
         k += 1
-        following = edges.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        front = cut(following.join(seen, "node", "left_anti"))
-        seen = cut(seen.unionByName(front.withColumn("round", F.lit(k))))
-    return seen
+        following = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        known = reduce(DataFrame.union, [part.select("node") for part in seen])
+        front = cut(following.join(known, "node", "left_anti").withColumn("round", F.lit(k)))
+        seen.append(front)
+        if len(seen) > COMPACT:
+            seen = [cut(reduce(DataFrame.union, seen))]
+    return reduce(DataFrame.union, seen)
