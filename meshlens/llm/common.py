@@ -9,6 +9,7 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses spark.checkpoint.dir; only where that is unset (tests) a folder of our own is taken."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshlens-checkpoint-"))
+def with_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or of the context's own checkpoint folder; without either a cluster has none to share."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    if (spark.sparkContext.master or "").split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="meshlens-checkpoint-"))  # one machine and one process
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -100,6 +105,23 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows in the order of their keys; the last group of a batch waits for its end."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*waiting, batch])
+        columns = [table.column(k).to_numpy() for k in keys]
+        open_rows = np.logical_and.reduce([c == c[-1] for c in columns])
+        done = int(np.argmax(open_rows))
+        if done:
+            yield table.slice(0, done).combine_chunks()
+        waiting = table.slice(done).combine_chunks().to_batches()
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
 def keep_first(known: dict, n: int) -> None:
     """Drops all but the n entries that came first; of words, the frequent ones come early."""
     if len(known) > n:

@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held, unused
-from .quality import fold
+from .sampling import fold, pick, texts_of
 
-#: At most so many labelled rows are sampled, by the hash of their id; longer texts than MAX_CHARS aren't sampled.
+#: At most so many labelled rows are sampled, as many of each language.
 SAMPLE_ROWS = 4000
-MAX_CHARS = 20_000
 #: n-grams of 1 to ORDERS characters, hashed to BUCKETS features.
 ORDERS = 3
 BITS = 15
@@ -124,18 +123,14 @@ def train(rows: list[tuple[int, str, str]]) -> LanguageModel:
     return LanguageModel(languages, idf, weights, float(temperature))
 
 
-def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[int, str, str]]:
-    """At most `rows` rows with a language, outside the held-out fold, least hash of the id first; ids first, then their texts."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0) & (F.length("text") <= max_chars)).select("doc_id", "text", "lang")
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    if not ids:
-        return []
-    picked = docs.sparkSession.createDataFrame(ids, "doc_id bigint").distinct()
-    found = known.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "text", "lang"]).collect()  # `rows` ids at most
-    return [(r.doc_id, r.text, r.lang) for r in sorted(found)][: 4 * rows]
+def labelled_sample(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[int, str, str]]:
+    """(doc_id, excerpt, lang) of at most `rows` ids with a language, outside the held-out fold, as many of each language."""
+    picked, _ = pick(docs.select("doc_id", F.col("lang").alias("label")), rows)
+    return texts_of(docs, picked, "string")
 
 
 def fit(docs: DataFrame, **options) -> LanguageModel:
+    """A model of a bounded sample of the rows with a language; without any, one that calls every text undetermined."""
     return train(labelled_sample(docs.select("doc_id", "text", "lang"), **options))
 
 
@@ -176,7 +171,11 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def drop_undetermined(docs: DataFrame, model: LanguageModel, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a language that scores min_score or more, with their columns as they are."""
+    """The documents with a language that scores min_score or more, with their columns as they are.
+
+    Texts that are null, empty or without a letter go; equal texts stay or go alike and rows that
+    repeat stay; a score that ties with min_score stays.  An empty table gives an empty one.
+    """
     lang_name, score_name = unused(docs, "_lang"), unused(docs, "_score")
     known = with_language(docs, model, lang_name, score_name).filter((F.col(lang_name) != UNDETERMINED) & (F.col(score_name) >= min_score))
     return known.drop(lang_name, score_name)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, bound_batches, cut, held, keep_first, unused
+from .common import arrow_map, arrow_schema, bound_batches, cut, held, keep_first, unused, whole_groups
 from .components import components
 
 WORDS = 5
@@ -246,23 +246,6 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: fl
     return arrow_map(both, make, "a bigint, b bigint", text_col=3)
 
 
-def _groups(batches, keys: tuple[str, ...]):
-    """Tables of whole groups from rows in the order of their keys; the last group of a batch waits for its end."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([*held, batch])
-        columns = [table.column(k).to_numpy() for k in keys]
-        open_rows = np.logical_and.reduce([c == c[-1] for c in columns])
-        done = int(np.argmax(open_rows))
-        if done:
-            yield table.slice(0, done).combine_chunks()
-        held = table.slice(done).combine_chunks().to_batches()
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _starts(columns: list[np.ndarray]) -> np.ndarray:
     """Where groups of equal keys begin, and, last, where the rows end."""
     new = np.ones(len(columns[0]), bool)
@@ -306,7 +289,7 @@ def _suspected(members: DataFrame, similarity: float) -> DataFrame:
         return low[ok], high[ok]
 
     def run(batches):
-        for table in _groups(batches, keys):
+        for table in whole_groups(batches, keys):
             x = {n: table.column(n).to_numpy() for n in (*keys, "node", "component", "n", "part")} | {"signature": _signature_rows(table)}
             starts = _starts([x[k] for k in keys])
             end_of = np.repeat(starts[1:], np.diff(starts))
@@ -333,7 +316,7 @@ def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches):
         shingler = Shingler()
-        for table in _groups(batches, keys):
+        for table in whole_groups(batches, keys):
             x = {n: table.column(n).to_numpy() for n in (*keys, "component", "n", "part")}
             signature, texts = _signature_rows(table), table.column("text")
             starts = _starts([x[k] for k in keys])

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, cut, held, keep_first, resolve
+from .common import arrow_map, arrow_schema, cut, held, keep_first, resolve, unused
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most.
@@ -31,6 +31,8 @@ CACHE = 500_000
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r",.;:!?%$#&*|()\""
 UNIT = re.compile(rf" ?[{_LETTERS}]+(?=[ \n\t\r{_MARKS}])| ?[{_MARKS}]+(?=[ \n\t\r{_LETTERS}])|\n(?=\S)|.+?(?:(?<=\S)(?=[ \n\t\r])|\Z)", re.S)
 _RANK_BITS = 44
+#: Columns that Ranks fills, where no other has their names.
+PART, RANK = "__part", "__rank"
 
 
 # ---------------------------------------------------------------- the plan (driver, on a histogram)
@@ -203,11 +205,12 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) ->
     """Adds sequence_id and offset (long) to every row; rows keep all their columns.
 
     Rows of a null length, or one below 1, get null in both; one above capacity is an error.  An
-    empty table gives an empty one.  Columns called sequence_id or offset are replaced.  Rows that
-    are equal in all columns are packed one by one like any others.
+    empty table gives an empty one.  Columns called sequence_id or offset are replaced, columns of
+    any other name are safe.  Rows that are equal in all columns are packed one by one like any others.
     """
     df = df.drop("sequence_id", "offset")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    names = unused(df, PART), unused(df, RANK)
 
     def ranked():
         rank = Ranks()
@@ -215,11 +218,11 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) ->
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             part, ranks = rank(batch.column(batch.schema.get_field_index(length_col)).to_pylist())
             extra = [pa.array(part, pa.int32()), pa.array(ranks, pa.int64())]
-            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "__part", "__rank"])
+            return pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
         return f
 
-    return _placed(arrow_map(df, ranked, f"{ddl}, __part int, __rank bigint"), length_col, capacity)
+    return _placed(arrow_map(df, ranked, f"{ddl}, {names[0]} int, {names[1]} bigint"), length_col, capacity, *names)
 
 
 class Ranks:
@@ -238,27 +241,27 @@ class Ranks:
         return [self.part] * len(lengths), ranks
 
 
-def _placed(rows: DataFrame, length_col: str, capacity: int) -> DataFrame:
-    """Rows with __part and __rank, which Ranks gave, by their slots."""
-    fields = [f for f in rows.schema if f.name not in ("__part", "__rank")]
+def _placed(rows: DataFrame, length_col: str, capacity: int, part: str = PART, rank: str = RANK) -> DataFrame:
+    """Rows with the columns part and rank, which Ranks gave, by their slots."""
+    fields = [f for f in rows.schema if f.name not in (part, rank)]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     df = rows = cut(rows)
-    counts = rows.filter(F.col(length_col) >= 1).groupBy("__part", F.col(length_col).alias("__length")).agg(F.count("*").alias("__n"))
-    counts = cut(counts)
-    histogram = {r[0]: r[1] for r in counts.groupBy("__length").agg(F.sum("__n")).collect()}  # capacity rows at most
+    at_name = unused(rows, "__at")
+    counts = cut(rows.filter(F.col(length_col) >= 1).groupBy(F.col(part).alias("part"), F.col(length_col).alias("length")).agg(F.count("*").alias("n")))
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # capacity rows at most
     slots = slot_table(plan_packing(histogram, capacity))
-    before = Window.partitionBy("__length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__part", "__length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = rows.join(starts.withColumnRenamed("__part", "__p"), (F.col("__part") == F.col("__p")) & (F.col(length_col) == F.col("__length")), "left")
-    joined = joined.select(*[F.col(f"`{f.name}`") for f in fields], (F.col("__rank") + F.col("__before")).alias("__at"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    joined = rows.join(starts, (rows[part] == starts["part"]) & (rows[length_col] == starts["length"]), "left")
+    joined = joined.select(*[rows[f"`{f.name}`"] for f in fields], (rows[rank] + starts["before"]).alias(at_name))
     target = arrow_schema(df.sparkSession, f"{ddl}, sequence_id bigint, offset bigint")
 
     def placed():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
             length = batch.column(batch.schema.get_field_index(length_col))
-            known = np.asarray(batch.column("__at").is_valid())
+            known = np.asarray(batch.column(at_name).is_valid())
             n = np.asarray(length.fill_null(0)).astype(np.int64)
-            at = np.asarray(batch.column("__at").fill_null(0))
+            at = np.asarray(batch.column(at_name).fill_null(0))
             if not len(slots["key"]):
                 known = np.zeros(len(n), bool)
                 where = np.zeros(len(n), np.int64)
@@ -268,7 +271,7 @@ def _placed(rows: DataFrame, length_col: str, capacity: int) -> DataFrame:
                 i = np.maximum(np.searchsorted(slots["key"], key, side="right") - 1, 0)
                 bin_no, inside = np.divmod(key - slots["key"][i], slots["each"][i])
                 sequence, place = slots["base"][i] + bin_no, slots["place"][i] + inside * n
-            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != "__at"]
+            columns = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != at_name]
             return pa.RecordBatch.from_arrays([*columns, pa.array(sequence, mask=~known), pa.array(place, mask=~known)], schema=target)
 
         return f
@@ -327,9 +330,9 @@ def token_pieces(
 
     A document is its ids and then end_id.  Null text is an empty text, so each row gives a piece.
     Only documents over capacity are cut; their first piece takes the remainder.  Other columns are
-    dropped.  With ranked, __part and __rank are added as pack() does, without another pass through Python.
+    dropped.  With ranked, PART and RANK are added as pack() does, without another pass through Python.
     """
-    schema = f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids + ", __part int, __rank bigint" * ranked
+    schema = f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids + f", {PART} int, {RANK} bigint" * ranked
     tail = np.array([end_id], "<u4").tobytes()
 
     def make():
@@ -352,7 +355,7 @@ def token_pieces(
                     for name, v in zip(out, [*row, np.frombuffer(part, "<u4").astype(np.int32)] if keep_ids else row, strict=True):
                         out[name].append(v)
             if rank:
-                out["__part"], out["__rank"] = rank(out["length"])
+                out[PART], out[RANK] = rank(out["length"])
             return out
 
         return f
@@ -361,5 +364,9 @@ def token_pieces(
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
-    """token_pieces() put into as few sequences of at most capacity tokens as best fit finds: plus sequence_id and offset."""
+    """token_pieces() put into as few sequences of at most capacity tokens as best fit finds: plus sequence_id and offset.
+
+    Null and empty texts are documents of the end token alone; documents that repeat are packed each;
+    of pieces of one length it is arbitrary, but settled by their place in the table, which goes where.
+    """
     return _placed(token_pieces(docs, capacity=capacity, ranked=True, **options), "length", capacity)

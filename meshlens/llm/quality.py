@@ -17,20 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held, unused
+from .sampling import FOLDS, fold, pick, texts_of
 
-#: At most so many labelled rows are sampled, by the hash of their id; longer texts than MAX_CHARS aren't sampled.
+#: At most so many labelled rows are sampled, as many of each label.
 SAMPLE_ROWS = 6000
-MAX_CHARS = 20_000
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
 BLOCK = 1024
+PRIOR_BYTES = 16
 THRESHOLD = 0.3
-FOLDS = 5
-
-
-def fold(doc_id: F.Column, folds: int = FOLDS) -> F.Column:
-    """crc32 of the id as text, modulo folds; fold 0 is held out."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
 @dataclass(frozen=True)
@@ -43,7 +38,10 @@ class QualityModel:
 
 
 class Sizer:
-    """Features of a text: (bad - good) / larger; what the good and the bad dictionary save, and the plain size, a byte."""
+    """Features of a text: (bad - good) / larger; what the good and the bad dictionary save, and the plain size, a byte.
+
+    Sizes are without what an empty block takes, and PRIOR_BYTES keep a few bytes of text from saying much.
+    """
 
     def __init__(self, good: bytes, bad: bytes) -> None:
         import zstandard
@@ -52,13 +50,13 @@ class Sizer:
             dictionary = {"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}
             return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_dict_id=False, **dictionary).compress
 
-        self.each = [compressor(x) for x in (good, bad, None)]
+        self.each = [(f, len(f(b""))) for f in map(compressor, (good, bad, None))]
 
     def __call__(self, text: str) -> tuple[float, ...]:
         raw = text.encode()
-        good, bad, plain = (sum(len(f(raw[i : i + BLOCK])) for i in range(0, max(1, len(raw)), BLOCK)) for f in self.each)
-        n = len(raw) + 1
-        return (bad - good) / max(good, bad), (plain - good) / n, (plain - bad) / n, plain / n
+        good, bad, plain = (sum(len(f(raw[i : i + BLOCK])) - frame for i in range(0, max(1, len(raw)), BLOCK)) for f, frame in self.each)
+        n = len(raw) + PRIOR_BYTES
+        return (bad - good) / (max(good, bad) + PRIOR_BYTES), (plain - good) / n, (plain - bad) / n, plain / n
 
 
 def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
@@ -73,22 +71,23 @@ def dictionary(texts: list[str], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(raw)[-size:] or b"-" * 64
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0) -> np.ndarray:
+    """Weights and, last, the intercept, by Newton's method on rows that count by their weight."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
+    rows = np.ones(len(x)) if weight is None else weight
     penalty = ridge * np.array([1.0] * (len(w) - 1) + [1e-3])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (rows * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (rows * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def train(rows: list[tuple[int, str, int]]) -> QualityModel:
-    """A model of (doc_id, text, quality) rows.
+def train(rows: list[tuple[int, str, int]], sizes: dict[int, int] | None = None) -> QualityModel:
+    """A model of (doc_id, text, quality) rows; sizes says how many documents each label stands for, so that scores are probabilities among those.
 
     The calibration learns from texts that the dictionaries haven't seen: each fifth of the rows is
     measured with dictionaries of the other four.  The model's own dictionaries are of all rows.
@@ -106,29 +105,21 @@ def train(rows: list[tuple[int, str, int]]) -> QualityModel:
         labels += [float(q) for *_, q in unseen]
     if not labels:
         return QualityModel(*dictionaries([]), np.zeros(4), np.ones(4), np.zeros(5))
+    y = np.array(labels)
+    share = {q: (sizes or {}).get(int(q), (y == q).sum()) / (y == q).sum() for q in set(labels)}
+    weight = np.array([share[q] for q in labels])
     x = np.array(features)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return QualityModel(*dictionaries(order), mean, scale, fit_logistic((x - mean) / scale, np.array(labels)))
+    return QualityModel(*dictionaries(order), mean, scale, fit_logistic((x - mean) / scale, y, weight / weight.mean()))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = MAX_CHARS) -> list[tuple[int, str, int]]:
-    """At most `rows` labelled rows outside the held-out fold, least hash of the id first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
+    """(doc_id, excerpt, quality) of at most `rows` labelled ids outside the held-out fold, as many of each label; and the labels' sizes.
 
-    Ids are picked first, and texts of the picked ids only are fetched.  Rows without an id, a text
-    or a label of 0 or 1 aren't picked; of ids that repeat, one text and the least label is.
+    Rows without an id, a text or a label of 0 or 1 aren't picked; of an id's labels the least counts.
     """
-    wanted = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sized = docs.filter(F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0) & (F.length("text") <= max_chars)).select("doc_id")
-    picked = sized.join(wanted, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    if not picked:
-        return []
-    ids = docs.sparkSession.createDataFrame(picked, "doc_id bigint, quality int")
-    found = docs.filter(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # `rows` ids at most
-    texts: dict[int, tuple] = {}
-    for key, text, quality in found.collect():
-        if key not in texts or text < texts[key][0]:
-            texts[key] = (text, quality)
-    return [(key, text, quality) for key, (text, quality) in texts.items()]
+    picked, sizes = pick(labels.filter(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("label")), rows)
+    return texts_of(docs, picked, "int"), sizes
 
 
 def with_score(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
@@ -163,7 +154,8 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> QualityModel:
-    return train(labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), **options))
+    """A model of a bounded sample of the labelled rows; without any, one that gives every text 0.5."""
+    return train(*labelled_sample(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), **options))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,6 +164,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score the threshold or more, with their columns as they are."""
+    """The documents that score the threshold or more, ties included, with their columns as they are.
+
+    Null and empty texts are scored as empty; equal texts stay or go alike and rows that repeat stay.
+    An empty table gives an empty one.
+    """
     name = unused(docs, "_score")
     return with_score(docs, model, name).filter(F.col(name) >= threshold).drop(name)

@@ -10,48 +10,59 @@ from .common import table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 2048 tokens, as pack_documents() says; null texts are empty."""
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text to ids and back, as encode_texts() says; null texts are empty."""
     from .bpe import encode_texts
 
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image and read back, as text_media() says; null texts are empty."""
     from .media import text_media
 
     return text_media(table(spark, sf_dir, "documents"))
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document, as near_duplicates() says; texts without a word are classes of their own."""
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every text, as token_counts() says; null texts are empty."""
     from .token_counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, as languages() says; `und` where a text has no letter."""
     from .language import languages
 
     return languages(table(spark, sf_dir, "documents"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, as extract_text() says; null pages are empty."""
     from .html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and conversation -1 with control strings, formatted, exploded into examples and read back.
+
+    Null texts and roles are empty; tied turns are in the order of role and text; see chat.py.
+    """
     from .chat import conversation_digests, examples, format_turns
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -61,12 +72,14 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector, as near_duplicate_vectors() says."""
     from .embeddings import near_duplicate_vectors
 
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every text, as quality_scores() says; null texts are empty."""
     from .quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -240,11 +240,12 @@ def brute_vectors(rows, similarity=0.93):
     return {i: (links[i], groups.find(i)) for i in labels}
 
 
-@pytest.mark.parametrize("block", [1024, 16])
-def test_vectors_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "target"), [(1024, 256), (16, 256), (16, 4)])
+def test_vectors_equal_brute_force(spark, monkeypatch, block, target):
     from meshlens.llm import embeddings
 
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "TARGET", target)
     rng = np.random.default_rng(3)
     rows = []
     for k in range(300):
@@ -261,13 +262,34 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     assert near_duplicate_vectors(df.limit(0)).collect() == []
 
 
+def test_recall_on_spread_vectors(spark):
+    """A label of 20 000 vectors that lie anywhere, a tenth of them beside another at 0.93 to 1: links against brute force, and few copies."""
+    from meshlens.llm.embeddings import cells_of
+
+    rng = np.random.default_rng(5)
+    base = unit(rng.normal(0, 1, (18_000, 32)))
+    d = rng.normal(0, 1, (2000, 32))
+    side = unit(d - (d * base[:2000]).sum(1, keepdims=True) * base[:2000])
+    cos = rng.uniform(0.93, 1, (2000, 1))
+    x = np.r_[base, cos * base[:2000] + np.sqrt(1 - cos**2) * side]
+    want = np.zeros(len(x), int)
+    for k in range(0, len(x), 1000):
+        want[k : k + 1000] = (unit(x[k : k + 1000]) @ unit(x).T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = np.zeros(len(x), int)
+    for r in near_duplicate_vectors(df).collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 3900 * 0.99
+    assert [cells_of(n)[0] for n in (1, 256, 257, 50_000)] == [0, 0, 1, 8] and cells_of(50_000)[1] < 25 and cells_of(10**8)[1] < 150
+
+
 def test_counting_misses_few_pairs_at_the_threshold():
     rng = np.random.default_rng(4)
     a = unit(rng.normal(0, 1, (2000, 64)))
     d = rng.normal(0, 1, a.shape)
     side = d - (d * a).sum(1, keepdims=True) * a
     b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * unit(side)
-    found = sum(bool(linked(a[k : k + 1], b[k : k + 1])[0, 0]) for k in range(len(a)))
+    found = sum(len(linked(a[k : k + 1], b[k : k + 1])[0]) for k in range(len(a)))
     assert found / len(a) > 0.995
     assert 1 <= calibrated_count() <= 32
 
@@ -293,3 +315,94 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert len({r.sequence_id for r in got}) == len({r.sequence_id for r in want})
     assert 0 < len(rows) < docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "minhash_near_dedup", "best_fit_packing"]
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(12):
+        found = np.sort(rng.choice(50, 6, replace=False))
+        rows.append((found, rng.random(6), int(rng.integers(3))))
+    got = language.ftrl(rows, 3, epochs=2)
+    alpha, beta, l1, l2 = language.ALPHA, language.BETA, language.L1, language.L2
+    z, n = {}, {}
+
+    def weight(f, c):
+        a = z.get((f, c), 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - (l1 if a > 0 else -l1)) / ((beta + n.get((f, c), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(len(rows)):
+            found, x, label = rows[k]
+            logits = [sum(v * weight(f, c) for f, v in zip(found, x, strict=True)) for c in range(3)]
+            total = sum(np.exp(v) for v in logits)
+            for c in range(3):
+                error = np.exp(logits[c]) / total - (c == label)
+                for f, v in zip(found, x, strict=True):
+                    g, before = v * error, weight(f, c)
+                    was = n.get((f, c), 0.0)
+                    n[f, c] = was + g * g
+                    z[f, c] = z.get((f, c), 0.0) + g - (n[f, c] ** 0.5 - was**0.5) / alpha * before
+    want = np.zeros_like(got)
+    for f in range(50):
+        for c in range(3):
+            want[f, c] = weight(f, c)
+    assert np.allclose(got, want)
+
+
+def test_ngram_counts_equal_a_plain_loop():
+    for text in ("", "a", "Ab ba\n\tab", "日本 é" * 20):
+        codes = [32 if ord(c) < 33 else ord(c) for c in f" {text.lower()} "]
+        want = {}
+        for size in range(1, language.ORDERS + 1):
+            for k in range(len(codes) - size + 1):
+                rolled = codes[k]
+                for c in codes[k + 1 : k + size]:
+                    rolled = (rolled * 0x01000193 + c) % 2**32
+                bucket = (rolled + size) * 2654435761 % 2**32 >> (32 - language.BITS)
+                want[bucket] = want.get(bucket, 0) + 1
+        found, n = language.counts_of(text)
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == want
+
+
+def test_sizes_and_scores_equal_a_plain_loop(spark):
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").limit(60).collect()}
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    for key, text in texts.items():
+        raw = text.encode()
+        blocks = [raw[i : i + quality.BLOCK] for i in range(0, len(raw), quality.BLOCK)] or [b""]
+        sizes = []
+        for data in (model.good, model.bad, None):
+            options = {"dict_data": zstandard.ZstdCompressionDict(data)} if data else {}
+            size = lambda x, o=options: len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_dict_id=False, **o).compress(x))
+            sizes.append(sum(size(x) - size(b"") for x in blocks))
+        good, bad, plain = sizes
+        n = len(raw) + quality.PRIOR_BYTES
+        x = [(bad - good) / (max(good, bad) + quality.PRIOR_BYTES), (plain - good) / n, (plain - bad) / n, plain / n]
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights, strict=False)) + model.weights[-1]
+        assert got[key] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_samples_are_bounded_and_hold_every_label(spark):
+    from meshlens.llm.sampling import excerpt, pick, texts_of
+
+    rows = [(k, "common" if k % 500 else "rare", f"text {k}") for k in range(20_000)] + [(7, "common", f"other {k}") for k in range(3000)] + [(None, "common", "x"), (9, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, label string, text string")
+    picked, sizes = pick(df.select("doc_id", "label"), 500)
+    assert len(picked) <= 500 and len({i for i, _ in picked}) == len(picked) and set(sizes) == {"common", "rare"}
+    assert 20 <= sum(label == "rare" for _, label in picked) <= 40 and not any(held_out(i) for i, _ in picked)
+    again, _ = pick(df.select("doc_id", "label").repartition(7), 500)
+    assert sorted(again) == sorted(picked)
+    got = texts_of(df.select("doc_id", "text"), [(7, "common"), (8, "common"), (10**9, "rare")], "string")
+    assert sorted(r[0] for r in got) == [7, 8]
+    long = "".join(chr(97 + k % 26) for k in range(100_000))
+    cut = spark.createDataFrame([(long,), ("short",), (None,)], "t string").select(excerpt(F.col("t")).alias("t")).collect()
+    pieces = cut[0].t.split(" ")
+    assert len(pieces) == 20 and all(len(p) == 1000 and p in long for p in pieces) and long.startswith(pieces[0]) and long.endswith(pieces[-1])
+    assert cut[1].t == "short" and cut[2].t is None
+    assert pick(df.limit(0).select("doc_id", "label"), 5) == ([], {})

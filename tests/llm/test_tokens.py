@@ -135,8 +135,9 @@ def test_pack_general_rows(spark):
     df = spark.createDataFrame([("a", 5), ("b", 5), ("c", None), ("d", 10), ("d", 10), ("e", 0), ("f", 1)], "name string, length bigint")
     from pyspark.sql import functions as F
 
-    df = df.withColumns({n: F.lit(1) for n in ("_part", "_rank", "_at", "_n", "_length", "sequence_id")})
+    df = df.withColumns({n: F.lit(1) for n in ("__part", "__rank", "__at", "__at_", "part", "before", "n", "rank", "sequence_id")})
     rows = pack(df, "length", 10).collect()
+    assert set(pack(df, "length", 10).columns) == {*df.columns, "offset"}
     assert len(rows) == 7 and sorted(r.name for r in rows if r.sequence_id is None) == ["c", "e"]
     check_packing([r for r in rows if r.sequence_id is not None], 10)
 
