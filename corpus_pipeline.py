@@ -17,22 +17,25 @@ from meshlens.llm.common import table, with_checkpoint_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no letter, or whose best language scores under language.MIN_SCORE."""
+    """Documents go that have no letter (null and empty texts, too), or whose best language scores under language.MIN_SCORE; ties stay.
+
+    Rows that repeat stay or go alike; columns stay as they are, whatever their names.
+    """
     return language.drop_undetermined(docs, language.fit(docs))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that score under quality.THRESHOLD."""
+    """Documents go that score under quality.THRESHOLD; ties stay, null texts count as empty ones, rows that repeat stay or go alike."""
     return quality.drop_low_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id stays of each class of near-duplicates."""
+    """The document of least doc_id stays of each class of near-duplicates, one row of it; texts without a word and rows without an id all stay."""
     return minhash.drop_near_duplicates(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 2048 tokens."""
+    """Pieces of all documents with their place in sequences of 2048 tokens; null and empty texts are their end token alone."""
     return packing.pack_documents(docs)
 
 
@@ -48,8 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with_checkpoint_dir(spark)
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """Packed pieces of the documents that the stages keep; an empty table of documents gives an empty one."""
+    folder = f"{with_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
