@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import cycles, diff, links, reach, store, tools, tree, views
+from ..sources import gallery, samples
 from ..streaming import progress
 from . import adapter
 from .adapter import NEW, OLD, graph, relations_sql, supply_graph, supply_sql, table
@@ -795,12 +796,20 @@ def unique_name(spark, d):
     return store.unique_names(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord"))).select("p_partkey", "unique_name")
 
 
-# ---------------------------------------------------------------- extraction from Java sources (no SQL: a parser)
+# ---------------------------------------------------------------- extraction from Java sources (their rows, written down by hand, are the SQL)
+
+
+def literal(columns: str, rows: list[tuple] | tuple) -> str:
+    """Rows as SQL, with the names of their columns."""
+
+    def text(value) -> str:
+        return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS rows_({columns})"
 
 
 def _shop(spark):
     from ..functions.scalars import is_test_path
-    from ..sources import samples
     from ..sources.files import load_config
 
     return samples.files(spark).filter(~is_test_path(F.concat(F.lit("/"), "path"))), load_config(samples.config_files(spark))
@@ -813,38 +822,49 @@ def _shop_index(spark):
     return index(java_types(files)), config
 
 
-@query()
+def _rules_index(spark):
+    """The shop and one class for each detection rule."""
+    from ..sources.extract import index, java_types
+    from ..sources.files import load_config
+
+    one = lambda path, text: spark.createDataFrame([(*path, text)], "repo string, path string, content string")
+    files, _ = _shop(spark)
+    config = load_config(samples.config_files(spark).unionByName(one(*gallery.CONFIG)))
+    return index(java_types(files.unionByName(one(gallery.FILE, gallery.SOURCE)))), config
+
+
+@query(literal("repo, file, fqn, kind, line, supertypes, n_methods", samples.TYPES))
 def java_types(spark, d):
     return _shop_index(spark)[0].types.select("repo", "file", "fqn", "kind", "line", F.array_join("supertypes", ",").alias("supertypes"), F.size("methods").alias("n_methods"))
 
 
-@query()
+@query(literal("repo, method_key, n_params, has_body", samples.method_rows()))
 def java_methods(spark, d):
     return _shop_index(spark)[0].methods.select("repo", "method_key", "n_params", "has_body")
 
 
-@query()
+@query(literal("caller, ord, display, arity, callee, callee_class, callee_file, callee_line, ambiguous", samples.call_rows()))
 def java_calls(spark, d):
     from ..operators.resolve import call_edges
 
-    return call_edges(_shop_index(spark)[0])
+    return call_edges(_shop_index(spark)[0]).withColumn("ord", F.col("ord").cast("int"))
 
 
-@query()
+@query(literal("id, type, channel, line, message_type, method_type", [*samples.ENTRIES, *gallery.entry_rows()]))
 def java_entry_points(spark, d):
     from ..operators.detect import detect_entry_points
 
-    return detect_entry_points(*_shop_index(spark)).select("id", "type", "channel", "line", "message_type", "method_type")
+    return detect_entry_points(*_rules_index(spark)).select("id", "type", "channel", "line", "message_type", "method_type")
 
 
-@query()
+@query(literal("id, type, channel, line, message_type, response_type", [*samples.PRODUCERS, *gallery.producer_rows()]))
 def java_producers(spark, d):
     from ..operators.detect import detect_producers
 
-    return detect_producers(*_shop_index(spark)).select("id", "type", "channel", "line", "message_type", "response_type")
+    return detect_producers(*_rules_index(spark)).select("id", "type", "channel", "line", "message_type", "response_type")
 
 
-@query()
+@query(literal("id, repo, class_name, method, file, line", samples.unreachable_rows()))
 def java_graph_unreachable(spark, d):
     from .analysis import analyze_files
 

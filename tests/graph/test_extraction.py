@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meshlens.plans.analysis import analyze, analyze_files
 from meshlens.plans.catalogue import _shop
-from meshlens.sources import samples
+from meshlens.sources import gallery, samples
 from meshlens.sources.files import flatten_yaml, load_config, scan_config_files, scan_source_files
 from meshlens.sources.javaparse import parse_java
 
@@ -104,3 +104,33 @@ def test_scan_of_folders(spark, tmp_path):
     assert scan_config_files(spark, roots).count() == 1
     graph = analyze(spark, roots)
     assert graph.entry_points.filter(F.col("channel") == "order-in").count() == 1
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """What each class of the gallery gives: entry points and producers by class."""
+    from meshlens.operators.detect import detect_entry_points, detect_producers
+    from meshlens.plans.catalogue import _rules_index
+
+    index = _rules_index(spark)
+    entries = [tuple(r) for r in detect_entry_points(*index).filter("repo = 'gallery'").select("id", "type", "channel", "line", "message_type", "method_type").collect()]
+    producers = [tuple(r) for r in detect_producers(*index).filter("repo = 'gallery'").select("id", "type", "channel", "line", "message_type", "response_type").collect()]
+    return entries, producers
+
+
+@pytest.mark.parametrize("line", range(2, len(gallery.SAMPLES) + 2), ids=[s.name for s in gallery.SAMPLES])
+def test_each_rule_takes_its_class_and_nothing_else(found, line):
+    for got, want in zip(found, (gallery.entry_rows(), gallery.producer_rows()), strict=True):
+        assert sorted(r for r in got if r[3] == line) == sorted(r for r in want if r[3] == line)
+
+
+def test_every_rule_has_a_class():
+    """Annotations, supertypes and senders of the rule tables that stand for a kind of their own occur in the gallery."""
+    from meshlens.operators import detect
+
+    text = gallery.SOURCE
+    for names in (detect.CONSUMERS, detect.REST_VERBS, detect.EVENTS, detect.WEBSOCKETS, detect.SOCKET_METHODS, detect.LIFECYCLE, detect.LIFECYCLE_METHODS, detect.GRAPHQL, detect.FUNCTIONS, detect.AXON):
+        missing = [n for n in names if n not in text]
+        assert not missing, missing
+    kinds = {r[1] for r in gallery.entry_rows()} | {r[1] for r in gallery.producer_rows()}
+    assert kinds >= {kind for kind, _ in detect.CONSUMERS.values()} | {kind for kind, *_ in detect.SENDERS.values()}
