@@ -13,17 +13,27 @@ MESSAGE_CONSUMERS = (
 )
 LINKED_CONSUMERS = (*MESSAGE_CONSUMERS, "websocket")
 #: Calls that say nothing about the execution path.
-TRIVIAL_CALLS = tuple(
-    "println printf print toString hashCode equals getClass valueOf format stream collect toList map filter forEach size isEmpty contains indexOf "
-    "add remove clear put get next hasNext iterator of from copyOf range between assertNull assertNotNull assertThat assertEquals "
-    "debug info warn error trace findFirst findAny orElse orElseThrow builder build create newInstance values keySet entrySet "
-    "asList singletonList emptyList isPresent close flush shutdown stop".split()
-)
+TRIVIAL_CALLS = (
+    "println", "printf", "print", "toString", "hashCode", "equals", "getClass", "valueOf", "format", "stream", "collect", "toList", "map", "filter",
+    "forEach", "size", "isEmpty", "contains", "indexOf", "add", "remove", "clear", "put", "get", "next", "hasNext", "iterator", "of", "from",
+    "copyOf", "range", "between", "assertNull", "assertNotNull", "assertThat", "assertEquals", "debug", "info", "warn", "error", "trace",
+    "findFirst", "findAny", "orElse", "orElseThrow", "builder", "build", "create", "newInstance", "values", "keySet", "entrySet", "asList",
+    "singletonList", "emptyList", "isPresent", "close", "flush", "shutdown", "stop",
+)
 TRIVIAL_DEFINITIONS = ("toString", "hashCode", "equals", "getClass")
 HTTP_VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 TITLE_CHARS = 60
 
 
+#: White space as strip() takes it, at either end.
+_ENDS = "^[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+|[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+$"
+
+
+def strip(x: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(x, _ENDS, "")
+
+
 def last_seg(x: Column) -> Column:
     return F.substring_index(x, ".", -1)
 

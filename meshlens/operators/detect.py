@@ -53,23 +53,51 @@ BUS_CLASSES = ("MessageHandler", "BusHandler", "EventHandler", "Consumer", "List
 BUS_METHODS = ("Handle", "Handles", "OnMessage", "MessageHandler", "Consume", "Subscribe")
 FEIGN = ("FeignClient", "HttpExchange", "HttpExchangeInterface")
 SENDERS = {
-    "KafkaTemplate": ("kafka-producer", "send"), "RabbitTemplate": ("rabbitmq-producer", "convertAndSend convertSendAndReceive send"), "AmqpTemplate": ("rabbitmq-producer", "convertAndSend convertSendAndReceive send"),
-    "JmsTemplate": ("jms-producer", "convertAndSend convertSendAndReceive send"), "ApplicationEventPublisher": ("event-publisher", "publishEvent"), "StreamBridge": ("unknown", "send"),
-    "PulsarTemplate": ("pulsar-producer", "send sendAsync"), "Connection": ("nats-producer", "publish"), "RocketMQTemplate": ("kafka-producer", "syncSend asyncSend sendOneway syncSendOrderly convertAndSend"),
-    "SqsTemplate": ("sqs-producer", "send"), "SqsClient": ("sqs-producer", "sendMessage"), "AmazonSQS": ("sqs-producer", "sendMessage sendMessageBatch"), "AmazonSQSAsync": ("sqs-producer", "sendMessage sendMessageBatch"),
-    "SnsTemplate": ("sns-producer", "send convertAndSend"), "SnsClient": ("sns-producer", "publish"), "AmazonSNS": ("sns-producer", "publish publishBatch"), "AmazonSNSAsync": ("sns-producer", "publish publishBatch"),
-    "JMSProducer": ("jms-producer", "send"), "MqttClient": ("unknown", "publish"), "MqttAsyncClient": ("unknown", "publish"), "RedisTemplate": ("unknown", "convertAndSend"), "StringRedisTemplate": ("unknown", "convertAndSend"),
+    "KafkaTemplate": ("kafka-producer", ("send",)),
+    "RabbitTemplate": ("rabbitmq-producer", ("convertAndSend", "convertSendAndReceive", "send")),
+    "AmqpTemplate": ("rabbitmq-producer", ("convertAndSend", "convertSendAndReceive", "send")),
+    "JmsTemplate": ("jms-producer", ("convertAndSend", "convertSendAndReceive", "send")),
+    "ApplicationEventPublisher": ("event-publisher", ("publishEvent",)),
+    "StreamBridge": ("unknown", ("send",)),
+    "PulsarTemplate": ("pulsar-producer", ("send", "sendAsync")),
+    "Connection": ("nats-producer", ("publish",)),
+    "RocketMQTemplate": ("kafka-producer", ("syncSend", "asyncSend", "sendOneway", "syncSendOrderly", "convertAndSend")),
+    "SqsTemplate": ("sqs-producer", ("send",)),
+    "SqsClient": ("sqs-producer", ("sendMessage",)),
+    "AmazonSQS": ("sqs-producer", ("sendMessage", "sendMessageBatch")),
+    "AmazonSQSAsync": ("sqs-producer", ("sendMessage", "sendMessageBatch")),
+    "SnsTemplate": ("sns-producer", ("send", "convertAndSend")),
+    "SnsClient": ("sns-producer", ("publish",)),
+    "AmazonSNS": ("sns-producer", ("publish", "publishBatch")),
+    "AmazonSNSAsync": ("sns-producer", ("publish", "publishBatch")),
+    "JMSProducer": ("jms-producer", ("send",)),
+    "MqttClient": ("unknown", ("publish",)),
+    "MqttAsyncClient": ("unknown", ("publish",)),
+    "RedisTemplate": ("unknown", ("convertAndSend",)),
+    "StringRedisTemplate": ("unknown", ("convertAndSend",)),
 }
 ROUTED = {
-    "CommandGateway": "send sendAndWait sendAndWaitForMessage", "CommandBus": "dispatch", "EventGateway": "publish", "EventBus": "publish", "QueryGateway": "query scatterGather subscriptionQuery", "QueryBus": "query",
+    "CommandGateway": ("send", "sendAndWait", "sendAndWaitForMessage"),
+    "CommandBus": ("dispatch",),
+    "EventGateway": ("publish",),
+    "EventBus": ("publish",),
+    "QueryGateway": ("query", "scatterGather", "subscriptionQuery"),
+    "QueryBus": ("query",),
 }
 BUS_SENDS = ("send", "sendAndAwait", "publish", "dispatch", "emit", "fire")
 NO_PAYLOADS = ("byte[]", "String", "MessageContext", "ZonedDateTime", "Instant", "Map")
-_ASYNC = "prepareGet preparePost preparePut preparePatch prepareDelete prepareHead prepareOptions execute"
 HTTP_CLIENTS = {
-    "RestTemplate": "getForObject getForEntity postForObject postForEntity put patchForObject delete exchange execute", "WebClient": "get post put patch delete exchange", "RestClient": "get post put patch delete",
-    "HttpClient": "send sendAsync execute", "OkHttpClient": "newCall", "Client": "target invoke", "WebTarget": "request path", "CloseableHttpClient": "execute", "DefaultCloseableHttpClient": "execute",
-    "AsyncHttpClient": _ASYNC, "DefaultAsyncHttpClient": _ASYNC,
+    "RestTemplate": ("getForObject", "getForEntity", "postForObject", "postForEntity", "put", "patchForObject", "delete", "exchange", "execute"),
+    "WebClient": ("get", "post", "put", "patch", "delete", "exchange"),
+    "RestClient": ("get", "post", "put", "patch", "delete"),
+    "HttpClient": ("send", "sendAsync", "execute"),
+    "OkHttpClient": ("newCall",),
+    "Client": ("target", "invoke"),
+    "WebTarget": ("request", "path"),
+    "CloseableHttpClient": ("execute",),
+    "DefaultCloseableHttpClient": ("execute",),
+    "AsyncHttpClient": ("prepareGet", "preparePost", "preparePut", "preparePatch", "prepareDelete", "prepareHead", "prepareOptions", "execute"),
+    "DefaultAsyncHttpClient": ("prepareGet", "preparePost", "preparePut", "preparePatch", "prepareDelete", "prepareHead", "prepareOptions", "execute"),
 }
 TEMPLATE_VERBS = {"getForObject": "GET", "getForEntity": "GET", "postForObject": "POST", "postForEntity": "POST", "put": "PUT", "patchForObject": "PATCH", "delete": "DELETE"}
 ASYNC_VERBS = {"prepareGet": "GET", "preparePost": "POST", "preparePut": "PUT", "preparePatch": "PATCH", "prepareDelete": "DELETE", "prepareHead": "HEAD", "prepareOptions": "OPTIONS"}
@@ -80,6 +108,12 @@ def lookup(column: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), column)
 
 
+def sends_by(kind: Column, table: dict[str, tuple[str, ...]]) -> Column:
+    """Whether the called method (column method) is one that the table has for a type."""
+    rows = [(kind == name) & F.col("method").isin(*methods) for name, methods in table.items()]
+    return F.coalesce(reduce(Column.__or__, rows), F.lit(False))
+
+
 def named(annotations, name: str) -> Column:
     return F.get(F.filter(annotations, lambda a: a["name"] == name), F.lit(0))
 
@@ -256,21 +290,20 @@ def producer_rules(idx: JavaIndex) -> DataFrame:
     # payload-routed: aggregates, gateways, in-house buses
     applied = (F.col("receiver") == "AggregateLifecycle") & (F.col("method") == "apply")
     stub = F.regexp_extract(last_seg(F.col("declared")), "^(.+?)(BlockingStub|FutureStub|Stub)$", 1)
-    member = lambda table: F.coalesce(F.array_contains(F.split(lookup(F.col("declared"), table), " "), F.col("method")), F.lit(False))
-    routed = member(ROUTED)
+    routed = sends_by(F.col("declared"), ROUTED)
     field_payload = F.coalesce(created, built, _payload_name(F.col("first_field")))
     out.append(_producers(sends.filter(applied).withColumn("p", field_payload).filter("p <> ''"), "message-bus-producer", F.col("p"), "apply", mode="fqn", message=F.col("p"), message_mode="fqn"))
     out.append(_producers(sends.filter(~applied & (stub != "")), "grpc-call", F.concat(F.lit("/"), stub, F.lit("/"), "method"), "grpc", mode="plain", message=last_seg(F.col("declared"))))
     out.append(_producers(sends.filter(~applied & (stub == "") & routed).withColumn("p", field_payload).filter("p <> ''"), "message-bus-producer", F.col("p"), "payload", mode="fqn", message=F.col("p"), message_mode="fqn"))
     low = F.lower(last_seg(F.col("field")))
     bus = (F.col("field") != "") & low.rlike("messagebus|eventbus|commandbus|(bus|broker|gateway|messageproducer|producer)$") & F.col("method").isin(*BUS_SENDS)
-    taken = F.coalesce(F.array_contains(F.split(lookup(F.col("field"), ROUTED), " "), F.col("method")), F.lit(False))
+    taken = sends_by(F.col("field"), ROUTED)
     typed = F.coalesce(F.nullif(F.try_element_at("locals", F.col("first_name")), F.lit("")), param_type(F.col("first_name")), F.col("first_field"))
     facade = sends.filter(bus & ~taken).withColumn("p", F.coalesce(created, built, _payload_name(typed))).filter("p <> ''")
     out.append(_producers(facade, "message-bus-producer", F.col("p"), "payload", mode="fqn", message=F.col("p"), message_mode="fqn"))
     # templates: the channel is the first argument, unless a builder's header or a factory call names it
     kind = lookup(F.col("declared"), {k: v[0] for k, v in SENDERS.items()})
-    template = sends.filter(~applied & (stub == "") & ~routed & member({k: v[1] for k, v in SENDERS.items()})).withColumn("kind", kind)
+    template = sends.filter(~applied & (stub == "") & ~routed & sends_by(F.col("declared"), {k: v[1] for k, v in SENDERS.items()})).withColumn("kind", kind)
     upper = F.get(F.filter("args", lambda a: a.rlike("^\\p{Lu}")), F.lit(0))
     new_type = F.get("new_types", F.lit(0))
     publisher = F.col("declared") == "ApplicationEventPublisher"
@@ -283,7 +316,7 @@ def producer_rules(idx: JavaIndex) -> DataFrame:
     out.append(_producers(template.filter(~made & sqs), F.col("kind"), F.col("t"), "call", post="sqs", message=F.col("msg")))
     out.append(_producers(template.filter(made), F.col("kind"), F.col("factory"), "call", mode="plain", message=F.col("msg")))
     # HTTP clients; constructors make no calls
-    http = sends.filter("m_name <> '<init>'").filter(F.coalesce(F.array_contains(F.split(lookup(F.col("field"), HTTP_CLIENTS), " "), F.col("method")), F.lit(False)))
+    http = sends.filter("m_name <> '<init>'").filter(sends_by(F.col("field"), HTTP_CLIENTS))
     apache = F.col("field").isin("CloseableHttpClient", "DefaultCloseableHttpClient", "HttpClient") & (F.col("method") == "execute")
     given = F.get(F.filter(F.transform("args", lambda a: F.upper(a)), lambda a: a.isin(*JAXRS_VERBS)), F.lit(0))
     verb = F.when(apache, F.col("request_verb")).when(F.col("field").isin("AsyncHttpClient", "DefaultAsyncHttpClient"), lookup(F.col("method"), ASYNC_VERBS)).when(F.col("method") == "exchange", F.coalesce(given, F.lit(""))).otherwise(lookup(F.col("method"), TEMPLATE_VERBS))

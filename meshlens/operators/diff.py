@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import cut
 from ..plans.relations import GraphRelations
 
 
@@ -14,13 +17,13 @@ def last_by_id(df: DataFrame, key: str = "id") -> DataFrame:
     return df.filter(F.coalesce(key, F.lit("")) != "").groupBy(key).agg(F.max(F.struct("ord", *[c for c in columns if c != "ord"])).alias("r")).select(key, "r.*")
 
 
-def _status(old: DataFrame, new: DataFrame, key: str, changed: Column | None) -> DataFrame:
-    """key, status of rows (key, _sig) of either side: added, removed, changed or same."""
-    a, b = old.select(F.col(key).alias("_a"), F.col("_sig").alias("_sa")), new.select(F.col(key).alias("_b"), F.col("_sig").alias("_sb"))
-    both = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
-    differs = changed if changed is not None else ~F.col("_sa").eqNullSafe(F.col("_sb"))
-    status = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(differs, "changed").otherwise("same")
-    return both.select(F.coalesce("_b", "_a").alias(key), status.alias("status"))
+def _status(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, status of rows (key, _sig) of either side, one a key: added, removed, changed or same.  Both sides meet in one grouping."""
+    both = old.select(key, "_sig", F.lit(False).alias("_new")).unionByName(new.select(key, "_sig", F.lit(True).alias("_new")))
+    side = lambda s: F.max(F.when(F.col("_new") == s, F.struct(F.lit(1).alias("is"), "_sig")))
+    met = both.groupBy(key).agg(side(False).alias("a"), side(True).alias("b"))
+    status = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a._sig").eqNullSafe(F.col("b._sig")), "changed").otherwise("same")
+    return met.select(key, status.alias("status"))
 
 
 def node_digest(nodes: DataFrame) -> DataFrame:
@@ -37,7 +40,7 @@ def diff_entries(old: GraphRelations, new: GraphRelations) -> DataFrame:
         rows = last_by_id(g.entry_points).join(node_digest(g.nodes).withColumnRenamed("ep_id", "id"), "id", "left")
         return rows.select("id", F.concat_ws("|", *[n.cast("string") for n in numbers], F.coalesce("tree", F.lit(""))).alias("_sig"))
 
-    return _status(signed(old), signed(new), "id", None)
+    return _status(signed(old), signed(new), "id")
 
 
 def diff_producers(old: GraphRelations, new: GraphRelations) -> DataFrame:
@@ -47,7 +50,7 @@ def diff_producers(old: GraphRelations, new: GraphRelations) -> DataFrame:
         rows = last_by_id(g.producers)
         return rows.select("id", F.to_json(F.struct(*sorted(c for c in rows.columns if c not in ("id", "ord")))).alias("_sig"))
 
-    return _status(signed(old), signed(new), "id", None)
+    return _status(signed(old), signed(new), "id")
 
 
 def link_signature(members: DataFrame) -> DataFrame:
@@ -58,16 +61,37 @@ def link_signature(members: DataFrame) -> DataFrame:
 
 def diff_links(old: GraphRelations, new: GraphRelations) -> DataFrame:
     """channel, status: added, removed, changed (its link differs) or same."""
-    return _status(link_signature(old.members), link_signature(new.members), "channel", None)
+    return _status(link_signature(old.members), link_signature(new.members), "channel")
+
+
+def statuses(old: GraphRelations, new: GraphRelations) -> DataFrame:
+    """kind (entry_points, producers, links), key, status of all that either graph has."""
+    parts = {"entry_points": diff_entries(old, new), "producers": diff_producers(old, new), "links": diff_links(old, new)}
+    return reduce(DataFrame.union, [df.toDF("key", "status").select(F.lit(kind).alias("kind"), "key", "status") for kind, df in parts.items()])
+
+
+def _counts(found: DataFrame) -> DataFrame:
+    n = lambda kind, s: F.count(F.when((F.col("kind") == kind) & (F.col("status") == s), 1)).alias(f"{kind}_{s}")
+    three = ("added", "removed", "changed")
+    return found.agg(*[n("entry_points", s) for s in three], *[n("producers", s) for s in three], *[n("links", s) for s in three[:2]])
 
 
 def diff_summary(old: GraphRelations, new: GraphRelations) -> DataFrame:
     """One row of eight counts; links have no "changed" here."""
-    n = lambda s: F.count(F.when(F.col("status") == s, 1))
-    e = diff_entries(old, new).agg(*[n(s).alias(f"entry_points_{s}") for s in ("added", "removed", "changed")])
-    p = diff_producers(old, new).agg(*[n(s).alias(f"producers_{s}") for s in ("added", "removed", "changed")])
-    c = diff_links(old, new).agg(*[n(s).alias(f"links_{s}") for s in ("added", "removed")])
-    return e.join(p).join(c)  # one row each
+    return _counts(statuses(old, new))
+
+
+def diff_graphs(old: GraphRelations, new: GraphRelations) -> dict[str, DataFrame]:
+    """What was added, removed and changed, in order, and diff_summary()."""
+    found = cut(statuses(old, new))
+    listed = lambda kind, s: found.filter((F.col("kind") == kind) & (F.col("status") == s)).select("key").orderBy("key")
+    names = [(k, s) for k in ("entry_points", "producers", "links") for s in ("added", "removed", "changed") if (k, s) != ("links", "changed")]
+    return {f"{k}_{s}": listed(k, s) for k, s in names} | {"summary": _counts(found)}
+
+
+def has_changes(summary: DataFrame) -> Column:
+    """Whether any count of diff_summary() is over 0."""
+    return F.greatest(*summary.columns) > 0
 
 
 def diff_repo_counts(old: GraphRelations, new: GraphRelations) -> DataFrame:
@@ -89,7 +113,7 @@ def diff_summary_text(summary: DataFrame) -> DataFrame:
         " · ", _count_text("+", "entry_points_added", "entry point"), _count_text("~", "entry_points_changed", "changed"), _count_text("−", "entry_points_removed", "removed"),
         _count_text("+", "links_added", "channel"), _count_text("−", "links_removed", "channel"),
     )
-    return summary.select(text.alias("text"), F.greatest(*summary.columns).cast("int").__gt__(0).alias("has_changes"))
+    return summary.select(text.alias("text"), has_changes(summary).alias("has_changes"))
 
 
 def node_diff(old_nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:

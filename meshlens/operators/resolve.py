@@ -72,12 +72,16 @@ def field_types(idx: JavaIndex) -> DataFrame:
     return _best(own.select("key", "name", "type", F.lit(0).alias("rank")).unionByName(above), ["key", "name"], ["rank"]).select("key", "name", "type")
 
 
-def ancestors(idx: JavaIndex, longest: int = 20) -> DataFrame:
-    """(key, target_simple, walk): the type itself and its supertypes at any distance; walk orders them depth-first."""
+def ancestors(idx: JavaIndex, longest: int | None = None) -> DataFrame:
+    """(key, target_simple, walk): the type itself and its supertypes at any distance; walk orders them depth-first.
+
+    A walk meets no name twice, which ends the rounds; `longest` bounds them where that is wanted.
+    """
     step = cut(supertypes(idx).select(F.col("key").alias("_from"), "s_ord", "target", F.col("target_simple").alias("simple")))
     level = cut(idx.types.select("key", F.col("key").alias("at"), F.array("simple_name").alias("names"), F.array().cast("array<int>").alias("walk")))
-    out = level
-    for _ in range(longest):
+    out, k = level, 0
+    while longest is None or k < longest:
+        k += 1
         level = cut(level.join(step, level["at"] == step["_from"]).filter(~F.array_contains("names", F.col("simple"))).select("key", F.col("target").alias("at"), F.array_append("names", F.col("simple")).alias("names"), F.array_append("walk", F.col("s_ord")).alias("walk")))
         if level.isEmpty():
             break

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MESSAGE_CONSUMERS, has_channel, repo_of
+from ..functions.scalars import MESSAGE_CONSUMERS, has_channel, repo_of, strip
 from ..plans.fixpoint import cut
-from ..plans.relations import GraphRelations
+from ..plans.relations import UNREACHABLE_DDL, GraphRelations
 
 _PLACE = ("id", "repo", "type", "channel", "method", "file", "line")
 
@@ -92,8 +92,8 @@ def find_orphans(graph: GraphRelations) -> DataFrame:
 
     HTTP calls have no message channel; gRPC calls are held against message consumers and so always remain.
     """
-    consumers = graph.entry_points.filter(F.col("type").isin(*MESSAGE_CONSUMERS)).withColumn("channel", F.trim("channel")).filter(has_channel(F.col("channel")))
-    producers = graph.producers.filter(F.col("type") != "http-call").withColumn("channel", F.trim("channel")).filter(has_channel(F.col("channel")))
+    consumers = graph.entry_points.filter(F.col("type").isin(*MESSAGE_CONSUMERS)).withColumn("channel", strip(F.col("channel"))).filter(has_channel(F.col("channel")))
+    producers = graph.producers.filter(F.col("type") != "http-call").withColumn("channel", strip(F.col("channel"))).filter(has_channel(F.col("channel")))
     lone = producers.join(consumers.select("channel").distinct(), "channel", "left_anti").withColumn("repo", F.when(F.col("repo") == "", repo_of(F.col("id"))).otherwise(F.col("repo")))
     deaf = consumers.join(producers.select("channel").distinct(), "channel", "left_anti")
     return lone.select(F.lit("producer").alias("side"), *_PLACE).unionByName(deaf.select(F.lit("consumer").alias("side"), *_PLACE))
@@ -149,18 +149,59 @@ def overview_channels(graph: GraphRelations) -> DataFrame:
     return graph.members.groupBy("channel", "kind", "verb").agg(n("producer").alias("producers"), n("consumer").alias("consumers"))
 
 
+def dead_code(graph: GraphRelations) -> dict[str, DataFrame]:
+    """The lists behind dead_code_summary(), and that."""
+    unreachable = graph.unreachable if graph.unreachable is not None else graph.entry_points.sparkSession.createDataFrame([], UNREACHABLE_DDL)
+    return {"unreachable_methods": unreachable, "thin_handlers": thin_handlers(graph), "isolated_repos": isolated_repos(graph), "summary": dead_code_summary(graph)}
+
+
+def architecture_overview(graph: GraphRelations) -> dict[str, DataFrame]:
+    """Totals, entry points by type, repositories and links."""
+    return {"totals": overview_totals(graph), "entry_types": overview_types(graph), "repo_summary": overview_repos(graph), "channel_summary": overview_channels(graph)}
+
+
+def entry_point(graph: GraphRelations, entry_point_id: str) -> dict[str, DataFrame]:
+    """One entry point and its call tree; an unknown id is an error."""
+    own = graph.entry_points.filter(F.col("id") == entry_point_id)
+    if own.isEmpty():
+        raise LookupError(f"there is no entry point {entry_point_id!r}")
+    return {"entry_point": own, "call_tree_flat": get_node(graph, entry_point_id)}
+
+
+def callers(graph: GraphRelations, method_name: str) -> DataFrame:
+    """find_callers() with the entry point's type, channel and repository."""
+    from .tree import find_callers
+
+    place = graph.entry_points.select(F.col("id").alias("ep_id"), "type", "channel", "repo").dropDuplicates(["ep_id"])
+    return find_callers(graph.nodes, method_name).join(place, "ep_id", "left").select("ep_id", "type", "channel", "repo", "called_method", "call_path")
+
+
+def select_project(projects: DataFrame, project: str = "") -> DataFrame:
+    """The project of an id, or the newest that is ready; an error if there is none."""
+    from .store import default_project
+
+    found = projects.filter(F.col("id").cast("string") == project) if project else default_project(projects)
+    if found.isEmpty():
+        raise LookupError(f"there is no project {project!r}" if project else "no project is ready")
+    return found
+
+
 def task_complete(status: str = "complete", message: str = "", next_steps: str = "", summary: str = "") -> dict:
     """What a caller reports when it is done; an unknown status counts as complete."""
     return {"type": "task_complete", "status": status if status in ("complete", "incomplete") else "complete", "message": message or summary or "", "next_steps": next_steps or ""}
 
 
 def run_tool(graph: GraphRelations, name: str, arguments: dict) -> DataFrame | dict:
-    """A tool by its name.  Arguments that it doesn't have are dropped; a failure is returned as {"error": ...}."""
+    """A tool by its name: its rows, lazy, or several such by name.
+
+    Arguments that it doesn't have are dropped.  What fails while the plan is made is returned as
+    {"error": ...}; what fails when rows are fetched, fetch() returns so.
+    """
     import inspect
 
     tools = registry()
     if name not in tools:
-        return {"error": f"Unknown tool: {name}"}
+        return {"error": f"there is no tool {name!r}"}
     tool = tools[name]
     names = [p for p in inspect.signature(tool).parameters if p != "graph"]
     try:
@@ -169,16 +210,30 @@ def run_tool(graph: GraphRelations, name: str, arguments: dict) -> DataFrame | d
         return {"error": str(e)}
 
 
+def fetch(answer: DataFrame | dict, rows: int = 1000) -> dict:
+    """A tool's answer as plain values: the first rows of each table, or the error that fetching them met."""
+    try:
+        if isinstance(answer, DataFrame):
+            return {"rows": [r.asDict(recursive=True) for r in answer.limit(rows).collect()]}
+        return {k: fetch(v, rows)["rows"] if isinstance(v, DataFrame) else v for k, v in answer.items()}
+    except Exception as e:  # noqa: BLE001 - what a query raises is its answer
+        return {"error": str(e)}
+
+
 def registry() -> dict[str, Callable]:
+    from ..sources.files import resolve_source_path, source_lines
     from .cycles import find_cycles
-    from .diff import diff_summary
-    from .tree import find_callers, trace_path
+    from .diff import diff_graphs
+    from .store import list_projects
+    from .tree import trace_path
+
+    def get_source(graph, files, file_path, start_line=1, end_line=0, highlight_line=0):
+        return source_lines(resolve_source_path(files, file_path), start_line, end_line, highlight_line)
 
     return {
-        "search_code": search_code, "get_node": get_node, "get_channel_flow": get_channel_flow, "find_orphans": find_orphans, "get_architecture_overview": overview_totals,
-        "find_callers": lambda graph, method_name: find_callers(graph.nodes, method_name),
-        "trace_path": lambda graph, from_method, to_method: trace_path(graph.nodes, from_method, to_method),
-        "list_channels": lambda graph: list_channels(graph.members), "find_cycles": lambda graph: find_cycles(graph.members), "find_dead_code": dead_code_summary,
-        "diff_graphs": lambda graph, old_graph: diff_summary(old_graph, graph),
+        "search_code": search_code, "get_node": entry_point, "get_channel_flow": get_channel_flow, "find_orphans": find_orphans, "get_architecture_overview": architecture_overview,
+        "find_callers": callers, "trace_path": lambda graph, from_method, to_method: trace_path(graph.nodes, from_method, to_method),
+        "list_channels": lambda graph: list_channels(graph.members), "find_cycles": lambda graph: find_cycles(graph.members), "find_dead_code": dead_code, "get_source": get_source,
+        "diff_graphs": lambda graph, old_graph: diff_graphs(old_graph, graph), "list_projects": lambda graph, projects: list_projects(projects), "select_project": lambda graph, projects, project="": select_project(projects, project),
         "task_complete": lambda graph, status="complete", message="", next_steps="", summary="": task_complete(status, message, next_steps, summary),
     }

@@ -671,6 +671,10 @@ def last_seg(spark, d):
 # ---------------------------------------------------------------- sources, conversations, boards, logs
 
 
+_WHITE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]+"
+_STRIPPED = lambda x: f"regexp_replace({x}, '^{_WHITE}|{_WHITE}$', '', 'g')"
+
+
 @query("SELECT doc_id, CAST(i AS INTEGER) AS line, string_split(text, chr(10))[i] AS content, i = 2 AS highlighted FROM (SELECT doc_id, text, unnest(range(1, least(3, len(string_split(text, chr(10)))) + 1)) AS i FROM documents WHERE text IS NOT NULL)")
 def source_lines(spark, d):
     from ..sources.files import source_lines as lines_of
@@ -680,10 +684,10 @@ def source_lines(spark, d):
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, trim(unnest(string_split(replace(text, '. ', ' = '), chr(10)))) AS line FROM documents WHERE text IS NOT NULL)
-    SELECT DISTINCT doc_id, trim(CASE WHEN contains(line, '=') THEN split_part(line, '=', 1) ELSE split_part(line, ':', 1) END) AS key,
-    trim(CASE WHEN contains(line, '=') THEN substr(line, strpos(line, '=') + 1) ELSE substr(line, strpos(line, ':') + 1) END) AS value FROM l
-    WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '!') AND (contains(line, '=') OR contains(line, ':'))"""
+    r"""WITH l AS (SELECT doc_id, @line@ AS line FROM (SELECT doc_id, unnest(regexp_split_to_array(replace(text, '. ', ' = '), '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')) AS raw FROM documents WHERE text IS NOT NULL)),
+    s AS (SELECT doc_id, CASE WHEN contains(line, '=') THEN split_part(line, '=', 1) ELSE split_part(line, ':', 1) END AS k, CASE WHEN contains(line, '=') THEN substr(line, strpos(line, '=') + 1) ELSE substr(line, strpos(line, ':') + 1) END AS v
+    FROM l WHERE line <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '!') AND (contains(line, '=') OR contains(line, ':')))
+    SELECT DISTINCT doc_id, @k@ AS key, @v@ AS value FROM s""".replace("@line@", _STRIPPED("raw")).replace("@k@", _STRIPPED("k")).replace("@v@", _STRIPPED("v"))
 )
 def parse_properties(spark, d):
     from ..sources.files import parse_properties as parse
@@ -976,7 +980,7 @@ def field_type(spark, d):
 
 @query(
     _TYPES_SQL
-    + """, up AS (SELECT p_partkey, p_partkey AS at, [simple] AS names FROM types UNION ALL SELECT u.p_partkey, s.target, list_append(u.names, s.simple) FROM up u JOIN supers s ON s.p_partkey = u.at WHERE NOT list_contains(u.names, s.simple) AND len(u.names) <= 20)
+    + """, up AS (SELECT p_partkey, p_partkey AS at, [simple] AS names FROM types UNION ALL SELECT u.p_partkey, s.target, list_append(u.names, s.simple) FROM up u JOIN supers s ON s.p_partkey = u.at WHERE NOT list_contains(u.names, s.simple))
     SELECT p_partkey, names[-1] AS ancestor, CAST(len(names) - 1 AS INTEGER) AS distance FROM up"""
 )
 def hierarchy(spark, d):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,6 +122,20 @@ def write_graph(graph: GraphRelations, path: str, snapshot_ts: int) -> None:
             value.write.mode("overwrite").parquet(f"{path}/{f.name}/snapshot_ts={snapshot_ts}")
 
 
+def read_snapshot(spark: SparkSession, path: str, snapshot_ts: int) -> GraphRelations:
+    """The relations that write_graph() wrote for a time; methods_total isn't kept there."""
+
+    def read(name: str, ddl: str) -> DataFrame:
+        return spark.read.schema(ddl).parquet(f"{path}/{name}/snapshot_ts={int(snapshot_ts)}")
+
+    ddl = {"entry_points": ENTRY_DDL, "producers": PRODUCER_DDL, "members": MEMBER_DDL, "nodes": NODE_DDL, "repos": "ord string, repo string"}
+    try:
+        unreachable = read("unreachable", UNREACHABLE_DDL)
+    except AnalysisException:  # a graph without that index
+        unreachable = None
+    return GraphRelations(unreachable=unreachable, **{name: read(name, columns) for name, columns in ddl.items()})
+
+
 def nested_trees(nodes: DataFrame, levels: int = 5) -> DataFrame:
     """ep_id, call_tree: node tables as nested trees, from the leaves up; a tree has 50 nodes at most by its cap."""
     parent = F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))

@@ -8,22 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import is_pruned_path, is_test_path
+from ..functions.scalars import is_pruned_path, is_test_path, strip
 
 #: File suffixes of the languages that have a parser, longest first.
 LANGUAGES = ((".java", "java"),)
 
 
 def _repo_files(spark: SparkSession, roots: dict[str, str], pattern: str) -> DataFrame:
-    """repo, path (below the root), content of matching files; whole files, one row each."""
-    out = None
-    for repo, root in roots.items():
-        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
-        top = root.rstrip("/").split("://")[-1]
-        below = F.col("path").substr(F.locate(top, F.col("path")) + len(top), F.length("path"))
-        rows = files.select(F.lit(repo).alias("repo"), below.alias("path"), F.decode("content", "UTF-8").alias("content"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """repo, path (below the root), content of matching files; whole files, one row each.
+
+    One scan reads all repositories; a file is joined with the roots among the folders above it.
+    """
+    plain = {repo: "/" + root.split("://")[-1].strip("/") for repo, root in roots.items()}
+    tops = {t: roots[repo] for repo, t in plain.items()}
+    outer = [root for t, root in tops.items() if not any(t.startswith(o + "/") for o in tops)]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(outer)
+    path = F.regexp_replace("path", "^[A-Za-z0-9+.-]+:/+", "/")
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    placed = files.select(path.alias("_path"), "content", F.explode(above).alias("top"))
+    known = spark.createDataFrame([(repo, top) for repo, top in plain.items()], "repo string, top string")
+    found = placed.join(F.broadcast(known), "top")  # as many rows as there are repositories
+    return found.select("repo", F.expr("substring(_path, length(top) + 1)").alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def scan_source_files(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
@@ -43,6 +49,10 @@ def language_of(path: F.Column) -> F.Column:
     return out
 
 
+#: Where a text's lines end.
+LINE_ENDS = "\r\n|[\n\r\\x0B\\x0C\\x1C-\\x1E\\x85\u2028\u2029]"
+
+
 def parse_properties(files: DataFrame) -> DataFrame:
     """key, value of the lines of content, with the other columns and the line's place (ord).
 
@@ -50,28 +60,30 @@ def parse_properties(files: DataFrame) -> DataFrame:
     at its first colon; a line with neither is skipped.
     """
     others = [c for c in files.columns if c != "content"]
-    lines = files.select(*others, F.posexplode(F.split("content", "\r?\n")).alias("ord", "_raw")).withColumn("_line", F.trim("_raw"))
+    lines = files.select(*others, F.posexplode(F.split("content", LINE_ENDS)).alias("ord", "_raw")).withColumn("_line", strip(F.col("_raw")))
     split = lines.filter(~F.col("_line").rlike("^[#!]") & (F.col("_line") != "")).withColumn("_at", F.locate("=", F.col("_line"))).withColumn("_at", F.when(F.col("_at") > 0, F.col("_at")).otherwise(F.locate(":", F.col("_line"))))
-    return split.filter("_at > 0").select(*others, "ord", F.trim(F.expr("substring(_line, 1, _at - 1)")).alias("key"), F.trim(F.expr("substring(_line, _at + 1)")).alias("value"))
+    return split.filter("_at > 0").select(*others, "ord", strip(F.expr("substring(_line, 1, _at - 1)")).alias("key"), strip(F.expr("substring(_line, _at + 1)")).alias("value"))
 
 
 def flatten_yaml(text: str) -> list[tuple[str, str]]:
-    """Dotted keys of a block of nested mappings; list items and lines without a colon are skipped."""
+    """Dotted keys of a block of nested mappings.
+
+    List items, comment lines and lines without a colon are skipped; only blanks indent; a value loses
+    its double quotes, then its single ones, at either end; what follows a # in it belongs to it.
+    """
     out: list[tuple[str, str]] = []
     above: list[tuple[int, str]] = []
     for raw in text.splitlines():
-        line = raw.split(" #")[0].rstrip()
-        body = line.lstrip()
-        if not body or body.startswith(("#", "- ", "---")) or ":" not in body:
+        body = raw.strip()
+        if not body or body.startswith(("#", "- ")) or ":" not in body:
             continue
-        indent = len(line) - len(body)
+        indent = len(raw) - len(raw.lstrip(" "))
         while above and above[-1][0] >= indent:
             above.pop()
         key, _, value = body.partition(":")
-        value = value.strip()
-        name = ".".join([*(k for _, k in above), key.strip()])
+        value = value.strip().strip('"').strip("'")
         if value:
-            out.append((name, value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value))
+            out.append((".".join([*(k for _, k in above), key.strip()]), value))
         else:
             above.append((indent, key.strip()))
     return out

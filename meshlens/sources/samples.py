@@ -49,7 +49,7 @@ class Quarkus { @Incoming("in") @Outgoing("out") public Done run(Job j) { return
 """,
     ("order", "src/test/OrderControllerTest.java"): "class OrderControllerTest { @KafkaListener(topics=\"no\") void no() { } }",
 }
-CONFIG = {("order", "application.properties"): "# topics\napp.topic=order-in\n", ("stock", "application.yml"): "mp:\n  messaging:\n    incoming:\n      in:\n        topic: jobs  # physical\n    list:\n      - a: b\n"}
+CONFIG = {("order", "application.properties"): "# topics\napp.topic=order-in\n", ("stock", "application.yml"): "mp:\n  messaging:\n    incoming:\n      in:\n        topic: jobs\n    list:\n      - a: b\n"}
 
 
 def files(spark: SparkSession) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from meshlens.plans.analysis import analyze, analyze_files
 from meshlens.plans.catalogue import _shop
 from meshlens.sources import gallery, samples
-from meshlens.sources.files import flatten_yaml, load_config, scan_config_files, scan_source_files
+from meshlens.sources.files import flatten_yaml, load_config, parse_properties, scan_config_files, scan_source_files
 from meshlens.sources.javaparse import parse_java
 
 
@@ -48,6 +48,9 @@ def test_parser_survives_broken_sources(text):
 
 def test_yaml_and_properties(spark):
     assert flatten_yaml("a:\n  b: 1\n  c:\n    d: 'x y'\n- skip: me\n# no\ne: \"q\"") == [("a.b", "1"), ("a.c.d", "x y"), ("e", "q")]
+    assert flatten_yaml('a: x # y\nb: "one\n\tc:\n  - d: e\nf:\n\tg: h') == [("a", "x # y"), ("b", "one"), ("g", "h")]
+    lines = spark.createDataFrame([("\ttab = \u00a0v \x0b\r\n ! no=1\rcolon: a=b\x0cnone",)], "content string")
+    assert [(r.key, r.value) for r in parse_properties(lines).orderBy("ord").collect()] == [("tab", "v"), ("colon: a", "b")]
     config = {r.key: r.value for r in load_config(samples.config_files(spark)).collect()}
     assert config == {"app.topic": "order-in", "mp.messaging.incoming.in.topic": "jobs"}
 

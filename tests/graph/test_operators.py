@@ -221,11 +221,72 @@ def test_boards_and_diagrams(spark):
     assert len(row) == 1 and row[0].asDict() | {"raw": ""} == {"id": "github:o/r#4", "number": "4", "title": "a & b", "status": "open", "assignee": "x", "labels": ["l"], "url": "u", "updated_at": "", "raw": ""}
     item = {"id": 9, "fields": [{"name": "Status", "value": {"name": "Doing"}}], "content": {"number": 2, "title": "t", "assignees": ["q"], "labels": []}}
     assert store.normalize_project_items(spark.createDataFrame([(json.dumps(item),)], "payload string"), "o/1").select("id", "status", "assignee").collect()[0] == ("github-project:o/1#9", "Doing", "q")
-    panel = store.mutate_diagrams([], "replace", code="a b a")["diagrams"]
-    done = store.mutate_diagrams(panel, "patch", edits=[{"find": "a", "replace": "c"}])
-    assert done["diagrams"][0]["code"] == "c b c" and done["patched"] == [{"find": "a", "replacements": 2}]
-    assert "error" in store.mutate_diagrams(panel, "patch", edits=[{"find": "zz", "replace": ""}]) and panel[0]["code"] == "a b a"
-    assert store.mutate_diagrams(panel, "append", code="!")["diagrams"][0]["code"] == "a b a!" and store.mutate_diagrams(panel, "clear")["diagrams"] == []
+
+
+def test_changes_of_diagrams(spark):
+    def change(rows, *changes):
+        made = [(c, a, *[more.get(k) for k in ("diagram_id", "header", "code", "kind", "edits", "now", "new_id")]) for c, a, more in changes]
+        after, told = store.change_diagrams(spark.createDataFrame(rows, store.DIAGRAM_DDL), spark.createDataFrame(made, store.CHANGE_DDL))
+        return [tuple(r) for r in after.orderBy("conv_id", "ord").collect()], {r.conv_id: r for r in told.collect()}
+
+    panel, told = change([], ("c", "replace", {"code": "a b a", "new_id": "d1", "now": "t1"}), ("e", None, {"header": " H ", "kind": "odd", "new_id": "d2"}))
+    assert panel == [("c", "d1", "Diagram", "mermaid", "a b a", "t1", 0), ("e", "d2", "H", "mermaid", "", None, 0)] and told["c"].action == "add"
+    after, told = change(panel, ("c", " PATCH ", {"edits": [("a", "c"), ("b", "a")], "now": "t2"}))
+    assert after[0] == ("c", "d1", "Diagram", "mermaid", "c a c", "t2", 0) and after[1] == panel[1], "others stay"
+    assert (told["c"].replaced, told["c"].error, told["c"].diagram_id) == (3, None, "d1")
+    after, told = change(panel, ("c", "patch", {"edits": [("a", "x"), ("zz", "")]}))
+    assert after == panel and "zz" in told["c"].error and told["c"].replaced == 0, "all or nothing"
+    assert change(panel, ("c", "append", {"code": "!"}))[0][0][4] == "a b a!" and change(panel, ("c", "clear", {}))[0] == panel[1:]
+    two, told = change(panel, ("c", "add", {"diagram_id": "d1", "code": "n", "new_id": "d3"}))
+    assert [r[1] for r in two] == ["d1", "d3", "d2"] and told["c"].diagram_id == "d3", "a taken id gives a new one"
+    for action, more in (("append", {"code": "!"}), ("replace", {"diagram_id": "none"}), ("patch", {"diagram_id": "d1"}), ("fly", {})):
+        after, told = change(two, ("c", action, more))
+        assert after == two and told["c"].error, action
+    assert change(two, ("c", "remove", {"diagram_id": "d1"}))[0] == two[1:] and change(two, ("c", "remove", {}))[0] == two
+    assert change(two, ("c", "replace", {"diagram_id": "d3", "kind": "html", "code": "<p>", "header": "N"}))[0][1][2:5] == ("N", "html", "<p>")
+
+
+def test_tools_give_lists_and_errors(spark, tmp_path):
+    tree_rows = [("b:C1.on:linked", [], 0, "C1.on", "C1", "f", 1, "EXTRACTED"), ("b:C1.on:linked", [0], 1, "repo.save", "Repo", "g", 2, "EXTRACTED")]
+    old = graph(spark, e=[("b", "C1", "kafka-consumer", "linked")], p=[("a", "P1", "kafka-producer", "linked")], m=[("linked", "a", "b")], nodes=tree_rows)
+    new = graph(spark, e=[("b", "C1", "kafka-consumer", "linked"), ("b", "C2", "kafka-consumer", "late")], m=[("late", "a", "b")], nodes=tree_rows)
+    found = tools.fetch(tools.run_tool(new, "diff_graphs", {"old_graph": old}))
+    assert found["entry_points_added"] == [{"key": "b:C2.on:late"}] and found["producers_removed"] == [{"key": "a:P1.send:linked"}]
+    assert found["links_added"] == [{"key": "late"}] and found["summary"][0]["links_removed"] == 1 and found["entry_points_changed"] == []
+    assert "no entry point" in tools.run_tool(new, "get_node", {"entry_point_id": "x"})["error"]
+    node = tools.fetch(tools.run_tool(new, "get_node", {"entry_point_id": "b:C1.on:linked"}))
+    assert [r["method"] for r in node["call_tree_flat"]] == ["C1.on", "repo.save"] and node["entry_point"][0]["channel"] == "linked"
+    (caller,) = tools.fetch(tools.run_tool(new, "find_callers", {"method_name": "SAVE"}))["rows"]
+    assert (caller["type"], caller["channel"], caller["repo"], caller["call_path"]) == ("kafka-consumer", "linked", "b", "C1.on > repo.save")
+    dead = tools.fetch(tools.run_tool(new, "find_dead_code", {}))
+    assert dead["isolated_repos"] == [] and dead["summary"][0]["method_index_available"] is False and dead["unreachable_methods"] == []
+    overview = tools.fetch(tools.run_tool(new, "get_architecture_overview", {}))
+    assert overview["totals"][0]["total_entry_points"] == 2 and overview["entry_types"] == [{"type": "kafka-consumer", "n": 2}]
+    files = spark.createDataFrame([("b", "src/C1.java", "one\ntwo\nthree")], "repo string, path string, content string")
+    source = tools.fetch(tools.run_tool(new, "get_source", {"files": files, "file_path": "src/C1.java", "start_line": 2, "highlight_line": 3}))
+    assert [(r["line"], r["content"], r["highlighted"]) for r in source["rows"]] == [(2, "two", False), (3, "three", True)]
+    projects = spark.createDataFrame([("p1", "ready", "2"), ("p2", "ready", "3"), ("p3", "error", "4")], "id string, status string, updated_at string")
+    assert tools.fetch(tools.run_tool(new, "select_project", {"projects": projects}))["rows"][0]["id"] == "p2"
+    assert "no project" in tools.run_tool(new, "select_project", {"projects": projects, "project": "p9"})["error"]
+    broken = new.with_(entry_points=new.entry_points.withColumn("id", F.raise_error(F.lit("lost")).cast("string")))
+    assert "lost" in tools.fetch(tools.run_tool(broken, "search_code", {"query": "x"}))["error"], "what fails later is an answer, too"
+
+
+def test_diff_with_a_snapshot(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    old = graph(spark, e=[("b", "C1", "kafka-consumer", "t")], m=[("t", "a", "b")])
+    new = graph(spark, e=[("b", "C2", "kafka-consumer", "t")], m=[("t", "a", "b")])
+    assert store.project_diff(new, folder)["no_baseline"]
+    write_graph(old, folder, 10)
+    write_graph(new, folder, 20)
+    assert store.list_snapshots(spark, folder) == [20, 10]
+    latest = store.project_diff(new, folder, light=True)
+    assert latest["compared_at"] == 20 and tools.fetch(latest["diff"])["entry_points_added"] == [] and "old_graph" not in latest
+    chosen = store.project_diff(new, folder, at="10")
+    assert tools.fetch(chosen["diff"])["entry_points_added"] == [{"key": "b:C2.on:t"}] and chosen["old_graph"].entry_points.count() == 1
+    for wrong in ("11", "x", "../10"):
+        with pytest.raises(LookupError):
+            store.project_diff(new, folder, at=wrong)
 
 
 def test_store(spark):
@@ -261,9 +322,11 @@ def test_graph_document_round_trip(spark, tmp_path):
     assert "error" in tools.run_tool(g, "nope", {}) and tools.run_tool(g, "task_complete", {"status": "?"})["status"] == "complete"
     for name in tools.registry():
         if name not in ("diff_graphs", "task_complete"):
-            arguments = {"query": "a", "entry_point_id": "a:A.on:t", "method_name": "x", "from_method": "on", "to_method": "x", "channel": "t"}
-            tools.run_tool(g, name, arguments).count()
-    assert tools.run_tool(g, "diff_graphs", {"old_graph": g}).collect()[0].entry_points_changed == 0
+            files = spark.createDataFrame([("a", "f", "x")], "repo string, path string, content string")
+            projects = spark.createDataFrame([("p", "ready", "1")], "id string, status string, updated_at string")
+            arguments = {"query": "a", "entry_point_id": "a:A.on:t", "method_name": "x", "from_method": "on", "to_method": "x", "channel": "t", "files": files, "file_path": "f", "projects": projects}
+            assert "error" not in tools.fetch(tools.run_tool(g, name, arguments)), name
+    assert tools.fetch(tools.run_tool(g, "diff_graphs", {"old_graph": g}))["summary"][0]["entry_points_changed"] == 0
     text = graph_document(g).select(F.to_json(F.struct("*")).alias("j"))
     again = from_documents(text.select(F.from_json("j", DOCUMENT_DDL).alias("d")).select("d.*"))
     for relation in ("entry_points", "producers", "nodes", "repos"):
