@@ -115,6 +115,8 @@ class Writer:
             if kind < 0.08:
                 self.out.append("<p><b>" + self.sentences(1, 6) + "<br>")
                 self.marks.append(1)
+            elif kind < 0.16:  # a line of a list or table in words: within an article it is text, whatever it looks like
+                self.block("p", rng.choice((" | ", " | ", " - ", " · ")).join(self.words(1, 2) + rng.choice(("", "", ".", ",")) for _ in range(rng.choice((2, 2, 3, 5, 9, 18, 30)))) + rng.choice((" |", "")), 1)
             elif kind < 0.75:
                 text = self.sentences(1, 6)
                 self.block("p", f"<b>{text}</b>" if rng.random() < 0.1 else f'{text} <a href="/x">{self.words(1, 2)}</a>.' if rng.random() < 0.15 else text, 1)
@@ -143,9 +145,148 @@ class Writer:
                 self.out.append(f"</{tag}>")
 
 
-def labelled_page(seed: int) -> tuple[str, list[int]]:
-    """(html, a mark for each leaf block in page order): 1 for main text."""
-    w = Writer(seed)
+#: Layouts that pages are written in; of ten pages, so many are of each.
+FAMILIES = {"semantic": 5, "columns": 2, "tables": 2, "bare": 1}
+#: Class names that say where a part stands and not what it is.
+CENTRE = "col-main main-col column center centre middle page wrapper inner container col-md-8 left-col primary box".split()
+EDGE = "col-left col-right left right column col-md-4 secondary rail gutter box inner".split()
+SEPARATORS = (" | ", " | ", " · ", " / ", " » ", " - ", " ")
+
+
+def family_of(seed: int) -> str:
+    return [name for name, n in FAMILIES.items() for _ in range(n)][seed % 10]
+
+
+def labelled_page(seed: int, family: str | None = None) -> tuple[str, list[int]]:
+    """(html, a mark for each leaf block in page order): 1 for main text.  The family follows from the seed unless it is given."""
+    family = family or family_of(seed)
+    w = Layouts(seed)
+    if family == "semantic":
+        return semantic_page(w, seed)
+    getattr(w, family)()
+    return "".join(w.out), w.marks
+
+
+class Layouts(Writer):
+    """Pages whose markup names no part: columns, layout tables, and text without any container."""
+
+    def said(self, text: str, main: int) -> None:
+        self.out.append(text)
+        self.marks.append(main)
+
+    def menu(self) -> str:
+        """A few links in one line, or their words alone."""
+        rng = self.rng
+        words = [self.words(1, 2).capitalize() for _ in range(rng.randint(2, 7))]
+        linked = rng.random() < 0.75
+        return rng.choice(SEPARATORS).join(f'<a href="/{k}">{x}</a>' if linked else x for k, x in enumerate(words))
+
+    def start(self) -> None:
+        head = self.rng.random() < 0.8
+        self.out.append(f"<html><head><title>{self.words(2, 6)}</title></head><body>" if head else "<body>")
+        if head:
+            self.marks.append(0)
+
+    def text(self, between: tuple[str, str]) -> None:
+        """An article's title and paragraphs; between: what opens and closes a paragraph."""
+        rng, (opening, closing) = self.rng, between
+        self.block(rng.choice(("h1", "h1", "h2")), self.words(2, 9).capitalize(), 1)
+        for _ in range(rng.choice((1, 2, 2, 3, 4, 6, 9))):
+            text = self.sentences(2, 6)
+            if rng.random() < 0.15:
+                text += f' <a href="/y">{self.words(1, 2)}</a>.'
+            self.said(f"{opening}{text}{closing}", 1)
+            if rng.random() < 0.12:
+                self.block(rng.choice(("h2", "h3")), self.words(1, 6), 1)
+            if rng.random() < 0.08:
+                self.out.append("<ul>")
+                for _ in range(rng.randint(2, 4)):
+                    self.block("li", self.words(3, 12), 1)
+                self.out.append("</ul>")
+
+    def edge(self) -> None:
+        """What stands beside an article or around it."""
+        rng, kind = self.rng, self.rng.random()
+        if kind < 0.35:
+            if rng.random() < 0.5:
+                self.block(rng.choice(("h3", "h4", "div", "p")), self.words(1, 3).capitalize(), 0)
+            self.links(2, 7)
+        elif kind < 0.6:
+            self.block(rng.choice(("p", "div")), self.menu(), 0)
+        elif kind < 0.8:
+            self.block("h4", self.words(1, 3).capitalize(), 0)
+            self.block("p", f'<a href="/z">{self.words(2, 6)}</a>', 0)
+        else:
+            self.block("p", self.words(1, 6), 0)
+
+    def foot(self) -> None:
+        self.block(self.rng.choice(("p", "div")), self.rng.choice((f"&copy; {self.rng.randint(1999, 2030)} {self.words(1, 4)}", f"Copyright © {self.words(1, 3)}", self.menu())), 0)
+
+    def columns(self) -> None:
+        rng = self.rng
+        name = lambda names: f' class="{rng.choice(names)}"' if rng.random() < 0.7 else f' id="{rng.choice(names)}"' if rng.random() < 0.4 else ""
+        self.start()
+        if rng.random() < 0.7:
+            self.out.append("<div>")
+            self.block(rng.choice(("p", "div", "h2")), self.words(1, 4).capitalize(), 0)
+            self.block(rng.choice(("p", "div")), self.menu(), 0)
+            self.out.append("</div>")
+        self.out.append('<div class="row">' if rng.random() < 0.5 else "<div>")
+        parts = ["centre"] + ["edge"] * rng.randint(1, 2)
+        rng.shuffle(parts)
+        for part in parts:
+            self.out.append(f"<div{name(CENTRE if part == 'centre' else EDGE)}>")
+            if part == "centre":
+                self.text(("<p>", "</p>") if rng.random() < 0.8 else ("<div>", "</div>"))
+            else:
+                for _ in range(rng.randint(1, 3)):
+                    self.edge()
+            self.out.append("</div>")
+        self.out.append("</div>")
+        self.foot()
+        self.out.append("</body></html>")
+
+    def tables(self) -> None:
+        rng = self.rng
+        self.start()
+        self.out.append(rng.choice(("<table>", '<table width="100%" border=0>')))
+        if rng.random() < 0.7:
+            self.out.append("<tr>")
+            self.block("td", self.words(1, 4).capitalize(), 0, ' colspan="2"')
+            self.out.append("</tr>")
+        if rng.random() < 0.8:
+            self.out.append("<tr>")
+            self.block("td", self.menu(), 0)
+            self.out.append("</tr>")
+        self.out.append("<tr>")
+        cells = ["text", *["edge"] * rng.randint(0, 2)]
+        rng.shuffle(cells)
+        for cell in cells:
+            self.out.append(rng.choice(("<td>", '<td valign="top">')))
+            if cell == "text":
+                self.text(rng.choice((("<p>", "</p>"), ("<p>", ""), ("<div>", "</div>"))))
+            else:
+                for _ in range(rng.randint(1, 2)):
+                    self.edge()
+            self.out.append("</td>")
+        self.out.append("</tr><tr>")
+        self.block("td", rng.choice((f"&copy; {self.words(1, 3)}", self.menu())), 0)
+        self.out.append("</tr></table></body></html>")
+
+    def bare(self) -> None:
+        rng = self.rng
+        self.start()
+        if rng.random() < 0.6:
+            self.block("p", self.menu(), 0)
+        self.text(("<p>", rng.choice(("</p>", ""))))
+        if rng.random() < 0.5:
+            self.out.append("<hr>")
+            self.foot()
+        self.out.append("</body></html>")
+
+
+def semantic_page(w: Writer, seed: int) -> tuple[str, list[int]]:
+    """Pages whose tags or class names say what their parts are."""
     rng = w.rng
     if rng.random() < 0.12:  # an article and nothing else
         w.article()

@@ -8,7 +8,7 @@ import pytest
 
 from meshlens.llm.chat import DIGEST_SQL, conversation_digests, examples, expand, format_turns, unescape
 from meshlens.llm.html_blocks import blocks, path
-from meshlens.llm.html_samples import labelled_page
+from meshlens.llm.html_samples import FAMILIES, labelled_page
 from meshlens.llm.html_text import Crf, extract_text, main_text, trained
 from meshlens.llm.media import area_resize, decode, difference_hash, encode_bmp, encode_pgm, encode_ppm, media_tiles, npy_tile, text_media
 
@@ -153,6 +153,57 @@ def test_field_on_unseen_pages():
     assert wrong / total < 0.01
 
 
+#: Pages written by hand in layouts of their own, and their main texts.
+UNLIKE = {
+    'columns': (
+        "<html><body><div class='row'><div class='col-side'><ul><li><a href=/a>News</a></li><li><a href=/b>Sport</a></li></ul></div><div class='col-main'><h1>Storm closes the harbour</h1><p>The harbour was closed on Monday after a storm damaged two piers, the town said.</p><p>Ferries will run again once repairs are done, which may take a week.</p></div><div class='col-side'><h4>Weather</h4><p>Sunny, 21 degrees</p></div></div><div>Copyright 2020 The Daily</div></body></html>",
+        'Storm closes the harbour The harbour was closed on Monday after a storm damaged two piers, the town said. Ferries will run again once repairs are done, which may take a week.',
+    ),
+    'table': (
+        '<html><body><table><tr><td>Home | About | Contact</td></tr><tr><td><a href=/1>Archive</a><br><a href=/2>Links</a></td><td><h1>How to bake bread</h1><p>Mix the flour with water and salt, then wait for an hour.</p><p>Bake it for forty minutes. Let it cool before you cut it.</p></td></tr><tr><td>&copy; 2001 Baker</td></tr></table></body></html>',
+        'How to bake bread Mix the flour with water and salt, then wait for an hour. Bake it for forty minutes. Let it cool before you cut it.',
+    ),
+    'bare': (
+        '<p><a href=/>Home</a> | <a href=/x>Next</a></p><h1>Notes on sorting</h1><p>Sorting puts things in order. It is often slow.</p><p>Merge sort is stable, and its cost is known.</p>',
+        'Notes on sorting Sorting puts things in order. It is often slow. Merge sort is stable, and its cost is known.',
+    ),
+    'wiki': (
+        "<html><head><title>Heron - Encyc</title></head><body><div id='mw-panel'><ul><li><a href='/m'>Main page</a></li><li><a href='/r'>Random article</a></li></ul></div><div id='bodyContent'><h1>Heron</h1><p>Herons are <a href='/b'>birds</a> of the family Ardeidae.<sup>[1]</sup> There are 72 species.</p><h2>Diet</h2><p>They eat fish, frogs and insects.</p><ul><li>Grey heron, found in Europe and Asia</li><li>Goliath heron, the largest of all</li></ul></div><div id='footer'><p>Text is available under a free licence; see <a href='/t'>terms</a>.</p></div></body></html>",
+        'Heron Herons are birds of the family Ardeidae.[1] There are 72 species. Diet They eat fish, frogs and insects. Grey heron, found in Europe and Asia Goliath heron, the largest of all',
+    ),
+    'news': (
+        "<html><body><div class='cookie-banner'><p>We use cookies to improve your visit. By going on you agree.</p><button>Accept</button></div><header><a href='/'>The Courier</a><nav><a href='/w'>World</a> <a href='/b'>Business</a></nav></header><main><article><h1>Bridge opens early</h1><p class='byline'>By Ann Lee</p><p>The new bridge opened two weeks before its date, and traffic was light.</p><aside class='promo'><p>Subscribe for one euro a week!</p></aside><p>Officials said tolls begin in June.</p></article><section class='comments'><h3>2 comments</h3><p>Great news, I drive there daily.</p></section></main><footer><p>© 2024 The Courier</p></footer></body></html>",
+        'Bridge opens early By Ann Lee The new bridge opened two weeks before its date, and traffic was light. Officials said tolls begin in June.',
+    ),
+    'blog': (
+        '<body><div class=wrap><div class=top><a href=/>My blog</a></div><div class=main><h2>Planting beans</h2><div>Beans like warm soil, so wait until May.</div><div>Plant them two inches deep. Water them daily at first.</div></div><div class=rightbar><h4>Older posts</h4><ul><li><a href=/1>Peas</a><li><a href=/2>Corn</a></ul></div><div class=bottom>Copyright 2011 me</div></div></body>',
+        'Planting beans Beans like warm soil, so wait until May. Plant them two inches deep. Water them daily at first.',
+    ),
+    'old': (
+        "<html><body bgcolor=white><center><b>Welcome to Tom's page</b></center><table><tr><td width=120><a href=a.html>Home</a><br><a href=b.html>Photos</a></td><td><h2>My trip to Oslo</h2><p>We took the night train and slept badly.<p>In the morning the fjord was full of fog.</td></tr></table><hr><p>Last updated 3 May 1998</body></html>",
+        'My trip to Oslo We took the night train and slept badly. In the morning the fjord was full of fog.',
+    ),
+}
+
+
+@pytest.mark.parametrize("name", UNLIKE)
+def test_pages_unlike_the_samples(name):
+    page, want = UNLIKE[name]
+    assert main_text(page, trained()) == want
+
+
+@pytest.mark.parametrize("family", FAMILIES)
+def test_field_on_unseen_pages_of_each_family(family):
+    wrong = total = 0
+    for seed in range(70_000, 70_100):
+        html, marks = labelled_page(seed, family)
+        page = blocks(html)
+        assert len(page) == len(marks)
+        wrong += sum(a != b for a, b in zip(trained().decode(page), marks, strict=True))
+        total += len(marks)
+    assert wrong / total < 0.015
+
+
 def test_viterbi_equals_enumeration():
     import itertools
 
