@@ -220,7 +220,7 @@ class Layouts(Writer):
             self.block("p", self.words(1, 6), 0)
 
     def foot(self) -> None:
-        self.block(self.rng.choice(("p", "div")), self.rng.choice((f"&copy; {self.rng.randint(1999, 2030)} {self.words(1, 4)}", f"Copyright © {self.words(1, 3)}", self.menu())), 0)
+        self.block(self.rng.choice(("p", "div")), self.rng.choice((f"&copy; {self.rng.randint(1999, 2030)} {self.words(1, 4)}", f"Copyright © {self.words(1, 3)}", f"{self.words(1, 2).capitalize()} {self.rng.randint(1, 28)} {self.words(1, 1)} {self.rng.randint(1995, 2030)}", self.menu())), 0)
 
     def columns(self) -> None:
         rng = self.rng
@@ -288,8 +288,14 @@ class Layouts(Writer):
 def semantic_page(w: Writer, seed: int) -> tuple[str, list[int]]:
     """Pages whose tags or class names say what their parts are."""
     rng = w.rng
-    if rng.random() < 0.12:  # an article and nothing else
-        w.article()
+    if rng.random() < 0.16:  # an article and nothing else
+        if rng.random() < 0.35:  # of a few words
+            tag = rng.choice(("article", "article", "main"))
+            w.out.append(f"<{tag}>")
+            w.block(rng.choice(("p", "p", "p", "h1")), w.words(1, 5).capitalize() + rng.choice(("", ".", ".")), 1)
+            w.out.append(f"</{tag}>")
+        else:
+            w.article()
         return "".join(w.out), w.marks
     w.out.append(f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{w.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
     w.marks.append(0)

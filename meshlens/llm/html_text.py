@@ -22,7 +22,7 @@ from .html_blocks import Block, Node, blocks, path
 from .html_samples import labelled_page
 
 #: Pages to learn from, passes over them, learning rate and ridge penalty.
-PAGES, EPOCHS, RATE, RIDGE = 1000, 8, 0.3, 1e-4
+PAGES, EPOCHS, RATE, RIDGE = 1500, 8, 0.3, 1e-4
 #: What stands between the words of a menu in one line.
 _SEPARATOR = re.compile(r"\s[|·»/•>-]+(?:\s|$)")
 #: Places whose scores a model remembers.
