@@ -255,7 +255,8 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block, target):
     rows += [(900 + k, rows[5][1], rows[5][2]) for k in range(9)]
     nan, inf = float("nan"), float("inf")
     rows += [(1000, None, 1), (1001, [], 1), (1002, [0.0] * 16, 1), (1003, [nan] + [1.0] * 15, 1), (1004, [inf] + [1.0] * 15, 1), (1005, rows[0][1], None), (1006, [1.0, 2.0], 1), (1007, [1e-30, 2e-30], 1), (1008, [None, 1.0], 1)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<float>, label int, rep int").repartition(3)
+    rows += [(1100, [0.1, 0.7], 4), (1101, [0.1 + 1e-12, 0.7], 4), (1102, [1e300, 7e300], 4), (1103, [0.5, 3.5], 4)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, label int, rep int").repartition(3)
     got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicate_vectors(df).collect()}
     want = brute_vectors(rows)
     assert {k: v for k, v in got.items() if v != want[k]} == {} and len(got) == len(rows)
@@ -280,7 +281,7 @@ def test_recall_on_spread_vectors(spark):
     for r in near_duplicate_vectors(df).collect():
         got[r.vec_id] = r.n_links
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum() > 3900 * 0.99
-    assert [cells_of(n)[0] for n in (1, 256, 257, 50_000)] == [0, 0, 1, 8] and cells_of(50_000)[1] < 25 and cells_of(10**8)[1] < 150
+    assert [cells_of(n)[0] for n in (1, 512, 513, 50_000)] == [0, 0, 1, 7] and cells_of(50_000)[1] < 25 and cells_of(10**8)[1] < 150
 
 
 def test_counting_misses_few_pairs_at_the_threshold():
