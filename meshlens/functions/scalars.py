@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,6 +104,14 @@ def is_test_path(path: Column) -> Column:
     return path.contains("/src/test/") | path.contains("/test/") | stem.rlike("(Test|Tests|IT)$")
 
 
+def is_test_of(path: Column, folders: tuple[str, ...] = (), names: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> Column:
+    """A test by a language's own rules: a part of the path (folders) or a whole segment (names), both whatever the case of the path, or the end of the file's stem (suffixes, case counts)."""
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), "(?<=.)\\.[^.]*$", "")
+    tests = [F.contains(low, F.lit(f.replace("\\", "/"))) for f in folders] + [F.endswith(stem, F.lit(s)) for s in suffixes]
+    return reduce(or_, tests, F.arrays_overlap(F.split(low, "/"), F.array(*[F.lit(n) for n in names])) if names else F.lit(False))
+
+
 def is_pruned_path(path: Column) -> Column:
     """Inside a build or tool folder; under target only generated sources are kept."""
     inside = F.regexp_extract(path, "^(.*)/[^/]*$", 1)

@@ -174,6 +174,21 @@ def board_items(items: DataFrame, board_id: str, status: str | None = None, orde
     return mine.orderBy(order).limit(limit)
 
 
+def sync_board(boards: DataFrame, items: DataFrame, board_id: str, fresh: DataFrame, now: str, title: str = "") -> tuple[DataFrame, DataFrame]:
+    """(boards, items) after a pull: the board's items are those of `fresh`, as it has them, and synced_at is `now`.
+
+    A title from the source renames a project's board that has no name of its own (name_override).
+    An unknown board is an error; an empty `fresh` leaves the board without items.
+    """
+    mine = F.col("id") == board_id
+    if boards.filter(mine).isEmpty():
+        raise LookupError(f"no board {board_id!r}")
+    renamed = mine & (F.col("kind") == "project") & ~F.coalesce("name_override", F.lit(False)) & F.lit(bool(title))
+    after = boards.withColumn("name", F.when(renamed, F.lit(title)).otherwise(F.col("name"))).withColumn("synced_at", F.when(mine, F.lit(now)).otherwise(F.col("synced_at")))
+    kept = items.filter(~F.col("board_id").eqNullSafe(F.lit(board_id)))
+    return after, kept.unionByName(fresh.withColumn("board_id", F.lit(board_id)))
+
+
 def is_duplicate_title(items: DataFrame, titles: DataFrame) -> DataFrame:
     """Of titles (title) those that an open item has already."""
     return titles.join(items.filter("status <> 'closed'").select("title").distinct(), "title", "left_semi")

@@ -175,3 +175,14 @@ def node_relations(nodes: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return mine.join(above, ["ep_id", "up"], "left").join(calls, ["ep_id", "path"], "left").join(family, ["ep_id", "up"], "left").select("ep_id", "path", "method", "parent", zero("n_calls"), zero("n_siblings"))
 
+
+def rendered(nodes: DataFrame, sending: DataFrame) -> DataFrame:
+    """ep_id, rank (from 1, in pre-order) and line: trees as indented text, a row a node.
+
+    Nodes of `sending` (ep_id, path) are marked as producers; a confidence other than EXTRACTED follows in brackets.
+    """
+    marked = nodes.join(sending.select("ep_id", "path").distinct().withColumn("_sends", F.lit(True)), ["ep_id", "path"], "left")
+    marker = F.when(F.col("_sends"), F.lit(" [\u26a1 PRODUCER]")).otherwise("")
+    confidence = F.when(F.coalesce("confidence", F.lit("")).isin("", "EXTRACTED"), F.lit("")).otherwise(F.concat(F.lit(" ["), "confidence", F.lit("]")))
+    line = F.concat(F.repeat(F.lit("  "), F.size("path")), F.lit("\u2192 "), display_name(), marker, confidence)
+    return marked.select("ep_id", F.row_number().over(Window.partitionBy("ep_id").orderBy("path")).alias("rank"), line.alias("line"))

@@ -68,7 +68,7 @@ def flow_hops(sent: DataFrame, entry_points: DataFrame) -> DataFrame:
 
 
 def flow_origins(entry_points: DataFrame, members: DataFrame) -> DataFrame:
-    """Entry points where flows begin: REST endpoints, and entries whose channel no link has; with tag, noun, name and label."""
+    """Entry points where flows begin: REST endpoints, and entries whose channel no link has; with tag, noun, name, label and channel."""
     inner = members.select("channel").distinct()
     rest = entry_points.filter("type = 'rest-endpoint'").withColumn("is_rest", F.lit(True))
     outer = entry_points.filter("type <> 'rest-endpoint'").join(inner, "channel", "left_anti").withColumn("is_rest", F.lit(False))
@@ -92,7 +92,7 @@ def flow_origins(entry_points: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(
         F.concat(F.lit("flow:"), "id").alias("flow_id"), "id", "repo", F.when(F.col("is_rest"), "rest").otherwise("external").alias("origin_type"),
         F.when(F.col("is_rest"), "REST").otherwise(meta(0, "EXTERNAL")).alias("tag"), F.when(F.col("is_rest"), "REST endpoint").otherwise(meta(1, "external event")).alias("noun"),
-        F.when(F.col("is_rest") | scheduled, title_case(method)).otherwise(named).alias("name"), label.alias("label"),
+        F.when(F.col("is_rest") | scheduled, title_case(method)).otherwise(named).alias("name"), label.alias("label"), channel,
     ).dropDuplicates(["id"])
 
 
@@ -122,9 +122,16 @@ def flow_metrics(steps: DataFrame) -> DataFrame:
 
 
 def flow_search(origins: DataFrame, metrics: DataFrame, text: str, hidden: tuple[str, ...] = ()) -> DataFrame:
-    """Flows whose name, label, tag or repositories hold the text, without hidden tags."""
+    """Flows without hidden tags, of which the name, the label, the tag, the channel or a repository holds the text, whatever its case; a blank text is held by all."""
     rows = origins.join(metrics, "flow_id").filter(~F.col("tag").isin(*hidden)) if hidden else origins.join(metrics, "flow_id")
-    return rows.filter(F.contains(F.lower(F.concat_ws(" ", "name", "label", "tag", "repos")), F.lit(text.lower())))
+    wanted = text.strip().lower()
+    if not wanted:
+        return rows
+    holds = lambda c: F.contains(F.lower(c), F.lit(wanted))
+    found = F.exists(F.split("repos", ","), holds)
+    for field in ("name", "label", "tag", "channel"):
+        found = found | F.coalesce(holds(F.col(field)), F.lit(False))
+    return rows.filter(found)
 
 
 def flow_repo_nodes(steps: DataFrame) -> DataFrame:

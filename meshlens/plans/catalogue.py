@@ -498,14 +498,14 @@ _ORIGIN_CASE = lambda part: "CASE type " + " ".join(f"WHEN '{k}' THEN '{v[part]}
     + _FLOWS
     + f""" SELECT 'flow:' || id AS flow_id, id, repo, CASE WHEN type = 'rest-endpoint' THEN 'rest' ELSE 'external' END AS origin_type, CASE WHEN type = 'rest-endpoint' THEN 'REST' ELSE {_ORIGIN_CASE(0)} ELSE 'EXTERNAL' END END AS tag,
     CASE WHEN type = 'rest-endpoint' THEN 'REST endpoint' ELSE {_ORIGIN_CASE(1)} ELSE 'external event' END END AS noun, CASE WHEN type = 'rest-endpoint' THEN 'On' ELSE channel END AS name,
-    CASE WHEN type = 'rest-endpoint' THEN CASE WHEN method_type <> '' THEN method_type ELSE 'POST' END || ' ' || channel ELSE channel END AS label FROM origins"""
+    CASE WHEN type = 'rest-endpoint' THEN CASE WHEN method_type <> '' THEN method_type ELSE 'POST' END || ' ' || channel ELSE channel END AS label, channel FROM origins"""
 )
 def flow_origin(spark, d):
     g = supply_graph(spark, d)
     return views.flow_origins(g.entry_points, g.members)
 
 
-@query(ORACLES["flow_origin"].replace("SELECT 'flow:' || id AS flow_id, id,", "SELECT flow_id FROM (SELECT 'flow:' || id AS flow_id, id,") + ") o JOIN (SELECT flow_id, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM steps GROUP BY flow_id) m USING (flow_id) WHERE tag <> 'KAFKA' AND contains(lower(concat_ws(' ', name, label, tag, repos)), 'r1')")
+@query(ORACLES["flow_origin"].replace("SELECT 'flow:' || id AS flow_id, id,", "SELECT flow_id FROM (SELECT 'flow:' || id AS flow_id, id,") + ") o JOIN (SELECT flow_id, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM steps GROUP BY flow_id) m USING (flow_id) WHERE tag <> 'KAFKA' AND (contains(lower(name), 'r1') OR contains(lower(label), 'r1') OR contains(lower(tag), 'r1') OR contains(lower(channel), 'r1') OR len(list_filter(string_split(repos, ','), lambda x: contains(lower(x), 'r1'))) > 0)")
 def flow_search(spark, d):
     g = supply_graph(spark, d)
     return views.flow_search(views.flow_origins(g.entry_points, g.members), views.flow_metrics(_steps(spark, d)), "R1", hidden=("KAFKA",)).select("flow_id")

@@ -337,3 +337,44 @@ def test_graph_document_round_trip(spark, tmp_path):
     assert spark.table("g1_entry_points").count() == 1
     write_graph(g, str(tmp_path / "out"), 5)
     assert spark.read.parquet(str(tmp_path / "out/producers")).select("snapshot_ts").collect()[0][0] == 5
+
+
+def test_search_takes_each_field_by_itself(spark):
+    ddl = "flow_id string, name string, label string, tag string, channel string"
+    origins = spark.createDataFrame([("f1", "Save", "GET /a", "REST", "/a"), ("f2", "x", "every 5 ms", "TIMER", "orders.IN"), ("f3", "y", None, "KAFKA", None)], ddl)
+    metrics = spark.createDataFrame([("f1", "shop"), ("f2", "stock,web"), ("f3", "shop,web")], "flow_id string, repos string")
+    hits = lambda text, *hidden: {r.flow_id for r in views.flow_search(origins, metrics, text, hidden).collect()}
+    assert hits("orders.in") == {"f2"} and hits(" SHOP ") == {"f1", "f3"} and hits("shop", "KAFKA") == {"f1"}
+    assert hits("stock,web") == set() and hits("rest shop") == set(), "no text reaches over two fields"
+    assert hits("  ") == {"f1", "f2", "f3"} and hits("none") == set()
+
+
+def test_tests_by_a_languages_own_rules(spark):
+    want = {"a/Src/Test/Java/X.java": True, "a\\src\\test\\java\\X.java": True, "a/TESTS/x.py": True, "a/latest.java": False, "a/OrderTest.java": True, "a/Ordertest.java": False, "attests/x.java": False, ".Test": True, "X.Test": False}
+    rule = S.is_test_of(F.col("p"), ("src/test/java",), ("test", "tests"), ("Test", "IT"))
+    got = {r.p: r.t for r in spark.createDataFrame([(p,) for p in want], "p string").select("p", rule.alias("t")).collect()}
+    assert got == want
+    assert not spark.range(1).select(S.is_test_of(F.lit("src/test/ATest.java")).alias("t")).first().t
+
+
+def test_trees_as_text(spark):
+    rows = [("e", [], 0, "on", "C", "f", 1, "EXTRACTED"), ("e", [0], 1, "repo.save", "R", "g", 2, "INFERRED"), ("e", [0, 0], 2, "bus.send", "", "", 0, ""), ("e", [1], 1, "", "D", "", 0, "AMBIGUOUS"), ("e", [2], 1, "", "", "", 0, None), ("e", [10], 1, "z", None, "", 0, "EXTRACTED")]
+    nodes = spark.createDataFrame(rows, NODE_DDL)
+    sending = spark.createDataFrame([("e", [0, 0]), ("e", [0, 0]), ("other", [])], "ep_id string, path array<int>")
+    lines = [r.line for r in tree.rendered(nodes, sending).orderBy("ep_id", "rank").collect()]
+    assert lines == ["\u2192 C.on", "  \u2192 repo.save [INFERRED]", "    \u2192 bus.send [\u26a1 PRODUCER]", "  \u2192 D [AMBIGUOUS]", "  \u2192 unknown", "  \u2192 z"]
+    assert tree.rendered(nodes.limit(0), sending).collect() == []
+
+
+def test_sync_replaces_a_boards_items(spark):
+    boards = spark.createDataFrame([("p", "old", "project", None, "t0"), ("q", "own", "project", True, "t0"), ("r", "repo", "repo", None, None)], "id string, name string, kind string, name_override boolean, synced_at string")
+    items = spark.createDataFrame([("p", "1", "a"), ("q", "2", "b"), (None, "3", "c")], "board_id string, id string, title string")
+    fresh = spark.createDataFrame([("7", "new")], "id string, title string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    after, held = store.sync_board(boards, items, "p", fresh, "t1", "New")
+    assert rows(held) == {("p", "7", "new"), ("q", "2", "b"), (None, "3", "c")}
+    assert rows(after.select("id", "name", "synced_at")) == {("p", "New", "t1"), ("q", "own", "t0"), ("r", "repo", None)}
+    assert rows(store.sync_board(boards, items, "q", fresh.limit(0), "t1", "New")[0].select("id", "name")) == {("p", "old"), ("q", "own"), ("r", "repo")}
+    assert store.sync_board(boards, items, "q", fresh.limit(0), "t1")[1].filter("board_id = 'q'").isEmpty()
+    with pytest.raises(LookupError):
+        store.sync_board(boards, items, "none", fresh, "t1")
