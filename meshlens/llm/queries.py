@@ -85,11 +85,37 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that lie in windows of benchmark items, as contamination() says; null texts have no words."""
+    from .inverted import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 finite components, as cluster_report() says."""
+    from .lloyd import cluster_report
+
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut between lines for filling in the middle, as fim_digests() says; null texts are empty."""
+    from .fim import fim_digests
+
+    return fim_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from .chat import DIGEST_SQL
-
-    return {"op8_chat_formatting": DIGEST_SQL}
+    from . import chat, fim, inverted, lloyd
+
+    return {
+        "op8_chat_formatting": chat.DIGEST_SQL,
+        "op11_benchmark_decontamination": inverted.CONTAMINATION_SQL,
+        "op12_centroid_clustering": lloyd.report_sql(),
+        "op13_fill_in_middle": fim.DIGEST_SQL,
+    }
