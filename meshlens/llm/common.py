@@ -7,11 +7,12 @@ import ctypes
 import gc
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and text bytes that one call of a batch function gets at most (one row may exceed the bytes).
 SLICE_ROWS = 1024
@@ -65,7 +66,7 @@ def slices(batch: pa.RecordBatch, text_col: int | None = None, slice_bytes: int
     yield batch.slice(at)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, text_col: int | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str | StructType, text_col: int | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over small slices. make() runs once a task; the function it returns turns a RecordBatch into a dict of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,14 +79,33 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, text_col
 
     bound_batches(df.sparkSession)
     target = arrow_schema(df.sparkSession, schema)
-    return df.mapInArrow(run, schema)
+    if not any("`" in name for name in df.columns):
+        return df.mapInArrow(run, schema)
 
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # mapInArrow() looks columns up by their bare names
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[f"c{k}" for k in range(batch.num_columns)])
 
-def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
+    names = df.columns
+    fields = StructType.fromDDL(schema).fields if isinstance(schema, str) else schema.fields
+    plain = StructType([StructField(f"c{k}", f.dataType, True) for k, f in enumerate(fields)])
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, plain).toDF(*[f.name for f in fields])
+
+
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+
+
+def extended(fields: Iterable[StructField], ddl: str) -> StructType:
+    """Fields of any names, as they are, and those of ddl; all may be null."""
+    return StructType([StructField(f.name, f.dataType, True) for f in [*fields, *StructType.fromDDL(ddl)]])
+
+
+def quoted(name: str) -> str:
+    """A column's name for col(), whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def resolve(path: str) -> str:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held, unused
+from .common import arrow_map, extended, held, unused
 from .sampling import fold, pick, texts_of
 
 #: At most so many labelled rows are sampled, as many of each language.
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, **options) -> LanguageModel:
 def with_language(docs: DataFrame, model: LanguageModel, lang_name: str, score_name: str) -> DataFrame:
     """All columns of docs and the prediction for text, under names that docs hasn't."""
     position = docs.columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{lang_name}` string, `{score_name}` double"
+    schema = extended(docs.schema, f"{lang_name} string, {score_name} double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS times languages weights
 
     def make():
@@ -151,7 +151,7 @@ def with_language(docs: DataFrame, model: LanguageModel, lang_name: str, score_n
 
         return f
 
-    return arrow_map(docs, make, ddl, text_col=position)
+    return arrow_map(docs, make, schema, text_col=position)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_schema, cut, held, keep_first, resolve, unused
+from .common import arrow_map, arrow_schema, cut, extended, held, keep_first, quoted, resolve, unused
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most.
@@ -209,8 +209,8 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) ->
     any other name are safe.  Rows that are equal in all columns are packed one by one like any others.
     """
     df = df.drop("sequence_id", "offset")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     names = unused(df, PART), unused(df, RANK)
+    schema = extended(df.schema, f"{names[0]} int, {names[1]} bigint")
 
     def ranked():
         rank = Ranks()
@@ -222,7 +222,7 @@ def pack(df: DataFrame, length_col: str = "length", capacity: int = CAPACITY) ->
 
         return f
 
-    return _placed(arrow_map(df, ranked, f"{ddl}, {names[0]} int, {names[1]} bigint"), length_col, capacity, *names)
+    return _placed(arrow_map(df, ranked, schema), length_col, capacity, *names)
 
 
 class Ranks:
@@ -244,7 +244,7 @@ class Ranks:
 def _placed(rows: DataFrame, length_col: str, capacity: int, part: str = PART, rank: str = RANK) -> DataFrame:
     """Rows with the columns part and rank, which Ranks gave, by their slots."""
     fields = [f for f in rows.schema if f.name not in (part, rank)]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    schema = extended(fields, "sequence_id bigint, offset bigint")
     df = rows = cut(rows)
     at_name = unused(rows, "__at")
     counts = cut(rows.filter(F.col(length_col) >= 1).groupBy(F.col(part).alias("part"), F.col(length_col).alias("length")).agg(F.count("*").alias("n")))
@@ -253,8 +253,8 @@ def _placed(rows: DataFrame, length_col: str, capacity: int, part: str = PART, r
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     joined = rows.join(starts, (rows[part] == starts["part"]) & (rows[length_col] == starts["length"]), "left")
-    joined = joined.select(*[rows[f"`{f.name}`"] for f in fields], (rows[rank] + starts["before"]).alias(at_name))
-    target = arrow_schema(df.sparkSession, f"{ddl}, sequence_id bigint, offset bigint")
+    joined = joined.select(*[rows[quoted(f.name)] for f in fields], (rows[rank] + starts["before"]).alias(at_name))
+    target = arrow_schema(df.sparkSession, schema)
 
     def placed():
         def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -276,7 +276,7 @@ def _placed(rows: DataFrame, length_col: str, capacity: int, part: str = PART, r
 
         return f
 
-    return arrow_map(joined, placed, f"{ddl}, sequence_id bigint, offset bigint")
+    return arrow_map(joined, placed, schema)
 
 
 class Ids:

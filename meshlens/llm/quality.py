@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held, unused
+from .common import arrow_map, extended, held, unused
 from .sampling import FOLDS, fold, pick, texts_of
 
 #: At most so many labelled rows are sampled, as many of each label.
@@ -125,7 +125,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 def with_score(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
     """All columns of docs and the score of text, under a name that docs hasn't."""
     position = docs.columns.index("text")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
+    schema = extended(docs.schema, f"{name} double")
 
     def make():
         held("quality")
@@ -139,7 +139,7 @@ def with_score(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
 
         return f
 
-    return arrow_map(docs, make, ddl, text_col=position)
+    return arrow_map(docs, make, schema, text_col=position)
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Characters of an excerpt and the pieces that it is made of, evenly spaced from a text's beginning to its end.
 MAX_CHARS = 20_000
 PIECES = 20
-#: Labels that are learned at most, the most frequent first.
+#: Labels that are learned at most, the most frequent first: what the driver and a model's classes are bounded by.
 LABELS = 1000
 FOLDS = 5
 _SCALE = 1 << 30
@@ -46,10 +47,10 @@ def pick(labelled: DataFrame, rows: int) -> tuple[list[tuple[int, object]], dict
         return [], {}
     share = {label: max(1, int(rows * (0.1 / len(sizes) + 0.9 * n / sum(sizes.values())))) for label, n in sizes.items()}
     chance = {label: min(1.0, (1.2 * share[label] + 6 * math.sqrt(share[label]) + 20) / n) for label, n in sizes.items()}
-    thin = F.lit(-1)
-    for label, p in chance.items():
-        thin = F.when(F.col("label") == F.lit(label), F.lit(int(p * _SCALE))).otherwise(thin)
-    few = known.withColumn("_h", _hash("doc_id")).filter(F.col("_h") < thin).groupBy("doc_id").agg(F.min("label").alias("label"), F.first("_h").alias("_h"))
+    below = StructType([known.schema["label"], StructField("_below", LongType())])
+    thin = labelled.sparkSession.createDataFrame([(label, int(p * _SCALE)) for label, p in chance.items()], below)
+    few = known.withColumn("_h", _hash("doc_id")).join(F.broadcast(thin), "label").filter("_h < _below")  # LABELS rows at most
+    few = few.groupBy("doc_id").agg(F.min("label").alias("label"), F.first("_h").alias("_h"))
     found: dict = {}
     for r in sorted(few.collect(), key=lambda r: (r._h, r.doc_id)):  # about 1.2 times `rows`
         mine = found.setdefault(r.label, [])
