@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import repo_of
 from ..plans.fixpoint import cut
+from .components import elementary_cycles
 
 
 def repo_edges(members: DataFrame) -> DataFrame:
@@ -20,39 +21,13 @@ def repo_edges(members: DataFrame) -> DataFrame:
     return side("producer", "src").join(side("consumer", "dst"), ["channel", "kind", "verb"]).filter(F.col("src") != F.col("dst"))
 
 
-def _within(pairs: DataFrame) -> DataFrame:
-    """Edges that can be part of a cycle: others go until every node has one in and one out."""
-    while True:
-        ends = pairs.select(F.col("src").alias("n")).intersect(pairs.select(F.col("dst").alias("n")))
-        kept = cut(pairs.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == pairs.count():
-            return kept
-        pairs = kept
-
-
 def find_cycles(members: DataFrame, longest: int | None = None) -> DataFrame:
-    """All elementary cycles of the repository graph: repos (closed path), length, channels along it.
-
-    Each is found from its least repository, a hop a round; a path never meets a repository twice,
-    which ends the rounds.  The number of cycles is exponential in the number of repositories, which
-    is small by nature; `longest` bounds their length where that is wanted.
-    """
+    """All elementary cycles of the repository graph: repos (closed path from the least), length, channels along it; `longest` bounds their length."""
     edges = cut(repo_edges(members).select("src", "dst", "channel").distinct())
-    pairs = _within(cut(edges.select("src", "dst").distinct()))
-    walk = pairs.filter("dst > src").select(F.col("src").alias("start"), F.col("dst").alias("cur"), F.array("src", "dst").alias("path"))
-    found, length = None, 1
-    while (longest is None or length < longest) and not walk.isEmpty():
-        length += 1
-        on = walk.join(pairs, walk["cur"] == pairs["src"]).filter((F.col("dst") == F.col("start")) | (F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst")))
-        on = cut(on.select("start", F.col("dst").alias("cur"), F.array_append("path", F.col("dst")).alias("path")))
-        closed = on.filter("cur = start").select("path", F.lit(length).alias("len"))
-        found = closed if found is None else found.unionByName(closed)
-        walk = on.filter("cur <> start")
-    if found is None:
-        found = walk.select("path", F.lit(0).alias("len")).limit(0)
-    steps = found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("len")))).select("path", "len", F.element_at("path", F.col("_k")).alias("src"), F.element_at("path", F.col("_k") + 1).alias("dst"))
-    channels = steps.join(edges, ["src", "dst"]).groupBy("path", "len").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
-    return channels.select(F.array_join("path", ">").alias("repos"), F.col("len").alias("length"), "channels")
+    found = elementary_cycles(edges.select("src", "dst").distinct(), longest)
+    steps = found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("length")))).select("path", "length", F.element_at("path", F.col("_k")).alias("src"), F.element_at("path", F.col("_k") + 1).alias("dst"))
+    channels = steps.join(edges, ["src", "dst"]).groupBy("path", "length").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    return channels.select(F.array_join("path", ">").alias("repos"), "length", "channels")
 
 
 def cycle_summary(members: DataFrame, longest: int | None = None) -> DataFrame:

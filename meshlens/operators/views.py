@@ -139,20 +139,6 @@ def flow_repo_nodes(steps: DataFrame) -> DataFrame:
     return steps.groupBy("flow_id", "repo").agg(F.min("depth").alias("depth"), F.count("*").alias("n_steps"))
 
 
-def flow_repo_edges(steps: DataFrame) -> DataFrame:
-    """Distinct edges of a flow between repositories (flow_id, src, dst, channel, kind); a call with a known answer also goes back."""
-    child = steps.filter("depth > 0").select("flow_id", F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))).alias("path"), F.col("repo").alias("dst"), "via_channel", "kind", "response_type")
-    met = child.join(steps.select("flow_id", "path", F.col("repo").alias("src")), ["flow_id", "path"])
-    there = met.select("flow_id", "src", "dst", F.col("via_channel").alias("channel"), "kind")
-    back = met.filter("kind = 'http' and response_type <> ''").select("flow_id", F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("via_channel").alias("channel"), F.lit("http-response").alias("kind"))
-    return there.union(back).distinct()
-
-
-def flow_downstream(steps: DataFrame, repo: str) -> DataFrame:
-    """Where a repository hands flows on: flow_id, channel, kind, target repository."""
-    return flow_repo_edges(steps).filter((F.col("src") == repo) & (F.col("kind") != "http-response")).select("flow_id", "channel", "kind", F.col("dst").alias("target_repo")).distinct()
-
-
 def flow_trace_repo(steps: DataFrame, repo: str) -> DataFrame:
     """How flows enter a repository: flow_id, entry_id, depth, via, from (the step before)."""
     parent = steps.select("flow_id", F.col("path").alias("_up"), F.col("repo").alias("from_repo"))

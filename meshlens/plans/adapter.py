@@ -222,3 +222,78 @@ def links_sql(s: str = "") -> str:
     UNION ALL SELECT DISTINCT channel, 'grpc', 'GRPC', 'producer', p_id, p_repo FROM g_met{s}
     UNION ALL SELECT DISTINCT channel, 'grpc', 'GRPC', 'consumer', e_id, e_repo FROM g_met{s}
 )"""
+
+
+# ---------------------------------------------------------------- the ring graph: flows that run in circles
+
+#: Suppliers of a cell of the ring graph; flows stay within their cell.
+CELL = 40
+
+
+def ring_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(origins, hops) of suppliers in cells: each sends down to four, some back up and some across, so that there are circles.
+
+    Hops join suppliers of different regions only, as hops join repositories.  Origins are each cell's first supplier and some others.
+    """
+    suppliers = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = cut(suppliers.select("s_suppkey", F.expr(f"s_suppkey div {CELL}").alias("cell"), (F.col("s_suppkey") % CELL).alias("at"), _text("R", "n_regionkey").alias("repo")))
+    ident = F.concat("repo", _text(":S", "s_suppkey"))
+    down = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.col("at") * 4 + k)
+    sent = F.array_compact(F.concat(down, F.array(F.when((F.col("at") % 2 == 0) & (F.col("at") > 0), F.expr("at div 3")), F.when(F.col("at") % 5 == 2, (F.col("at") * 7 + 5) % CELL))))
+    to = rows.select(F.col("cell"), F.col("at").alias("to"), F.col("s_suppkey").alias("key"), ident.alias("dst"), F.col("repo").alias("dst_repo"))
+    met = rows.select("cell", ident.alias("src"), F.col("repo").alias("src_repo"), F.explode(F.array_distinct(sent)).alias("to")).join(to, ["cell", "to"]).filter("src_repo <> dst_repo")
+    sync = (F.col("key") % 5).isin(1, 3)
+    hops = met.select(
+        "src", "dst", "src_repo", "dst_repo", _text("lot-", "key").alias("channel"), F.when(sync, "http").otherwise("message").alias("kind"),
+        F.when(sync & (F.col("key") % 2 == 1), "GET").otherwise("").alias("verb"), F.when(sync & (F.col("key") % 3 == 1), "Lot").otherwise("").alias("response_type"),
+    )
+    origins = rows.filter("at = 0 OR s_suppkey % 10 = 7").select(F.concat(F.lit("flow:"), ident).alias("flow_id"), ident.alias("id"), "repo")
+    return origins, hops
+
+
+def ring_sql() -> str:
+    """CTEs ring_hops and ring_origins of the ring graph."""
+    return f"""
+ring AS (
+    SELECT s_suppkey AS key, s_suppkey // {CELL} AS cell, s_suppkey % {CELL} AS place, 'R' || n_regionkey AS repo, 'R' || n_regionkey || ':S' || s_suppkey AS id FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), sends AS (
+    SELECT a.id AS src, a.repo AS src_repo, a.cell, a.place * 4 + k AS dest FROM ring a, range(1, 5) t(k)
+    UNION SELECT id, repo, cell, place // 3 FROM ring WHERE place % 2 = 0 AND place > 0
+    UNION SELECT id, repo, cell, (place * 7 + 5) % {CELL} FROM ring WHERE place % 5 = 2
+), ring_hops AS (
+    SELECT DISTINCT src, b.id AS dst, src_repo, b.repo AS dst_repo, 'lot-' || b.key AS channel, CASE WHEN b.key % 5 IN (1, 3) THEN 'http' ELSE 'message' END AS kind,
+        CASE WHEN b.key % 5 IN (1, 3) AND b.key % 2 = 1 THEN 'GET' ELSE '' END AS verb, CASE WHEN b.key % 5 IN (1, 3) AND b.key % 3 = 1 THEN 'Lot' ELSE '' END AS response_type
+    FROM sends s JOIN ring b ON b.cell = s.cell AND b.place = s.dest WHERE s.src_repo <> b.repo
+), ring_origins AS (
+    SELECT 'flow:' || id AS flow_id, id, repo FROM ring WHERE place = 0 OR key % 10 = 7
+)"""
+
+
+# ---------------------------------------------------------------- Java sources made of parts
+
+
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, content): a Java file for each part, a record, an interface or a service by its key; names, routes and topics by its attributes."""
+    key, size, brand = F.col("p_partkey").cast("string"), F.col("p_size").cast("string"), F.regexp_extract("p_brand", "[0-9]+", 0)
+    base = F.concat(F.lit("Base"), (F.col("p_size") % 7).cast("string"))
+    head = F.concat(F.lit("package shop.parts;\nimport java.util.List;\nimport shop.base."), base, F.lit(";\n"))
+    record = F.concat(F.lit("public record P"), key, F.lit("(int size, String brand) { }\n"))
+    interface = F.concat(F.lit("interface P"), key, F.lit(" extends "), base, F.lit(" { void take(Note n); }\n"))
+    service = F.concat(
+        F.lit("@RestController\npublic class P"), key, F.lit(" extends "), base, F.lit(" {\n  private Store store;\n  private KafkaTemplate<String, Object> kafka;\n  public P"), key,
+        F.lit('(Store store) { this.store = store; }\n  @KafkaListener(topics = "brand-'), brand, F.lit('")\n  public void on(Note n) { store.save(n); check(n); }\n  @GetMapping("/parts/'), key,
+        F.lit('")\n  public Note get(String id) { return store.find(id, 1).last(); }\n  void check(Note n) { kafka.send("size-'), size, F.lit('", new Sent(n)); }\n'),
+        F.when(F.col("p_partkey") % 4 == 3, "  void idle(Note n) { n.close(); }\n").otherwise(""), F.lit("}\n"),
+    )
+    content = F.concat(head, F.when(F.col("p_partkey") % 4 == 0, record).when(F.col("p_partkey") % 4 == 1, interface).otherwise(service))
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("R"), F.col("p_partkey") % 5).alias("repo"), F.concat(F.lit("src/P"), key, F.lit(".java")).alias("path"), content.alias("content"))
+
+
+def parts_sql() -> str:
+    """CTE p: what those sources are about."""
+    return """
+p AS (
+    SELECT 'R' || p_partkey % 5 AS repo, 'src/P' || p_partkey || '.java' AS file, 'P' || p_partkey AS name, p_partkey AS key, p_size AS size, 'Base' || p_size % 7 AS base, regexp_extract(p_brand, '[0-9]+') AS brand,
+        CASE WHEN p_partkey % 4 = 0 THEN 'record' WHEN p_partkey % 4 = 1 THEN 'interface' ELSE 'class' END AS kind
+    FROM part
+)"""

@@ -20,9 +20,14 @@ _CONFIG = "key string, value string, first struct<repo:string,path:string,ord:in
 
 def analyze_files(files: DataFrame, config: DataFrame | None = None) -> GraphRelations:
     """The graph of Java files (repo, path, content) and configuration (key, value, first)."""
-    spark = files.sparkSession
+    return analyze_types(java_types(files), files.select("repo"), config)
+
+
+def analyze_types(types: DataFrame, repos: DataFrame, config: DataFrame | None = None) -> GraphRelations:
+    """The graph of types as java_types() reads them, of repositories (repo, a row each or more)."""
+    spark = types.sparkSession
     config = cut(config) if config is not None else spark.createDataFrame([], _CONFIG)
-    idx = index(java_types(files))
+    idx = index(types)
     entries = cut(detect_entry_points(idx, config))
     producers = cut(detect_producers(idx, config))
     calls = calls_of(idx)
@@ -46,7 +51,7 @@ def analyze_files(files: DataFrame, config: DataFrame | None = None) -> GraphRel
     methods = idx.methods.select(F.col("method_key").alias("key"), "name", "has_body", "repo", F.col("class_simple").alias("class_name"), "file", "line").dropDuplicates(["key"])
     dead = unreachable_methods(methods, reached)
     unreachable = dead.select(F.concat(F.col("repo"), F.lit(":"), F.concat_ws(".", "class_name", "name")).alias("id"), "repo", "class_name", F.col("name").alias("method"), "file", "line")
-    repos = files.groupBy("repo").agg(F.min("repo").alias("ord")).select("ord", "repo")
+    repos = repos.groupBy("repo").agg(F.min("repo").alias("ord")).select("ord", "repo")
     total = idx.methods.filter("has_body").count()
     return GraphRelations(entry_points, producers, cut(all_links(entry_points, producers)), named, unreachable, repos, total)
 

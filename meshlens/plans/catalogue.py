@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import cycles, diff, links, reach, store, tools, tree, views
-from ..sources import gallery, samples
+from ..operators import cycles, diff, flows, links, reach, store, tools, tree, views
 from ..streaming import progress
 from . import adapter
 from .adapter import NEW, OLD, graph, relations_sql, supply_graph, supply_sql, table
@@ -519,14 +518,20 @@ def flow_repo_nodes(spark, d):
 _FLOW_EDGES = """, met AS (SELECT c.flow_id, p.repo AS src, c.repo AS dst, c.via_channel AS channel, c.kind, c.response_type FROM steps c JOIN steps p ON p.flow_id = c.flow_id AND p.path = c.path[:len(c.path) - 1] WHERE c.depth > 0)"""
 
 
+def _taken(spark, d):
+    g = supply_graph(spark, d)
+    hops = cut(views.flow_hops(views.publishes(g), g.entry_points))
+    return flows.hops_taken(flows.flow_entries(views.flow_origins(g.entry_points, g.members), hops), hops)
+
+
 @query(SUPPLY + _FLOWS + _FLOW_EDGES + " SELECT DISTINCT flow_id, src, dst, channel, kind FROM met UNION SELECT flow_id, dst, src, channel, 'http-response' FROM met WHERE kind = 'http' AND response_type <> ''")
 def flow_repo_edges(spark, d):
-    return views.flow_repo_edges(_steps(spark, d))
+    return flows.repo_edges(_taken(spark, d))
 
 
 @query(SUPPLY + _FLOWS + _FLOW_EDGES + " SELECT DISTINCT flow_id, channel, kind, dst AS target_repo FROM met WHERE src = 'R1'")
 def flow_downstream(spark, d):
-    return views.flow_downstream(_steps(spark, d), "R1")
+    return flows.downstream(_taken(spark, d), "R1")
 
 
 @query(SUPPLY + _FLOWS + " SELECT c.flow_id, c.entry_id, c.depth, CASE WHEN c.kind = 'http' AND c.verb <> '' THEN c.verb || ' ' || c.via_channel ELSE c.via_channel END AS via, p.repo AS from_repo FROM steps c LEFT JOIN steps p ON c.depth > 0 AND p.flow_id = c.flow_id AND p.path = c.path[:len(c.path) - 1] WHERE c.repo = 'R1'")
@@ -800,81 +805,6 @@ def unique_name(spark, d):
     return store.unique_names(table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord"))).select("p_partkey", "unique_name")
 
 
-# ---------------------------------------------------------------- extraction from Java sources (their rows, written down by hand, are the SQL)
-
-
-def literal(columns: str, rows: list[tuple] | tuple) -> str:
-    """Rows as SQL, with the names of their columns."""
-
-    def text(value) -> str:
-        return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
-
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS rows_({columns})"
-
-
-def _shop(spark):
-    from ..functions.scalars import is_test_path
-    from ..sources.files import load_config
-
-    return samples.files(spark).filter(~is_test_path(F.concat(F.lit("/"), "path"))), load_config(samples.config_files(spark))
-
-
-def _shop_index(spark):
-    from ..sources.extract import index, java_types
-
-    files, config = _shop(spark)
-    return index(java_types(files)), config
-
-
-def _rules_index(spark):
-    """The shop and one class for each detection rule."""
-    from ..sources.extract import index, java_types
-    from ..sources.files import load_config
-
-    one = lambda path, text: spark.createDataFrame([(*path, text)], "repo string, path string, content string")
-    files, _ = _shop(spark)
-    config = load_config(samples.config_files(spark).unionByName(one(*gallery.CONFIG)))
-    return index(java_types(files.unionByName(one(gallery.FILE, gallery.SOURCE)))), config
-
-
-@query(literal("repo, file, fqn, kind, line, supertypes, n_methods", samples.TYPES))
-def java_types(spark, d):
-    return _shop_index(spark)[0].types.select("repo", "file", "fqn", "kind", "line", F.array_join("supertypes", ",").alias("supertypes"), F.size("methods").alias("n_methods"))
-
-
-@query(literal("repo, method_key, n_params, has_body", samples.method_rows()))
-def java_methods(spark, d):
-    return _shop_index(spark)[0].methods.select("repo", "method_key", "n_params", "has_body")
-
-
-@query(literal("caller, ord, display, arity, callee, callee_class, callee_file, callee_line, ambiguous", samples.call_rows()))
-def java_calls(spark, d):
-    from ..operators.resolve import call_edges
-
-    return call_edges(_shop_index(spark)[0]).withColumn("ord", F.col("ord").cast("int"))
-
-
-@query(literal("id, type, channel, line, message_type, method_type", [*samples.ENTRIES, *gallery.entry_rows()]))
-def java_entry_points(spark, d):
-    from ..operators.detect import detect_entry_points
-
-    return detect_entry_points(*_rules_index(spark)).select("id", "type", "channel", "line", "message_type", "method_type")
-
-
-@query(literal("id, type, channel, line, message_type, response_type", [*samples.PRODUCERS, *gallery.producer_rows()]))
-def java_producers(spark, d):
-    from ..operators.detect import detect_producers
-
-    return detect_producers(*_rules_index(spark)).select("id", "type", "channel", "line", "message_type", "response_type")
-
-
-@query(literal("id, repo, class_name, method, file, line", samples.unreachable_rows()))
-def java_graph_unreachable(spark, d):
-    from .analysis import analyze_files
-
-    return analyze_files(*_shop(spark)).unreachable
-
-
 _CONFIG_SQL = "config AS (SELECT 'k' || (event_id % 50) || '.' || event_type AS key, CAST(max(user_id) AS VARCHAR) AS value, min(event_id) AS first FROM events GROUP BY 1)"
 
 

@@ -49,6 +49,25 @@ def language_of(path: F.Column) -> F.Column:
     return out
 
 
+def language_for_file(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """files (path, further columns) with `tag`: the language that a registry (tag, key, special) has for their names, or null.
+
+    A special name goes before suffixes: all suffixes of a name together (.gradle.kts) go before the last one, in lower case, as
+    keys are.  Names that begin with a dot have no suffix there.  Where keys repeat, the least tag counts.
+    The candidates of a path are rows that are joined with the registry, so that it may be a table of any size.
+    """
+    name = F.element_at(F.split(F.rtrim(F.col("path"), F.lit("/")), "/"), -1)
+    stem = F.regexp_replace(name, "^\\.+", "")
+    suffix = lambda pattern: F.lower(F.regexp_extract(stem, pattern, 1))
+    candidate = lambda rank, key: F.struct(F.lit(rank).alias("rank"), key.alias("key"))
+    asked = F.array(candidate(0, name), candidate(1, suffix("^[^.]+((?:\\.[^.]+)+)$")), candidate(2, suffix("[^.](\\.[^.]+)$")))
+    keyed = files.select("path").distinct().select("path", F.explode(asked).alias("c")).select("path", "c.rank", "c.key").filter("key <> ''")
+    known = registry.select("tag", F.col("key"), F.col("special"))
+    met = keyed.join(known, "key").filter((F.col("rank") == 0) == F.col("special"))
+    best = met.groupBy("path").agg(F.min(F.struct("rank", "tag")).alias("b")).select(F.col("path").alias("_path"), F.col("b.tag").alias("tag"))
+    return files.join(best, F.col("path") == F.col("_path"), "left").drop("_path")
+
+
 #: Where a text's lines end.
 LINE_ENDS = "\r\n|[\n\r\\x0B\\x0C\\x1C-\\x1E\\x85\u2028\u2029]"
 

@@ -4,12 +4,38 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlens.plans.analysis import analyze, analyze_files
-from meshlens.plans.catalogue import _shop
 from meshlens.sources import gallery, samples
+from meshlens.functions.scalars import is_test_path
+from meshlens.operators.detect import detect_entry_points, detect_producers
+from meshlens.operators.resolve import call_edges
+from meshlens.sources.extract import index, java_types
 from meshlens.sources.files import flatten_yaml, load_config, parse_properties, scan_config_files, scan_source_files
 from meshlens.sources.javaparse import parse_java
 
 
+def _shop(spark):
+    return samples.files(spark).filter(~is_test_path(F.concat(F.lit("/"), "path"))), load_config(samples.config_files(spark))
+
+
+def _rules_index(spark):
+    """The shop and one class for each detection rule."""
+    one = lambda path, text: spark.createDataFrame([(*path, text)], "repo string, path string, content string")
+    config = load_config(samples.config_files(spark).unionByName(one(*gallery.CONFIG)))
+    return index(java_types(_shop(spark)[0].unionByName(one(gallery.FILE, gallery.SOURCE)))), config
+
+
+def test_the_shop_gives_the_rows_written_by_hand(spark):
+    idx = index(java_types(_shop(spark)[0]))
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    by_hand = lambda want: sorted(map(tuple, want), key=str)
+    assert rows(idx.types.select("repo", "file", "fqn", "kind", "line", F.array_join("supertypes", ","), F.size("methods"))) == by_hand(samples.TYPES)
+    assert rows(idx.methods.select("repo", "method_key", "n_params", "has_body")) == by_hand(samples.method_rows())
+    assert rows(call_edges(idx).select("caller", F.col("ord").cast("int"), "display", "arity", "callee", "callee_class", "callee_file", "callee_line", "ambiguous")) == by_hand(samples.call_rows())
+    rules = _rules_index(spark)
+    assert rows(detect_entry_points(*rules).select("id", "type", "channel", "line", "message_type", "method_type")) == by_hand([*samples.ENTRIES, *gallery.entry_rows()])
+    assert rows(detect_producers(*rules).select("id", "type", "channel", "line", "message_type", "response_type")) == by_hand([*samples.PRODUCERS, *gallery.producer_rows()])
+
+
 @pytest.fixture(scope="module")
 def graph(spark):
     return analyze_files(*_shop(spark))
@@ -86,6 +112,7 @@ def test_links_trees_and_dead_code(graph):
     assert tree[:2] == [([], "OrderController.create", "EXTRACTED"), ([0], "service.place", "EXTRACTED")]
     assert ([0, 0, 0], "d.check", "INFERRED") in tree and any(m == "audit" and c == "EXTRACTED" for _, m, c in tree), "inherited methods are found up the hierarchy"
     dead = {r.id for r in graph.unreachable.collect()}
+    assert sorted(map(tuple, graph.unreachable.select("id", "repo", "class_name", "method", "file", "line").collect())) == sorted(samples.unreachable_rows())
     assert dead == {"order:OrderServiceImpl.dead", "order:Boot.main", "stock:Quarkus.go"} | ({"order:Tool.work"} & dead)
     assert graph.methods_total == 21
 
@@ -112,12 +139,9 @@ def test_scan_of_folders(spark, tmp_path):
 @pytest.fixture(scope="module")
 def found(spark):
     """What each class of the gallery gives: entry points and producers by class."""
-    from meshlens.operators.detect import detect_entry_points, detect_producers
-    from meshlens.plans.catalogue import _rules_index
-
-    index = _rules_index(spark)
-    entries = [tuple(r) for r in detect_entry_points(*index).filter("repo = 'gallery'").select("id", "type", "channel", "line", "message_type", "method_type").collect()]
-    producers = [tuple(r) for r in detect_producers(*index).filter("repo = 'gallery'").select("id", "type", "channel", "line", "message_type", "response_type").collect()]
+    rules = _rules_index(spark)
+    entries = [tuple(r) for r in detect_entry_points(*rules).filter("repo = 'gallery'").select("id", "type", "channel", "line", "message_type", "method_type").collect()]
+    producers = [tuple(r) for r in detect_producers(*rules).filter("repo = 'gallery'").select("id", "type", "channel", "line", "message_type", "response_type").collect()]
     return entries, producers
 
 

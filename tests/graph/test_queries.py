@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from meshlens.plans import catalogue
+from meshlens.plans import catalogue, catalogue_rings, catalogue_sources  # noqa: F401  each registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.001"
