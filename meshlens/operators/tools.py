@@ -211,11 +211,14 @@ def run_tool(graph: GraphRelations, name: str, arguments: dict) -> DataFrame | d
 
 
 def fetch(answer: DataFrame | dict, rows: int = 1000) -> dict:
-    """A tool's answer as plain values: the first rows of each table, or the error that fetching them met."""
+    """A tool's answer as plain values: the first rows of each table, or the error that fetching them met.  "more" says that, or of which tables, there are further rows."""
     try:
         if isinstance(answer, DataFrame):
-            return {"rows": [r.asDict(recursive=True) for r in answer.limit(rows).collect()]}
-        return {k: fetch(v, rows)["rows"] if isinstance(v, DataFrame) else v for k, v in answer.items()}
+            found = answer.limit(rows + 1).collect()
+            return {"rows": [r.asDict(recursive=True) for r in found[:rows]]} | ({"more": True} if len(found) > rows else {})
+        parts = {k: fetch(v, rows) if isinstance(v, DataFrame) else v for k, v in answer.items()}
+        more = sorted(k for k, v in parts.items() if isinstance(answer[k], DataFrame) and "more" in v)
+        return {k: v["rows"] if isinstance(answer[k], DataFrame) else v for k, v in parts.items()} | ({"more": more} if more else {})
     except Exception as e:  # noqa: BLE001 - what a query raises is its answer
         return {"error": str(e)}
 

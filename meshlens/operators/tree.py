@@ -6,6 +6,8 @@ pre-order.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -16,28 +18,36 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import is_trivial_call
+from ..plans.fixpoint import cut
 
 MAX_DEPTH = 4
 MAX_NODES = 50
 #: Of a method's calls, so many different targets can matter: a tree takes 49 at most, and skips 49 that it has.
 MAX_TARGETS = 2 * MAX_NODES
+#: What stands before a node's name in a tree's text, and what marks a node that sends.
+ARROW = "→ "
+SENDS = " [⚡ PRODUCER]"
 
 
-def layered_tree(roots: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
+def layered_tree(roots: DataFrame, edges: DataFrame | Sequence[DataFrame], max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
     """(ep_id, node, path, depth, rank) of the trees that edges (caller, callee, pos) span from roots (ep_id, node).
 
     For call graphs in layers, where a node can't be met at two depths.  There the first depth-first
     visit of a node is its least path, and the node cap is a cap of the pre-order rank: max_depth
     joins, no state.  Each level keeps its first max_nodes nodes a tree; later ones rank beyond the cap.
+    Each level is written once.  edges may be a table for each level, which is then read by its level
+    only; a small one (by its files' size) is broadcast, so that few callers are no few keys.
     """
-    level = roots.select("ep_id", "node", F.array().cast("array<int>").alias("path"))
-    out = level
+    layers = [cut(edges)] * max_depth if isinstance(edges, DataFrame) else list(edges)[:max_depth]
+    level = cut(roots.select("ep_id", "node", F.array().cast("array<int>").alias("path")))
+    levels = [level]
     first = Window.partitionBy("ep_id").orderBy("path")
-    for _ in range(max_depth):
-        below = level.join(edges, level["node"] == edges["caller"]).select("ep_id", F.col("callee").alias("node"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
-        below = below.groupBy("ep_id", "node").agg(F.min("path").alias("path"))
-        level = below.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= max_nodes).drop("_k")
-        out = out.unionByName(level)
+    for layer in layers:
+        below = level.join(layer, level["node"] == layer["caller"]).select("ep_id", F.col("callee").alias("node"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
+        below = below.repartition("ep_id").groupBy("ep_id", "node").agg(F.min("path").alias("path"))  # one deal by tree for the grouping and the cap
+        level = cut(below.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= max_nodes).drop("_k"))
+        levels.append(level)
+    out = reduce(DataFrame.unionByName, levels)
     return out.withColumn("depth", F.size("path")).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= max_nodes)
 
 
@@ -143,7 +153,10 @@ def find_callers(nodes: DataFrame, method_name: str) -> DataFrame:
 
     The path leads to the first node, in pre-order, of the same method, file and line.
     """
-    hit = nodes.filter(F.contains(F.lower("method"), F.lit(method_name.lower()))).select("ep_id", "method", "file", "line", F.col("path").alias("own"))
+    holds = F.contains(F.lower("method"), F.lit(method_name.lower()))
+    nodes = cut(nodes.select("ep_id", "path", "method", "class_name", "file", "line"))
+    nodes = nodes.join(nodes.filter(holds).select("ep_id").distinct(), "ep_id", "left_semi")  # trees without a hit take no part
+    hit = nodes.filter(holds).select("ep_id", "method", "file", "line", F.col("path").alias("own"))
     first = nodes.groupBy("ep_id", "method", "file", "line").agg(F.min("path").alias("path"))
     found = _ancestors(hit.join(first, ["ep_id", "method", "file", "line"]), own=True)
     names = nodes.select("ep_id", F.col("path").alias("up"), display_name().alias("name"))
@@ -154,9 +167,10 @@ def find_callers(nodes: DataFrame, method_name: str) -> DataFrame:
 def trace_path(nodes: DataFrame, from_method: str, to_method: str) -> DataFrame:
     """Chains from nodes that hold one name down to the first node on each branch that holds the other: ep_id, chain, from_path, to_path."""
     holds = lambda text: F.contains(F.lower("method"), F.lit(text.lower()))
+    nodes = cut(nodes.select("ep_id", "path", "method"))
     named = nodes.select("ep_id", F.col("path").alias("up"), F.col("method").alias("name"), holds(from_method).alias("starts"), holds(to_method).alias("ends"))
     ends = _ancestors(nodes.filter(holds(to_method)).select("ep_id", "path", F.col("method").alias("end")), own=False)
-    above = ends.join(named, ["ep_id", "up"])
+    above = cut(ends.join(named, ["ep_id", "up"]).repartition("ep_id", "path"))
     blocked = Window.partitionBy("ep_id", "path")
     starts = above.withColumn("_last", F.max(F.when(F.col("ends"), F.col("_n"))).over(blocked)).filter(F.col("starts") & (F.col("_n") >= F.coalesce("_last", F.lit(0))))
     starts = starts.select("ep_id", "path", "end", F.col("up").alias("start"), F.col("_n").alias("_from"))
@@ -182,7 +196,7 @@ def rendered(nodes: DataFrame, sending: DataFrame) -> DataFrame:
     Nodes of `sending` (ep_id, path) are marked as producers; a confidence other than EXTRACTED follows in brackets.
     """
     marked = nodes.join(sending.select("ep_id", "path").distinct().withColumn("_sends", F.lit(True)), ["ep_id", "path"], "left")
-    marker = F.when(F.col("_sends"), F.lit(" [\u26a1 PRODUCER]")).otherwise("")
+    marker = F.when(F.col("_sends"), F.lit(SENDS)).otherwise("")
     confidence = F.when(F.coalesce("confidence", F.lit("")).isin("", "EXTRACTED"), F.lit("")).otherwise(F.concat(F.lit(" ["), "confidence", F.lit("]")))
-    line = F.concat(F.repeat(F.lit("  "), F.size("path")), F.lit("\u2192 "), display_name(), marker, confidence)
+    line = F.concat(F.repeat(F.lit("  "), F.size("path")), F.lit(ARROW), display_name(), marker, confidence)
     return marked.select("ep_id", F.row_number().over(Window.partitionBy("ep_id").orderBy("path")).alias("rank"), line.alias("line"))

@@ -312,7 +312,8 @@ every AS (SELECT *, 0 AS depth FROM n0 UNION ALL SELECT *, 1 FROM n1 UNION ALL S
 tree AS (SELECT *, row_number() OVER (PARTITION BY ep_id ORDER BY path) AS rank FROM every QUALIFY rank <= 50)"""
 
 
-def _call_edges(spark, d):
+def _call_layers(spark, d):
+    """Edges of each level: orders to parts, parts to suppliers, these to nations, those to regions."""
     lines = table(spark, d, "lineitem")
     per_order = lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
     e1 = per_order.select(F.concat(F.lit("O"), "l_orderkey").alias("caller"), F.concat(F.lit("P"), "l_partkey").alias("callee"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("n", "l_partkey")).alias("pos"))
@@ -320,7 +321,11 @@ def _call_edges(spark, d):
     e2 = pairs.select(F.concat(F.lit("P"), "l_partkey").alias("caller"), F.concat(F.lit("S"), "l_suppkey").alias("callee"), F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey")).alias("pos"))
     e3 = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("caller"), F.concat(F.lit("N"), "s_nationkey").alias("callee"), F.lit(1).alias("pos"))
     e4 = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("caller"), F.concat(F.lit("G"), "n_regionkey").alias("callee"), F.lit(1).alias("pos"))
-    return e1.unionByName(e2).unionByName(e3).unionByName(e4)
+    return [e1, e2, e3, e4]
+
+
+def _call_edges(spark, d):
+    return reduce(DataFrame.unionByName, _call_layers(spark, d))
 
 
 def _order_roots(spark, d):
@@ -329,7 +334,7 @@ def _order_roots(spark, d):
 
 @query(_CALLS_SQL + " SELECT ep_id, node, path, depth, CAST(rank AS INTEGER) AS rank FROM tree")
 def call_tree(spark, d):
-    return tree.layered_tree(_order_roots(spark, d), _call_edges(spark, d)).withColumn("path", path_text())
+    return tree.layered_tree(_order_roots(spark, d), _call_layers(spark, d)).withColumn("path", path_text())
 
 
 @query(_CALLS_SQL + " SELECT ep_id, node, depth, CAST(rank AS INTEGER) AS rank FROM tree")
