@@ -11,9 +11,10 @@ from ..sources import syntax
 from ..sources.extract import index
 from ..sources.extract import java_types as read_types
 from ..sources.files import language_for_file as with_language
+from ..streaming.progress import run_progress
 from .adapter import graph, part_sources, parts_sql, table
 from .analysis import analyze_files
-from .catalogue import ENDS, ORACLES, query
+from .catalogue import ENDS, ORACLES, _logs, query
 from .fixpoint import cut, shared_folder
 from .refresh import SourceStore
 
@@ -151,3 +152,16 @@ def language_for_file(spark, d):
     name = F.get(F.array(*[named(n) for n in _NAMES]), (F.col("p_partkey") % 8).cast("int"))
     files = table(spark, d, "part").select(F.concat(F.lit("src/"), name).alias("path"))
     return with_language(files, spark.createDataFrame(list(_REGISTRY), "tag string, key string, special boolean")).groupBy("path", "tag").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- progress as a stream
+
+
+@query(ORACLES["ingest_progress"])
+def progress_stream(spark, d):
+    """Progress told by a stateful stream at its end: lines come in files that are dealt by chance, and some come twice."""
+    folder = f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}"
+    logs = _logs(spark, d)
+    twice = logs.unionByName(logs.filter("ord % 3 = 0"))
+    twice.withColumn("_file", F.pmod(F.xxhash64("ord", F.rand(1)), F.lit(4)).cast("int")).repartition(4, "_file").drop("_file").write.parquet(f"{folder}/logs")
+    return run_progress(spark, f"{folder}/logs", f"{folder}/told", f"{folder}/state").drop("best")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +23,22 @@ def classify_log(message: Column) -> Column:
     return out
 
 
+def _classified(logs: DataFrame) -> DataFrame:
+    """logs with phase, fraction (done/total of counted lines), cloned and scanned (whether a line says so of a repository)."""
+    done, total = (F.regexp_extract("message", "^\\[(?:index|detect|graph|analyze)\\] ([0-9]+)/([0-9]+)", k).try_cast("bigint") for k in (1, 2))
+    rows = logs.withColumn("phase", classify_log(F.col("message"))).withColumn("fraction", F.when(F.col("phase").isin(*COUNTED) & (total > 0), F.least(F.lit(1.0), done / total)))
+    ready = (F.col("phase") == "clone") & F.col("message").rlike("^\\[clone\\] (.+ ready at |Using local repo )")
+    return rows.withColumn("cloned", ready).withColumn("scanned", (F.col("phase") == "scan") & F.col("message").rlike("^\\[scan\\] .+: scanning "))
+
+
 def phase_fractions(logs: DataFrame) -> DataFrame:
     """run_id, phase, lines, fraction, last_ord: of logs (run_id, ord, message); for streams and tables alike.
 
     fraction is the highest done/total of a phase's counted lines, null without any; it never falls
     when lines come twice or late.
     """
-    done, total = (F.regexp_extract("message", "^\\[(?:index|detect|graph|analyze)\\] ([0-9]+)/([0-9]+)", k).try_cast("bigint") for k in (1, 2))
-    rows = logs.withColumn("phase", classify_log(F.col("message"))).withColumn("_f", F.when(F.col("phase").isin(*COUNTED) & (total > 0), F.least(F.lit(1.0), done / total)))
-    ready = F.count(F.when((F.col("phase") == "clone") & F.col("message").rlike("^\\[clone\\] (.+ ready at |Using local repo )"), 1))
-    scanned = F.count(F.when((F.col("phase") == "scan") & F.col("message").rlike("^\\[scan\\] .+: scanning "), 1))
-    return rows.groupBy("run_id", "phase").agg(F.count("*").alias("lines"), F.max("_f").alias("fraction"), F.max("ord").alias("last_ord"), ready.alias("cloned"), scanned.alias("scanned"))
+    n = lambda flag: F.count(F.when(F.col(flag), 1)).alias(flag)
+    return _classified(logs).groupBy("run_id", "phase").agg(F.count("*").alias("lines"), F.max("fraction").alias("fraction"), F.max("ord").alias("last_ord"), n("cloned"), n("scanned"))
 
 
 def ingest_progress(fractions: DataFrame, repos: DataFrame | None = None) -> DataFrame:
@@ -58,6 +67,71 @@ def ingest_progress(fractions: DataFrame, repos: DataFrame | None = None) -> Dat
     )
 
 
+# ---------------------------------------------------------------- as a stateful stream
+
+
+_STREAMED = "run_id string, phase string, determinate boolean, pct int, best int"
+
+
+def told(state: dict, total: int | None) -> tuple[str, bool, int | None]:
+    """(phase, determinate, pct) of a run's state, as ingest_progress() tells them."""
+    weights = dict(PHASES)
+    if "done" in state["last"]:
+        return "done", True, 100
+    known = [(ord_, name) for name, ord_ in state["last"].items() if name in weights]
+    if not known:
+        return "info", False, None
+    phase = max(known)[1]
+    names = [name for name, _ in PHASES]
+    base = sum(weights[name] for name in names[: names.index(phase)])
+    share = state["fraction"].get(phase)
+    if phase in ("clone", "scan") and total:
+        share = min(len(state["cloned" if phase == "clone" else "scanned"]), total) / total
+    return phase, share is not None, None if share is None else min(100, int(base + weights[phase] * share + 0.5))
+
+
+def progress_stream(logs: DataFrame, repo_total: int | None = None) -> DataFrame:
+    """run_id, phase, determinate, pct, best of each run whenever lines of it come, from a stream of logs (run_id, ord, message).
+
+    A run's state holds the highest fraction and the last line of each phase, and which lines told of a repository: lines that come
+    late or twice change nothing that has been told.  best is the highest percentage told so far, which never falls even where a
+    run goes back to an earlier phase.  It ends as ingest_progress() of all lines.  Null run ids are a run of their own; lines
+    without a place (ord) count as before all others.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = json.loads(held.get[0]) if held.exists else {"last": {}, "fraction": {}, "cloned": [], "scanned": [], "best": 0}
+        cloned, scanned = set(state["cloned"]), set(state["scanned"])
+        for rows in batches:
+            for phase, ord_ in rows.groupby("phase")["ord"].max().items():
+                state["last"][phase] = max(int(ord_), state["last"].get(phase, -1))
+            for phase, fraction in rows.dropna(subset=["fraction"]).groupby("phase")["fraction"].max().items():
+                state["fraction"][phase] = max(float(fraction), state["fraction"].get(phase, 0.0))
+            cloned |= set(map(int, rows.loc[rows["cloned"], "ord"]))
+            scanned |= set(map(int, rows.loc[rows["scanned"], "ord"]))
+        state |= {"cloned": sorted(cloned), "scanned": sorted(scanned)}
+        phase, determinate, pct = told(state, repo_total)
+        state["best"] = max(state["best"], pct or 0)
+        held.update((json.dumps(state),))
+        yield pd.DataFrame({"run_id": [key[0]], "phase": [phase], "determinate": [determinate], "pct": pd.array([pct], "Int32"), "best": pd.array([state["best"]], "Int32")})
+
+    rows = _classified(logs).select("run_id", F.coalesce("ord", F.lit(-1)).alias("ord"), "phase", "fraction", "cloned", "scanned")
+    return rows.groupBy("run_id").applyInPandasWithState(update, _STREAMED, "state string", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_progress(spark, folder: str, out: str, checkpoint: str, max_files: int = 1, repo_total: int | None = None) -> DataFrame:
+    """Follows Parquet log files in a folder to their present end and returns what is told last of each run; a stopped stream goes on from its checkpoint.
+
+    Each batch is a folder of its own in `out`, which a batch that is run again replaces.
+    """
+    logs = spark.readStream.schema("run_id string, ord bigint, message string").option("maxFilesPerTrigger", max_files).parquet(folder)
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    progress_stream(logs, repo_total).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    told_so_far = spark.read.schema(f"{_STREAMED}, batch bigint").parquet(out)
+    return told_so_far.groupBy("run_id").agg(F.max_by(F.struct("phase", "determinate", "pct", "best"), "batch").alias("r")).select("run_id", "r.*")
+
+
 def watch_logs(spark, folder: str, max_files: int = 100) -> DataFrame:
     """A stream over JSON log files (run_id, ord, message) in a folder, as phase_fractions(); write it in complete or update mode."""
     logs = spark.readStream.schema("run_id string, ord bigint, message string").option("maxFilesPerTrigger", max_files).json(folder)

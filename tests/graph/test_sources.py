@@ -129,3 +129,24 @@ def test_languages_of_names(spark):
     df = spark.createDataFrame([(k,) for k in names] + [("a.d.ts",), (None,)], "path string")
     got = language_for_file(df, spark.createDataFrame(registry, "tag string, key string, special boolean"))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [*names.items(), ("a.d.ts", "dts"), (None, None)]))
+
+
+def test_progress_stream_ends_as_the_table_and_never_falls(spark, tmp_path):
+    from meshlens.streaming import progress
+
+    lines = [("a", 1, "[clone] x ready at /x"), ("a", 2, "[clone] Using local repo y"), ("a", 3, "[scan] x: scanning 3"), ("a", 4, "[index] 5/10"), ("a", 5, "[index] 10/10"), ("a", 6, "[graph] 1/4"), ("a", 7, "[graph] 3/4"), ("a", 8, "[graph] x/0"),
+             ("b", 1, "[clone] x ready at /x"), ("c", 1, "hello"), ("d", 1, "[index] 1/2"), ("d", 2, "[DONE] all"), (None, 1, "[analyze] 1/2"), ("e", None, "[detect] 1/0")]
+    ddl = "run_id string, ord bigint, message string"
+    order = [6, 3, 9, 7, 0, 4, 12, 10, 5, 13, 2, 11, 1, 8, 6, 0, 3]  # late and twice
+    for k in range(0, len(order), 4):
+        spark.createDataFrame([lines[i] for i in order[k : k + 4]], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "logs"))
+    got = progress.run_progress(spark, str(tmp_path / "logs"), str(tmp_path / "told"), str(tmp_path / "state"), repo_total=4)
+    repos = spark.createDataFrame([(r, 4) for r in "abcde"], "run_id string, repo_total int")
+    whole = progress.ingest_progress(progress.phase_fractions(spark.createDataFrame([x for x in lines if x[0]], ddl)), repos)
+    assert {tuple(r) for r in got.filter("run_id IS NOT NULL").drop("best").collect()} == {tuple(r) for r in whole.collect()}
+    told = spark.read.parquet(str(tmp_path / "told")).orderBy("batch").collect()
+    for run in "abcde":
+        bests = [r.best for r in told if r.run_id == run]
+        assert bests == sorted(bests)
+    again = progress.run_progress(spark, str(tmp_path / "logs"), str(tmp_path / "told"), str(tmp_path / "state"), repo_total=4)
+    assert again.count() == got.count(), "a stream that goes on finds nothing new"
