@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.scalars import auto_title, occurrences
-from ..plans.relations import GraphRelations, read_snapshot
+from ..plans.relations import GraphRelations, drop_snapshot, read_snapshot, write_graph
 
 #: Kept snapshots, listed board items, titles that a first message replaces.
 KEPT_SNAPSHOTS = 10
 LISTED_ITEMS = 50
+OVERVIEW_ITEMS = 10
 PLACEHOLDER_TITLES = ("", "New conversation", "Default conversation")
 
 
@@ -42,6 +43,25 @@ def list_snapshots(spark: SparkSession, folder: str) -> list[int]:
     return sorted((int(r[0]) for r in rows), reverse=True)
 
 
+def save_snapshot(graph: GraphRelations, folder: str, at: int, keep: int = KEPT_SNAPSHOTS) -> list[int]:
+    """Writes a graph as the snapshot of a time and deletes all but the newest `keep`; returns the times of those, newest first."""
+    spark = graph.entry_points.sparkSession
+    write_graph(graph, folder, at)
+    known = list_snapshots(spark, folder)
+    for old in known[keep:]:
+        drop_snapshot(spark, folder, old)
+    return known[:keep]
+
+
+def board_overview(boards: DataFrame, items: DataFrame, shown: int = OVERVIEW_ITEMS, order: str = "ord") -> DataFrame:
+    """id, name, items, columns (column and count, by name), first (the first `shown` items by stored order: id, title, status) of every board."""
+    columns = board_columns(items).groupBy(F.col("board_id").alias("id")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("column", "n"))).alias("columns"))  # a board's columns are few
+    place = F.row_number().over(Window.partitionBy("board_id").orderBy(order))
+    top = items.withColumn("_k", place).filter(F.col("_k") <= shown).groupBy(F.col("board_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("_k", F.struct(F.col("id").cast("string").alias("id"), "title", "status").alias("i")))).alias("f"))
+    rows = boards.select("id", "name").join(columns, "id", "left").join(top, "id", "left")
+    return rows.select("id", "name", F.coalesce("n", F.lit(0)).alias("items"), "columns", F.transform("f", lambda x: x["i"]).alias("first"))
+
+
 def project_diff(graph: GraphRelations, folder: str, at: str = "", light: bool = False) -> dict:
     """What changed since a snapshot of a folder, the newest or that of a time; an unknown time is an error.
 
@@ -62,6 +82,24 @@ def project_diff(graph: GraphRelations, folder: str, at: str = "", light: bool =
     return out if light else out | {"old_graph": old, "new_graph": graph}
 
 
+def seed_import(projects: DataFrame, documents: DataFrame, now: str) -> DataFrame:
+    """projects with those of graph documents (name, text: JSON) that aren't among them: id, name, created_at, updated_at, status, repos, entry_points, producers, links.
+
+    Documents are read as variants, so those of older versions without newer fields, or with fields of other kinds, are read too: what
+    isn't an array counts nothing.  A project's id is made of its document's digest: a document that is imported again, or twice at
+    once (under the least name), is one project.  Texts that aren't JSON objects are left out.
+    """
+    v = documents.select("name", "text", F.try_parse_json("text").alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    size = lambda field: F.coalesce(F.size(F.try_variant_get("v", f"$.{field}", "array<variant>")), F.lit(0))
+    made = F.coalesce(F.nullif(F.try_variant_get("v", "$.generated_at", "string"), F.lit("")), F.lit(now))
+    found = v.select(
+        F.concat(F.lit("seed-"), F.substring(F.sha2("text", 256), 1, 16)).alias("id"), "name", made.alias("created_at"), F.lit(now).alias("updated_at"), F.lit("ready").alias("status"),
+        size("repos").alias("repos"), size("entry_points").alias("entry_points"), size("producers").alias("producers"), size("cross_repo_links").alias("links"),
+    )
+    once = found.groupBy("id").agg(F.min(F.struct(*[c for c in found.columns if c != "id"])).alias("r")).select("id", "r.*")
+    return projects.unionByName(once.join(projects.select("id"), "id", "left_anti"))
+
+
 def list_projects(projects: DataFrame) -> DataFrame:
     """Projects with their place, newest first."""
     return projects.orderBy(F.col("updated_at").desc(), "id")

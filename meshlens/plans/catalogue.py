@@ -745,6 +745,18 @@ def board_items(spark, d):
     return store.board_items(_items(spark, d), "1-URGENT", "f").select("id")
 
 
+@query(
+    """SELECT id, items, columns, first FROM (SELECT o_orderpriority AS id, count(*) AS items FROM orders GROUP BY 1)
+    JOIN (SELECT id, string_agg(c || ':' || n, ',' ORDER BY c) AS columns FROM (SELECT o_orderpriority AS id, CASE WHEN o_orderstatus = 'P' THEN 'no status' ELSE o_orderstatus END AS c, count(*) AS n FROM orders GROUP BY ALL) GROUP BY id) USING (id)
+    JOIN (SELECT id, string_agg(k || ':' || coalesce(s, ''), ',' ORDER BY k) AS first FROM (SELECT o_orderpriority AS id, o_orderkey AS k, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 10) GROUP BY id) USING (id)"""
+)
+def board_overview(spark, d):
+    items = _items(spark, d).withColumn("title", F.concat(F.lit("order "), "id"))
+    boards = items.select(F.col("board_id").alias("id"), F.col("board_id").alias("name")).distinct()
+    text = lambda c, x, y: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s[x].cast("string"), F.coalesce(s[y].cast("string"), F.lit("")))), ",").alias(c)
+    return store.board_overview(boards, items).select("id", "items", text("columns", "column", "n"), text("first", "id", "status"))
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_totalprice > 200000 THEN 'moved' WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS status FROM orders")
 def board_upsert(spark, d):
     moved = table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_orderkey").alias("id"), F.lit("moved").alias("status"))

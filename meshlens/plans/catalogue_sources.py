@@ -6,11 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import textindex
-from ..sources import syntax
+from ..operators import store, textindex
+from ..sources import listings, syntax
 from ..sources.extract import index
 from ..sources.extract import java_types as read_types
 from ..sources.files import language_for_file as with_language
+from ..streaming.progress import progress_lines as lines_of
 from ..streaming.progress import run_progress
 from .adapter import graph, part_sources, parts_sql, table
 from .analysis import analyze_files
@@ -165,3 +166,60 @@ def progress_stream(spark, d):
     twice = logs.unionByName(logs.filter("ord % 3 = 0"))
     twice.withColumn("_file", F.pmod(F.xxhash64("ord", F.rand(1)), F.lit(4)).cast("int")).repartition(4, "_file").drop("_file").write.parquet(f"{folder}/logs")
     return run_progress(spark, f"{folder}/logs", f"{folder}/told", f"{folder}/state").drop("best")
+
+
+@query(
+    """WITH r AS (SELECT event_type AS run_id, event_id AS ord, event_id % 1000 AS done, 900 + user_id % 2 AS total, CASE WHEN user_id % 2 = 0 THEN 'index' ELSE 'graph' END AS phase FROM events),
+    p AS (SELECT *, len(list_filter(range(1, 21), lambda k: round(total * k / 21.0) <= least(done, total))) AS passed FROM r),
+    b AS (SELECT *, coalesce(max(passed) OVER (PARTITION BY run_id, phase ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
+    SELECT run_id, ord, '[' || phase || '] ' || least(done, total) || '/' || total || ' rows' AS line FROM b WHERE passed > before"""
+)
+def progress_lines(spark, d):
+    events = table(spark, d, "events")
+    phase = F.when(F.col("user_id") % 2 == 0, "index").otherwise("graph")
+    return lines_of(events.select(F.col("event_type").alias("run_id"), phase.alias("phase"), F.col("event_id").alias("ord"), (F.col("event_id") % 1000).alias("done"), (900 + F.col("user_id") % 2).alias("total"), F.lit("rows").alias("noun")))
+
+
+# ---------------------------------------------------------------- listings in pages, and imported documents
+
+
+#: Parts of a page; a listing that has a broken page, and one that has an empty one, with the page's number.
+_PAGE, _BROKEN, _EMPTY = 30, 5, 9
+
+
+@query(
+    f"""WITH i AS (SELECT p_partkey % 3 AS l, p_partkey // 3 // {_PAGE} AS page, p_partkey, p_name, p_brand FROM part),
+    n AS (SELECT l, page, sum(count(*)) OVER (PARTITION BY l ORDER BY page) - count(*) AS before FROM i GROUP BY l, page)
+    SELECT 'list' || l AS listing, CAST(before + row_number() OVER (PARTITION BY l, page ORDER BY p_partkey) - 1 AS INTEGER) AS place, p_name AS name, 'shop/' || p_partkey AS full_name, '' AS description, p_brand AS default_branch, '' AS clone_url
+    FROM i JOIN n USING (l, page) WHERE before < 500 AND page < CASE l WHEN 1 THEN {_BROKEN} WHEN 2 THEN {_EMPTY} ELSE 1000000000 END"""
+)
+def repo_listing(spark, d):
+    """Repositories listed by hosts in pages: one of three listings is as long as listings get, one has a broken page and one an empty one."""
+    key = F.col("p_partkey")
+    item = F.struct(key.alias("id"), F.to_json(F.struct(F.col("p_name").alias("name"), F.concat(F.lit("shop/"), key.cast("string")).alias("path_with_namespace"), F.col("p_brand").alias("default_branch"))).alias("json"))
+    paged = table(spark, d, "part").groupBy((key % 3).alias("l"), F.expr(f"p_partkey div 3 div {_PAGE}").alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))  # _PAGE a page
+    body = lambda items: F.concat(F.lit('{"items": ['), items, F.lit('], "next": "'), (F.col("page") + 1).cast("string"), F.lit('"}'))
+    whole = body(F.array_join(F.transform("items", lambda x: x["json"]), ","))
+    payload = F.when((F.col("l") == 1) & (F.col("page") == _BROKEN), F.substring(whole, F.lit(1), F.length(whole) - 7)).when((F.col("l") == 2) & (F.col("page") == _EMPTY), body(F.lit(""))).otherwise(whole)
+    pages = paged.select(F.concat(F.lit("list"), F.col("l").cast("string")).alias("listing"), F.when(F.col("page") == 0, "").otherwise(F.col("page").cast("string")).alias("token"), payload.alias("payload"))
+    return listings.repositories(listings.followed(pages), "gitlab")
+
+
+@query(
+    """SELECT 'seed-' || substr(sha256(text), 1, 16) AS id, name, CASE WHEN k % 2 = 0 THEN '2020-01-0' || (1 + k % 5) ELSE 'now' END AS created_at, 'now' AS updated_at, 'ready' AS status,
+        CAST(CASE WHEN k % 5 = 1 THEN 0 ELSE 2 END AS INTEGER) AS repos, CAST(s % 4 AS INTEGER) AS entry_points, CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE 1 END AS INTEGER) AS producers, 0 AS links
+    FROM (SELECT p_partkey AS k, p_size AS s, 'part ' || p_partkey AS name, '{"repos": ' || CASE WHEN p_partkey % 5 = 1 THEN '"r"' ELSE '["a", "b"]' END || ', "entry_points": [' || array_to_string(list_transform(range(0, p_size % 4), lambda x: '{"id": "e' || x || '"}'), ',') || ']'
+        || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ', "producers": [{"id": "p"}]' END || CASE WHEN p_partkey % 2 = 0 THEN ', "generated_at": "2020-01-0' || (1 + p_partkey % 5) || '"' ELSE '' END || ', "key": ' || p_partkey || '}' AS text FROM part) WHERE k % 11 <> 0"""
+)
+def seed_import(spark, d):
+    """Projects of graph documents of several versions, of which some can't be read, after two imports of overlapping sets."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    entries = F.array_join(F.transform(F.slice(F.array(*[F.lit(str(k)) for k in range(4)]), F.lit(1), (size % 4).cast("int")), lambda x: F.concat(F.lit('{"id": "e'), x, F.lit('"}'))), ",")
+    text = F.concat(
+        F.lit('{"repos": '), F.when(key % 5 == 1, '"r"').otherwise('["a", "b"]'), F.lit(', "entry_points": ['), entries, F.lit("]"), F.when(key % 3 == 0, "").otherwise(', "producers": [{"id": "p"}]'),
+        F.when(key % 2 == 0, F.concat(F.lit(', "generated_at": "2020-01-0'), (key % 5 + 1).cast("string"), F.lit('"'))).otherwise(""), F.lit(', "key": '), key.cast("string"), F.when(key % 11 == 0, "").otherwise("}"),
+    )
+    documents = table(spark, d, "part").select(key.alias("key"), F.concat(F.lit("part "), key.cast("string")).alias("name"), text.alias("text"))
+    none = spark.createDataFrame([], "id string, name string, created_at string, updated_at string, status string, repos int, entry_points int, producers int, links int")
+    first = store.seed_import(none, documents.filter("key % 2 = 0").drop("key"), "now")
+    return store.seed_import(first, documents.unionByName(documents.filter("key % 7 = 0")).drop("key"), "now")

@@ -115,15 +115,25 @@ def links_document(members: DataFrame) -> DataFrame:
 
 
 def write_graph(graph: GraphRelations, path: str, snapshot_ts: int) -> None:
-    """The relations as Parquet under path/relation/snapshot_ts=..., replacing that snapshot only."""
+    """The relations and the number of methods as Parquet under path/relation/snapshot_ts=..., replacing that snapshot only."""
+    spark = graph.entry_points.sparkSession
+    spark.range(1).select(F.lit(graph.methods_total).cast("bigint").alias("methods_total")).write.mode("overwrite").parquet(f"{path}/totals/snapshot_ts={snapshot_ts}")
     for f in fields(graph):
         value = getattr(graph, f.name)
         if isinstance(value, DataFrame):
             value.write.mode("overwrite").parquet(f"{path}/{f.name}/snapshot_ts={snapshot_ts}")
 
 
+def drop_snapshot(spark: SparkSession, path: str, snapshot_ts: int) -> None:
+    """Deletes what write_graph() wrote for a time, its list of repositories first: by it a snapshot is known."""
+    names = [f.name for f in fields(GraphRelations) if f.name != "methods_total"]
+    for name in ["repos", *(n for n in names if n != "repos"), "totals"]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/snapshot_ts={int(snapshot_ts)}")
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_snapshot(spark: SparkSession, path: str, snapshot_ts: int) -> GraphRelations:
-    """The relations that write_graph() wrote for a time; methods_total isn't kept there."""
+    """The relations that write_graph() wrote for a time; without a total there are no methods."""
 
     def read(name: str, ddl: str) -> DataFrame:
         return spark.read.schema(ddl).parquet(f"{path}/{name}/snapshot_ts={int(snapshot_ts)}")
@@ -133,7 +143,11 @@ def read_snapshot(spark: SparkSession, path: str, snapshot_ts: int) -> GraphRela
         unreachable = read("unreachable", UNREACHABLE_DDL)
     except AnalysisException:  # a graph without that index
         unreachable = None
-    return GraphRelations(unreachable=unreachable, **{name: read(name, columns) for name, columns in ddl.items()})
+    try:
+        total = read("totals", "methods_total bigint").first()
+    except AnalysisException:  # an older snapshot
+        total = None
+    return GraphRelations(unreachable=unreachable, methods_total=total.methods_total if total else 0, **{name: read(name, columns) for name, columns in ddl.items()})
 
 
 def nested_trees(nodes: DataFrame, levels: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Phases in order with their weights in percent, and prefixes of log lines.
@@ -67,6 +67,23 @@ def ingest_progress(fractions: DataFrame, repos: DataFrame | None = None) -> Dat
     )
 
 
+#: Fixed value: lines that a phase writes at most.
+MOST_LINES = 20
+
+
+def progress_lines(reports: DataFrame, most: int = MOST_LINES) -> DataFrame:
+    """run_id, ord, line of the reports (run_id, phase, ord, done, total, noun) that are worth a log line: `[phase] done/total noun`.
+
+    A report is if it passes a further one of `most` even thresholds of its total, however many it passes at once; reports that
+    come to no further one, or whose total isn't over 0, say nothing.  So a phase has `most` lines at most.
+    """
+    done = F.least("done", "total")
+    passed = F.size(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: F.round(F.col("total") * k / (most + 1)) <= done))
+    before = Window.partitionBy("run_id", "phase").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rows = reports.filter("total > 0").withColumn("_passed", passed).withColumn("_before", F.coalesce(F.max("_passed").over(before), F.lit(0))).filter("_passed > _before")
+    return rows.select("run_id", "ord", F.format_string("[%s] %d/%d %s", "phase", done, "total", "noun").alias("line"))
+
+
 # ---------------------------------------------------------------- as a stateful stream
 
 

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshlens.functions import scalars as S
-from meshlens.operators import cycles, diff, links, reach, store, tools, tree, views
+from meshlens.operators import cycles, diff, flows, links, reach, store, tools, tree, views
 from meshlens.plans import catalogue
 from meshlens.plans.fixpoint import reachable
-from meshlens.plans.relations import DOCUMENT_DDL, ENTRY_DDL, MEMBER_DDL, NODE_DDL, PRODUCER_DDL, GraphRelations, from_documents, graph_document, links_document, read_graph, write_graph
+from meshlens.plans.relations import DOCUMENT_DDL, ENTRY_DDL, MEMBER_DDL, NODE_DDL, PRODUCER_DDL, GraphRelations, read_snapshot, from_documents, graph_document, links_document, read_graph, write_graph
 from meshlens.streaming import progress
 
 
@@ -288,6 +288,9 @@ def test_diff_with_a_snapshot(spark, tmp_path):
     for wrong in ("11", "x", "../10"):
         with pytest.raises(LookupError):
             store.project_diff(new, folder, at=wrong)
+    assert store.save_snapshot(new.with_(methods_total=7), folder, 30, keep=2) == [30, 20] == store.list_snapshots(spark, folder)
+    assert read_snapshot(spark, folder, 30).methods_total == 7 and read_snapshot(spark, folder, 20).methods_total == 0
+    assert not (tmp_path / "store/members/snapshot_ts=10").exists()
 
 
 def test_store(spark):

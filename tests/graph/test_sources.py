@@ -150,3 +150,54 @@ def test_progress_stream_ends_as_the_table_and_never_falls(spark, tmp_path):
         assert bests == sorted(bests)
     again = progress.run_progress(spark, str(tmp_path / "logs"), str(tmp_path / "told"), str(tmp_path / "state"), repo_total=4)
     assert again.count() == got.count(), "a stream that goes on finds nothing new"
+
+
+def test_pages_are_followed_to_their_end_once(spark):
+    import json
+
+    from meshlens.sources import listings
+
+    page = lambda *names, to=None: json.dumps({"items": [{"name": n} for n in names], "next": to})
+    pages = [
+        ("a", "", page("1", "2", to="x")), ("a", "x", page("3", to="y")), ("a", "y", page(to="z")), ("a", "z", page("4")),  # an empty page ends it
+        ("b", None, page("1", to="x")), ("b", "x", '{"items": ["bro'), ("c", "", page("1", to="x")), ("c", "x", page("2", to="")), ("d", "x", page("1")),  # broken; led back; no first page
+        ("e", "", page("1", "2", to="x")), ("e", "x", page("3", "4", to="y")), ("e", "y", page("5")), ("f", "", None), ("g", "", page("1", to="none")),
+    ]
+    df = spark.createDataFrame(pages, "listing string, token string, payload string")
+    got = listings.repositories(listings.followed(df, most=4), "github")
+    names = {}
+    for r in sorted(got.collect(), key=lambda r: (r.listing, r.place)):
+        names.setdefault(r.listing, []).append(r.name)
+    assert names == {"a": ["1", "2", "3"], "b": ["1"], "c": ["1", "2"], "e": ["1", "2", "3", "4"], "g": ["1"]}
+    assert listings.followed(df.limit(0)).collect() == []
+
+
+def test_pages_of_a_folder(spark, tmp_path):
+    from meshlens.sources import listings
+
+    (tmp_path / "team x").mkdir()
+    (tmp_path / "team x/first.json").write_text('{"items": [{"name": "a", "mainbranch": {"name": "dev"}, "links": {"clone": [{"href": "u"}]}}],\n "next": "p2"}')
+    (tmp_path / "team x/p2.json").write_text('{"items": [{"name": "b"}]}')
+    rows = listings.repositories(listings.followed(listings.read_pages(spark, str(tmp_path))), "bitbucket").orderBy("place").collect()
+    assert [tuple(r) for r in rows] == [("team x", 0, "a", "", "", "dev", "u"), ("team x", 1, "b", "", "", "", "")]
+
+
+def test_progress_lines_are_twenty_at_most(spark):
+    from meshlens.streaming import progress
+
+    reports = [("r", "index", k, done, 3762, "methods") for k, done in enumerate(range(500, 5000, 500))] + [("r", "graph", k, k, 1000, "nodes") for k in range(1001)] + [("r", "scan", 1, 5, 0, "files")]
+    got = [r.line for r in progress.progress_lines(spark.createDataFrame(reports, "run_id string, phase string, ord int, done int, total int, noun string")).orderBy("ord").collect()]
+    assert sum(x.startswith("[graph]") for x in got) == 20 and "[graph] 952/1000 nodes" in got
+    assert [x for x in got if x.startswith("[index]")] == [f"[index] {min(d, 3762)}/3762 methods" for d in range(500, 4001, 500)]
+    assert not any(x.startswith("[scan]") for x in got)
+
+
+def test_two_imports_equal_one(spark):
+    from meshlens.operators import store
+
+    texts = ['{"entry_points": [1, {"a": 2}], "repos": "odd", "generated_at": ""}', "[]", "no", None, "{}", '{"cross_repo_links": [1], "generated_at": "2020", "producers": null}']
+    docs = spark.createDataFrame([(f"n{k}", t) for k, t in enumerate(texts)] + [("also", "{}")], "name string, text string")
+    none = spark.createDataFrame([("old", "x", "t", "t", "ready", 0, 0, 0, 0)], "id string, name string, created_at string, updated_at string, status string, repos int, entry_points int, producers int, links int")
+    once = store.seed_import(none, docs, "now")
+    assert sorted(tuple(r)[1:] for r in once.collect()) == [("also", "now", "now", "ready", 0, 0, 0, 0), ("n0", "now", "now", "ready", 0, 2, 0, 0), ("n5", "2020", "now", "ready", 0, 0, 0, 1), ("x", "t", "t", "ready", 0, 0, 0, 0)]
+    assert sorted(map(tuple, store.seed_import(once, docs, "later").collect())) == sorted(map(tuple, once.collect()))
