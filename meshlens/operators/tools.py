@@ -103,6 +103,22 @@ def orphan_channels(graph: GraphRelations) -> DataFrame:
     return find_orphans(graph).select("channel").distinct()
 
 
+def orphans(graph: GraphRelations) -> dict[str, DataFrame]:
+    """find_orphans() as an answer: producers, consumers, their channels in order, and a summary of counts."""
+    found = cut(find_orphans(graph))
+    side = lambda name: found.filter(F.col("side") == name).drop("side").orderBy("channel", "id")
+    n = lambda name: F.count(F.when(F.col("side") == name, 1)).alias(f"orphan_{name}s")
+    channels = found.select("channel").distinct().orderBy("channel")
+    return {"producers": side("producer"), "consumers": side("consumer"), "channels": channels, "summary": found.agg(n("producer"), n("consumer"), F.countDistinct("channel").alias("orphan_channels"))}
+
+
+def channel_flow(graph: GraphRelations, channel: str) -> dict[str, DataFrame]:
+    """get_channel_flow() as an answer: producers, consumers, and the repositories of both sides."""
+    found = get_channel_flow(graph, channel)
+    side = lambda name: found.filter(F.col("side") == name).drop("side")
+    return {"producers": side("producer"), "consumers": side("consumer"), "summary": channel_flow_summary(graph, channel)}
+
+
 def thin_handlers(graph: GraphRelations) -> DataFrame:
     """Entry points marked thin; where the mark is missing, those whose tree has one node."""
     thin = F.coalesce(F.col("thin"), F.coalesce(F.col("total_nodes"), F.lit(1)) <= 1)
@@ -234,7 +250,7 @@ def registry() -> dict[str, Callable]:
         return source_lines(resolve_source_path(files, file_path), start_line, end_line, highlight_line)
 
     return {
-        "search_code": search_code, "get_node": entry_point, "get_channel_flow": get_channel_flow, "find_orphans": find_orphans, "get_architecture_overview": architecture_overview,
+        "search_code": search_code, "get_node": entry_point, "get_channel_flow": channel_flow, "find_orphans": orphans, "get_architecture_overview": architecture_overview,
         "find_callers": callers, "trace_path": lambda graph, from_method, to_method: trace_path(graph.nodes, from_method, to_method),
         "list_channels": lambda graph: list_channels(graph.members), "find_cycles": lambda graph: find_cycles(graph.members), "find_dead_code": dead_code, "get_source": get_source,
         "diff_graphs": lambda graph, old_graph: diff_graphs(old_graph, graph), "list_projects": lambda graph, projects: list_projects(projects), "select_project": lambda graph, projects, project="": select_project(projects, project),
