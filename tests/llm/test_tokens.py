@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from meshlens.llm.bpe import Merges, encode_texts
 from meshlens.llm.packing import UNIT, Ids, pack, pack_documents, plan_packing, reduce_dominated, token_pieces
-from meshlens.llm.token_counts import Counter, spliced_count, stable_at_spaces, token_counts
+from meshlens.llm.token_counts import CHUNK, Counter, inner_pairs, spliced_count, token_counts
 
 from .helpers import TEXTS, awkward_docs, empty_docs
 
@@ -214,11 +214,29 @@ def test_splicing_equals_whole_encoding():
     count, rng = Counter("piece_bpe_32k.model"), random.Random(6)
     assert count.splices
     for _ in range(400):
-        text = "".join(rng.choice(["a", "b ", " ", "  ", "the ", "日本", " é", "x y", "\n", "▁", "́"]) for _ in range(rng.randint(0, 120)))
-        assert spliced_count(text, count.offsets, rng.randint(1, 30), rng.randint(1, 10)) == len(count.model.encode(text)), repr(text)
+        text = "".join(rng.choice(["a", "b ", " ", "  ", "the ", "日本", " é", "x y", "\n", "▁", "́", "при", "в", "مر", "한국", "𝕏", "\U0001f600", "字"]) for _ in range(rng.randint(0, 120)))
+        assert spliced_count(text, count.offsets, count.pairs, rng.randint(1, 30), rng.randint(1, 10)) == len(count.model.encode(text)), repr(text)
     for text in ("a" * 3000, "word " * 3000, " " * 2000):  # without a stable boundary the overlap widens to the whole
-        assert spliced_count(text, count.offsets, 100, 10) == len(count.model.encode(text))
-    assert not stable_at_spaces(["▁a", "a▁b"])
+        assert spliced_count(text, count.offsets, count.pairs, 100, 10) == len(count.model.encode(text))
+    assert inner_pairs(["▁a", "a▁b", "c"]) == {"▁a", "a▁", "▁b"}
+
+
+def test_huge_texts_of_every_script_are_encoded_about_once():
+    """What is encoded is at most 1.3 times the text, with spaces and without, and the counts are the library's."""
+    count, rng = Counter("piece_bpe_32k.model"), random.Random(16)
+    words = lambda low, high, space: space.join("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(2, 9))) for _ in range(60_000 // 6))
+    scripts = {"latin": (97, 122), "cyrillic": (0x430, 0x44F), "arabic": (0x627, 0x64A), "hindi": (0x905, 0x939), "chinese": (0x4E00, 0x5000), "korean": (0xAC00, 0xAD00)}
+    for name, (low, high) in scripts.items():
+        for space in (" ", "") if low > 0x3000 else (" ",):
+            text, seen = words(low, high, space), []
+
+            def encode(part, seen=seen):
+                seen.append(len(part))
+                return count.offsets(part)
+
+            assert len(text) > 2 * CHUNK
+            assert spliced_count(text, encode, count.pairs) == len(count.model.encode(text)), name
+            assert sum(seen) <= 1.3 * len(text), (name, sum(seen) / len(text))
 
 
 def test_token_counts(spark):
