@@ -87,8 +87,10 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
         bits = np.unpackbits(_taken(data, at + 1, line * height).reshape(height, line), axis=1)[:, :width]
         return 1 - bits
     if kind == 1:
-        digits = re.findall(rb"[01]", re.sub(rb"#[^\r\n]*", b"", data[at:]))
-        values = 1 - np.array([int(d) for d in digits[:n]], np.uint8)
+        digits = np.frombuffer(b"".join(re.sub(rb"#[^\r\n]*", b"", data[at:]).split())[:n], np.uint8)
+        if len(digits) and not np.isin(digits, (48, 49)).all():
+            raise ValueError("a sample of the bitmap is neither 0 nor 1")
+        values = 49 - digits
     elif kind in (2, 3):
         words = re.sub(rb"#[^\r\n]*", b"", data[at:]).split()[:n]
         if not all(_NUMBER.fullmatch(w) for w in words):
@@ -119,11 +121,17 @@ def _decode_bmp(data: bytes) -> np.ndarray:
         raise ValueError("the BMP header is cut short")
     (start,) = struct.unpack_from("<I", data, 10)
     size, width, height, _, bits, packing = struct.unpack_from("<IiiHHI", data, 14)
-    if size < 40 or packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
+    if size < 40 or packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height or (packing == 3 and bits != 32):
         raise ValueError("this kind of BMP is not supported")
     stride = (width * bits + 31) // 32 * 4
     body = _taken(data, start, stride * abs(height)).reshape(abs(height), stride)
     body = body[::-1] if height > 0 else body
+    if packing == 3:  # which byte of a sample is red, green and blue
+        places = {0xFF << 8 * k: k for k in range(4)}
+        order = [places.get(m) for m in struct.unpack("<III", _taken(data, 54, 12).tobytes())]
+        if None in order or len(set(order)) < 3:
+            raise ValueError("masks of the BMP that aren't whole bytes are not supported")
+        return body[:, : width * 4].reshape(abs(height), width, 4)[:, :, order]
     if bits >= 24:
         return body[:, : width * bits // 8].reshape(abs(height), width, bits // 8)[:, :, 2::-1]
     (used,) = struct.unpack_from("<I", data, 46)
@@ -214,16 +222,28 @@ def media_tiles(df: DataFrame, media_col: str = "media", id_col: str = "doc_id",
     return arrow_map(df.select(F.col(id_col).cast("bigint"), F.col(media_col).cast("binary")), make, f"{id_col} bigint, height int, width int, channels int, tile binary, dhash string, error string", text_col=1)
 
 
-def store_payload(payload: bytes, container: str = "pgm") -> bytes:
-    """A payload, a multiple of ROW bytes long, as the samples of a grey image ROW wide: a PGM or BMP file."""
-    image = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    return {"pgm": encode_pgm, "bmp": encode_bmp}[container](image)
+def container_of(payload: bytes) -> str:
+    """The container that a payload is stored in by turns: one of the grey ones, or of all where it fills whole RGB rows."""
+    kinds = ("pgm", "bmp", "ppm", "bmp24") if len(payload) % (3 * ROW) == 0 else ("pgm", "bmp")
+    return kinds[zlib.crc32(payload) % len(kinds)]
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", container: str = "pgm", side: int = 32, keep_media: bool = False) -> DataFrame:
+def store_payload(payload: bytes, container: str = "turns") -> bytes:
+    """A payload, a multiple of ROW bytes long, as the samples of an image ROW wide: PGM, 8-bit BMP, or, of 3 * ROW bytes a row, PPM or 24-bit BMP.
+
+    By turns the payload itself says which, so equal payloads are stored alike.
+    """
+    container = container_of(payload) if container == "turns" else container
+    samples = np.frombuffer(payload, np.uint8)
+    image = samples.reshape((-1, ROW, 3) if container in ("ppm", "bmp24") else (-1, ROW))
+    return {"pgm": encode_pgm, "bmp": encode_bmp, "ppm": encode_ppm, "bmp24": encode_bmp}[container](image)
+
+
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", container: str = "turns", side: int = 32, keep_media: bool = False) -> DataFrame:
     """Texts stored losslessly as images, and what is read back from those: sizes, digests, tile and hash.
 
-    The UTF-8 bytes, zeros up to a positive multiple of 64, are the samples of a grey image 64 wide.
+    The UTF-8 bytes, zeros up to a positive multiple of 64, are the samples of an image 64 wide: grey or, where
+    they fill its rows, RGB; PGM, PPM and BMP by turns, or all in the container named.
     payload_* and tail_crc32 come from decoding the stored image; feature is the difference hash and
     the digest of the NPY tile.  Null text is empty text (64 zeros).  Equal texts give equal values
     and rows that repeat stay; other columns are dropped, an empty table gives an empty one.

@@ -65,8 +65,36 @@ def test_strips_of_long_rows(monkeypatch):
     assert np.allclose(area_resize(image, 4, 7), naive_resize(image, 4, 7))
 
 
+def test_payloads_are_stored_by_turns_in_every_container():
+    from meshlens.llm.media import container_of, store_payload
+
+    rng, seen = np.random.default_rng(4), set()
+    for k in range(60):
+        payload = rng.integers(0, 256, 64 * int(rng.integers(1, 13)), np.uint8).tobytes()
+        image = decode(store_payload(payload))
+        assert image.tobytes() == payload and store_payload(payload) == store_payload(payload, container_of(payload))
+        assert (image.ndim == 3) == (container_of(payload) in ("ppm", "bmp24")) and (image.ndim == 2 or len(payload) % 192 == 0)
+        seen.add(container_of(payload))
+    assert seen == {"pgm", "bmp", "ppm", "bmp24"}
+
+
+def test_masks_of_bitmaps_say_where_colours_are():
+    import struct
+
+    def masked(*masks, bits=32):
+        head = struct.pack("<2sIHHI", b"BM", 74, 0, 0, 66) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, bits, 3, 8, 0, 0, 0, 0)
+        return head + struct.pack("<III", *masks) + bytes([1, 2, 3, 4, 5, 6, 7, 8])
+
+    assert decode(masked(0xFF0000, 0xFF00, 0xFF)).tolist() == [[[3, 2, 1], [7, 6, 5]]]
+    assert decode(masked(0xFF, 0xFF00, 0xFF0000)).tolist() == [[[1, 2, 3], [5, 6, 7]]]
+    assert decode(masked(0xFF000000, 0xFF0000, 0xFF00)).tolist() == [[[4, 3, 2], [8, 7, 6]]]
+    for broken in (masked(0xF800, 0x7E0, 0x1F), masked(0xFF, 0xFF, 0xFF00), masked(0xFF, 0xFF00, 0xFF0000, bits=24), masked(0xFF, 0xFF00, 0xFF0000)[:60], b"P1\n2 1\n0 7", b"P1\n2 1\n0"):
+        with pytest.raises(ValueError):
+            decode(broken)
+
+
 def test_text_media(spark):
-    for container in ("pgm", "bmp"):
+    for container in ("turns", "pgm", "bmp"):
         rows = text_media(awkward_docs(spark), container=container, keep_media=True).collect()
         assert len(rows) == len(TEXTS) + 2
         for r in rows:
