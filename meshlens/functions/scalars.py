@@ -28,13 +28,13 @@ HTTP_VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 TITLE_CHARS = 60
 
 
-#: White space as strip() takes it, at either end.
-_ENDS = "^[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+|[\\s\\x0B\\x1C-\\x1F\\x85\\p{Z}]+$"
+#: White space as strip() takes it: ASCII's, the separators 1C to 1F, next line, and all of Unicode's separators.
+WHITE_SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(x: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(x, _ENDS, "")
+    return F.trim(x, F.lit(WHITE_SPACE))
 
 
 def last_seg(x: Column) -> Column:

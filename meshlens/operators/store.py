@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.scalars import auto_title, occurrences
+from ..functions.scalars import auto_title, occurrences, strip
 from ..plans.relations import GraphRelations, drop_snapshot, read_snapshot, write_graph
 
 #: Kept snapshots, listed board items, titles that a first message replaces.
@@ -227,6 +227,44 @@ def sync_board(boards: DataFrame, items: DataFrame, board_id: str, fresh: DataFr
     return after, kept.unionByName(fresh.withColumn("board_id", F.lit(board_id)))
 
 
+#: Columns of requests to boards, in the order of ord, and what can be asked.
+REQUEST_DDL = "request_id string, ord bigint, board_id string, action string, item_id string, title string, body string, labels array<string>, status string"
+BOARD_ACTIONS = ("move", "comment", "create")
+
+
+def request_board_writes(items: DataFrame, requests: DataFrame, sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, outbox) after requests (REQUEST_DDL) to boards: what a connector has to send, and the items as they will be.
+
+    A move sets an item's status, the last one of an item counting; a comment leaves items alone; a create adds an item
+    with its request's id, unless an open item of its board, or an earlier request, has the title (whatever its case
+    and white space).  outbox has a row for each request: request_id, board_id, action, item_id, payload (JSON) and
+    error, null where it is to be sent.  Requests that `sent` (request_id) has, and all but the first row of a repeated
+    one, are left out, so that running again changes nothing.  items have at least board_id, id, title and status.
+    """
+    columns = [part.split(" ")[0] for part in REQUEST_DDL.split(", ")[1:]]  # ord first
+    once = requests.groupBy("request_id").agg(F.min(F.struct(*columns)).alias("r")).select("request_id", "r.*")
+    fresh = once.join(sent.select("request_id").distinct(), "request_id", "left_anti")
+    title = lambda c: F.lower(strip(F.coalesce(F.col(c), F.lit(""))))
+    known = items.select("board_id", F.col("id").cast("string").alias("item_id"), F.lit(True).alias("_known")).distinct()
+    open_titles = items.filter(F.lower(F.coalesce("status", F.lit(""))) != "closed").select("board_id", title("title").alias("_title")).distinct().withColumn("_open", F.lit(True))
+    first = fresh.filter("action = 'create'").groupBy("board_id", title("title").alias("_title")).agg(F.min(F.struct("ord", "request_id")).alias("_first"))
+    met = fresh.withColumn("_title", F.when(F.col("action") == "create", title("title")))
+    met = met.join(known, ["board_id", "item_id"], "left").join(open_titles, ["board_id", "_title"], "left").join(first, ["board_id", "_title"], "left")
+    error = (
+        F.when(~F.coalesce(F.col("action").isin(*BOARD_ACTIONS), F.lit(False)), F.concat(F.lit("boards have no such write: "), F.coalesce("action", F.lit(""))))
+        .when((F.col("action") == "create") & (F.col("_title") == ""), "a new item needs a title")
+        .when((F.col("action") == "create") & (F.col("_open") | (F.col("_first.request_id") != F.col("request_id"))), "an open item has this title")
+        .when((F.col("action") != "create") & F.col("_known").isNull(), "the board has no such item")
+    )
+    payload = F.to_json(F.struct("title", "body", "labels", "status"))
+    outbox = met.select("request_id", "ord", "board_id", "action", F.when(F.col("action") == "create", F.col("request_id")).otherwise(F.col("item_id")).alias("item_id"), "title", "labels", "status", payload.alias("payload"), error.alias("error"))
+    done = outbox.filter("error IS NULL")
+    moved = done.filter("action = 'move'").groupBy("board_id", F.col("item_id").cast(items.schema["id"].dataType).alias("id")).agg(F.max_by("status", F.struct("ord", "request_id")).alias("_status"))
+    after = items.join(moved, ["board_id", "id"], "left").withColumn("status", F.coalesce("_status", "status")).select(items.columns)
+    made = done.filter("action = 'create'").select("board_id", F.col("item_id").cast(items.schema["id"].dataType).alias("id"), strip(F.col("title")).alias("title"), F.coalesce("status", F.lit("")).alias("status"))
+    return after.unionByName(made, allowMissingColumns=True), outbox.select("request_id", "board_id", "action", "item_id", "payload", "error")
+
+
 def is_duplicate_title(items: DataFrame, titles: DataFrame) -> DataFrame:
     """Of titles (title) those that an open item has already."""
     return titles.join(items.filter("status <> 'closed'").select("title").distinct(), "title", "left_semi")
@@ -278,6 +316,8 @@ CHANGE_DDL = "conv_id string, action string, diagram_id string, header string, c
 #: What can be done to diagrams, and what they are written in.
 DIAGRAM_ACTIONS = ("add", "replace", "append", "patch", "remove", "get", "clear")
 DIAGRAM_KINDS = ("mermaid", "html", "markdown")
+#: Characters of a text to be replaced that a report shows.
+REPORTED_CHARS = 80
 
 
 def _targets(diagrams: DataFrame, changes: DataFrame) -> DataFrame:
@@ -298,11 +338,12 @@ def _targets(diagrams: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def change_diagrams(diagrams: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Diagrams (DIAGRAM_DDL) after changes (CHANGE_DDL), and what became of each: conv_id, action, diagram_id, replaced, error.
+    """Diagrams (DIAGRAM_DDL) after changes (CHANGE_DDL), and what became of each: conv_id, action, diagram_id, replaced, applied, error.
 
     add puts a diagram last; replace and append write the meant one's code; patch makes all its
-    find-and-replace edits, in order, or none; remove and clear take away; get changes nothing.  Many
-    conversations change at once, and those without a change stay as they are.
+    find-and-replace edits, in order, or none, and reports how often each replaced (applied: find, cut to REPORTED_CHARS,
+    and replacements); remove and clear take away; get changes nothing.  Many conversations change at once, and those
+    without a change stay as they are.
     """
     asked = _targets(diagrams, changes)
     action = F.col("action")
@@ -311,11 +352,12 @@ def change_diagrams(diagrams: DataFrame, changes: DataFrame) -> tuple[DataFrame,
     mine = F.coalesce(F.col("id") == F.col("t"), F.lit(False))
     real = F.filter("edits", lambda e: F.coalesce(e["find"], F.lit("")) != "")
     fits = (F.size("edits") > 0) & F.forall("edits", lambda e: F.contains(F.col("code"), F.coalesce(e["find"], F.lit(""))))
-    start = F.struct(F.col("code").alias("text"), F.lit(0).alias("n"))
-    step = lambda acc, e: F.struct(F.replace(acc["text"], e["find"], F.coalesce(e["replace"], F.lit(""))).alias("text"), (acc["n"] + occurrences(acc["text"], e["find"])).alias("n"))
+    report = lambda acc, e: F.struct(F.substring(e["find"], 1, REPORTED_CHARS).alias("find"), occurrences(acc["text"], e["find"]).cast("int").alias("replacements"))
+    start = F.struct(F.col("code").alias("text"), F.array().cast("array<struct<find:string,replacements:int>>").alias("applied"))
+    step = lambda acc, e: F.struct(F.replace(acc["text"], e["find"], F.coalesce(e["replace"], F.lit(""))).alias("text"), F.array_append(acc["applied"], report(acc, e)).alias("applied"))
     met = met.withColumns({"mine": mine, "patched": F.when(mine & (F.col("a") == "patch") & fits, F.aggregate(real, start, step))})
     absent = F.transform(F.filter("edits", lambda e: ~F.contains(F.col("code"), F.coalesce(e["find"], F.lit("")))), lambda e: e["find"])
-    told = met.filter("mine and a = 'patch'").select("conv_id", F.col("patched.n").alias("replaced"), F.when(F.col("patched").isNull(), F.array_join(absent, ", ")).alias("absent"))
+    told = met.filter("mine and a = 'patch'").select("conv_id", F.col("patched.applied").alias("applied"), F.when(F.col("patched").isNull(), F.array_join(absent, ", ")).alias("absent"))
     does = lambda *names: F.col("mine") & F.col("a").isin(*names)
     gone = F.coalesce((F.col("a") == "clear") | (F.col("a") == "remove") & (F.col("id") == F.col("wanted")), F.lit(False))
     code = F.when(does("append"), F.concat("code", "c")).when(does("replace") & (F.col("c") != ""), F.col("c")).otherwise(F.coalesce("patched.text", "code"))
@@ -331,7 +373,8 @@ def change_diagrams(diagrams: DataFrame, changes: DataFrame) -> tuple[DataFrame,
         .when((action == "patch") & (F.size("edits") == 0), "a patch needs edits")
         .when(F.col("absent").isNotNull(), F.concat(F.lit("not in the diagram, so nothing was changed: "), "absent"))
     )
-    outcome = asked.join(told, "conv_id", "left").select("conv_id", "action", F.when(action == "add", new_id).otherwise(F.coalesce("t", "diagram_id")).alias("diagram_id"), F.coalesce("replaced", F.lit(0)).alias("replaced"), error.alias("error"))
+    none = F.array().cast("array<struct<find:string,replacements:int>>")
+    outcome = asked.join(told, "conv_id", "left").select("conv_id", "action", F.when(action == "add", new_id).otherwise(F.coalesce("t", "diagram_id")).alias("diagram_id"), F.aggregate(F.coalesce("applied", none), F.lit(0), lambda n, x: n + x["replacements"]).alias("replaced"), F.coalesce("applied", none).alias("applied"), error.alias("error"))
     return stay.unionByName(added), outcome
 
 

@@ -763,6 +763,45 @@ def board_upsert(spark, d):
     return store.upsert_rows(_items(spark, d).select("id", "status"), moved)
 
 
+#: Requests of lines to the boards of their orders: moves, comments, new items, one that can't be done, one of no item; returned lines' were sent.
+_REQUESTS = """WITH lines AS (SELECT l_orderkey || '-' || l_linenumber AS request_id, l_orderkey * 10 + l_linenumber AS ord, o_orderpriority AS board_id,
+    CASE l_linenumber WHEN 1 THEN 'move' WHEN 2 THEN 'move' WHEN 4 THEN 'create' WHEN 5 THEN 'archive' WHEN 6 THEN 'move' ELSE 'comment' END AS action,
+    CASE WHEN l_linenumber = 6 THEN 'none' ELSE CAST(l_orderkey AS VARCHAR) END AS item_id, 'Order ' || l_partkey AS title, CASE WHEN l_linenumber = 2 THEN l_returnflag ELSE l_linestatus END AS status, l_returnflag
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    items AS (SELECT o_orderpriority AS board_id, CAST(o_orderkey AS VARCHAR) AS id, 'order ' || o_custkey AS title, CASE WHEN o_orderstatus = 'P' THEN 'closed' ELSE o_orderstatus END AS status FROM orders),
+    asked AS (SELECT * FROM lines WHERE request_id NOT IN (SELECT request_id FROM lines WHERE l_returnflag = 'R') QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY ord, item_id, title, status) = 1),
+    told AS (SELECT *, CASE WHEN action = 'archive' THEN 'boards have no such write: archive'
+        WHEN action = 'create' AND (EXISTS (SELECT 1 FROM items i WHERE i.board_id = asked.board_id AND i.status <> 'closed' AND i.title = lower(asked.title)) OR row_number() OVER (PARTITION BY board_id, action, title ORDER BY ord, request_id) > 1) THEN 'an open item has this title'
+        WHEN item_id = 'none' THEN 'the board has no such item' END AS error FROM asked)"""
+
+
+def _board_writes(spark, d):
+    orders = table(spark, d, "orders")
+    key, number = F.col("l_orderkey"), F.col("l_linenumber")
+    items = orders.select(F.col("o_orderpriority").alias("board_id"), F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("order "), "o_custkey").alias("title"), F.when(F.col("o_orderstatus") == "P", "closed").otherwise(F.col("o_orderstatus")).alias("status"))
+    action = F.when(number.isin(1, 2, 6), "move").when(number == 4, "create").when(number == 5, "archive").otherwise("comment")
+    lines = table(spark, d, "lineitem").join(orders, key == F.col("o_orderkey")).select(
+        F.concat_ws("-", key.cast("string"), number.cast("string")).alias("request_id"), (key * 10 + number).cast("bigint").alias("ord"), F.col("o_orderpriority").alias("board_id"), action.alias("action"),
+        F.when(number == 6, "none").otherwise(key.cast("string")).alias("item_id"), F.concat(F.lit("Order "), "l_partkey").alias("title"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("array<string>").alias("labels"),
+        F.when(number == 2, F.col("l_returnflag")).otherwise(F.col("l_linestatus")).alias("status"), "l_returnflag",
+    )
+    return store.request_board_writes(items, lines, lines.filter("l_returnflag = 'R'"))
+
+
+@query(_REQUESTS + " SELECT request_id, board_id, action, CASE WHEN action = 'create' THEN request_id ELSE item_id END AS item_id, error FROM told")
+def board_outbox(spark, d):
+    return _board_writes(spark, d)[1].select("request_id", "board_id", "action", "item_id", "error")
+
+
+@query(
+    _REQUESTS
+    + """ SELECT board_id, id, title, coalesce(m.status, items.status) AS status FROM items LEFT JOIN (SELECT board_id, item_id AS id, arg_max(status, ord) AS status FROM told WHERE action = 'move' AND error IS NULL GROUP BY 1, 2) m USING (board_id, id)
+    UNION ALL SELECT board_id, request_id, title, status FROM told WHERE action = 'create' AND error IS NULL"""
+)
+def board_after_writes(spark, d):
+    return _board_writes(spark, d)[0].select("board_id", "id", "title", "status")
+
+
 _LOG = "'[' || CASE user_id % 4 WHEN 0 THEN 'Index' WHEN 1 THEN 'graph' WHEN 2 THEN 'scan' ELSE event_type END || '] ' || CAST(event_id % 100 AS VARCHAR) || '/100'"
 
 

@@ -169,8 +169,8 @@ def nested_trees(nodes: DataFrame, levels: int = 5) -> DataFrame:
     raise ValueError("a tree has a level at least")
 
 
-def graph_document(graph: GraphRelations, generated_at: str = "", engine_version: str = "") -> DataFrame:
-    """The graph as one row of DOCUMENT_DDL's shape, without repo_roots: an exchange format, which holds the whole graph in a row."""
+def graph_document(graph: GraphRelations, generated_at: str = "", engine_version: str = "", roots: dict[str, str] | None = None) -> DataFrame:
+    """The graph as one row of DOCUMENT_DDL's shape, with the folders of repositories (roots): an exchange format, which holds the whole graph in a row."""
 
     def gathered(df: DataFrame, name: str, *columns: str) -> DataFrame:
         return df.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*columns).alias("x")))), lambda r: r["x"]).alias(name))
@@ -183,4 +183,5 @@ def graph_document(graph: GraphRelations, generated_at: str = "", engine_version
     out = out.join(graph.repos.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "repo"))), lambda r: r["repo"]).alias("repos")))  # one row each
     if graph.unreachable is not None:
         out = out.join(graph.unreachable.agg(F.array_sort(F.collect_list(F.struct(*[p.split(" ")[0] for p in UNREACHABLE_DDL.split(", ")]))).alias("unreachable_methods")))
-    return out.withColumns({"methods_total": F.lit(graph.methods_total), "generated_at": F.lit(generated_at), "engine_version": F.lit(engine_version)})
+    places = F.create_map(*[F.lit(x) for pair in sorted((roots or {}).items()) for x in pair]).cast("map<string,string>")
+    return out.withColumns({"repo_roots": places, "methods_total": F.lit(graph.methods_total), "generated_at": F.lit(generated_at), "engine_version": F.lit(engine_version)})

@@ -235,6 +235,9 @@ def test_changes_of_diagrams(spark):
     after, told = change(panel, ("c", " PATCH ", {"edits": [("a", "c"), ("b", "a")], "now": "t2"}))
     assert after[0] == ("c", "d1", "Diagram", "mermaid", "c a c", "t2", 0) and after[1] == panel[1], "others stay"
     assert (told["c"].replaced, told["c"].error, told["c"].diagram_id) == (3, None, "d1")
+    assert [(x.find, x.replacements) for x in told["c"].applied] == [("a", 2), ("b", 1)]
+    told = change(panel, ("c", "patch", {"edits": [("a b a", "z" * 200), ("", "n"), ("z" * 99, "y")]}))[1]
+    assert told["c"].applied == [] and "zzz" in told["c"].error, "a text that only an earlier edit would make isn't there"
     after, told = change(panel, ("c", "patch", {"edits": [("a", "x"), ("zz", "")]}))
     assert after == panel and "zz" in told["c"].error and told["c"].replaced == 0, "all or nothing"
     assert change(panel, ("c", "append", {"code": "!"}))[0][0][4] == "a b a!" and change(panel, ("c", "clear", {}))[0] == panel[1:]
@@ -331,6 +334,7 @@ def test_graph_document_round_trip(spark, tmp_path):
             arguments = {"query": "a", "entry_point_id": "a:A.on:t", "method_name": "x", "from_method": "on", "to_method": "x", "channel": "t", "files": files, "file_path": "f", "projects": projects}
             assert "error" not in tools.fetch(tools.run_tool(g, name, arguments)), name
     assert tools.fetch(tools.run_tool(g, "diff_graphs", {"old_graph": g}))["summary"][0]["entry_points_changed"] == 0
+    assert graph_document(g, roots={"a": "/src/a", "b": "/src/b"}).first().repo_roots == {"a": "/src/a", "b": "/src/b"} and graph_document(g).first().repo_roots == {}
     text = graph_document(g).select(F.to_json(F.struct("*")).alias("j"))
     again = from_documents(text.select(F.from_json("j", DOCUMENT_DDL).alias("d")).select("d.*"))
     for relation in ("entry_points", "producers", "nodes", "repos"):
@@ -382,3 +386,24 @@ def test_sync_replaces_a_boards_items(spark):
     assert store.sync_board(boards, items, "q", fresh.limit(0), "t1")[1].filter("board_id = 'q'").isEmpty()
     with pytest.raises(LookupError):
         store.sync_board(boards, items, "none", fresh, "t1")
+
+
+def test_writes_to_boards_are_an_outbox(spark):
+    items = spark.createDataFrame([("b", 1, "One", "open", 5), ("b", 2, "Two", "closed", 5), ("c", 1, "Other", None, 5)], "board_id string, id int, title string, status string, size int")
+    ask = lambda *rows: spark.createDataFrame([(i, o, b, a, t, title, None, None, s) for i, o, b, a, t, title, s in rows], store.REQUEST_DDL)
+    requests = ask(
+        ("10", 1, "b", "move", "1", None, "doing"), ("11", 2, "b", "move", "1", None, "done"), ("11", 3, "b", "move", "1", None, "repeated"), ("12", 4, "c", "comment", "1", None, None), ("13", 5, "c", "move", "2", None, "done"),
+        ("14", 6, "b", "create", None, " oNE ", "new"), ("15", 7, "b", "create", None, "two", "new"), ("16", 8, "b", "create", None, " Two ", "late"), ("17", 9, "c", "create", None, "one", None), ("18", 10, "b", "create", None, "  ", ""), ("19", 11, "b", None, "1", None, ""), ("20", 12, None, "move", "1", None, "x"), ("9", 0, "b", "move", "2", None, "sent before"),
+    )
+    sent = spark.createDataFrame([("9",), ("9",)], "request_id string")
+    after, outbox = store.request_board_writes(items, requests, sent)
+    assert {r.request_id: (r.item_id, r.error) for r in outbox.collect()} == {
+        "10": ("1", None), "11": ("1", None), "12": ("1", None), "13": ("2", "the board has no such item"), "14": ("14", "an open item has this title"), "15": ("15", None), "16": ("16", "an open item has this title"),
+        "17": ("17", None), "18": ("18", "a new item needs a title"), "19": ("1", "boards have no such write: "), "20": ("1", "the board has no such item"),
+    }
+    rows = {(r.board_id, r.id): (r.title, r.status, r.size) for r in after.collect()}
+    assert rows == {("b", 1): ("One", "done", 5), ("b", 2): ("Two", "closed", 5), ("c", 1): ("Other", None, 5), ("b", 15): ("two", "new", None), ("c", 17): ("one", "", None)}
+    assert after.columns == items.columns and outbox.filter("request_id = '15'").first().payload == '{"title":"two","status":"new"}'
+    again, nothing = store.request_board_writes(after, requests, outbox.select("request_id").union(sent))
+    assert nothing.isEmpty() and sorted(map(str, again.collect())) == sorted(map(str, after.collect())), "running again changes nothing"
+    assert store.request_board_writes(items.limit(0), requests.limit(0), sent)[0].isEmpty()
