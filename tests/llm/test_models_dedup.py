@@ -407,3 +407,20 @@ def test_samples_are_bounded_and_hold_every_label(spark):
     assert len(pieces) == 20 and all(len(p) == 1000 and p in long for p in pieces) and long.startswith(pieces[0]) and long.endswith(pieces[-1])
     assert cut[1].t == "short" and cut[2].t is None
     assert pick(df.limit(0).select("doc_id", "label"), 5) == ([], {})
+
+
+def test_pipeline_of_no_documents_and_of_clashing_names(spark, tmp_path):
+    """An empty table gives an empty one; columns that are named like the stages' own pass through them, whatever their names."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    some = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 120").withColumns({n: F.lit(n) for n in ("_lang", "_score", "_h", "h", "node", "id", "kept", "class_id", "component", "label", "quality", "piece", "start", "a`b.c")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, some, SF)
+        assert kept.columns == some.columns, name
+        rows = kept.collect()
+        assert rows and all(r["_score"] == "_score" and r["a`b.c"] == "a`b.c" for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, some, SF).count() >= some.count()
