@@ -191,7 +191,8 @@ def extract_text(pages: DataFrame, model: Crf | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
     Null html is empty html; a page without main text gives an empty text.  Broken markup is read as
-    far as it goes.  Rows that repeat stay; other columns are dropped.
+    far as it goes.  Equal pages get equal texts (of paths that score alike, Viterbi takes one by a
+    fixed rule) and rows that repeat stay; other columns are dropped, an empty table gives an empty one.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 

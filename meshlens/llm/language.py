@@ -158,7 +158,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row.
 
     A text that is null or has no letter is `und` with score 0.  Only the text decides: equal texts
-    get equal predictions, rows that repeat stay.  Other columns are dropped.
+    get equal predictions, of languages that score alike the first by name; rows that repeat stay.
+    Other columns are dropped; an empty table gives an empty one.
     """
     plain = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")

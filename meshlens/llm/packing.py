@@ -368,5 +368,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, **options) -> Data
 
     Null and empty texts are documents of the end token alone; documents that repeat are packed each;
     of pieces of one length it is arbitrary, but settled by their place in the table, which goes where.
+    Other columns are dropped; an empty table gives an empty one.
     """
     return _placed(token_pieces(docs, capacity=capacity, ranked=True, **options), "length", capacity)

@@ -146,7 +146,8 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
     """doc_id, held_out, score, predicted for every row.
 
     Null text is scored as empty text.  Only the text decides: equal texts get equal scores, rows
-    that repeat stay.  Other columns are dropped.
+    that repeat stay; a score that ties with the threshold is predicted 1.  Other columns are
+    dropped; an empty table gives an empty one.
     """
     scored = with_score(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), model, "_score")
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
