@@ -25,9 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it back: lineage ends there."""
+    """Writes df to the shared checkpoint folder and reads it back: lineage ends there.
+
+    Spark takes the result's size from what was read at first, before rows were parsed, exploded or joined.  So a join
+    with it is one that shuffles, and nothing is sent to the driver but what is asked for by F.broadcast.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.checkpoint(eager=True).hint("merge")
 
 
 def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:

@@ -33,6 +33,32 @@ def _plain(value):
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
+#: Rows that a batch of read files holds at most, and characters of files that it is made of.
+BATCH_ROWS, BATCH_CHARS = 5000, 1 << 20
+
+
+def dealt(files: DataFrame) -> DataFrame:
+    """(repo, path, content) of files dealt over tasks by their paths: reading a file is work that its table's bytes don't tell, so the scan's few tasks won't do."""
+    spark = files.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.select("repo", "path", "content").repartition(tasks, "repo", "path")
+
+
+def batched(read: Iterator[tuple[int, list[dict]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of (characters of a file, its rows) as batches over many files; a file of more rows makes several."""
+    held: list[dict] = []
+    chars = 0
+    for size, rows in read:
+        held += rows
+        chars += size
+        if len(held) >= BATCH_ROWS or chars >= BATCH_CHARS:
+            for k in range(0, len(held), BATCH_ROWS):
+                yield pa.RecordBatch.from_pylist(held[k : k + BATCH_ROWS], schema=schema)
+            held, chars = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def java_types(files: DataFrame) -> DataFrame:
     """Types (TYPE_DDL) declared in files (repo, path, content); place orders the types of a file."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,13 +69,14 @@ def java_types(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .javaparse import parse_java
 
-        for batch in batches:
-            for repo, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows = [{"repo": repo, "file": path, "place": k, **_plain(t)} for k, t in enumerate(parse_java(content or ""))]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        def read():
+            for batch in batches:
+                for repo, path, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    yield len(content or ""), [{"repo": repo, "file": path, "place": k, **_plain(t)} for k, t in enumerate(parse_java(content or ""))]
+
+        yield from batched(read(), schema)
 
-    return files.select("repo", "path", "content").mapInArrow(run, TYPE_DDL)
+    return dealt(files).mapInArrow(run, TYPE_DDL)
 
 
 @dataclass(frozen=True)
