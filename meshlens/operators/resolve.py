@@ -19,6 +19,17 @@ def _best(candidates: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return candidates.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
 
 
+def _under(types: DataFrame, found: str) -> DataFrame:
+    """(w, simple, found, n): for each package, or type, that names begin with, the types of one simple name under it: how many, and the least.
+
+    A wildcard is looked up here by both names; joined by the simple name alone, each question would meet all types of that name.
+    """
+    parts = F.split("fqn", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, 1, k), "."))
+    rows = types.filter(F.contains("fqn", F.lit("."))).select(F.explode(above).alias("w"), F.col("simple_name").alias("simple"), F.col(found).alias(found))
+    return rows.groupBy("w", "simple").agg(F.min(found).alias(found), F.count("*").alias("n"))
+
+
 def find_class(idx: JavaIndex, asked: DataFrame) -> DataFrame:
     """(key, simple, target, target_kind, target_simple) of asked (key of a type, simple name that it uses).
 
@@ -31,8 +42,7 @@ def find_class(idx: JavaIndex, asked: DataFrame) -> DataFrame:
     every = idx.types.select(F.col("key").alias("target"), "fqn", F.col("simple_name").alias("target_simple"))
     mine = pairs.join(seen, "key")
     explicit = mine.select("key", "simple", F.posexplode("explicit").alias("p", "fqn")).filter(last_seg(F.col("fqn")) == F.col("simple")).join(known, "fqn").select("key", "simple", "target", F.lit(1).alias("rank"), "p")
-    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).join(every, F.col("simple") == F.col("target_simple")).filter(F.col("fqn").startswith(F.concat("w", F.lit("."))))
-    wild = wild.groupBy("key", "simple", "p").agg(F.min("target").alias("target"), F.count("*").alias("n")).filter("n = 1").select("key", "simple", "target", F.lit(2).alias("rank"), "p")
+    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).join(_under(idx.types.withColumnRenamed("key", "target"), "target").filter("n = 1"), ["w", "simple"]).select("key", "simple", "target", F.lit(2).alias("rank"), "p")
     same = mine.filter("package <> ''").select("key", "simple", F.concat_ws(".", "package", "simple").alias("fqn")).join(known, "fqn").select("key", "simple", "target", F.lit(3).alias("rank"), F.lit(0).alias("p"))
     lone = every.groupBy("target_simple").agg(F.min("target").alias("target"), F.count("*").alias("n")).filter("n = 1")
     only = pairs.join(lone, F.col("simple") == F.col("target_simple")).select("key", "simple", "target", F.lit(4).alias("rank"), F.lit(0).alias("p"))
@@ -46,8 +56,7 @@ def resolve_fqn(idx: JavaIndex, asked: DataFrame) -> DataFrame:
     mine = pairs.join(idx.types.select("key", "package", "explicit", "wildcard"), "key")
     every = idx.types.select("fqn", "simple_name")
     explicit = mine.select("key", "simple", F.posexplode("explicit").alias("p", "fqn")).filter(last_seg(F.col("fqn")) == F.col("simple")).select("key", "simple", "fqn", F.lit(1).alias("rank"), "p")
-    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).join(every, F.col("simple") == F.col("simple_name")).filter(F.col("fqn").startswith(F.concat("w", F.lit("."))))
-    wild = wild.groupBy("key", "simple", "p").agg(F.min("fqn").alias("fqn"), F.count("*").alias("n")).filter("n = 1").select("key", "simple", "fqn", F.lit(2).alias("rank"), "p")
+    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).join(_under(idx.types, "fqn").filter("n = 1"), ["w", "simple"]).select("key", "simple", "fqn", F.lit(2).alias("rank"), "p")
     same = mine.filter((F.col("package") != "") & F.col("simple").rlike("^\\p{Lu}")).select("key", "simple", F.concat_ws(".", "package", "simple").alias("fqn"), F.lit(3).alias("rank"), F.lit(0).alias("p"))
     lone = every.groupBy("simple_name").agg(F.min("fqn").alias("fqn"), F.count("*").alias("n")).filter("n = 1")
     only = pairs.join(lone, F.col("simple") == F.col("simple_name")).select("key", "simple", "fqn", F.lit(4).alias("rank"), F.lit(0).alias("p"))

@@ -38,3 +38,21 @@ def test_rows_of_one_file_fill_several_batches(spark, monkeypatch):
     batches = list(extract.batched(iter(read), pa.schema([("k", pa.int64())])))
     assert [b.num_rows for b in batches] == [3, 3, 2, 1]
     assert [k for b in batches for k in b.column(0).to_pylist()] == [*range(8), 9]
+
+
+def test_a_wildcard_meets_its_package_and_not_all_types_of_the_name(spark):
+    """1000 types of one name in as many packages: a question is about one of them."""
+    from pyspark.sql import functions as F
+
+    from meshlens.operators.resolve import find_class, resolve_fqn
+    from meshlens.sources.extract import JavaIndex
+
+    n = F.col("id").cast("string")
+    types = spark.range(1000).select(F.concat(F.lit("k"), n).alias("key"), F.lit("T").alias("simple_name"), F.concat(F.lit("p"), n).alias("package"), F.concat(F.lit("p"), n, F.lit(".in.T")).alias("fqn"), F.array().cast("array<string>").alias("explicit"), F.array(F.concat(F.lit("p"), ((F.col("id") + 1) % 1000).cast("string"))).alias("wildcard"), F.lit("class").alias("kind"), n.alias("ord"))
+    idx = JavaIndex(types, types, None, None, None)
+    asked = types.select("key", F.lit("T").alias("simple"))
+    for df, column, want in ((find_class(idx, asked), "target", "k8"), (resolve_fqn(idx, asked), "fqn", "p8.in.T")):
+        assert df.count() == 1000
+        assert df.filter("key = 'k7'").first()[column] == want
+        assert "[simple_name" not in "".join(line for line in plan(df).split("\n") if "Join [" in line and "startswith" in line.lower())
+        assert "StartsWith" not in plan(df)
