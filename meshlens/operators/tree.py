@@ -162,29 +162,36 @@ def find_callers(nodes: DataFrame, method_name: str) -> DataFrame:
 
 
 def trace_path(nodes: DataFrame, from_method: str, to_method: str) -> DataFrame:
-    """Chains from nodes that hold one name down to the first node on each branch that holds the other: ep_id, chain, from_path, to_path."""
-    holds = lambda text: F.contains(F.lower("method"), F.lit(text.lower()))
-    nodes = cut(nodes.select("ep_id", "path", "method"))
-    named = nodes.select("ep_id", F.col("path").alias("up"), F.col("method").alias("name"), holds(from_method).alias("starts"), holds(to_method).alias("ends"))
-    ends = _ancestors(nodes.filter(holds(to_method)).select("ep_id", "path", F.col("method").alias("end")), own=False)
-    above = cut(ends.join(named, ["ep_id", "up"]).repartition("ep_id", "path"))
-    blocked = Window.partitionBy("ep_id", "path")
-    starts = above.withColumn("_last", F.max(F.when(F.col("ends"), F.col("_n"))).over(blocked)).filter(F.col("starts") & (F.col("_n") >= F.coalesce("_last", F.lit(0))))
-    starts = starts.select("ep_id", "path", "end", F.col("up").alias("start"), F.col("_n").alias("_from"))
-    chain = starts.join(above.select("ep_id", "path", "_n", "name"), ["ep_id", "path"]).filter(F.col("_n") >= F.col("_from"))
-    steps = chain.groupBy("ep_id", "path", "start", "end").agg(F.array_sort(F.collect_list(F.struct("_n", "name"))).alias("steps"))  # at most 4
-    return steps.select("ep_id", F.concat_ws(" > ", F.array_join(F.transform("steps", lambda s: s["name"]), " > "), "end").alias("chain"), F.col("start").alias("from_path"), F.col("path").alias("to_path"))
+    """Chains from nodes that hold one name down to the first node on each branch that holds the other: ep_id, chain, from_path, to_path.
+
+    Trees are dealt once, whole: an end asks each of its ancestors for its name where both are.
+    """
+    holds = lambda text, name: F.contains(F.lower(name), F.lit(text.lower()))
+    size = F.size("path")
+    asked = F.explode(F.when(holds(to_method, F.col("method")), F.sequence(F.lit(0), size)).otherwise(F.array(size))).alias("_n")  # ancestors' depths, and its own
+    rows = nodes.select("ep_id", "path", "method").filter("ep_id IS NOT NULL").repartition("ep_id").select("*", asked).withColumn("up", F.slice("path", 1, F.col("_n")))
+    own = F.col("_n") == size
+    named = rows.withColumn("name", F.max(F.when(own, F.col("method"))).over(Window.partitionBy("ep_id", "up"))).filter(~own & F.col("name").isNotNull())
+    ends = named.groupBy("ep_id", "path", F.col("method").alias("end")).agg(F.array_sort(F.collect_list(F.struct("_n", "name"))).alias("steps"))  # at most 4
+    last = F.coalesce(F.array_max(F.transform(F.filter("steps", lambda s: holds(to_method, s["name"])), lambda s: s["_n"])), F.lit(0))
+    starts = ends.withColumn("_last", last).withColumn("_from", F.explode(F.transform(F.filter("steps", lambda s: holds(from_method, s["name"]) & (s["_n"] >= F.col("_last"))), lambda s: s["_n"])))
+    chain = F.array_join(F.transform(F.filter("steps", lambda s: s["_n"] >= F.col("_from")), lambda s: s["name"]), " > ")
+    return starts.select("ep_id", F.concat_ws(" > ", chain, "end").alias("chain"), F.slice("path", 1, F.col("_from")).alias("from_path"), F.col("path").alias("to_path"))
 
 
 def node_relations(nodes: DataFrame) -> DataFrame:
-    """ep_id, path, method, its parent's method (null for roots), n_calls and n_siblings."""
-    parent = F.when(F.size("path") > 0, F.slice("path", 1, F.size("path") - 1))
-    mine = nodes.select("ep_id", "path", "method", parent.alias("up"))
-    above = nodes.select("ep_id", F.col("path").alias("up"), F.col("method").alias("parent"))
-    calls = mine.filter("up is not null").groupBy("ep_id", F.col("up").alias("path")).agg(F.count("*").alias("n_calls"))
-    family = calls.select("ep_id", F.col("path").alias("up"), (F.col("n_calls") - 1).alias("n_siblings"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return mine.join(above, ["ep_id", "up"], "left").join(calls, ["ep_id", "path"], "left").join(family, ["ep_id", "up"], "left").select("ep_id", "path", "method", "parent", zero("n_calls"), zero("n_siblings"))
+    """ep_id, path, method, its parent's method (null for roots), n_calls and n_siblings.
+
+    Trees are dealt once, whole.  A node is two rows there, itself and a child of its parent: a family is told by its parent's place, a node by its own.
+    """
+    alone = (F.size("path") == 0) | F.col("ep_id").isNull()
+    rows = nodes.select("ep_id", "path", "method").repartition("ep_id").select("*", F.explode(F.when(alone, F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("own"))
+    rows = rows.withColumn("at", F.when(F.col("own"), F.col("path")).otherwise(F.slice("path", 1, F.size("path") - 1)))
+    family, node = Window.partitionBy("ep_id", "at"), Window.partitionBy("ep_id", "path")
+    told = rows.withColumns({"_head": F.max(F.when(F.col("own"), F.col("method"))).over(family), "_calls": F.count(F.when(~F.col("own"), 1)).over(family)})
+    child = lambda c: F.max(F.when(~F.col("own"), c)).over(node)
+    told = told.withColumns({"parent": child(F.col("_head")), "_siblings": child(F.col("_calls") - 1)}).filter("own")
+    return told.select("ep_id", "path", "method", "parent", F.col("_calls").alias("n_calls"), F.coalesce("_siblings", F.lit(0)).alias("n_siblings"))
 
 
 def rendered(nodes: DataFrame, sending: DataFrame) -> DataFrame:

@@ -56,3 +56,25 @@ def test_a_wildcard_meets_its_package_and_not_all_types_of_the_name(spark):
         assert df.filter("key = 'k7'").first()[column] == want
         assert "[simple_name" not in "".join(line for line in plan(df).split("\n") if "Join [" in line and "startswith" in line.lower())
         assert "StartsWith" not in plan(df)
+
+
+def test_questions_about_trees_deal_them_once(spark):
+    from meshlens.operators import diff, tree
+
+    nodes = spark.createDataFrame([("e", [], "A.on", "a", 1), ("e", [0], "b", "b", 1), ("e", [0, 1], "A.ship", "c", 1), (None, [], "x.on", "a", 1), (None, [0], "x.ship", "b", 1)], "ep_id string, path array<int>, method string, file string, line int")
+    dealt = lambda df: plan(df).count("Exchange ")
+    asked = tree.trace_path(nodes, ".on", "ship")
+    assert dealt(asked) == 1
+    assert [tuple(r) for r in asked.collect()] == [("e", "A.on > b > A.ship", [], [0, 1])]
+    asked = tree.node_relations(nodes)
+    assert dealt(asked) == 1
+    assert sorted(tuple(r)[1:] for r in asked.filter("ep_id = 'e'").collect()) == [([], "A.on", None, 1, 0), ([0], "b", "A.on", 1, 0), ([0, 1], "A.ship", "b", 0, 0)]
+    asked = diff.node_diff(nodes.filter("method <> 'b'"), nodes)
+    assert dealt(asked) == 1
+    assert sorted((r.method, r.is_new) for r in asked.collect()) == [("A.on", False), ("A.ship", False), ("b", True), ("x.on", True), ("x.ship", True)]
+
+
+def test_listeners_are_ranked_where_their_customers_are(spark):
+    from meshlens.plans import adapter
+
+    assert plan(adapter.tree_nodes(spark, SF)).count("Exchange hashpartitioning") == 3  # lines by order, orders and customers by customer
