@@ -242,7 +242,7 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similarity: fl
 
         return f
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return arrow_map(both, make, "a bigint, b bigint", text_col=3)
 
 
@@ -355,7 +355,7 @@ def _linked_in_blocks(members: DataFrame, similarity: float) -> DataFrame:
 
 def _in_blocks(members: DataFrame, key: str, size: DataFrame, block: int) -> DataFrame:
     """members (key, node, ...) with their part of the key's rows, once for each pair of parts (i, j) that it is in."""
-    parts = members.join(size.select(key, F.ceil(F.col("m") / block).cast("int").alias("parts")), key)
+    parts = members.join(size.select(key, F.ceil(F.col("m") / block).cast("int").alias("parts")).hint("merge"), key)
     parts = parts.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
     return parts.withColumn("pair", F.explode(pairs)).select(*members.columns, "part", "pair.i", "pair.j")
@@ -379,7 +379,7 @@ def _missed(texts: DataFrame, labelled: DataFrame, docs: DataFrame, similarity:
         return None
     clusters = cut(components(suspected).select("node", F.col("component").alias("cluster")).join(labelled, "node"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
-    blocks = _in_blocks(clusters, "cluster", sizes, TEXT_BLOCK).join(signed, "node").join(_texts_of(docs, cut(_places(clusters.select("node"), texts))), "node")
+    blocks = _in_blocks(clusters, "cluster", sizes, TEXT_BLOCK).join(signed, "node").join(_texts_of(docs, cut(_places(clusters.select("node"), texts))).hint("merge"), "node")
     return cut(_linked_in_blocks(blocks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"), similarity))
 
 
@@ -401,7 +401,7 @@ def _classed(docs: DataFrame, similarity: float) -> DataFrame:
         labelled = labelled.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     placed = texts.select("node", "fingerprint", "id", "h").join(labelled, "node")
     least = placed.groupBy("component").agg(F.min(F.struct("id", "h")).alias("r")).select("component", F.col("r.id").alias("class_id"), F.col("r.h").alias("_h"))
-    classes = placed.select("fingerprint", "component").join(least, "component").drop("component")
+    classes = placed.select("fingerprint", "component").join(least.hint("merge"), "component").drop("component")
     joined = rows.select("doc_id", "h", "fingerprint").join(classes, "fingerprint", "left")
     worded = F.col("fingerprint").isNotNull()
     kept = F.when(worded, (F.col("doc_id") == F.col("class_id")) & (F.col("h") == F.col("_h"))).otherwise(F.col("doc_id").isNotNull())

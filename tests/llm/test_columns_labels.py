@@ -36,3 +36,14 @@ def test_samples_of_many_labels_and_of_rare_ones(spark):
     picked, sizes = pick(labelled, 4000)
     assert len(sizes) == 901 and {label for _, label in picked} == set(sizes)
     assert len(picked) <= 4000 + 901
+
+
+def test_checkpointed_tables_are_not_broadcast_unasked(spark):
+    """However small Spark takes a table for: the driver would hold each that is under the limit."""
+    from meshlens.llm.common import cut
+    from meshlens.llm.minhash import near_duplicates
+
+    one = cut(spark.range(100).toDF("a"))
+    assert "Broadcast" not in one.join(spark.range(5).toDF("a"), "a")._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame([(k, f"the quick brown fox {k // 2} jumps over lazy dogs and runs home at night") for k in range(40)], "doc_id bigint, text string")
+    assert "Broadcast" not in near_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
