@@ -7,7 +7,6 @@ pre-order.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -32,28 +31,87 @@ SENDS = " [⚡ PRODUCER]"
 def layered_tree(roots: DataFrame, edges: DataFrame | Sequence[DataFrame], max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
     """(ep_id, node, path, depth, rank) of the trees that edges (caller, callee, pos) span from roots (ep_id, node).
 
-    For call graphs in layers, where a node can't be met at two depths.  There the first depth-first
-    visit of a node is its least path, and the node cap is a cap of the pre-order rank: max_depth
-    joins, no state.  Each level keeps its first max_nodes nodes a tree; later ones rank beyond the cap.
-    Each level is written once.  edges may be a table for each level, which is then read by its level
-    only; a small one (by its files' size) is broadcast, so that few callers are no few keys.
+    For call graphs in layers, where a node can't be met at two depths.  There the first depth-first visit of a node is its
+    least path, and the node cap is a cap of the pre-order rank.  So what is below a node is the same in every tree but for
+    nodes that the tree has already, and of a node's own tree no more than max_nodes can matter: those are made once a node,
+    from the deepest layer up, and a root's tree is put together of its callees'.  edges may be a table for each level.
+
+    Of a root's callees only the first ones are needed, until the tree is full; how far can be told by sizes, so trees are
+    joined with those only.  A tree that its first callee fills isn't dealt again.
+    """
+    layers = [edges] * max_depth if isinstance(edges, DataFrame) else list(edges)[:max_depth]
+    below = None
+    for layer in reversed(layers[1:]):
+        below = _own_trees(_first_calls(layer, max_nodes), below, ["caller"], max_nodes)
+    nothing = F.array().cast(OWN_TREE)
+    trees = roots.select("ep_id", "node", nothing.alias("tree"))
+    if layers and max_nodes > 1:
+        calls = _needed_calls(_first_calls(layers[0], max_nodes), below, max_nodes)
+        asked = roots.select("ep_id", "node").join(calls.hint("merge"), F.col("node") == F.col("caller"), "left").drop("caller")
+        whole = lambda rows: _own_trees(rows, below, ["ep_id", "node"], max_nodes)
+        one = _with_trees(asked.filter("n_calls = 1"), below).select("ep_id", "node", F.slice(_placed("pos", "callee", "tree"), 1, max_nodes - 1).alias("tree"))
+        several = whole(asked.filter("n_calls > 1"))
+        trees = asked.filter("n_calls IS NULL").select("ep_id", "node", nothing.alias("tree")).unionByName(one).unionByName(several)
+    root = F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("node").cast("string").alias("node")))
+    out = trees.select("ep_id", F.posexplode(F.concat(root, "tree")).alias("_k", "_n"))
+    return out.select("ep_id", "_n.node", "_n.path", F.size("_n.path").alias("depth"), (F.col("_k") + 1).alias("rank"))
+
+
+#: What is below a node, in pre-order: each node with its path from there.
+OWN_TREE = "array<struct<path:array<int>,node:string>>"
+
+
+def _first_calls(edges: DataFrame, max_nodes: int) -> DataFrame:
+    """(caller, callee, pos, k): the first call of each callee, by its place k; as each is a node, those from max_nodes on are none of a tree."""
+    once = edges.select("caller", "callee", F.col("pos").cast("int").alias("pos")).filter("caller IS NOT NULL").repartition("caller").groupBy("caller", "callee").agg(F.min("pos").alias("pos"))
+    return once.withColumn("k", F.row_number().over(Window.partitionBy("caller").orderBy("pos", "callee"))).filter(F.col("k") < max_nodes)
+
+
+def _needed_calls(calls: DataFrame, below: DataFrame | None, max_nodes: int) -> DataFrame:
+    """calls that a tree can come to before it is full, with their number by caller (n_calls): all calls before are nodes, and so is all that is below one of them."""
+    sized = calls.withColumn("_size", F.lit(0))
+    if below is not None:
+        sizes = below.select(F.col("caller").alias("callee"), F.size("tree").alias("_below"))
+        sized = calls.join(sizes.hint("merge"), "callee", "left").withColumn("_size", F.coalesce("_below", F.lit(0)))
+    before = Window.partitionBy("caller").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    kept = sized.repartition("caller").withColumn("_most", F.coalesce(F.max("_size").over(before), F.lit(0))).filter(F.col("k") + F.col("_most") < max_nodes)
+    return kept.select("caller", "callee", "pos", "k", F.count("*").over(Window.partitionBy("caller")).alias("n_calls"))
+
+
+def _with_trees(calls: DataFrame, below: DataFrame | None) -> DataFrame:
+    """calls with what is below their callees (tree, null if nothing is)."""
+    if below is None:
+        return calls.withColumn("tree", F.lit(None).cast(OWN_TREE))
+    return calls.join(below.select(F.col("caller").alias("callee"), "tree").hint("merge"), "callee", "left")
+
+
+def _placed(pos: str, callee: str, tree: str) -> Column:
+    """A callee and what is below it, seen from its caller."""
+    own = F.struct(F.array(F.col(pos)).alias("path"), F.col(callee).alias("node"))
+    deeper = F.transform(F.coalesce(F.col(tree), F.array().cast(OWN_TREE)), lambda x: F.struct(F.concat(F.array(F.col(pos)), x["path"]).alias("path"), x["node"].alias("node")))
+    return F.concat(F.array(own), deeper)
+
+
+def _own_trees(calls: DataFrame, below: DataFrame | None, keys: list[str], max_nodes: int) -> DataFrame:
+    """keys and tree (OWN_TREE): the first max_nodes - 1 nodes below each, of its calls (callee, pos, k: under max_nodes a caller) and the trees below those.
+
+    Of a node that is met again the first place counts.  As many nodes of each tree as the whole may have are enough:
+    what is skipped of it is there already.
     """
-    layers = [cut(edges)] * max_depth if isinstance(edges, DataFrame) else list(edges)[:max_depth]
-    level = cut(roots.select("ep_id", "node", F.array().cast("array<int>").alias("path")))
-    levels = [level]
-    first = Window.partitionBy("ep_id").orderBy("path")
-    for layer in layers:
-        below = level.join(layer, level["node"] == layer["caller"]).select("ep_id", F.col("callee").alias("node"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
-        below = below.repartition("ep_id").groupBy("ep_id", "node").agg(F.min("path").alias("path"))  # one deal by tree for the grouping and the cap
-        level = cut(below.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= max_nodes).drop("_k"))
-        levels.append(level)
-    out = reduce(DataFrame.unionByName, levels)
-    return out.withColumn("depth", F.size("path")).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= max_nodes)
+    placed = _with_trees(calls, below).select(*keys, "k", _placed("pos", "callee", "tree").alias("tree"))
+    met = placed.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "tree"))), lambda c: c["tree"])).alias("_met"))  # under max_nodes trees of under max_nodes nodes
+    named = met.withColumn("_names", F.transform("_met", lambda x: F.coalesce(x["node"], F.lit("\0"))))  # a null is a name, too
+    first = F.slice(F.array_distinct("_names"), 1, max_nodes - 1)
+    return named.select(*keys, F.transform(first, lambda name: F.get(F.col("_met"), (F.array_position(F.col("_names"), name) - 1).cast("int"))).alias("tree"))
 
 
 NODES = "ep_id string, path array<int>, depth int, method string, class_name string, file string, line int, confidence string"
 
 
+#: What is below a root's callee in its own tree, the callee first: depth is that in the root's tree, mark the confidence but for caps.
+_SEEN = "struct<path:array<int>,depth:int,name:string,method:string,class_name:string,file:string,line:int,mark:string>"
+
+
 def call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
     """Call trees of any call graph, as nodes of NODES.
 
@@ -63,11 +121,46 @@ def call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH,
     Depth-first in call order; a target is visited once a tree.  Calls that say nothing are skipped,
     unresolved ones are leaves marked INFERRED, targets of several classes are AMBIGUOUS.  A node at
     max_depth isn't expanded and is EXTRACTED again; a node met when the tree is full is TRUNCATED.
+
+    Methods that roots call get a tree of their own once, for all roots.  A root takes those of its callees in turn until it
+    is full, which is its tree if what it has already comes with all that is below it there (_joined()); the calls near a root
+    are fetched only for roots where that isn't so.
     """
-    useful = calls.filter(~is_trivial_call(F.col("display"), F.col("arity")))
+    useful = calls.filter(~is_trivial_call(F.col("display"), F.col("arity"))).repartition("caller")  # one deal for both rankings
     target = F.coalesce("callee", "display")
     useful = useful.withColumn("_nth", F.row_number().over(Window.partitionBy("caller", target).orderBy("ord"))).filter("_nth = 1")
     useful = useful.withColumn("_k", F.row_number().over(Window.partitionBy("caller").orderBy("ord"))).filter(F.col("_k") <= MAX_TARGETS).drop("_nth", "_k")
+    useful = cut(useful)
+    whole = lambda some: _streamed(_near(some, useful, max_depth), max_depth, max_nodes)
+    if max_depth < 2 or max_nodes < 2:
+        return whole(entries)
+    root = ["ep_id", "key", "method", "class_name", "file", "line"]
+    called = entries.select(*root).join(useful.withColumnRenamed("caller", "key"), "key", "left")
+    kids = entries.select("key").distinct().join(useful.filter("callee IS NOT NULL").select(F.col("caller").alias("key"), "callee"), "key").select(F.col("callee").alias("ep_id")).distinct()
+    own = kids.select("ep_id", F.col("ep_id").alias("key"), *[F.lit("").alias(c) for c in ("method", "class_name", "file")], F.lit(0).alias("line"))
+    trees = _own_calls(_near(own, useful, max_depth - 1), max_depth, max_nodes)
+    order = Window.partitionBy("ep_id").orderBy("ord")
+    sized = called.join(trees.select(F.col("key").alias("callee"), F.size("below").alias("_size")).hint("merge"), "callee", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
+    known = F.col("display").isNotNull()  # false for a root without calls
+    sized = sized.repartition("ep_id").withColumns({"_k": F.row_number().over(order), "_most": F.coalesce(F.max("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.count(F.when(known, 1)).over(Window.partitionBy("ep_id"))})
+    first = sized.filter((F.col("_k") == 1) | (F.col("_k") + F.col("_most") <= max_nodes)).withColumn("_n", F.count("*").over(Window.partitionBy("ep_id")))  # a tree is full behind these, or is looked at again
+    parts = [*root, "ord", "display", "callee", "callee_class", "callee_file", "callee_line", "ambiguous"]
+    met = lambda rows: rows.join(trees.select(F.col("key").alias("callee"), "below").hint("merge"), "callee", "left").select(*parts, "_all", "below")
+    # a tree that its first call fills, without the root in it, is that: it isn't dealt again
+    alone = met(first.filter((F.col("_n") == 1) & (F.col("_size") >= max_nodes - 1)))
+    loops = F.exists("below", lambda x: x["name"] == F.col("key"))
+    several = met(first.filter((F.col("_n") > 1) | (F.col("_size") < max_nodes - 1))).unionByName(alone.filter(loops))
+    dealt = several.repartition("ep_id").sortWithinPartitions("ep_id", "ord")
+    joined = _mapped(dealt, lambda group: _joined(group, max_depth, max_nodes) or (), NODES)
+    again = _mapped(dealt, lambda group: () if _joined(group, max_depth, max_nodes) else ((group[0][0],),), "ep_id string")
+    return _filled(alone.filter(~loops), max_depth, max_nodes).unionByName(joined).unionByName(whole(entries.join(again.hint("merge"), "ep_id", "left_semi")))
+
+
+_CALL = ("ep_id", "caller", "ord", "display", "arity", "callee", "callee_class", "callee_file", "callee_line", "ambiguous")
+
+
+def _near(entries: DataFrame, useful: DataFrame, max_depth: int) -> DataFrame:
+    """The calls that a tree of max_depth can come to, by ep_id (columns _CALL), and a row for each root as a call of its own."""
     front = entries.select("ep_id", F.col("key").alias("caller")).distinct()
     near = front
     for _ in range(max_depth - 1):
@@ -75,38 +168,57 @@ def call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH,
         near = near.union(front).distinct()
     rows = near.join(useful, "caller").select("ep_id", *useful.columns)
     roots = entries.select("ep_id", F.lit(None).cast("string").alias("caller"), F.lit(-1).cast("bigint").alias("ord"), F.col("method").alias("display"), F.lit(0).alias("arity"), F.col("key").alias("callee"), F.col("class_name").alias("callee_class"), F.col("file").alias("callee_file"), F.col("line").alias("callee_line"), F.lit(False).alias("ambiguous"))
-    both = rows.select(*roots.columns).unionByName(roots)
+    return rows.select(*_CALL).unionByName(roots).repartition("ep_id").sortWithinPartitions("ep_id", "ord")
 
-    def run(batches):
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        held: list[tuple] = []
-        for _, group in groupby(rows, key=itemgetter(0)):
-            held += _expanded(list(group), max_depth, max_nodes)
-            if len(held) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
-    schema = to_arrow_schema(StructType.fromDDL(NODES))
-    return both.repartition("ep_id").sortWithinPartitions("ep_id", "ord").mapInArrow(run, NODES)
+def _groups(batches):
+    """Rows of Arrow batches that are sorted by their first column, as lists of those that share it."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    return (list(group) for _, group in groupby(rows, key=itemgetter(0)))
 
 
-def _expanded(group: list[tuple], max_depth: int, max_nodes: int) -> list[tuple]:
-    """The nodes of one tree, from its root's row and the calls near it in their order: MAX_TARGETS a method at most."""
+def _mapped(df: DataFrame, rows, ddl: str, size: int = 10_000) -> DataFrame:
+    """The rows (of ddl) that are made of each group of df's rows."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return df.mapInArrow(lambda batches: _arrow((row for group in _groups(batches) for row in rows(group)), schema, size), ddl)
+
+
+def _arrow(rows, schema: pa.Schema, size: int):
+    """Rows as Arrow batches of a schema."""
+    held: list[tuple] = []
+    pack = lambda held: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pack(held)
+            held = []
+    if held:
+        yield pack(held)
+
+
+def _streamed(near: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
+    """NODES of the trees of _near()."""
+    return _mapped(near, lambda group: _expanded(group, max_depth, max_nodes), NODES)
+
+
+def _own_calls(near: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
+    """key, below (array of _SEEN): the first max_nodes nodes of the tree of each method of near, if roots call it."""
+    names = [field.split(":")[0] for field in _SEEN[7:-1].replace("array<int>", "array").split(",")]
+    told = lambda group: [dict(zip(names, (n[1], n[2] + 1, n[8], n[3], *n[4:8]), strict=True)) for n in _walked(group, max_depth - 1, max_nodes)]
+    return _mapped(near, lambda group: ((group[0][0], told(group)),), f"key string, below array<{_SEEN}>", 500)
+
+
+def _walked(group: list[tuple], max_depth: int, max_nodes: int) -> list[list]:
+    """Nodes of one tree (as NODES, and what tells a node from others), from its root's row and the calls near it in their order: MAX_TARGETS a method at most."""
     ep_id, _, _, method, _, key, owner, file, line, _ = group[0]
     by_caller: dict[str, list[tuple]] = {}
     for row in group[1:]:
         by_caller.setdefault(row[1], []).append(row)
-    nodes: list[list] = [[ep_id, [], 0, method, owner, file, line, "EXTRACTED"]]
+    nodes: list[list] = [[ep_id, [], 0, method, owner, file, line, "EXTRACTED", key]]
     visited = {key}
 
     def visit(caller: str, node: list) -> None:
         if node[2] >= max_depth:
-            node[7] = "EXTRACTED"
-            return
-        if len(nodes) >= max_nodes:
-            node[7] = "TRUNCATED"
             return
         children = 0
         for _, _, _, display, _, callee, its_class, its_file, its_line, ambiguous in by_caller.get(caller, ()):
@@ -119,13 +231,87 @@ def _expanded(group: list[tuple], max_depth: int, max_nodes: int) -> list[tuple]
             visited.add(mark)
             place = [ep_id, [*node[1], children], node[2] + 1, display]
             children += 1
-            child = [*place, its_class, its_file, its_line, "AMBIGUOUS" if ambiguous else "EXTRACTED"] if known else [*place, "", "", 0, "INFERRED"]
+            child = [*place, its_class, its_file, its_line, "AMBIGUOUS" if ambiguous else "EXTRACTED", mark] if known else [*place, "", "", 0, "INFERRED", mark]
             nodes.append(child)
             if known:
                 visit(callee, child)
 
     visit(key, nodes[0])
-    return [tuple(n) for n in nodes]
+    return nodes
+
+
+def _marked(nodes: list[list], max_depth: int, max_nodes: int) -> list[tuple]:
+    """NODES with the confidence that caps leave to them: the node that fills a tree isn't expanded, nor is one at max_depth."""
+    for k, n in enumerate(nodes):
+        if n[7] != "INFERRED":
+            n[7] = "EXTRACTED" if n[2] >= max_depth else "TRUNCATED" if k + 1 >= max_nodes else n[7]
+    return [tuple(n[:8]) for n in nodes]
+
+
+def _expanded(group: list[tuple], max_depth: int, max_nodes: int) -> list[tuple]:
+    """The nodes of one tree from the calls near its root."""
+    return _marked(_walked(group, max_depth, max_nodes), max_depth, max_nodes)
+
+
+def _joined(group: list[tuple], max_depth: int, max_nodes: int) -> list[tuple] | None:
+    """The nodes of one root's tree from its first calls, each with its callee's own tree; None if they don't tell it.
+
+    A callee's own tree is walked in the same order.  A node of it that the root's tree has already is skipped with all
+    below it, so what is below it there must be had already, too; else the two walks part.  Positions count nodes that stay.
+    """
+    ep_id, key, method, owner, file, line = group[0][:6]
+    nodes: list[list] = [[ep_id, [], 0, method, owner, file, line, "EXTRACTED", key]]
+    visited, taken = {key}, 0
+    for *_, display, callee, its_class, its_file, its_line, ambiguous, _, below in group:
+        if display is None or len(nodes) >= max_nodes:
+            continue
+        taken += 1
+        mark = display if callee is None else callee
+        if mark in visited:
+            if callee is not None and any(x["name"] not in visited for x in below or ()):
+                return None  # it was met deeper down, and would go further here
+            continue
+        place = sum(1 for n in nodes if n[2] == 1)
+        if callee is None:
+            visited.add(mark)
+            nodes.append([ep_id, [place], 1, display, "", "", 0, "INFERRED", mark])
+            continue
+        before, skipped, moved, children = set(visited), None, {(): (place,)}, {}
+        for n, x in enumerate(below):
+            old, name = tuple(x["path"]), x["name"]
+            if skipped is not None and old[: len(skipped)] == skipped:
+                if name not in before:
+                    return None
+                continue
+            skipped = None
+            if name in before:
+                skipped = old
+                continue
+            if len(nodes) >= max_nodes:
+                break
+            if n:
+                above = old[:-1]
+                moved[old] = (*moved[above], children.get(above, 0))
+                children[above] = children.get(above, 0) + 1
+            said = (x["method"], x["class_name"], x["file"], x["line"], x["mark"]) if n else (display, its_class, its_file, its_line, "AMBIGUOUS" if ambiguous else "EXTRACTED")
+            visited.add(name)
+            nodes.append([ep_id, list(moved[old]), x["depth"], *said, name])
+    if len(nodes) < max_nodes and taken < group[0][-2]:
+        return None  # calls that were left out come next
+    return _marked(nodes, max_depth, max_nodes)
+
+
+def _filled(alone: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
+    """NODES of trees that are a root and the first nodes of its first callee's own tree."""
+    own = lambda x, its, kid: F.when(F.size(x["path"]) == 0, kid).otherwise(its)
+    top = F.struct(F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.col("key").alias("name"), "method", "class_name", "file", F.col("line").cast("int").alias("line"), F.lit("EXTRACTED").alias("mark"))
+    said = lambda x: F.struct(
+        F.concat(F.array(F.lit(0)), x["path"]).alias("path"), x["depth"].alias("depth"), x["name"].alias("name"), own(x, x["method"], F.col("display")).alias("method"), own(x, x["class_name"], F.col("callee_class")).alias("class_name"),
+        own(x, x["file"], F.col("callee_file")).alias("file"), own(x, x["line"], F.col("callee_line")).cast("int").alias("line"), own(x, x["mark"], F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("EXTRACTED")).alias("mark"),
+    )
+    rows = alone.select("ep_id", F.posexplode(F.concat(F.array(top), F.transform(F.slice("below", 1, max_nodes - 1), said))).alias("_k", "x"))
+    cap = F.when(F.col("x.depth") >= max_depth, "EXTRACTED").when(F.col("_k") + 1 >= max_nodes, "TRUNCATED").otherwise(F.col("x.mark"))
+    return rows.select("ep_id", "x.path", "x.depth", "x.method", "x.class_name", "x.file", "x.line", F.when(F.col("x.mark") == "INFERRED", "INFERRED").otherwise(cap).alias("confidence"))
 
 
 def tree_metrics(nodes: DataFrame) -> DataFrame:

@@ -314,11 +314,13 @@ tree AS (SELECT *, row_number() OVER (PARTITION BY ep_id ORDER BY path) AS rank
 
 def _call_layers(spark, d):
     """Edges of each level: orders to parts, parts to suppliers, these to nations, those to regions."""
-    lines = table(spark, d, "lineitem")
-    per_order = lines.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
-    e1 = per_order.select(F.concat(F.lit("O"), "l_orderkey").alias("caller"), F.concat(F.lit("P"), "l_partkey").alias("callee"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("n", "l_partkey")).alias("pos"))
-    pairs = lines.select("l_partkey", "l_suppkey").distinct()
-    e2 = pairs.select(F.concat(F.lit("P"), "l_partkey").alias("caller"), F.concat(F.lit("S"), "l_suppkey").alias("callee"), F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey")).alias("pos"))
+    lines = table(spark, d, "lineitem").select(F.concat(F.lit("O"), "l_orderkey").alias("order"), F.concat(F.lit("P"), "l_partkey").alias("part"), F.concat(F.lit("S"), "l_suppkey").alias("supplier"), "l_partkey", "l_suppkey", "l_linenumber")
+    at = lambda caller, *order: F.row_number().over(Window.partitionBy(caller).orderBy(*order)).alias("pos")
+    # edges are dealt by their caller once, for all that is asked of them
+    per_order = lines.select("order", "part", "l_partkey", "l_linenumber").repartition("order").groupBy("order", "part", "l_partkey").agg(F.min("l_linenumber").alias("n"))
+    e1 = per_order.select(F.col("order").alias("caller"), F.col("part").alias("callee"), at("order", "n", "l_partkey"))
+    pairs = lines.select("part", "supplier", "l_suppkey").repartition("part").distinct()
+    e2 = pairs.select(F.col("part").alias("caller"), F.col("supplier").alias("callee"), at("part", "l_suppkey"))
     e3 = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("caller"), F.concat(F.lit("N"), "s_nationkey").alias("callee"), F.lit(1).alias("pos"))
     e4 = table(spark, d, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("caller"), F.concat(F.lit("G"), "n_regionkey").alias("callee"), F.lit(1).alias("pos"))
     return [e1, e2, e3, e4]
