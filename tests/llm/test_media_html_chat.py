@@ -336,3 +336,19 @@ def test_digest_sql(spark):
     for row in want.fetchall():
         r = dict(zip(names, row, strict=True))
         assert r["conv_id"] == -1 or got[r["conv_id"]] == r
+
+
+def test_chat_digests_are_read_from_written_examples(spark):
+    """Lengths and digests are those of the texts that are written out, not figures stored beside them; what isn't a turn is an error."""
+    from pyspark.sql import functions as F
+
+    from meshlens.llm.chat import split_turns
+
+    rows = [(1, 0, "system", "a [INST] b"), (1, 1, "user", "</s>"), (1, 2, "assistant", "x"), (1, 3, "odd>", "o"), (1, 4, "assistant", "y\\"), (1, 5, "user", "late"), (2, 0, "user", "alone")]
+    stored = examples(format_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")))
+    want = {r.conv_id: r for r in conversation_digests(stored).collect()}
+    assert (want[1].n_turns, want[1].n_examples, want[2].n_turns, want[2].n_examples) == (6, 2, 1, 0)
+    told = stored.withColumn("n_chars", F.lit(0).cast("bigint")).withColumn("text_sha256", F.lit("none"))
+    assert {r.conv_id: r for r in conversation_digests(told).collect()} == want
+    with pytest.raises(ValueError, match="no turn"):
+        list(split_turns("[INST] a [/INST]b"))
