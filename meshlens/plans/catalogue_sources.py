@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import store, textindex
-from ..sources import listings, syntax
+from ..sources import gallery, listings, syntax
 from ..sources.extract import index
 from ..sources.extract import java_types as read_types
 from ..sources.files import language_for_file as with_language
 from ..streaming.progress import progress_lines as lines_of
 from ..streaming.progress import run_progress
-from .adapter import graph, part_sources, parts_sql, table
+from .adapter import graph, part_sources, parts_sql, rule_sources, rules_sql, table
 from .analysis import analyze_files
 from .catalogue import ENDS, ORACLES, _logs, query
 from .fixpoint import cut, shared_folder
@@ -27,8 +27,9 @@ def _index(spark, d):
     return index(read_types(part_sources(spark, d)))
 
 
-def _config(spark):
-    return spark.createDataFrame([], "key string, value string, first struct<repo:string,path:string,ord:int>")
+def _rules(spark, d):
+    files, config = rule_sources(spark, d)
+    return index(read_types(files)), config
 
 
 # ---------------------------------------------------------------- syntax trees
@@ -91,19 +92,20 @@ def java_calls(spark, d):
 @query(
     PARTS
     + """ SELECT repo || ':' || name || '.on:brand-' || brand AS id, 'kafka-consumer' AS type, 'brand-' || brand AS channel, 9 AS line, 'Note' AS message_type, '' AS method_type FROM p WHERE kind = 'class'
-    UNION ALL SELECT repo || ':' || name || '.get:/parts/' || key, 'rest-endpoint', '/parts/' || key, 11, '', 'GET' FROM p WHERE kind = 'class'"""
+    UNION ALL SELECT repo || ':' || name || '.get:/parts/' || key, 'rest-endpoint', '/parts/' || key, 11, '', 'GET' FROM p WHERE kind = 'class' UNION ALL """
+    + rules_sql(gallery.entry_rows(), "method_type")
 )
 def java_entry_points(spark, d):
     from ..operators.detect import detect_entry_points
 
-    return detect_entry_points(_index(spark, d), _config(spark)).select("id", "type", "channel", "line", "message_type", "method_type")
+    return detect_entry_points(*_rules(spark, d)).select("id", "type", "channel", "line", "message_type", "method_type")
 
 
-@query(PARTS + " SELECT repo || ':' || name || '.check:send:kafka' AS id, 'kafka-producer' AS type, 'size-' || size AS channel, 13 AS line, 'Sent' AS message_type, '' AS response_type FROM p WHERE kind = 'class'")
+@query(PARTS + " SELECT repo || ':' || name || '.check:send:kafka' AS id, 'kafka-producer' AS type, 'size-' || size AS channel, 13 AS line, 'Sent' AS message_type, '' AS response_type FROM p WHERE kind = 'class' UNION ALL " + rules_sql(gallery.producer_rows(), "response_type"))
 def java_producers(spark, d):
     from ..operators.detect import detect_producers
 
-    return detect_producers(_index(spark, d), _config(spark)).select("id", "type", "channel", "line", "message_type", "response_type")
+    return detect_producers(*_rules(spark, d)).select("id", "type", "channel", "line", "message_type", "response_type")
 
 
 @query(PARTS + " SELECT repo || ':' || name || '.idle' AS id, repo, name AS class_name, 'idle' AS method, file, 14 AS line FROM p WHERE kind = 'class' AND key % 4 = 3")

@@ -201,3 +201,16 @@ def test_two_imports_equal_one(spark):
     once = store.seed_import(none, docs, "now")
     assert sorted(tuple(r)[1:] for r in once.collect()) == [("also", "now", "now", "ready", 0, 0, 0, 0), ("n0", "now", "now", "ready", 0, 2, 0, 0), ("n5", "2020", "now", "ready", 0, 0, 0, 1), ("x", "t", "t", "ready", 0, 0, 0, 0)]
     assert sorted(map(tuple, store.seed_import(once, docs, "later").collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_every_detection_rule_meets_parts_of_the_table(spark):
+    """What any class of the gallery gives is among the rows of the registered queries, not only what services of parts give."""
+    from meshlens.plans import adapter, catalogue, catalogue_sources  # noqa: F401
+    from meshlens.sources import gallery
+
+    files, _ = adapter.rule_sources(spark, "/root/testdata/sf0.001")
+    n = adapter.table(spark, "/root/testdata/sf0.001", "part").count()
+    assert files.count() == 2 * n and n > len(gallery.SAMPLES)
+    assert files.filter("path LIKE 'rules/%'").selectExpr("regexp_extract(content, '(class|interface) ([A-Za-z]+)_[0-9]+', 2) AS name").distinct().count() == len({s.name for s in gallery.SAMPLES})
+    for name, rows in (("java_entry_points", gallery.entry_rows()), ("java_producers", gallery.producer_rows())):
+        assert {r[1] for r in rows} <= {r.type for r in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").select("type").distinct().collect()}
