@@ -78,3 +78,15 @@ def test_listeners_are_ranked_where_their_customers_are(spark):
     from meshlens.plans import adapter
 
     assert plan(adapter.tree_nodes(spark, SF)).count("Exchange hashpartitioning") == 3  # lines by order, orders and customers by customer
+
+
+def test_changes_by_repository_read_each_graph_once(spark):
+    """A repository comes with its entry point's status: both graphs' entry points meet once."""
+    from meshlens.operators import diff
+    from meshlens.plans.relations import GraphRelations
+
+    ddl = "id string, ord string, repo string, depth int, total_nodes int, unique_files int, extra string"
+    side = lambda *rows: GraphRelations(spark.createDataFrame([(i, i, r, d, 1, 1, "x") for i, r, d in rows], ddl), None, None, spark.createDataFrame([], "ep_id string, path array<int>, method string, file string, line int"), None, None)
+    got = diff.diff_repo_counts(side(("gone", "a", 1), ("same", "a", 1), ("more", "b", 1)), side(("same", "a", 1), ("more", "c", 2), ("made", "c", 1)))
+    assert plan(got).count("Join ") == 2  # trees of each side
+    assert sorted(tuple(r) for r in got.collect()) == [("a", 0, 1, 0), ("c", 1, 0, 1)]
