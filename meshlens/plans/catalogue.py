@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..operators import cycles, diff, flows, links, reach, store, tools, tree, views
 from ..streaming import progress
 from . import adapter
-from .adapter import NEW, OLD, graph, relations_sql, supply_graph, supply_sql, table
+from .adapter import NEW, OLD, graph, linked, relations_sql, supply_graph, supply_sql, table
 from .fixpoint import cut, reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,18 +247,18 @@ _CYCLES = (
 
 @query(GRAPH + _CYCLES + " SELECT array_to_string(path, '>') AS repos, CAST(length AS INTEGER) AS length, md5(string_agg(DISTINCT channel, ',' ORDER BY channel)) AS channels, CAST(count(DISTINCT channel) AS INTEGER) AS n_channels FROM found JOIN edges ON src = path[k] AND dst = path[k + 1] GROUP BY path, length")
 def find_cycles(spark, d):
-    found = cycles.find_cycles(graph(spark, d, keep=ENDS).members)
+    found = cycles.find_cycles(linked(spark, d).members)
     return found.select("repos", "length", F.md5(F.array_join("channels", ",")).alias("channels"), F.size("channels").alias("n_channels"))
 
 
 @query(GRAPH + _CYCLES + " SELECT (SELECT count(*) FROM walk WHERE cur = start) AS cycle_count, coalesce((SELECT string_agg(DISTINCT r, ',' ORDER BY r) FROM (SELECT unnest(path) AS r FROM walk WHERE cur = start)), '') AS repos_in_cycles")
 def cycle_summary(spark, d):
-    return cycles.cycle_summary(graph(spark, d, keep=ENDS).members)
+    return cycles.cycle_summary(linked(spark, d).members)
 
 
 @query(GRAPH + f", {_FIRST_KIND}" + _EDGES + " SELECT src, dst, channel, kind, verb FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.src = e.src AND x.dst = e.dst AND x.channel = e.channel AND x.kind < e.kind AND x.kind = 'http' AND e.kind = 'message' AND false) QUALIFY row_number() OVER (PARTITION BY src, dst, channel ORDER BY CASE kind WHEN 'message' THEN 0 WHEN 'http' THEN 1 ELSE 2 END) = 1")
 def repo_edges(spark, d):
-    return views.edge_items(graph(spark, d, keep=ENDS).members)
+    return views.edge_items(linked(spark, d).members)
 
 
 @query(
@@ -270,7 +270,7 @@ def repo_edges(spark, d):
     ELSE concat_ws(' · ', CASE WHEN m > 1 THEN m || ' msgs' WHEN m = 1 THEN '1 msg' END, CASE WHEN h > 0 THEN h || ' HTTP' END, CASE WHEN g > 0 THEN g || ' gRPC' END) END AS label FROM n"""
 )
 def edge_label(spark, d):
-    return views.edge_labels(graph(spark, d, keep=ENDS).members)
+    return views.edge_labels(linked(spark, d).members)
 
 
 @query(
@@ -989,7 +989,7 @@ def producing_nodes(spark, d):
     UNION ALL SELECT e.id, 'in', e.channel, p.kind, p.repos FROM entry_points e JOIN prod p ON p.channel = e.channel WHERE e.type IN ('kafka-consumer', 'event-listener')"""
 )
 def entry_connections(spark, d):
-    return views.connections(graph(spark, d, keep=f"{ENDS} members"))
+    return views.connections(linked(spark, d, keep="members"))
 
 
 @query(SUPPLY + _FLOWS + """, pick AS (SELECT repo, channel, method FROM entry_points WHERE id = (SELECT min(id) FROM entry_points WHERE channel IN (SELECT channel FROM members)))

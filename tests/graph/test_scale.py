@@ -90,3 +90,11 @@ def test_changes_by_repository_read_each_graph_once(spark):
     got = diff.diff_repo_counts(side(("gone", "a", 1), ("same", "a", 1), ("more", "b", 1)), side(("same", "a", 1), ("more", "c", 2), ("made", "c", 1)))
     assert plan(got).count("Join ") == 2  # trees of each side
     assert sorted(tuple(r) for r in got.collect()) == [("a", 0, 1, 0), ("c", 1, 0, 1)]
+
+
+def test_links_are_asked_of_ends_without_their_trees(spark):
+    from meshlens.plans import adapter
+
+    g = adapter.linked(spark, SF)
+    assert g.entry_points.columns == list(adapter.LINK_ENTRY) and g.producers.columns == list(adapter.LINK_PRODUCER)
+    assert "l_suppkey" not in plan(adapter.entry_points(spark, SF).select(*adapter.LINK_ENTRY))
