@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import weighed as cut
 
 #: Rounds of one plan before it is cut.
 STEPS = 2

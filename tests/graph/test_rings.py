@@ -1,6 +1,7 @@
 """Components, cycles and flows in graphs with circles, against plain searches."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def test_a_long_chain_of_small_components_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) < 60  # the chain is 6000 nodes deep
 
 
+def test_sizes_that_spark_expects_do_not_grow_with_the_rounds(spark, capsys):
+    pairs = [(i, (i + 1) % 12) for i in range(12)] + [(2, 9), (5, 3), (7, 1), (10, 6), (20, 21), (21, 20)]
+    df = spark.createDataFrame(pairs, "src int, dst int")
+    for found in (components.strong_components(df), components.elementary_cycles(df)):
+        capsys.readouterr()
+        found.explain("cost")
+        sizes = re.findall(r"sizeInBytes=([0-9.]+)(?:E\+?([0-9]+))?", capsys.readouterr().out)
+        assert sizes and max(int(digits or 0) for _, digits in sizes) < 40  # guesses that are multiplied each round have thousands of digits
+    assert sorted(tuple(r.path) for r in found.collect()) == plain_cycles(pairs)
+
+
 def test_graphs_without_nodes_or_cycles(spark):
     empty = spark.createDataFrame([], "src string, dst string")
     assert components.strong_components(empty).collect() == [] and components.elementary_cycles(empty).collect() == []
