@@ -43,7 +43,8 @@ def followed(pages: DataFrame, most: int = MOST_REPOSITORIES) -> DataFrame:
     while not front.isEmpty():
         on = front.join(parsed, ["listing", "token"]).filter("size(items) > 0 AND coalesce(next, '') <> ''")
         on = on.select("listing", F.col("next").alias("token"), (F.col("before") + F.size("items")).alias("before")).filter(F.col("before") < most)
-        front = cut(on.join(reduce(DataFrame.union, seen).select("listing", "token"), ["listing", "token"], "left_anti"))
+        known = reduce(DataFrame.union, seen).select("listing", "token").hint("merge")  # a union has no hint of its own and would be broadcast, some MB each round
+        front = cut(on.join(known, ["listing", "token"], "left_anti"))
         seen.append(front)
     came = reduce(DataFrame.union, seen).join(parsed.select("listing", "token", "items"), ["listing", "token"])
     return came.select("listing", "before", F.posexplode("items").alias("k", "item")).select("listing", (F.col("before") + F.col("k")).alias("place"), "item")

@@ -152,6 +152,17 @@ def test_progress_stream_ends_as_the_table_and_never_falls(spark, tmp_path):
     assert again.count() == got.count(), "a stream that goes on finds nothing new"
 
 
+def test_pages_that_were_read_are_not_broadcast(spark, monkeypatch, capsys):
+    from meshlens.sources import listings
+
+    own = listings.cut
+    monkeypatch.setattr(listings, "cut", lambda df: df.explain() or own(df))
+    pages = spark.range(3).selectExpr("'l' AS listing", "IF(id = 0, '', string(id)) AS token", """'{"items": ["a"], "next": "' || (id + 1) || '"}' AS payload""")
+    assert listings.followed(pages).count() == 3
+    told = capsys.readouterr().out
+    assert "SortMergeJoin" in told and "Broadcast" not in told
+
+
 def test_pages_are_followed_to_their_end_once(spark):
     import json
 
