@@ -32,7 +32,7 @@ def reaches() -> Iterator[int]:
 
 def _inner(edges: DataFrame) -> DataFrame:
     """Edges between nodes that have one in and one out."""
-    ends = edges.select(F.col("src").alias("n")).intersect(edges.select(F.col("dst").alias("n")))
+    ends = edges.select(F.col("src").alias("n")).intersect(edges.select(F.col("dst").alias("n"))).hint("merge")
     return edges.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst")
 
 
@@ -72,7 +72,7 @@ def _on_cycles(edges: DataFrame) -> DataFrame:
         loops = small.join(chains.select(F.col("node").alias("src")), "src", "left_anti")  # a drawn node's one way out is what it was drawn along
         small = cut(_renamed(loops, chains))
         drawn = cut(drawn.join(chains.select(F.col("node").alias("name"), F.col("name").alias("_to")), "name", "left").select("node", F.coalesce("_to", "name").alias("name")).union(chains.select("node", "name")))
-    alive = small.select(F.col("src").alias("name")).union(small.select(F.col("dst").alias("name"))).distinct()
+    alive = small.select(F.col("src").alias("name")).union(small.select(F.col("dst").alias("name"))).distinct().hint("merge")
     held = cut(alive.select(F.col("name").alias("node")).union(drawn.join(alive, "name", "left_semi").select("node")))
     return cut(edges.join(held.withColumnRenamed("node", "src"), "src", "left_semi").join(held.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
 
@@ -99,7 +99,7 @@ def _mutual(edges: DataFrame, doublings: int) -> DataFrame | None:
     near, most = edges, PAIRS * edges.count()
     for _ in range(doublings):
         out = near.groupBy(F.col("src").alias("n")).agg(F.count("*").alias("o"))
-        into = near.groupBy(F.col("dst").alias("n")).agg(F.count("*").alias("i"))
+        into = near.groupBy(F.col("dst").alias("n")).agg(F.count("*").alias("i")).hint("merge")
         if (out.join(into, "n").agg(F.sum(F.col("o") * F.col("i"))).first()[0] or 0) > most:
             return None
         on = near.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
@@ -146,7 +146,7 @@ def strong_components(pairs: DataFrame) -> DataFrame:
         stuck = merged.isEmpty()
         names = cut(names.join(merged.select(F.col("node").alias("name"), F.col("name").alias("_to")), "name", "left").select("node", F.coalesce("_to", "name").alias("name")))
         edges = cut(_renamed(edges, merged).filter("src <> dst"))
-    least = names.groupBy("name").agg(F.min("node").alias("component"))
+    least = names.groupBy("name").agg(F.min("node").alias("component")).hint("merge")
     return names.join(least, "name").select("node", "component")
 
 
@@ -164,7 +164,7 @@ def elementary_cycles(pairs: DataFrame, longest: int | None = None) -> DataFrame
     homes = [front]  # (start, node): node leads to start through nodes above it
     while not front.isEmpty():
         before = inside.select(F.col("src").alias("_node"), F.col("dst").alias("node")).join(front, "node").filter("_node > start").select("start", F.col("_node").alias("node")).distinct()
-        front = cut(before.join(reduce(DataFrame.union, homes), ["start", "node"], "left_anti"))
+        front = cut(before.join(reduce(DataFrame.union, homes).hint("merge"), ["start", "node"], "left_anti"))
         homes.append(front)
     home = cut(reduce(DataFrame.union, homes))
     ways = home.select("start", F.col("node").alias("dst")).join(inside, "dst").select("start", F.col("src").alias("cur"), "dst")
