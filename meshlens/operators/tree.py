@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import is_trivial_call
-from ..plans.fixpoint import cut
+from ..plans.fixpoint import cut, weighed
 
 MAX_DEPTH = 4
 MAX_NODES = 50
@@ -108,12 +108,17 @@ def _own_trees(calls: DataFrame, below: DataFrame | None, keys: list[str], max_n
 NODES = "ep_id string, path array<int>, depth int, method string, class_name string, file string, line int, confidence string"
 
 
-#: What is below a root's callee in its own tree, the callee first: depth is that in the root's tree, mark the confidence but for caps.
-_SEEN = "struct<path:array<int>,depth:int,name:string,method:string,class_name:string,file:string,line:int,mark:string>"
+#: What is below a root's callee in its own tree, the callee first: depth is that in the root's tree, mark the confidence but for caps, at a node's place in it and up that of its caller.
+_SEEN = "struct<path:array<int>,depth:int,name:string,method:string,class_name:string,file:string,line:int,mark:string,at:int,up:int>"
 
 
 def call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
-    """Call trees of any call graph, as nodes of NODES.
+    """ranked_call_tree() without ranks: nodes of NODES."""
+    return ranked_call_tree(entries, calls, max_depth, max_nodes).drop("rank")
+
+
+def ranked_call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH, max_nodes: int = MAX_NODES) -> DataFrame:
+    """Call trees of any call graph, as nodes of NODES with their rank (from 1, in pre-order), as they are made in that order.
 
     entries: ep_id, key (of the entry's method), method, class_name, file, line.
     calls: caller, ord, display, arity, callee (null if unresolved), callee_class, callee_file, callee_line, ambiguous.
@@ -130,7 +135,7 @@ def call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH,
     target = F.coalesce("callee", "display")
     useful = useful.withColumn("_nth", F.row_number().over(Window.partitionBy("caller", target).orderBy("ord"))).filter("_nth = 1")
     useful = useful.withColumn("_k", F.row_number().over(Window.partitionBy("caller").orderBy("ord"))).filter(F.col("_k") <= MAX_TARGETS).drop("_nth", "_k")
-    useful = cut(useful)
+    useful = weighed(useful)
     whole = lambda some: _streamed(_near(some, useful, max_depth), max_depth, max_nodes)
     if max_depth < 2 or max_nodes < 2:
         return whole(entries)
@@ -138,22 +143,24 @@ def call_tree(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH,
     called = entries.select(*root).join(useful.withColumnRenamed("caller", "key"), "key", "left")
     kids = entries.select("key").distinct().join(useful.filter("callee IS NOT NULL").select(F.col("caller").alias("key"), "callee"), "key").select(F.col("callee").alias("ep_id")).distinct()
     own = kids.select("ep_id", F.col("ep_id").alias("key"), *[F.lit("").alias(c) for c in ("method", "class_name", "file")], F.lit(0).alias("line"))
-    trees = _own_calls(_near(own, useful, max_depth - 1), max_depth, max_nodes)
+    trees = weighed(_own_calls(_near(own, useful, max_depth - 1), max_depth, max_nodes))
     order = Window.partitionBy("ep_id").orderBy("ord")
     sized = called.join(trees.select(F.col("key").alias("callee"), F.size("below").alias("_size")).hint("merge"), "callee", "left").withColumn("_size", F.coalesce("_size", F.lit(0)))
     known = F.col("display").isNotNull()  # false for a root without calls
     sized = sized.repartition("ep_id").withColumns({"_k": F.row_number().over(order), "_most": F.coalesce(F.max("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.count(F.when(known, 1)).over(Window.partitionBy("ep_id"))})
     first = sized.filter((F.col("_k") == 1) | (F.col("_k") + F.col("_most") <= max_nodes)).withColumn("_n", F.count("*").over(Window.partitionBy("ep_id")))  # a tree is full behind these, or is looked at again
-    parts = [*root, "ord", "display", "callee", "callee_class", "callee_file", "callee_line", "ambiguous"]
-    met = lambda rows: rows.join(trees.select(F.col("key").alias("callee"), "below").hint("merge"), "callee", "left").select(*parts, "_all", "below")
+    first = weighed(first)
     # a tree that its first call fills, without the root in it, is that: it isn't dealt again
-    alone = met(first.filter((F.col("_n") == 1) & (F.col("_size") >= max_nodes - 1)))
-    loops = F.exists("below", lambda x: x["name"] == F.col("key"))
-    several = met(first.filter((F.col("_n") > 1) | (F.col("_size") < max_nodes - 1))).unionByName(alone.filter(loops))
-    dealt = several.repartition("ep_id").sortWithinPartitions("ep_id", "ord")
-    joined = _mapped(dealt, lambda group: _joined(group, max_depth, max_nodes) or (), NODES)
-    again = _mapped(dealt, lambda group: () if _joined(group, max_depth, max_nodes) else ((group[0][0],),), "ep_id string")
-    return _filled(alone.filter(~loops), max_depth, max_nodes).unionByName(joined).unionByName(whole(entries.join(again.hint("merge"), "ep_id", "left_semi")))
+    alone, several = (F.col("_n") == 1) & (F.col("_size") >= max_nodes - 1), (F.col("_n") > 1) | (F.col("_size") < max_nodes - 1)
+    loops = F.exists("own", lambda x: x["name"] == F.col("key"))
+    grown = lambda rows, below, own: rows.join(trees.select(F.col("key").alias("callee"), below.alias("below")).hint("merge"), "callee", "left").withColumn("own", own).drop("below")
+    slim = F.arrays_zip("below.name", "below.at", "below.up")
+    parted = _joined(grown(first.filter(several), slim, _own_nodes("name", "at", "up")).unionByName(grown(first.filter(alone), slim, _own_nodes("name", "at", "up")).filter(loops)), max_nodes).filter("NOT told")
+    again = cut(parted.select("ep_id"))
+    whole_rows, alone_rows = grown(first.filter(several), F.col("below"), _own_nodes()), grown(first.filter(alone), F.col("below"), _own_nodes())
+    joined = _joined(whole_rows.unionByName(alone_rows.filter(loops)), max_nodes, *root[1:]).filter("told")
+    out = _filled(alone_rows.filter(~loops), max_depth, max_nodes).unionByName(_told(joined, max_depth, max_nodes))
+    return out if again.isEmpty() else out.unionByName(whole(entries.join(again, "ep_id", "left_semi")))
 
 
 _CALL = ("ep_id", "caller", "ord", "display", "arity", "callee", "callee_class", "callee_file", "callee_line", "ambiguous")
@@ -173,7 +180,8 @@ def _near(entries: DataFrame, useful: DataFrame, max_depth: int) -> DataFrame:
 
 def _groups(batches):
     """Rows of Arrow batches that are sorted by their first column, as lists of those that share it."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    values = lambda c: c.to_pylist() if c.null_count and not pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False).tolist()
+    rows = (row for batch in batches for row in zip(*map(values, batch.columns), strict=True))
     return (list(group) for _, group in groupby(rows, key=itemgetter(0)))
 
 
@@ -197,14 +205,18 @@ def _arrow(rows, schema: pa.Schema, size: int):
 
 
 def _streamed(near: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
-    """NODES of the trees of _near()."""
-    return _mapped(near, lambda group: _expanded(group, max_depth, max_nodes), NODES)
+    """NODES and rank of the trees of _near()."""
+    return _mapped(near, lambda group: [(*n, k) for k, n in enumerate(_expanded(group, max_depth, max_nodes), 1)], f"{NODES}, rank int")
 
 
 def _own_calls(near: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
     """key, below (array of _SEEN): the first max_nodes nodes of the tree of each method of near, if roots call it."""
-    names = [field.split(":")[0] for field in _SEEN[7:-1].replace("array<int>", "array").split(",")]
-    told = lambda group: [dict(zip(names, (n[1], n[2] + 1, n[8], n[3], *n[4:8]), strict=True)) for n in _walked(group, max_depth - 1, max_nodes)]
+
+    def told(group: list[tuple]) -> list[tuple]:
+        nodes = _walked(group, max_depth - 1, max_nodes)
+        place = {tuple(n[1]): at for at, n in enumerate(nodes)}
+        return [(n[1], n[2] + 1, n[8], n[3], *n[4:8], at, place[tuple(n[1][:-1])] if at else -1) for at, n in enumerate(nodes)]
+
     return _mapped(near, lambda group: ((group[0][0], told(group)),), f"key string, below array<{_SEEN}>", 500)
 
 
@@ -253,65 +265,61 @@ def _expanded(group: list[tuple], max_depth: int, max_nodes: int) -> list[tuple]
     return _marked(_walked(group, max_depth, max_nodes), max_depth, max_nodes)
 
 
-def _joined(group: list[tuple], max_depth: int, max_nodes: int) -> list[tuple] | None:
-    """The nodes of one root's tree from its first calls, each with its callee's own tree; None if they don't tell it.
+def _own_nodes(*told: str) -> Column:
+    """The nodes that a root's call gives, as its callee's own tree (column below) has them, but the callee as this call says it; an unresolved one gives itself.  told: the fields that below has, if not all of _SEEN."""
+    said = {
+        "path": F.array().cast("array<int>"), "depth": F.lit(1), "name": F.coalesce("callee", "display"), "method": F.col("display"), "class_name": F.when(F.col("callee").isNull(), "").otherwise(F.col("callee_class")),
+        "file": F.when(F.col("callee").isNull(), "").otherwise(F.col("callee_file")), "line": F.when(F.col("callee").isNull(), 0).otherwise(F.col("callee_line")).cast("int"),
+        "mark": F.when(F.col("callee").isNull(), "INFERRED").when(F.col("ambiguous"), "AMBIGUOUS").otherwise("EXTRACTED"), "at": F.lit(0), "up": F.lit(-1),
+    }
+    first = F.array(F.struct(*[said[c].alias(c) for c in told or said]))
+    deeper = F.when(F.size("below") > 1, F.concat(first, F.slice("below", F.lit(2), F.size("below") - 1)))
+    return F.when(F.col("display").isNotNull(), F.coalesce(deeper, first))
 
-    A callee's own tree is walked in the same order.  A node of it that the root's tree has already is skipped with all
-    below it, so what is below it there must be had already, too; else the two walks part.  Positions count nodes that stay.
+
+def _joined(several: DataFrame, max_nodes: int, *kept: str) -> DataFrame:
+    """A row for each root of its first calls (ep_id, key, ord, display, _all, own; kept: further columns): whether they tell its tree (told), its nodes in pre-order and ups (places of their callers among them, 0 for the root).
+
+    A callee's own tree is walked in the same order as the root's.  A node of it that the root's tree has already is skipped with
+    all below it, so what is below it there must be had already, too; else the two walks part, and the root isn't told.  That is
+    so if some node comes there for the first time, but what calls it doesn't.  Nor is a root told that isn't full while some of its calls were left out.
     """
-    ep_id, key, method, owner, file, line = group[0][:6]
-    nodes: list[list] = [[ep_id, [], 0, method, owner, file, line, "EXTRACTED", key]]
-    visited, taken = {key}, 0
-    for *_, display, callee, its_class, its_file, its_line, ambiguous, _, below in group:
-        if display is None or len(nodes) >= max_nodes:
-            continue
-        taken += 1
-        mark = display if callee is None else callee
-        if mark in visited:
-            if callee is not None and any(x["name"] not in visited for x in below or ()):
-                return None  # it was met deeper down, and would go further here
-            continue
-        place = sum(1 for n in nodes if n[2] == 1)
-        if callee is None:
-            visited.add(mark)
-            nodes.append([ep_id, [place], 1, display, "", "", 0, "INFERRED", mark])
-            continue
-        before, skipped, moved, children = set(visited), None, {(): (place,)}, {}
-        for n, x in enumerate(below):
-            old, name = tuple(x["path"]), x["name"]
-            if skipped is not None and old[: len(skipped)] == skipped:
-                if name not in before:
-                    return None
-                continue
-            skipped = None
-            if name in before:
-                skipped = old
-                continue
-            if len(nodes) >= max_nodes:
-                break
-            if n:
-                above = old[:-1]
-                moved[old] = (*moved[above], children.get(above, 0))
-                children[above] = children.get(above, 0) + 1
-            said = (x["method"], x["class_name"], x["file"], x["line"], x["mark"]) if n else (display, its_class, its_file, its_line, "AMBIGUOUS" if ambiguous else "EXTRACTED")
-            visited.add(name)
-            nodes.append([ep_id, list(moved[old]), x["depth"], *said, name])
-    if len(nodes) < max_nodes and taken < group[0][-2]:
-        return None  # calls that were left out come next
-    return _marked(nodes, max_depth, max_nodes)
+    calls = F.array_sort(F.collect_list(F.when(F.col("display").isNotNull(), F.struct("ord", "own"))))  # under max_nodes trees of max_nodes nodes at most
+    seen = F.flatten(F.transform(calls, lambda c: c["own"]))
+    # names are made by the grouping: what lambdas look up there must not be made again for each of their elements
+    names = F.concat(F.array(F.coalesce(F.first("key"), F.lit("\0"))), F.transform(seen, lambda x: x["name"]))
+    met = several.groupBy("ep_id").agg(*[F.first(c).alias(c) for c in kept], (F.size(calls) >= F.max("_all")).alias("_every"), seen.alias("_met"), names.alias("_names"))
+    # places in _names, from 1: that of each node's first sight, and that of what calls it there
+    firsts = F.transform(F.slice(F.array_distinct("_names"), 2, max_nodes - 1), lambda name: F.array_position(F.col("_names"), name).cast("int"))
+    met = met.withColumn("_firsts", firsts)
+    node = lambda p: F.get(F.col("_met"), p - 2)
+    above = lambda p: F.when(node(p)["at"] == 0, 1).otherwise(p - node(p)["at"] + node(p)["up"])
+    parted = F.exists("_firsts", lambda p: (node(p)["at"] > 0) & (F.array_position(F.col("_names"), F.get(F.col("_names"), above(p) - 1)) != above(p)))
+    ups = F.transform("_firsts", lambda p: F.array_position(F.col("_firsts"), above(p)).cast("int"))  # 0 is the root
+    return met.select("ep_id", *kept, F.transform("_firsts", node).alias("nodes"), ups.alias("ups"), (~parted & (F.col("_every") | (F.size("_firsts") >= max_nodes - 1))).alias("told"))
+
+
+def _told(joined: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
+    """NODES and rank of trees that _joined() tells; positions count the nodes that stay."""
+    place = F.transform("ups", lambda u, k: F.size(F.filter(F.slice("ups", F.lit(1), k), lambda v: v == u)))
+    paths = F.aggregate(F.arrays_zip(F.col("ups").alias("up"), F.col("_place").alias("place")), F.array(F.array().cast("array<int>")), lambda made, x: F.concat(made, F.array(F.concat(F.get(made, x["up"]), F.array(x["place"])))))
+    rows = joined.withColumn("_place", place).withColumn("_paths", paths)
+    top = F.struct(F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.col("key").alias("name"), "method", "class_name", "file", F.col("line").cast("int").alias("line"), F.lit("EXTRACTED").alias("mark"), F.lit(0).alias("at"), F.lit(-1).alias("up"))
+    rows = rows.select("ep_id", "_paths", F.posexplode_outer(F.concat(F.array(top), "nodes")).alias("_k", "x"))  # outer: else the nodes are made twice, to see that there are any
+    return _marked_rows(rows, F.get("_paths", F.col("_k")), max_depth, max_nodes)
 
 
 def _filled(alone: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
-    """NODES of trees that are a root and the first nodes of its first callee's own tree."""
-    own = lambda x, its, kid: F.when(F.size(x["path"]) == 0, kid).otherwise(its)
-    top = F.struct(F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.col("key").alias("name"), "method", "class_name", "file", F.col("line").cast("int").alias("line"), F.lit("EXTRACTED").alias("mark"))
-    said = lambda x: F.struct(
-        F.concat(F.array(F.lit(0)), x["path"]).alias("path"), x["depth"].alias("depth"), x["name"].alias("name"), own(x, x["method"], F.col("display")).alias("method"), own(x, x["class_name"], F.col("callee_class")).alias("class_name"),
-        own(x, x["file"], F.col("callee_file")).alias("file"), own(x, x["line"], F.col("callee_line")).cast("int").alias("line"), own(x, x["mark"], F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("EXTRACTED")).alias("mark"),
-    )
-    rows = alone.select("ep_id", F.posexplode(F.concat(F.array(top), F.transform(F.slice("below", 1, max_nodes - 1), said))).alias("_k", "x"))
-    cap = F.when(F.col("x.depth") >= max_depth, "EXTRACTED").when(F.col("_k") + 1 >= max_nodes, "TRUNCATED").otherwise(F.col("x.mark"))
-    return rows.select("ep_id", "x.path", "x.depth", "x.method", "x.class_name", "x.file", "x.line", F.when(F.col("x.mark") == "INFERRED", "INFERRED").otherwise(cap).alias("confidence"))
+    """NODES and rank of trees that are a root and the first nodes of its first callee's own tree."""
+    top = F.struct(F.array().cast("array<int>").alias("path"), F.lit(0).alias("depth"), F.col("key").alias("name"), "method", "class_name", "file", F.col("line").cast("int").alias("line"), F.lit("EXTRACTED").alias("mark"), F.lit(0).alias("at"), F.lit(-1).alias("up"))
+    rows = alone.select("ep_id", F.posexplode_outer(F.concat(F.array(top), F.slice("own", 1, max_nodes - 1))).alias("_k", "x"))
+    return _marked_rows(rows, F.when(F.col("_k") == 0, F.col("x.path")).otherwise(F.concat(F.array(F.lit(0)), "x.path")), max_depth, max_nodes)
+
+
+def _marked_rows(rows: DataFrame, path: Column, max_depth: int, max_nodes: int) -> DataFrame:
+    """NODES and rank of rows (ep_id, _k, x of _SEEN), with the confidence that caps leave to them (as _marked())."""
+    cap = F.when(F.col("x.mark") == "INFERRED", "INFERRED").when(F.col("x.depth") >= max_depth, "EXTRACTED").when(F.col("_k") + 1 >= max_nodes, "TRUNCATED").otherwise(F.col("x.mark"))
+    return rows.select("ep_id", path.alias("path"), "x.depth", "x.method", "x.class_name", "x.file", "x.line", cap.alias("confidence"), (F.col("_k") + 1).alias("rank"))
 
 
 def tree_metrics(nodes: DataFrame) -> DataFrame:

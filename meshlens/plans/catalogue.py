@@ -343,9 +343,8 @@ def call_tree(spark, d):
 def call_tree_general(spark, d):
     """The same trees by the depth-first form for any call graph: equal nodes at equal places in pre-order."""
     entries = _order_roots(spark, d).select("ep_id", F.col("node").alias("key"), F.col("node").alias("method"), F.lit("").alias("class_name"), F.lit("").alias("file"), F.lit(0).alias("line"))
-    calls = cut(_call_edges(spark, d)).select("caller", F.col("pos").cast("bigint").alias("ord"), F.concat("callee", F.lit("#")).alias("display"), F.lit(1).alias("arity"), "callee", F.lit("").alias("callee_class"), F.lit("").alias("callee_file"), F.lit(0).alias("callee_line"), F.lit(False).alias("ambiguous"))
-    rank = F.row_number().over(Window.partitionBy("ep_id").orderBy("path"))
-    return tree.call_tree(entries, calls).select("ep_id", F.regexp_replace("method", "#$", "").alias("node"), "depth", rank.alias("rank"))
+    calls = _call_edges(spark, d).select("caller", F.col("pos").cast("bigint").alias("ord"), F.concat("callee", F.lit("#")).alias("display"), F.lit(1).alias("arity"), "callee", F.lit("").alias("callee_class"), F.lit("").alias("callee_file"), F.lit(0).alias("callee_line"), F.lit(False).alias("ambiguous"))
+    return tree.ranked_call_tree(entries, calls).select("ep_id", F.regexp_replace("method", "#$", "").alias("node"), "depth", "rank")
 
 
 @query(

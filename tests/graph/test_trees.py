@@ -84,3 +84,17 @@ def test_layered_trees_are_made_of_own_trees_and_written_nowhere(spark, monkeypa
 
             go(root, ())
             assert sorted(got[ep]) == want, (ep, max_nodes)
+
+
+def test_general_trees_come_with_their_ranks_and_own_trees_are_made_once(spark):
+    """Python walks own trees, once; roots' trees are put together of them by expressions, in order, so that no window ranks their nodes."""
+    rng = random.Random(11)
+    roots = spark.createDataFrame([(f"e{k}", f"m{k}", "on", "R", "f", 0) for k in range(30)], ROOTS)
+    rows = tree.ranked_call_tree(roots, spark.createDataFrame(graph(rng, 30, 4), CALLS))
+    trees = {}
+    for r in rows.collect():
+        trees.setdefault(r.ep_id, []).append((r["rank"], tuple(r.path)))
+    assert len(trees) == 30 and all([p for _, p in sorted(t)] == sorted(p for _, p in t) and sorted(k for k, _ in t) == list(range(1, len(t) + 1)) for t in trees.values())
+    calls = [(f"m{k}", o, f"x.h{k}.{o}", 1, f"h{k}.{o}", "C", "f", 1, False) for k in range(30) for o in range(3)]
+    plan = tree.ranked_call_tree(roots, spark.createDataFrame(calls, CALLS))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Window" not in plan
