@@ -273,11 +273,11 @@ def _producers(df: DataFrame, kind: Column | str, token: Column, form: str, mode
 def producer_rules(idx: JavaIndex) -> DataFrame:
     """Rows (PRODUCER) of all producer rules, with channel tokens not yet resolved."""
     scanned = idx.scanned.select("key", F.col("annotations").alias("c_ann"), "supertypes")
-    calls = calls_of(idx).join(scanned, "key").filter(~has("c_ann", *FEIGN) | (F.col("m_name") == "<init>"))
+    calls = calls_of(idx).hint("merge").join(scanned, "key").filter(~has("c_ann", *FEIGN) | (F.col("m_name") == "<init>"))
     kinds = cut(field_types(idx))
-    calls = calls.join(kinds.select("key", F.col("name").alias("receiver"), F.col("type").alias("field")), ["key", "receiver"], "left")
-    calls = calls.join(kinds.select("key", F.col("name").alias("root"), F.col("type").alias("root_field")), ["key", "root"], "left")
-    calls = calls.join(kinds.select("key", F.col("name").alias("first_name"), F.col("type").alias("first_field")), ["key", "first_name"], "left")
+    calls = calls.hint("merge").join(kinds.select("key", F.col("name").alias("receiver"), F.col("type").alias("field")), ["key", "receiver"], "left")
+    calls = calls.hint("merge").join(kinds.select("key", F.col("name").alias("root"), F.col("type").alias("root_field")), ["key", "root"], "left")
+    calls = calls.hint("merge").join(kinds.select("key", F.col("name").alias("first_name"), F.col("type").alias("first_field")), ["key", "first_name"], "left")
     place = F.concat_ws("|", "type_ord", F.lpad(F.col("m_ord").cast("string"), 6, "0"), F.lpad(F.col("ord").cast("string"), 6, "0"))
     local = F.try_element_at("locals", F.col("receiver"))
     declared = F.when(F.coalesce("field", F.lit("")) != "", F.col("field")).otherwise(F.coalesce(local, F.lit("")))
@@ -339,7 +339,7 @@ def producer_rules(idx: JavaIndex) -> DataFrame:
     camel = _camel(idx).filter("c.method <> 'from'")
     out.append(_producers(camel.withColumn("method", F.col("c.method")), lookup(F.col("scheme"), {k: v[1] for k, v in CAMEL_SCHEMES.items()}), F.col("t"), "route", line=F.col("c.line")))
     emitters = idx.fields.filter("channel <> ''").groupBy("key", F.col("name").alias("receiver")).agg(F.max_by("channel", "f_ord").alias("t"))
-    out.append(_producers(sends.filter(F.col("method").isin(*EMITTER_SENDS)).join(emitters, ["key", "receiver"]), "unknown", F.col("t"), "emitter", mode="reactive"))
+    out.append(_producers(sends.filter(F.col("method").isin(*EMITTER_SENDS)).hint("merge").join(emitters, ["key", "receiver"]), "unknown", F.col("t"), "emitter", mode="reactive"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -355,7 +355,7 @@ def resolve_tokens(rows: DataFrame, idx: JavaIndex, config: DataFrame) -> DataFr
     channels = resolve_channel(rows.filter("mode = 'channel'").select("token"), idx.constants, config).withColumn("mode", F.lit("channel"))
     reactive = resolve_reactive_channel(rows.filter("mode = 'reactive'").select("token"), config).withColumn("mode", F.lit("reactive"))
     names = resolve_fqn(idx, rows.filter("mode = 'fqn'").select("key", F.col("token").alias("simple"))).select("key", F.col("simple").alias("token"), F.col("fqn").alias("_fqn"))
-    out = rows.join(channels.unionByName(reactive).withColumnRenamed("channel", "_channel"), ["mode", "token"], "left").join(names.withColumn("mode", F.lit("fqn")), ["mode", "key", "token"], "left")
+    out = rows.hint("merge").join(channels.unionByName(reactive).withColumnRenamed("channel", "_channel"), ["mode", "token"], "left").hint("merge").join(names.withColumn("mode", F.lit("fqn")), ["mode", "key", "token"], "left")
     found = F.coalesce("_fqn", "_channel", "token")
     rest = F.when(F.col("prefix") != "", join_rest_path(F.col("prefix"), found)).otherwise(found)
     feign = strip_http_origin(F.when(F.coalesce(F.col("token"), F.lit("")) != "", join_rest_path(found, F.col("prefix"))).otherwise(F.col("prefix")))

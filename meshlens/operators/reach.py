@@ -17,7 +17,7 @@ def reachable_methods(roots: DataFrame, calls: DataFrame) -> DataFrame:
 
 def unreachable_methods(methods: DataFrame, reached: DataFrame) -> DataFrame:
     """methods (key, name, has_body, ...) with a body that nothing reaches, but for accessors and the like."""
-    return methods.filter(F.col("has_body") & ~is_trivial_definition(F.col("name"))).join(reached.select(F.col("node").alias("key")), "key", "left_anti")
+    return methods.filter(F.col("has_body") & ~is_trivial_definition(F.col("name"))).hint("merge").join(reached.select(F.col("node").alias("key")), "key", "left_anti")
 
 
 def methods_total(methods: DataFrame) -> DataFrame:
@@ -27,4 +27,4 @@ def methods_total(methods: DataFrame) -> DataFrame:
 def thin_entries(entries: DataFrame, calls: DataFrame) -> DataFrame:
     """ep_id and thin: whether the entry's method (key) makes no call that says something."""
     busy = calls.filter(~is_trivial_call(F.col("display"), F.col("arity"))).select(F.col("caller").alias("key")).distinct().withColumn("_busy", F.lit(True))
-    return entries.join(busy, "key", "left").select("ep_id", F.col("_busy").isNull().alias("thin"))
+    return entries.hint("merge").join(busy, "key", "left").select("ep_id", F.col("_busy").isNull().alias("thin"))

@@ -40,33 +40,33 @@ def find_class(idx: JavaIndex, asked: DataFrame) -> DataFrame:
     seen = idx.types.select("key", "package", "explicit", "wildcard")
     known = idx.scanned.select(F.col("key").alias("target"), "fqn", F.col("simple_name").alias("target_simple"))
     every = idx.types.select(F.col("key").alias("target"), "fqn", F.col("simple_name").alias("target_simple"))
-    mine = pairs.join(seen, "key")
-    explicit = mine.select("key", "simple", F.posexplode("explicit").alias("p", "fqn")).filter(last_seg(F.col("fqn")) == F.col("simple")).join(known, "fqn").select("key", "simple", "target", F.lit(1).alias("rank"), "p")
-    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).join(_under(idx.types.withColumnRenamed("key", "target"), "target").filter("n = 1"), ["w", "simple"]).select("key", "simple", "target", F.lit(2).alias("rank"), "p")
-    same = mine.filter("package <> ''").select("key", "simple", F.concat_ws(".", "package", "simple").alias("fqn")).join(known, "fqn").select("key", "simple", "target", F.lit(3).alias("rank"), F.lit(0).alias("p"))
+    mine = pairs.hint("merge").join(seen, "key")
+    explicit = mine.select("key", "simple", F.posexplode("explicit").alias("p", "fqn")).filter(last_seg(F.col("fqn")) == F.col("simple")).hint("merge").join(known, "fqn").select("key", "simple", "target", F.lit(1).alias("rank"), "p")
+    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).hint("merge").join(_under(idx.types.withColumnRenamed("key", "target"), "target").filter("n = 1"), ["w", "simple"]).select("key", "simple", "target", F.lit(2).alias("rank"), "p")
+    same = mine.filter("package <> ''").select("key", "simple", F.concat_ws(".", "package", "simple").alias("fqn")).hint("merge").join(known, "fqn").select("key", "simple", "target", F.lit(3).alias("rank"), F.lit(0).alias("p"))
     lone = every.groupBy("target_simple").agg(F.min("target").alias("target"), F.count("*").alias("n")).filter("n = 1")
-    only = pairs.join(lone, F.col("simple") == F.col("target_simple")).select("key", "simple", "target", F.lit(4).alias("rank"), F.lit(0).alias("p"))
+    only = pairs.hint("merge").join(lone, F.col("simple") == F.col("target_simple")).select("key", "simple", "target", F.lit(4).alias("rank"), F.lit(0).alias("p"))
     best = _best(explicit.union(wild).union(same).union(only), ["key", "simple"], ["rank", "p", "target"])
-    return best.select("key", "simple", "target").join(idx.types.select(F.col("key").alias("target"), F.col("kind").alias("target_kind"), F.col("simple_name").alias("target_simple")), "target")
+    return best.select("key", "simple", "target").hint("merge").join(idx.types.select(F.col("key").alias("target"), F.col("kind").alias("target_kind"), F.col("simple_name").alias("target_simple")), "target")
 
 
 def resolve_fqn(idx: JavaIndex, asked: DataFrame) -> DataFrame:
     """(key, simple, fqn) of asked (key, simple): like find_class(), but an import or the own package counts for types that aren't indexed."""
     pairs = asked.select("key", "simple").filter("simple <> ''").distinct()
-    mine = pairs.join(idx.types.select("key", "package", "explicit", "wildcard"), "key")
+    mine = pairs.hint("merge").join(idx.types.select("key", "package", "explicit", "wildcard"), "key")
     every = idx.types.select("fqn", "simple_name")
     explicit = mine.select("key", "simple", F.posexplode("explicit").alias("p", "fqn")).filter(last_seg(F.col("fqn")) == F.col("simple")).select("key", "simple", "fqn", F.lit(1).alias("rank"), "p")
-    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).join(_under(idx.types, "fqn").filter("n = 1"), ["w", "simple"]).select("key", "simple", "fqn", F.lit(2).alias("rank"), "p")
+    wild = mine.select("key", "simple", F.posexplode("wildcard").alias("p", "w")).hint("merge").join(_under(idx.types, "fqn").filter("n = 1"), ["w", "simple"]).select("key", "simple", "fqn", F.lit(2).alias("rank"), "p")
     same = mine.filter((F.col("package") != "") & F.col("simple").rlike("^\\p{Lu}")).select("key", "simple", F.concat_ws(".", "package", "simple").alias("fqn"), F.lit(3).alias("rank"), F.lit(0).alias("p"))
     lone = every.groupBy("simple_name").agg(F.min("fqn").alias("fqn"), F.count("*").alias("n")).filter("n = 1")
-    only = pairs.join(lone, F.col("simple") == F.col("simple_name")).select("key", "simple", "fqn", F.lit(4).alias("rank"), F.lit(0).alias("p"))
+    only = pairs.hint("merge").join(lone, F.col("simple") == F.col("simple_name")).select("key", "simple", "fqn", F.lit(4).alias("rank"), F.lit(0).alias("p"))
     return _best(explicit.union(wild).union(same).union(only), ["key", "simple"], ["rank", "p", "fqn"]).select("key", "simple", "fqn")
 
 
 def supertypes(idx: JavaIndex) -> DataFrame:
     """(key, s_ord, simple, target, target_simple): resolved direct supertypes in order."""
     named = idx.types.select("key", F.posexplode("supertypes").alias("s_ord", "simple"))
-    return named.join(find_class(idx, named), ["key", "simple"]).select("key", "s_ord", "simple", "target", "target_simple")
+    return named.hint("merge").join(find_class(idx, named), ["key", "simple"]).select("key", "s_ord", "simple", "target", "target_simple")
 
 
 def impls_of(idx: JavaIndex) -> DataFrame:
@@ -77,7 +77,7 @@ def impls_of(idx: JavaIndex) -> DataFrame:
 def field_types(idx: JavaIndex) -> DataFrame:
     """(key, name, type): a type's own fields, else those of its direct supertypes in order."""
     own = idx.fields.groupBy("key", "name").agg(F.max_by("type", "f_ord").alias("type"))
-    above = supertypes(idx).join(own.withColumnRenamed("key", "target"), "target").select("key", "name", "type", (F.col("s_ord") + 1).alias("rank"))
+    above = supertypes(idx).hint("merge").join(own.withColumnRenamed("key", "target"), "target").select("key", "name", "type", (F.col("s_ord") + 1).alias("rank"))
     return _best(own.select("key", "name", "type", F.lit(0).alias("rank")).unionByName(above), ["key", "name"], ["rank"]).select("key", "name", "type")
 
 
@@ -91,7 +91,7 @@ def ancestors(idx: JavaIndex, longest: int | None = None) -> DataFrame:
     out, k = level, 0
     while longest is None or k < longest:
         k += 1
-        level = cut(level.join(step, level["at"] == step["_from"]).filter(~F.array_contains("names", F.col("simple"))).select("key", F.col("target").alias("at"), F.array_append("names", F.col("simple")).alias("names"), F.array_append("walk", F.col("s_ord")).alias("walk")))
+        level = cut(level.hint("merge").join(step, level["at"] == step["_from"]).filter(~F.array_contains("names", F.col("simple"))).select("key", F.col("target").alias("at"), F.array_append("names", F.col("simple")).alias("names"), F.array_append("walk", F.col("s_ord")).alias("walk")))
         if level.isEmpty():
             break
         out = out.unionByName(level)
@@ -125,22 +125,22 @@ def resolve_calls(idx: JavaIndex, calls: DataFrame | None = None) -> DataFrame:
     calls = calls if calls is not None else calls_of(idx)
     calls = calls.filter("m_name <> '<init>' and method <> ''").select("key", "simple_name", "method_key", "ord", "receiver", "method", "arity", "local_type")
     lone = idx.types.groupBy(F.col("simple_name").alias("receiver")).agg(F.count("*").alias("n")).filter("n = 1").select("receiver", F.lit(True).alias("_static"))
-    typed = calls.join(field_types(idx).select("key", F.col("name").alias("receiver"), F.col("type").alias("_field")), ["key", "receiver"], "left").join(lone, "receiver", "left")
+    typed = calls.hint("merge").join(field_types(idx).select("key", F.col("name").alias("receiver"), F.col("type").alias("_field")), ["key", "receiver"], "left").hint("merge").join(lone, "receiver", "left")
     recv = F.when(F.col("receiver").isin("", "this", "super"), F.col("simple_name")).when(F.col("local_type").isNotNull(), F.col("local_type")).when(F.coalesce("_field", F.lit("")) != "", F.col("_field")).when(F.col("_static"), F.col("receiver"))
     typed = cut(typed.withColumn("simple", F.coalesce(recv, F.lit(""))).filter("simple <> ''").drop("_field", "_static"))
     concrete = find_class(idx, typed)
     impls = impls_of(idx)
-    found = typed.join(concrete, ["key", "simple"], "left").join(impls, "simple", "left")
+    found = typed.hint("merge").join(concrete, ["key", "simple"], "left").hint("merge").join(impls, "simple", "left")
     by_impl = (F.col("target").isNull() | (F.col("target_kind") == "interface")) & F.col("impl").isNotNull()
     classes = found.withColumns({"at": F.when(by_impl, F.col("impl")).otherwise(F.col("target")), "at_simple": F.when(by_impl, F.col("impl_simple")).otherwise(F.col("target_simple")), "at_ord": F.when(by_impl, F.col("impl_ord")).otherwise(F.lit(""))})
     classes = cut(classes.filter("at is not null").select("method_key", "ord", "method", "arity", "at", "at_simple", "at_ord").distinct())
     methods = idx.methods.select(F.col("class_simple").alias("at_simple"), F.col("name").alias("method"), F.col("method_key").alias("callee"), F.col("class_simple").alias("callee_class"), F.col("file").alias("callee_file"), F.col("line").alias("callee_line"), F.col("n_params"), F.col("ord").alias("d_ord"))
-    direct = classes.join(methods, ["at_simple", "method"])
+    direct = classes.hint("merge").join(methods, ["at_simple", "method"])
     question = ["method_key", "ord"]
-    rest = classes.join(direct.select(*question).distinct(), question, "left_anti")
-    above = rest.join(ancestors(idx).select(F.col("key").alias("at"), F.col("target_simple").alias("up"), "walk"), "at").drop("at_simple").withColumnRenamed("up", "at_simple").join(methods, ["at_simple", "method"])
+    rest = classes.hint("merge").join(direct.select(*question).distinct(), question, "left_anti")
+    above = rest.hint("merge").join(ancestors(idx).select(F.col("key").alias("at"), F.col("target_simple").alias("up"), "walk"), "at").drop("at_simple").withColumnRenamed("up", "at_simple").hint("merge").join(methods, ["at_simple", "method"])
     nearest = above.groupBy(*question, "at").agg(F.min("walk").alias("walk"))
-    above = above.join(nearest, [*question, "at", "walk"])
+    above = above.hint("merge").join(nearest, [*question, "at", "walk"])
     both = direct.select(*question, "arity", "at_ord", "callee", "callee_class", "callee_file", "callee_line", "n_params", "d_ord").unionByName(above.select(*question, "arity", "at_ord", "callee", "callee_class", "callee_file", "callee_line", "n_params", "d_ord"))
     fits = F.max((F.col("n_params") == F.col("arity")).cast("int")).over(Window.partitionBy(*question))
     kept = both.withColumn("_fit", fits).filter((F.col("_fit") == 0) | (F.col("n_params") == F.col("arity")))
@@ -155,7 +155,7 @@ def call_edges(idx: JavaIndex, cands: DataFrame | None = None) -> DataFrame:
     first = cands.groupBy("method_key", "ord").agg(F.min_by(F.struct("callee", "callee_class", "callee_file", "callee_line"), "pos").alias("f"), (F.size(F.collect_set("callee_class")) > 1).alias("ambiguous"))
     display = F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "method")).otherwise(F.col("method"))
     rows = calls.select("method_key", F.col("ord").cast("int").alias("ord"), display.alias("display"), "arity").dropDuplicates(["method_key", "ord"])
-    return rows.join(first, ["method_key", "ord"], "left").select(F.col("method_key").alias("caller"), F.col("ord").cast("bigint").alias("ord"), "display", "arity", "f.callee", "f.callee_class", "f.callee_file", "f.callee_line", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+    return rows.hint("merge").join(first, ["method_key", "ord"], "left").select(F.col("method_key").alias("caller"), F.col("ord").cast("bigint").alias("ord"), "display", "arity", "f.callee", "f.callee_class", "f.callee_file", "f.callee_line", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
 
 
 def resolve_channel(tokens: DataFrame, constants: DataFrame, config: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def resolve_channel(tokens: DataFrame, constants: DataFrame, config: DataFrame)
     flat = constants.groupBy("name").agg(F.min_by("value", "ord").alias("_flat"))
     dotted = F.contains("t", F.lit(".")) & ~F.col("t").startswith("/")
     asked = asked.withColumns({"_class": F.when(dotted, F.regexp_replace("t", "\\.[^.]*$", "")), "_const": F.when(dotted, last_seg(F.col("t"))).when(~F.col("t").startswith("/"), F.col("t"))})
-    joined = asked.join(exact, "_name", "left").join(tail, "_name", "left").join(one.select(F.col("class").alias("_class"), F.col("name").alias("_const"), "_typed"), ["_class", "_const"], "left").join(flat.withColumnRenamed("name", "_const"), "_const", "left")
+    joined = asked.hint("merge").join(exact, "_name", "left").hint("merge").join(tail, "_name", "left").hint("merge").join(one.select(F.col("class").alias("_class"), F.col("name").alias("_const"), "_typed"), ["_class", "_const"], "left").hint("merge").join(flat.withColumnRenamed("name", "_const"), "_const", "left")
     value = (
         F.when(F.coalesce("token", F.lit("")) == "", F.lit("unknown")).when(F.col("t").startswith("#{"), F.col("t")).when(F.col("_hole"), F.coalesce("_exact", "_tail", "_default")).otherwise(F.coalesce("_typed", "_flat", "t"))
     )
@@ -191,5 +191,5 @@ def resolve_reactive_channel(tokens: DataFrame, config: DataFrame) -> DataFrame:
     """(token, channel): the destination that configuration gives a logical channel, else its own name."""
     keys = F.array(*[F.concat(F.lit(k.split("{}")[0]), "token", F.lit(k.split("{}")[1])) for k in REACTIVE_KEYS])
     asked = tokens.select("token").distinct().select("token", F.posexplode(keys).alias("p", "key"))
-    hit = asked.join(config.filter("value <> ''").select("key", "value"), "key").groupBy("token").agg(F.min_by("value", "p").alias("value"))
-    return tokens.select("token").distinct().join(hit, "token", "left").select("token", F.coalesce("value", "token").alias("channel"))
+    hit = asked.hint("merge").join(config.filter("value <> ''").select("key", "value"), "key").groupBy("token").agg(F.min_by("value", "p").alias("value"))
+    return tokens.select("token").distinct().hint("merge").join(hit, "token", "left").select("token", F.coalesce("value", "token").alias("channel"))

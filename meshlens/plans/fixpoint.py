@@ -58,9 +58,9 @@ def reachable(roots: DataFrame, edges: DataFrame, max_rounds: int | None = None)
     seen, k = [front], 0
     while not front.isEmpty() and (max_rounds is None or k < max_rounds):
         k += 1
-        following = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        following = edges.hint("merge").join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         known = reduce(DataFrame.union, [part.select("node") for part in seen])
-        front = cut(following.join(known, "node", "left_anti").withColumn("round", F.lit(k)))
+        front = cut(following.hint("merge").join(known, "node", "left_anti").withColumn("round", F.lit(k)))
         seen.append(front)
         if len(seen) > COMPACT:
             seen = [cut(reduce(DataFrame.union, seen))]

@@ -96,7 +96,7 @@ def index(types: DataFrame) -> JavaIndex:
 
     keyed = cut(types.withColumn("ord", F.concat_ws("|", "repo", "file", F.lpad(F.col("place").cast("string"), 6, "0"))).withColumn("key", F.concat_ws("@", "fqn", "ord")))
     last = keyed.groupBy("fqn").agg(F.max_by("key", "ord").alias("key")).select("key")
-    scanned = keyed.join(last, "key", "left_semi")
+    scanned = keyed.hint("merge").join(last, "key", "left_semi")
     own = [c for c in keyed.columns if c not in ("methods", "fields", "annotations", "explicit", "wildcard")]
     methods = keyed.select(*own, F.posexplode("methods").alias("m_ord", "m")).filter("m.name <> '<init>'")
     params = F.filter("m.params", lambda p: p["type"] != "")

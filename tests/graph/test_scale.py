@@ -98,3 +98,13 @@ def test_links_are_asked_of_ends_without_their_trees(spark):
     g = adapter.linked(spark, SF)
     assert g.entry_points.columns == list(adapter.LINK_ENTRY) and g.producers.columns == list(adapter.LINK_PRODUCER)
     assert "l_suppkey" not in plan(adapter.entry_points(spark, SF).select(*adapter.LINK_ENTRY))
+
+
+def test_calls_are_resolved_without_broadcasts(spark, monkeypatch):
+    """Spark guesses the size of what is made of types from the table of parts, and would send it to the driver."""
+    from meshlens.operators import resolve
+
+    plans = []
+    monkeypatch.setattr(resolve, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    plans.append(plan(resolve.call_edges(index(java_types(part_sources(spark, SF))))))
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
