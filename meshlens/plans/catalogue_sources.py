@@ -14,7 +14,7 @@ from ..sources.files import language_for_file as with_language
 from ..streaming.progress import progress_lines as lines_of
 from ..streaming.progress import run_progress
 from .adapter import graph, part_sources, parts_sql, rule_sources, rules_sql, table
-from .analysis import analyze_files
+from .analysis import unreachable_of
 from .catalogue import ENDS, ORACLES, _logs, query
 from .fixpoint import cut, shared_folder
 from .refresh import SourceStore
@@ -110,7 +110,7 @@ def java_producers(spark, d):
 
 @query(PARTS + " SELECT repo || ':' || name || '.idle' AS id, repo, name AS class_name, 'idle' AS method, file, 14 AS line FROM p WHERE kind = 'class' AND key % 4 = 3")
 def java_graph_unreachable(spark, d):
-    return analyze_files(part_sources(spark, d)).unreachable
+    return unreachable_of(part_sources(spark, d))
 
 
 # ---------------------------------------------------------------- upkeep

@@ -108,3 +108,15 @@ def test_calls_are_resolved_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(resolve, "cut", lambda df: plans.append(plan(df)) or cut(df))
     plans.append(plan(resolve.call_edges(index(java_types(part_sources(spark, SF))))))
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_unreachable_methods_are_asked_of_calls_alone(spark, monkeypatch):
+    """No call trees, channels, producers or links are made for them, and the whole analysis gives the same."""
+    from meshlens.plans import analysis, catalogue_sources
+
+    whole = analysis.analyze_files(part_sources(spark, SF)).unreachable
+    for made in ("call_tree", "tree_metrics", "call_edges", "detect_entry_points", "detect_producers", "all_links"):
+        monkeypatch.setattr(analysis, made, lambda *a: 1 / 0)
+    alone = catalogue_sources.java_graph_unreachable(spark, SF)
+    assert "Broadcast" not in plan(alone)
+    assert alone.count() > 0 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, alone.collect()))
