@@ -123,6 +123,16 @@ def test_trigram_search_equals_a_scan(spark):
     assert textindex.TextIndex.build(rows.limit(0)).search("abc").count() == 0
 
 
+def test_rows_of_a_block_share_their_trigrams(spark, tmp_path):
+    """1000 texts that differ in their numbers: fewer rows of trigrams than the texts have, and searches find them all."""
+    rows = spark.range(0, 1000, 1, 2).select("id", F.concat(F.lit("R1:Customer.on:Part-"), "id").alias("text"))
+    index = textindex.TextIndex.build(rows, str(tmp_path / "index"))
+    alone = rows.select(F.explode(textindex.grams(F.lower("text")))).count()
+    assert spark.read.parquet(f"{index.path}/grams").count() * 4 < alone
+    assert sorted(r.id for r in index.search("PART-12").collect()) == [12, *range(120, 130)]
+    assert index.search("customer").count() == 1000 and index.candidates("part-999").count() == 1
+
+
 def test_languages_of_names(spark):
     registry = [("ts", ".ts", False), ("dts", ".d.ts", False), ("make", "Makefile", True), ("kts", ".gradle.kts", False), ("a", ".dup", False), ("b", ".dup", False)]
     names = {"x/a.ts": "ts", "a.d.ts": "dts", "A.D.TS": "dts", "a.b.d.ts": "ts", "Makefile": "make", "d/Makefile": "make", "makefile": None, ".ts": None, "..x.ts": "ts", "b.gradle.kts": "kts", "a.kts": None, "n.dup": "a", "": None, "none": None, "dot.": None}
