@@ -120,3 +120,26 @@ def test_unreachable_methods_are_asked_of_calls_alone(spark, monkeypatch):
     alone = catalogue_sources.java_graph_unreachable(spark, SF)
     assert "Broadcast" not in plan(alone)
     assert alone.count() > 0 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_ends_are_dealt_once_to_find_message_links(spark):
+    """Which repositories hear and send on a channel is told by a row each; wide rows are dealt to meet these, once."""
+    from meshlens.operators import links
+
+    rows = [("e1", "a", "kafka-consumer", "t"), ("e2", "b", "kafka-consumer", "t"), ("e3", "a", "kafka-consumer", "own"), ("e4", None, "kafka-consumer", "n")]
+    sent = [("p1", "a", "kafka-producer", "t"), ("p2", "a", "kafka-producer", "own"), ("p3", None, "kafka-producer", "n"), ("p4", "a", "kafka-producer", "far")]
+    table = lambda rows: spark.createDataFrame([(i, *r) for i, r in zip("abcdefgh", rows, strict=False)], "ord string, id string, repo string, type string, channel string")
+    found = links.link_message(table(rows), table(sent))
+    assert plan(found).count("Exchange ") <= 4
+    assert sorted((r.channel, r.side, r.id) for r in found.collect()) == [("n", "consumer", "e4"), ("n", "producer", "p3"), ("t", "consumer", "e1"), ("t", "consumer", "e2"), ("t", "producer", "p1")]
+
+
+def test_what_changed_is_told_where_entries_and_trees_are(spark):
+    """Entry points and trees of a graph that is dealt by customers meet there: sums of entries are dealt once, by id, for both graphs."""
+    from meshlens.operators import diff
+    from meshlens.plans import adapter, catalogue
+
+    old, new = adapter.changing(spark, SF, adapter.OLD), adapter.changing(spark, SF, adapter.NEW)
+    found = diff.diff_entries(old, new)
+    assert plan(found).count("Join ") == plan(old.nodes).count("Join ") * 4  # none but those that make them
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, catalogue.diff_entries(spark, SF).collect()))
