@@ -135,11 +135,12 @@ def test_ends_are_dealt_once_to_find_message_links(spark):
 
 
 def test_what_changed_is_told_where_entries_and_trees_are(spark):
-    """Entry points and trees of a graph that is dealt by customers meet there: sums of entries are dealt once, by id, for both graphs."""
+    """Entry points and trees of a graph that is dealt by customers meet there, and so do both graphs' entry points: nothing is dealt by id."""
     from meshlens.operators import diff
     from meshlens.plans import adapter, catalogue
 
     old, new = adapter.changing(spark, SF, adapter.OLD), adapter.changing(spark, SF, adapter.NEW)
     found = diff.diff_entries(old, new)
     assert plan(found).count("Join ") == plan(old.nodes).count("Join ") * 4  # none but those that make them
+    assert plan(found).count("Exchange hashpartitioning") == 4 * plan(old.nodes).count("Exchange hashpartitioning")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, catalogue.diff_entries(spark, SF).collect()))
